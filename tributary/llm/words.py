@@ -91,6 +91,20 @@ def split(texts: pa.Array | pa.ChunkedArray, separators: np.ndarray = SPACE, low
     return Words(data, starts, ends, np.searchsorted(starts, at), at)
 
 
+def joined(w: Words, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space after each, the place of each word there, and its size: a run of words is a slice."""
+    size = w.ends - w.starts
+    begin = np.cumsum(size + 1) - (size + 1)
+    data = np.full(int(begin[-1] + size[-1] + 1) if len(size) else 0, 0x20, np.uint8)
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.starts] += 1
+    np.subtract.at(inside, w.ends, 1)
+    source = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    raw = w.data[source]
+    data[source + np.repeat(begin - w.starts, size)] = LOWER[raw] if lower else raw
+    return data, begin, size
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """An uneven combination of two hashes; the order matters."""
     h = (a * K1 + b) * K2
