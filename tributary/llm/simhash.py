@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, table, with_text
-from .words import SPACE, split
+from .words import SPACE, joined, split
 
 SEED = 42
 RADIUS = 3
@@ -50,18 +50,7 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     if not len(w):
         return out
-    # Words of the piece joined by one space, A-Z in lower case: a shingle is a slice.
-    size = w.ends - w.starts
-    begin = np.cumsum(size + 1) - (size + 1)
-    data = np.full(int(begin[-1] + size[-1] + 1), 0x20, np.uint8)
-    place = np.repeat(begin - w.starts, size)
-    inside = np.zeros(len(w.data) + 1, np.int8)
-    np.add.at(inside, w.starts, 1)
-    np.add.at(inside, w.ends, -1)
-    src = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-    raw = w.data[src]
-    upper = (raw >= 0x41) & (raw <= 0x5A)
-    data[src + place] = raw + (upper * np.uint8(32))
+    data, begin, size = joined(w, lower=True)  # a shingle is a slice
     buf = memoryview(data)
     counts = w.counts()
     shingles = np.where(counts >= shingle, counts - shingle + 1, (counts > 0).astype(np.int64))
@@ -99,17 +88,24 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """The codeword index of every 23-bit vector; the syndrome's error pattern gives the codeword."""
     poly = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the code
-    vectors = np.arange(1 << 23, dtype=np.int64)
-    rest = vectors.copy()
-    for bit in range(22, 10, -1):
-        rest ^= np.where(rest >> bit & 1, poly << (bit - 11), 0)
-    error = np.zeros(1 << 11, np.int64)
-    ones = 1 << np.arange(23)
-    pairs = [a ^ b for i, a in enumerate(ones) for b in ones[:i]]
-    triples = [a ^ b ^ c for i, a in enumerate(ones) for j, b in enumerate(ones[:i]) for c in ones[:j]]
-    for e in [0, *ones.tolist(), *map(int, pairs), *map(int, triples)]:
-        error[rest[e]] = e
-    return ((vectors ^ error[rest]) >> 11).astype(np.int16), error
+
+    def syndrome(v):
+        v = v.copy()
+        for bit in range(22, 10, -1):
+            v ^= (v >> bit & 1) * np.int32(poly << (bit - 11))
+        return v
+
+    ones = [1 << i for i in range(23)]
+    pairs = [a | b for i, a in enumerate(ones) for b in ones[:i]]
+    triples = [a | b | c for i, a in enumerate(ones) for j, b in enumerate(ones[:i]) for c in ones[:j]]
+    patterns = np.array([0, *ones, *pairs, *triples], np.int32)
+    error = np.zeros(1 << 11, np.int32)
+    error[syndrome(patterns)] = patterns
+    code = np.empty(1 << 23, np.int16)
+    for lo in range(0, 1 << 23, 1 << 18):
+        v = np.arange(lo, lo + (1 << 18), dtype=np.int32)
+        code[lo : lo + (1 << 18)] = (v ^ error[syndrome(v)]) >> 11
+    return code, error
 
 
 _CODE: list[np.ndarray] = []
@@ -166,8 +162,8 @@ def buckets(distinct: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                fp = batch.column("fp").slice(lo, 4096).to_numpy()
+            for lo in range(0, batch.num_rows, 1024):
+                fp = batch.column("fp").slice(lo, 1024).to_numpy()
                 index, key, side = join_keys(fp)
                 yield pa.record_batch([pa.array(key), pa.array(side), pa.array(fp[index])], ["key", "side", "fp"])
 
