@@ -6,17 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, language, quality, simhash, substrings, tokenfile
+from . import bytebpe, decontaminate, language, pii, quality, quotes, simhash, substrings, tokenfile, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(read(spark, sf_dir, "conversations"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -48,6 +56,46 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS id, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+l AS (SELECT id, conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM m),
+p AS (SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS lv, regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') AS c FROM l),
+r AS (SELECT *, sum(CASE WHEN lv = was THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS run
+      FROM (SELECT *, lag(lv, 1, -1) OVER (PARTITION BY id ORDER BY i) AS was FROM p)),
+ps AS (SELECT id, conv_id, turn, run, any_value(lv) AS lv, string_agg(c, chr(10) ORDER BY i) AS txt FROM r GROUP BY id, conv_id, turn, run),
+n AS (SELECT *, lower(trim(regexp_replace(txt, '\s+', ' ', 'g'))) AS k FROM ps),
+nz AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY run) - 1 AS place FROM n WHERE k <> ''),
+keys AS (SELECT id, conv_id, turn, lv, place, 0 AS rank, k FROM nz
+         UNION SELECT id, conv_id, turn, lv, place, 1, k FROM (SELECT id, conv_id, turn, lv, place, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS k FROM (SELECT *, unnest(string_split(txt, chr(10))) AS x FROM nz)) WHERE k <> ''),
+wrote AS (SELECT conv_id, k, min(turn) AS origin FROM keys WHERE lv = 0 GROUP BY conv_id, k),
+found AS (SELECT keys.*, origin FROM keys JOIN wrote USING (conv_id, k) WHERE lv > 0 AND origin < turn),
+best AS (SELECT id, origin AS reply_to FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lv, rank, place, origin) AS o FROM found) WHERE o = 1),
+linked AS (SELECT id, count(DISTINCT place) AS n_linked FROM found GROUP BY id),
+of_turn AS (SELECT conv_id, turn, origin FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY lv, rank, place, origin) AS o FROM found) WHERE o = 1),
+up AS (SELECT conv_id, turn, origin AS at, 1 AS depth FROM of_turn UNION ALL SELECT up.conv_id, up.turn, o.origin, depth + 1 FROM up JOIN of_turn o ON up.conv_id = o.conv_id AND up.at = o.turn),
+tops AS (SELECT conv_id, turn, min(at) AS thread, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+body AS (SELECT id, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^(?:[ \t]*\n)+|\s+$', '', 'g') AS body FROM p WHERE lv = 0 GROUP BY id),
+nq AS (SELECT id, count(*) AS n_quotes FROM nz WHERE lv > 0 GROUP BY id)
+SELECT m.conv_id, m.turn, m.role, best.reply_to, coalesce(tops.thread, m.turn) AS thread, CAST(coalesce(tops.depth, 0) AS BIGINT) AS depth,
+       CAST(row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(tops.thread, m.turn), m.turn, m.role) - 1 AS BIGINT) AS position,
+       CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, coalesce(body, '') AS body
+FROM m LEFT JOIN best USING (id) LEFT JOIN linked USING (id) LEFT JOIN body USING (id) LEFT JOIN nq USING (id) LEFT JOIN tops ON m.conv_id = tops.conv_id AND m.turn = tops.turn
+"""
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT page_id, strlen(h) AS n, string_agg(translate(to_base(CAST('0x' || substr(sha, 10 * i + 1, 10) AS BIGINT), 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'), '' ORDER BY i) AS d
+      FROM p, range(4) t(i) GROUP BY page_id, h, sha),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d, n) AS first FROM b)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP2_SQL = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -77,7 +125,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
-QUERIES = (op2_decontamination, op4_simhash, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_language_id, language_id_pages, op9_byte_bpe)
+QUERIES = (op1_quotation_linking, op2_decontamination, op3_warc, op4_simhash, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_language_id, language_id_pages, op9_byte_bpe, op10_pii)
 
 
 def queries() -> dict:
@@ -85,4 +133,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL}
