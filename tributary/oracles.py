@@ -171,6 +171,30 @@ def oracle_sql() -> dict[str, str]:
     fwd = "\nfrom_c AS (SELECT DISTINCT graph_id, b AS node FROM hr JOIN (SELECT graph_id, node AS a FROM o) USING (graph_id, a))"
     inner2 = "\nge AS (SELECT graph_id, src, dst FROM he SEMI JOIN (SELECT graph_id, node AS src FROM from_c) USING (graph_id, src) SEMI JOIN (SELECT graph_id, node AS dst FROM from_c) USING (graph_id, dst))"
     out["weak_control_closure"] = query(EVENTS, closure(), kind("o", "signup"), back, inner, closure("h", "to_c", "he"), fwd, inner2, cut("o", "from_c", "ge"), dominance("k", "from_c", "ke"), cd("res", "ksdom", "k", "ke"), slice_("res", "o"), select="SELECT * FROM sl")
+    sp = "\nsp AS (SELECT graph_id, src, dst FROM e WHERE dst = src + 3)"
+    th = "\nth AS (SELECT graph_id, node, node AS thread FROM n WHERE node = 1 UNION SELECT graph_id, dst, CASE WHEN dst = src + 3 THEN dst ELSE thread END FROM th JOIN (SELECT graph_id, src AS node, src, dst FROM e) USING (graph_id, node))"
+    apart = "\nlf AS (SELECT DISTINCT sp.graph_id, p.b AS a, q.b AS b FROM sp JOIN e x ON x.graph_id = sp.graph_id AND x.src = sp.src AND x.dst <> x.src + 3 JOIN r p ON p.graph_id = sp.graph_id AND p.a = sp.dst JOIN r q ON q.graph_id = sp.graph_id AND q.a = x.dst),\nap AS (SELECT graph_id, a, b FROM lf UNION SELECT graph_id, b, a FROM lf)"
+    many = "\nmn AS (SELECT graph_id, dst AS node FROM sp SEMI JOIN (SELECT graph_id, node AS src FROM th) USING (graph_id, src) WHERE (graph_id, src) IN (SELECT (graph_id, node) FROM scc WHERE size > 1) OR (graph_id, dst) IN (SELECT (graph_id, dst) FROM e GROUP BY graph_id, dst HAVING count(*) > 1) UNION SELECT graph_id, dst FROM mn JOIN (SELECT graph_id, src AS node, dst FROM e) USING (graph_id, node))"
+    par = "\nst AS (SELECT graph_id, node, min(thread) AS thread FROM th GROUP BY graph_id, node HAVING count(*) = 1),\nsa AS (SELECT x.graph_id, x.node AS a, y.node AS b FROM st x JOIN st y USING (graph_id, thread)),\nmhp AS (SELECT graph_id, a, b FROM sa WHERE (graph_id, a) IN (SELECT (graph_id, node) FROM mn) UNION ALL SELECT graph_id, a, b FROM ap ANTI JOIN sa USING (graph_id, a, b))"
+    threads = (EVENTS, closure(), sp, th, apart, many, par)
+    out["threads_of"] = query(EVENTS, th, select="SELECT * FROM th")
+    out["spawned_apart"] = query(EVENTS, closure(), sp, apart, select="SELECT * FROM ap")
+    out["parallel_nodes"] = query(*threads, select="SELECT * FROM mhp")
+    out["data_conflicts"] = query(*threads, NAMES, "\ntu AS (SELECT * FROM uses UNION SELECT * FROM defs)", select="SELECT DISTINCT graph_id, a AS n, b AS m FROM mhp JOIN (SELECT graph_id, node AS a, name FROM defs) USING (graph_id, a) JOIN (SELECT graph_id, node AS b, name FROM tu) USING (graph_id, b, name)")
+    out["inter_thread_dependence"] = query(*threads, NAMES, select="SELECT DISTINCT graph_id, a AS n, b AS m FROM mhp JOIN (SELECT graph_id, node AS a, name FROM defs) USING (graph_id, a) JOIN (SELECT graph_id, node AS b, name FROM uses) USING (graph_id, b, name)")
+    timed = "\npdg AS (SELECT graph_id, n, m FROM res UNION SELECT graph_id, n, m FROM dd UNION SELECT graph_id, src, dst FROM e WHERE (graph_id, dst) IN (SELECT (graph_id, a) FROM mhp))"
+    out["timed_classification"] = query(EVENTS, NAMES, dom, cd("res", "sdom"), sp, th, apart, many, par, timed, kind("hi", "signup"), flow, select="SELECT * FROM fl")
+    kinds = "\nkd AS (SELECT graph_id, src, dst, CASE WHEN dst = src + 3 THEN 'in' WHEN dst < src THEN 'out' ELSE 'data' END AS kind FROM e)"
+    back_by = lambda name, seed, kinds_: f"\n{name} AS (SELECT graph_id, node FROM {seed} UNION SELECT graph_id, src FROM {name} JOIN (SELECT graph_id, src, dst AS node FROM kd WHERE kind IN ({kinds_})) USING (graph_id, node))"
+    out["two_phase_slice"] = query(EVENTS, EXIT, kinds, back_by("p1", "exits", "'in', 'data'"), back_by("p2", "p1", "'out', 'data'"), select="SELECT * FROM p2")
+    out["within_chop"] = query(
+        EVENTS, EXIT, kinds, kind("vw", "view"), back_by("p1", "exits", "'data'"), "\np2 AS (SELECT graph_id, node FROM vw UNION SELECT graph_id, dst FROM p2 JOIN (SELECT graph_id, dst, src AS node FROM kd WHERE kind = 'data') USING (graph_id, node))",
+        select="SELECT * FROM p1 SEMI JOIN p2 USING (graph_id, node)",
+    )
+    out["distances"] = query(EVENTS, "\nds AS (SELECT graph_id, node, 0 AS d FROM n WHERE node = 1 UNION SELECT graph_id, dst, d + 1 + (src * 7 + dst * 3) % 32 FROM ds JOIN (SELECT graph_id, src AS node, src, dst FROM e) USING (graph_id, node) WHERE d < 400)", select="SELECT graph_id, CAST(1 AS BIGINT) AS origin, node, CAST(min(d) AS BIGINT) AS distance FROM ds GROUP BY graph_id, node")
+    out["bounded_walks"] = query(EVENTS, "\nwk AS (SELECT graph_id, node AS origin, node, 0 AS steps FROM n WHERE node = 1 UNION SELECT graph_id, origin, dst, steps + 1 FROM wk JOIN (SELECT graph_id, src AS node, dst FROM e) USING (graph_id, node) WHERE steps < 5)", select="SELECT * FROM wk")
+    out["chain_roots"] = query(EVENTS, "\npa AS (SELECT graph_id, src AS node, max(dst) AS parent FROM e GROUP BY graph_id, src HAVING max(dst) > src),\nup AS (SELECT graph_id, node, parent AS z, 1 AS depth FROM pa UNION ALL SELECT graph_id, up.node, pa.parent, depth + 1 FROM up JOIN pa USING (graph_id) WHERE pa.node = up.z)", select="SELECT graph_id, node, arg_max(z, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY graph_id, node")
+    out["accepted_words"] = query(EVENTS, select="SELECT DISTINCT a.graph_id AS word_id FROM en a JOIN en b ON a.graph_id = b.graph_id AND b.node = a.node + 1 WHERE a.event = 'click' AND b.event IN ('error', 'purchase')")
     exit_ = "\nxn AS (SELECT * FROM n UNION SELECT DISTINCT graph_id, CAST(-1 AS BIGINT) FROM n),\nxe AS (SELECT * FROM e UNION SELECT graph_id, node, CAST(-1 AS BIGINT) FROM n ANTI JOIN (SELECT graph_id, src AS node FROM e) USING (graph_id, node))"
     live = "\nyn AS (SELECT graph_id, a AS node FROM xr WHERE b = -1),\nye AS (SELECT graph_id, src, dst FROM xe SEMI JOIN (SELECT graph_id, node AS src FROM yn) USING (graph_id, src) SEMI JOIN (SELECT graph_id, node AS dst FROM yn) USING (graph_id, dst))"
     out["classic_control_dependence"] = query(EVENTS, exit_, closure("x", "xn", "xe"), live, dominance("y", "yn", "ye"), cd("res", "ysdom", "y", "ye"), select="SELECT * FROM res WHERE m <> -1")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import statistics, values
-from .operators import control, dataflow, dominance, order, slicing, structure, timing
+from .operators import control, dataflow, dominance, order, paths, procedures, slicing, structure, threads, timing
 from .plans.fixpoint import written
 from .sources import flowgraphs as flow
 
@@ -263,6 +263,81 @@ def balanced_reachability(spark, d):
     return dataflow.balanced_reach(g, written(g.edges.withColumn("paren", kind).where("paren is not null").withColumn("site", F.pmod(F.col("src"), F.lit(2)))))
 
 
+def spawns(g: flow.FlowGraph) -> DataFrame:
+    """A click's edge three on starts a thread."""
+    return g.edges.where("dst = src + 3")
+
+
+def entries(g: flow.FlowGraph) -> DataFrame:
+    return g.nodes.where("node = 1")
+
+
+def threads_of(spark, d):
+    g = events(spark, d)
+    return threads.threads_of(g, spawns(g), entries(g))
+
+
+def spawned_apart(spark, d):
+    g = events(spark, d)
+    return threads.spawned_apart(g, spawns(g))
+
+
+def parallel_nodes(spark, d):
+    g = events(spark, d)
+    return threads.parallel(g, spawns(g), entries(g))
+
+
+def data_conflicts(spark, d):
+    g = events(spark, d)
+    return threads.conflicts(threads.parallel(g, spawns(g), entries(g)), *names(spark, d), K)
+
+
+def inter_thread_dependence(spark, d):
+    g = events(spark, d)
+    return threads.between_threads(threads.parallel(g, spawns(g), entries(g)), *names(spark, d), K)
+
+
+def timed_classification(spark, d):
+    g = events(spark, d)
+    return threads.classified(g, dependence(g, spark, d), written(threads.parallel(g, spawns(g), entries(g))), of_type(spark, d, "signup"))
+
+
+def kinds(g: flow.FlowGraph) -> DataFrame:
+    """Flow edges as a dependence graph: jumps on pass parameters in, edges back pass them out."""
+    return g.edges.withColumn("kind", F.when(F.col("dst") == F.col("src") + 3, procedures.IN).when(F.col("dst") < F.col("src"), procedures.OUT).otherwise(procedures.DATA))
+
+
+def two_phase_slice(spark, d):
+    return procedures.two_phase(kinds(events(spark, d)), flow.exits_of_events(spark, d), K)
+
+
+def within_chop(spark, d):
+    return procedures.within_chop(kinds(events(spark, d)), flow.exits_of_events(spark, d), of_type(spark, d, "view"), K)
+
+
+def distances(spark, d):
+    g = events(spark, d)
+    return paths.distances(g, flow.edge_costs(g.edges), entries(g))
+
+
+def bounded_walks(spark, d):
+    g = events(spark, d)
+    return paths.within(g, entries(g), 5)
+
+
+def chain_roots(spark, d):
+    g = events(spark, d)
+    return paths.roots(g.edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.max("dst").alias("parent")).where("parent > node"), K)
+
+
+def accepted_words(spark, d):
+    """Users whose first events match: any number of events, then a click, and at once an error or a purchase, then any."""
+    n = flow.event_nodes(spark, d)
+    words = n.select(F.col("graph_id").alias("word_id"), (F.col("node") - 1).cast("int").alias("pos"), F.col("event").alias("letter"))
+    t = spark.createDataFrame([(0, 0, "all", None), (0, 1, "only", "click"), (1, 2, "only", "error"), (1, 2, "only", "purchase"), (2, 3, "free", None), (3, 3, "all", None)], "src int, dst int, kind string, letter string")
+    return paths.accepted(words, spark.createDataFrame([(0,)], "state int"), spark.createDataFrame([(3,)], "state int"), t)
+
+
 def value_arithmetic(spark, d):
     a, b = F.col("l_partkey"), F.col("l_linenumber")
     cols = {"plus": values.plus, "minus": values.minus, "times": values.times, "quotient": values.quotient, "remainder": values.remainder, "both": values.both, "either": values.either, "differ": values.differ}
@@ -301,6 +376,8 @@ QUERIES = (
     nticd_slice, ntscd_slice, nticd_ntiod_slice, ntscd_ntsod_slice, weak_order_slice, weak_control_closure, next_observable, weakly_closed,
     timing_dominance, timing_dominance_cost, tscd, tscd_cost, tscd_slice, coarse_timing_dependence,
     reaching_definitions, data_dependence, program_dependence, program_slice, information_flow, insecure_nodes, balanced_reachability,
+    threads_of, spawned_apart, parallel_nodes, data_conflicts, inter_thread_dependence, timed_classification, two_phase_slice, within_chop,
+    distances, bounded_walks, chain_roots, accepted_words,
     value_arithmetic, level_join, g_test, equivalence_distance, two_sample_test,
 )
 
