@@ -55,6 +55,19 @@ def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
     return df.mapInArrow(run, schema)
 
 
+#: Rows of an Arrow batch; texts may be long, and a batch stands in memory on both sides.
+BATCH = "1000"
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; Arrow batches of the session are made smaller if they are as Spark sets them."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, "10000") == "10000":
+        conf.set(BATCH_KEY, BATCH)
+    return df
+
+
 def with_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator reads, so extra columns with clashing names do no harm and the scan is pruned."""
-    return docs.select(*(docs[c] for c in ("doc_id", *more, "text")))
+    return small_batches(docs.select(*(docs[c] for c in ("doc_id", *more, "text"))))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, table, text_pieces
+from .common import map_text, small_batches, table, text_pieces
 from .words import SPACE, Words, grams, hashes, joined, mix, split, starts_of_runs
 
 N = 20
@@ -315,7 +315,7 @@ def place(docs: DataFrame) -> tuple[Column, Column]:
 def remove_repeats(docs: DataFrame, n: int = N, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) of every row."""
     id_, mark = place(docs)
-    docs = docs.select("doc_id", id_.alias("id"), mark.alias("mark"), "text")
+    docs = small_batches(docs).select("doc_id", id_.alias("id"), mark.alias("mark"), "text")
     counts = table(anchor_counts(docs, n).where("n > 1"), "anchors")
     found = table(passages(docs.select("id", "mark", "text"), n, filter_of(counts, 2), filter_of(counts, hot)), "passages")
     spans = repeated_windows(found, n).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))

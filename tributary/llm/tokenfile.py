@@ -26,7 +26,6 @@ frames; an empty table gives no rows.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -40,56 +39,132 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_text, shared_dir, table, with_text
+from .words import SPACE, hashes, split
 
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-FILE_BYTES = 32 << 20
-CACHE_WORDS, CACHE_CHARS = 1 << 19, 64
-#: White space that the tokenizer drops, and so no token crosses. Other white space stays inside the pieces.
-GAPS = re.compile(r"[ \t\n\r]+")
+FILE_BYTES = 16 << 20
+#: Pieces that a task remembers, and those it keeps when it has too many: the most used.
+CACHE, KEPT = 1 << 19, 1 << 17
+#: Words encoded in one call.
+TOGETHER = 256
+#: Marks that the tokenizer always parts from letters.
+MARKS = ".,;:!?#*$%&|<>()\""
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space, so that each piece between gaps can be encoded once."""
+    """Ids of texts by a tokenizer that drops white space and lower-cases, so that each piece between white space
+    can be encoded once; pieces are known by 64-bit hashes.  A piece of letters and marks is a word and its marks, each encoded once;
+    words of letters are encoded many to a call, as each ends with a token that ends a word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self):
-        self.number: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat = None
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        split_ = [GAPS.split(t) if t else [] for t in texts]
-        new = list({p for pieces in split_ for p in pieces if p not in self.number})
-        if len(self.number) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list({p for pieces in split_ for p in pieces})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.number[p] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-        if new or self.flat is None:
-            self.size = np.array([len(x) for x in self.ids], np.int64)
-            self.begin = np.cumsum(self.size) - self.size
-            self.flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        out, number = [], self.number
-        for pieces in split_:
-            k = np.fromiter((number[p] for p in pieces), np.int64, len(pieces))
-            n = self.size[k]
-            ids = np.empty(int(n.sum()) + 1, "<u4")
-            ids[:-1] = self.flat[np.repeat(self.begin[k] - (np.cumsum(n) - n), n) + np.arange(len(ids) - 1)]
-            ids[-1] = end
-            out.append(ids)
-        if any(len(p) > CACHE_CHARS for p in new):  # long pieces don't stay
-            self.clear()
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # Pieces by their hashes, in order, each with its word and marks; words (0 is none), each with its ids.
+        self.known = np.zeros(0, np.uint64)
+        self.word = self.marks = self.used = np.zeros(0, np.int64)
+        self.names, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of words, in order, and their numbers
+        self.begin = self.size = np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(names), bool)
+        return self.names[np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)] == names
+
+    def add_words(self, words: list[str]) -> None:
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        flat, sizes = [self.flat], [self.size]
+        parts = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                flat.append(ids)
+                sizes.append(np.diff(cut, prepend=0))
+            else:
+                each = [self.one(w) for w in part]
+                flat += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        each = [self.one(w) for w in rest]
+        self.flat, self.size = np.concatenate([*flat, *each]), np.concatenate([*sizes, np.array([len(x) for x in each], np.int64)])
+        self.begin = np.cumsum(self.size) - self.size
+        hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in [*letters, *rest]), np.uint64, len(words))
+        by = np.argsort(hashed)
+        at = np.searchsorted(self.names, hashed[by])
+        self.place = np.insert(self.place, at, len(self.size) - len(words) + by)
+        self.names = np.insert(self.names, at, hashed[by])
+
+    def add_pieces(self, hashed: np.ndarray, pieces: list[str]) -> None:
+        """New pieces, in order of their hashes."""
+        words, marks = [], []
+        for p in pieces:
+            w = p.rstrip(MARKS)
+            if not w or w.isalpha():
+                words.append(w.lower() if w.isascii() else w)
+                marks.append(p[len(w) :])
+            else:
+                words.append(p)
+                marks.append("")
+        distinct: dict[str, int] = {}
+        each = np.array([distinct.setdefault(x, len(distinct)) for x in words + marks], np.int64)
+        strings = list(distinct)
+        names = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in strings), np.uint64, len(strings))
+        have = np.array([not x for x in strings]) | self.has(names)
+        if not have.all():
+            self.add_words([x for x, h in zip(strings, have.tolist()) if not h])
+        number = self.place[np.minimum(np.searchsorted(self.names, names), len(self.place) - 1)] if len(self.place) else np.zeros(len(names), np.int64)
+        number[[i for i, x in enumerate(strings) if not x]] = 0
+        n = len(pieces)
+        at = np.searchsorted(self.known, hashed)
+        self.known = np.insert(self.known, at, hashed)
+        self.word = np.insert(self.word, at, number[each[:n]])
+        self.marks = np.insert(self.marks, at, number[each[n:]])
+        self.used = np.insert(self.used, at, 0)
+
+    def shrink(self) -> None:
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:KEPT])
+        kept, live = np.unique(np.r_[0, self.word[keep], self.marks[keep]], return_inverse=True)
+        stays = np.isin(self.place, kept)
+        self.names, self.place = self.names[stays], np.searchsorted(kept, self.place[stays])
+        n = self.size[kept]
+        self.flat = self.flat[np.repeat(self.begin[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        self.size, self.begin = n, np.cumsum(n) - n
+        self.known, self.used = self.known[keep], np.zeros(len(keep), np.int64)
+        self.word, self.marks = live[1 : 1 + len(keep)], live[1 + len(keep) :]
+
+    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        if max(len(self.known), len(self.names)) > CACHE:
+            self.shrink()
+        w = split(texts, SPACE)
+        distinct, first, which = np.unique(hashes(w), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        if len(self.known):
+            missing = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct)
+        else:
+            missing = np.arange(len(distinct))
+        if len(missing):
+            data = memoryview(w.data)
+            self.add_pieces(distinct[missing], [str(data[a:b], "utf-8") for a, b in zip(w.starts[first[missing]].tolist(), w.ends[first[missing]].tolist())])
+            at = np.searchsorted(self.known, distinct)
+        self.used[at] += np.bincount(which, minlength=len(distinct))
+        k = at[which]
+        both = np.empty(2 * len(k), np.int64)
+        both[::2], both[1::2] = self.word[k], self.marks[k]
+        n = self.size[both]
+        ids = self.flat[np.repeat(self.begin[both] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4")
+        cut = np.r_[0, np.cumsum(n)][2 * w.first].tolist()
+        last = np.array([end], "<u4")
+        return [np.concatenate([ids[a:b], last]) for a, b in zip(cut, cut[1:])]
 
 
 @lru_cache(2)
@@ -97,6 +172,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(1)
+def compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
 def checksum(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
 
@@ -105,8 +185,8 @@ def frames(docs: DataFrame, path: str, end: int) -> DataFrame:
     """doc_id, n_tokens, sum (the frame's checksum) and frame of every row."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        ids = encoder(path).encode(piece.column("text").to_pylist(), end)
-        c = zstandard.ZstdCompressor(level=3)
+        ids = encoder(path).encode(piece.column("text"), end)
+        c = compressor()
         return pa.record_batch([piece.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([checksum(x.tobytes()) for x in ids], pa.int64()), pa.array([c.compress(x.tobytes()) for x in ids], pa.binary())], ["doc_id", "n_tokens", "sum", "frame"])
 
     return map_text(with_text(docs), run, "doc_id long, n_tokens long, sum long, frame binary")
