@@ -158,6 +158,23 @@ def oracle_sql() -> dict[str, str]:
             "\nbt AS (SELECT graph_id, src AS n, dst AS m FROM e UNION SELECT graph_id, n, dst FROM (SELECT graph_id, n, m FROM bt ANTI JOIN (SELECT graph_id, y AS n, x AS m FROM imm) USING (graph_id, n, m)) JOIN (SELECT graph_id, src AS m, dst FROM e) USING (graph_id, m))",
             select="SELECT graph_id, n, m FROM bt ANTI JOIN (SELECT graph_id, y AS n, x AS m FROM imm) USING (graph_id, n, m) WHERE n <> m",
         )
+    for name, cost in (("", "1"), ("_cost", "1 + (src * 7 + dst * 3) % 32")):
+        walks = f"""
+ec AS (SELECT graph_id, src, dst, CAST({cost} AS BIGINT) AS cost FROM e),
+wk AS (SELECT graph_id, node AS y, node AS x, CAST(0 AS BIGINT) AS steps FROM n
+       UNION SELECT graph_id, src, x, steps + cost FROM wk JOIN (SELECT graph_id, src, dst AS y, cost FROM ec) USING (graph_id, y) SEMI JOIN (SELECT graph_id, y AS src, x FROM mdom) USING (graph_id, src, x) WHERE src <> x),
+td AS (SELECT graph_id, y, x, min(steps) AS steps FROM wk GROUP BY graph_id, y, x HAVING min(steps) = max(steps)),
+res AS (SELECT DISTINCT graph_id, n, m FROM (SELECT graph_id, src AS n, x AS m, steps + cost AS z, count(*) AS hit FROM ec JOIN (SELECT graph_id, y AS dst, x, steps FROM td) USING (graph_id, dst) GROUP BY ALL)
+        JOIN (SELECT graph_id, node AS n, outdegree FROM deg) USING (graph_id, n) WHERE hit < outdegree)"""
+        out[f"timing_dominance{name}"] = query(EVENTS, dom, walks, select="SELECT * FROM td")
+        out[f"tscd{name}"] = query(EVENTS, dom, walks, select="SELECT * FROM res")
+        if not name:
+            out["tscd_slice"] = query(EVENTS, dom, walks, EXIT, slice_("res", "exits"), select="SELECT * FROM sl")
+    common = "\nco AS (SELECT graph_id, src AS a, dst AS b, p.x AS lca FROM e JOIN sdom p USING (graph_id) JOIN sdom q USING (graph_id) WHERE p.y = src AND q.y = dst AND p.x = q.x AND graph_id IN (SELECT graph_id FROM deg WHERE outdegree > 1))"
+    out["nearest_common_dominator"] = query(EVENTS, dom, common, select="SELECT * FROM co c WHERE NOT EXISTS (SELECT 1 FROM co o WHERE o.graph_id = c.graph_id AND o.a = c.a AND o.b = c.b AND NOT EXISTS (SELECT 1 FROM sdom s WHERE s.graph_id = c.graph_id AND s.y = c.lca AND s.x = o.lca))")
+    halves = "WITH c AS (SELECT event_type, sum(CAST(user_id % 2 = 0 AS INTEGER)) AS a, sum(CAST(user_id % 2 = 1 AS INTEGER)) AS b FROM events GROUP BY event_type), s AS (SELECT CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2 FROM c) "
+    out["equivalence_distance"] = halves + "SELECT round(sum((a / n1 - b / n2) * (a / n1 - b / n2)), 10) AS d2, n1, n2 FROM c, s GROUP BY n1, n2"
+    out["two_sample_test"] = halves + "SELECT round(sum((a * sqrt(n2 / n1) - b * sqrt(n1 / n2)) * (a * sqrt(n2 / n1) - b * sqrt(n1 / n2)) / (a + b)), 6) AS chi2, count(*) - 1 AS df FROM c, s"
     pdg = "\npdg AS (SELECT * FROM res UNION SELECT * FROM dd)"
     base = (EVENTS, NAMES, dom, cd("res", "sdom"), pdg)
     flow = "\nfl AS (SELECT graph_id, node FROM hi UNION SELECT graph_id, m FROM fl JOIN (SELECT graph_id, n AS node, m FROM pdg) USING (graph_id, node))"
