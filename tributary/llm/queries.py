@@ -76,8 +76,8 @@ found AS (SELECT keys.*, origin FROM keys JOIN wrote USING (conv_id, k) WHERE lv
 best AS (SELECT id, origin AS reply_to FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lv, rank, place, origin) AS o FROM found) WHERE o = 1),
 linked AS (SELECT id, count(DISTINCT place) AS n_linked FROM found GROUP BY id),
 of_turn AS (SELECT conv_id, turn, origin FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY lv, rank, place, origin) AS o FROM found) WHERE o = 1),
-up AS (SELECT conv_id, turn, origin AS at, 1 AS depth FROM of_turn UNION ALL SELECT up.conv_id, up.turn, o.origin, depth + 1 FROM up JOIN of_turn o ON up.conv_id = o.conv_id AND up.at = o.turn),
-tops AS (SELECT conv_id, turn, min(at) AS thread, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+up AS (SELECT conv_id, turn, origin AS z, 1 AS depth FROM of_turn UNION ALL SELECT up.conv_id, up.turn, o.origin, depth + 1 FROM up JOIN of_turn o ON up.conv_id = o.conv_id AND up.z = o.turn),
+tops AS (SELECT conv_id, turn, min(z) AS thread, max(depth) AS depth FROM up GROUP BY conv_id, turn),
 body AS (SELECT id, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^(?:[ \t]*\n)+|\s+$', '', 'g') AS body FROM p WHERE lv = 0 GROUP BY id),
 nq AS (SELECT id, count(*) AS n_quotes FROM nz WHERE lv > 0 GROUP BY id)
 SELECT m.conv_id, m.turn, m.role, best.reply_to, coalesce(tops.thread, m.turn) AS thread, CAST(coalesce(tops.depth, 0) AS BIGINT) AS depth,
