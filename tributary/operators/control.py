@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint
+from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from .dominance import immediate_dominance, max_dominance, sink_dominance
 from .structure import reach_from, with_exit
@@ -33,18 +35,19 @@ def classic(g: FlowGraph, exit_: int = -1) -> DataFrame:
     k = list(g.keys)
     full = with_exit(g, exit_)
     ends = full.nodes.select(*k).distinct().withColumn("node", F.lit(exit_).cast("long"))
-    whole = full.induced(reach_from(full.reverse(), ends))
+    whole = full.induced(written(reach_from(full.reverse(), ends)))
+    whole = replace(whole, nodes=written(whole.nodes), edges=written(whole.edges))
     return from_dominance(whole, sink_dominance(whole)).where(F.col("m") != exit_)
 
 
 def between(g: FlowGraph, dom: DataFrame) -> DataFrame:
     """keys, n, m: nodes on the way from n's successors to its immediate dominators, without those and n."""
     k = list(g.keys)
-    stop = immediate_dominance(dom, g.keys).select(*k, F.col("y").alias("n"), F.col("x").alias("m"))
+    stop = written(immediate_dominance(dom, g.keys).select(*k, F.col("y").alias("n"), F.col("x").alias("m")))
     seed = g.edges.select(*k, F.col("src").alias("n"), F.col("dst").alias("m"))
 
     def step(delta, _):
         on = delta.join(stop, [*k, "n", "m"], "left_anti")
         return on.withColumnRenamed("m", "src").join(g.edges, [*k, "src"]).select(*k, "n", F.col("dst").alias("m"))
 
-    return least_fixpoint(seed, step).join(stop, [*k, "n", "m"], "left_anti").where("n <> m")
+    return least_fixpoint(seed, step, HOPS).join(stop, [*k, "n", "m"], "left_anti").where("n <> m")

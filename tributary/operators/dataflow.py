@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint
+from ..plans.fixpoint import HOPS, least_fixpoint
 from ..sources.flowgraphs import FlowGraph
 
 
@@ -20,7 +20,7 @@ def reaching_definitions(g: FlowGraph, defines: DataFrame, weak: DataFrame | Non
         on = delta.join(kills, [*k, "node", "name"], "left_anti")
         return on.withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, F.col("dst").alias("node"), "name", "origin")
 
-    return least_fixpoint(seed, step)
+    return least_fixpoint(seed, step, HOPS)
 
 
 def data_dependence(reaching: DataFrame, uses: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -32,7 +32,7 @@ def data_dependence(reaching: DataFrame, uses: DataFrame, keys: tuple[str, ...])
 def information_flow(dependence: DataFrame, high: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, node: nodes that depend on some of high (keys, node) along pairs (n, m), themselves included."""
     k = list(keys)
-    return least_fixpoint(high.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "n").join(dependence, [*k, "n"]).select(*k, F.col("m").alias("node")))
+    return least_fixpoint(high.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "n").join(dependence, [*k, "n"]).select(*k, F.col("m").alias("node")), HOPS)
 
 
 def insecure(dependence: DataFrame, high: DataFrame, low: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint, written
+from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from .structure import components, reach, sinks
 
@@ -26,7 +26,7 @@ def sink_dominance(g: FlowGraph) -> DataFrame:
     x = g.nodes.withColumnRenamed("node", "x").join(sink.select(*k, F.col("node").alias("x"), F.col("sink").alias("own")), [*k, "x"], "left")
     bad = sink.select(*k, F.col("node").alias("y"), "sink").join(x, k).where("own is null or own <> sink").where("x <> y").select(*k, "x", "y")
     edges = g.edges
-    bad = least_fixpoint(bad, lambda delta, _: delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).where("src <> x").select(*k, "x", F.col("src").alias("y")))
+    bad = least_fixpoint(bad, lambda delta, _: delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).where("src <> x").select(*k, "x", F.col("src").alias("y")), HOPS)
     return closure.select(*k, F.col("a").alias("y"), F.col("b").alias("x")).join(bad, [*k, "x", "y"], "left_anti").select(*k, "y", "x")
 
 

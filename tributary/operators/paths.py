@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint, written
+from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 
 
@@ -27,7 +27,7 @@ def within(g: FlowGraph, seeds: DataFrame, most: int) -> DataFrame:
     """keys, origin, node, steps: nodes that walks of up to so many steps from seeds end at, for every number of steps."""
     k = list(g.keys)
     seed = seeds.select(*k, F.col("node").alias("origin"), "node", F.lit(0).alias("steps"))
-    return least_fixpoint(seed, lambda delta, _: delta.where(F.col("steps") < most).withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, "origin", F.col("dst").alias("node"), (F.col("steps") + 1).alias("steps")))
+    return least_fixpoint(seed, lambda delta, _: delta.where(F.col("steps") < most).withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, "origin", F.col("dst").alias("node"), (F.col("steps") + 1).alias("steps")), HOPS)
 
 
 def roots(parents: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint, written
+from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 
 CONTROL, DATA, CALL, SUMMARY, SPAWN, THREADS, IN, OUT = "control", "data", "call", "summary", "spawn", "threads", "in", "out"
@@ -21,7 +21,7 @@ def backward(edges: DataFrame, criterion: DataFrame, kinds: tuple[str, ...], key
     """Nodes that reach the criterion (keys, node) along edges of the kinds."""
     k = list(keys)
     own = written(edges.where(F.col("kind").isin(*kinds)).select(*k, "src", "dst").distinct())
-    return least_fixpoint(criterion.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "dst").join(own, [*k, "dst"]).select(*k, F.col("src").alias("node")))
+    return least_fixpoint(criterion.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "dst").join(own, [*k, "dst"]).select(*k, F.col("src").alias("node")), HOPS)
 
 
 def forward(edges: DataFrame, criterion: DataFrame, kinds: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
@@ -78,7 +78,7 @@ def balanced_chop(g: FlowGraph, parens: DataFrame, balanced: DataFrame, source:
     left = written(plain.where("paren <> ')'").select(*k, "src", "dst").union(over).distinct())
 
     def closure(edges, seeds, a, b):
-        return least_fixpoint(seeds.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", a).join(edges, [*k, a]).select(*k, F.col(b).alias("node")))
+        return least_fixpoint(seeds.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", a).join(edges, [*k, a]).select(*k, F.col(b).alias("node")), HOPS)
 
     ends = [*k, "node"]
     out, into = closure(right, source, "src", "dst"), closure(left, target, "dst", "src")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint, written
+from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from . import control
 from .dominance import immediate_dominance, max_dominance, sink_dominance
@@ -27,7 +28,12 @@ def backward(pairs: DataFrame, criterion: DataFrame, keys: tuple[str, ...], trip
             out = out.union(a.select(*k, F.col("n").alias("node"))).union(b.select(*k, F.col("n").alias("node")))
         return out
 
-    return least_fixpoint(criterion.select(*k, "node"), step)
+    return least_fixpoint(criterion.select(*k, "node"), step, HOPS if triples is None else 1)
+
+
+def settled(g: FlowGraph) -> FlowGraph:
+    """The graph as tables, for what reads it many times."""
+    return replace(g, nodes=written(g.nodes), edges=written(g.edges))
 
 
 def control_slice(g: FlowGraph, criterion: DataFrame, dependence: Callable[[FlowGraph], DataFrame] = control.insensitive) -> DataFrame:
@@ -37,7 +43,7 @@ def control_slice(g: FlowGraph, criterion: DataFrame, dependence: Callable[[Flow
 
 def order_slice(g: FlowGraph, criterion: DataFrame, dependence: Callable[[FlowGraph], DataFrame] = control.insensitive) -> DataFrame:
     """Closed under control and order dependence: control dependence alone suffices once the edges that leave the criterion are cut."""
-    return control_slice(g.cut(criterion), criterion, dependence)
+    return control_slice(settled(g.cut(criterion)), criterion, dependence)
 
 
 def weak_slice(g: FlowGraph, criterion: DataFrame) -> DataFrame:
@@ -48,14 +54,14 @@ def weak_slice(g: FlowGraph, criterion: DataFrame) -> DataFrame:
 
 def weak_closure(g: FlowGraph, criterion: DataFrame) -> DataFrame:
     """Weak control closure: besides, only nodes that the criterion reaches."""
-    h = g.induced(written(reach_from(g.reverse(), criterion)))
+    h = settled(g.induced(written(reach_from(g.reverse(), criterion))))
     return order_slice(h.induced(written(reach_from(h, criterion))), criterion)
 
 
 def by_immediate(g: FlowGraph, criterion: DataFrame, dominance: Callable[[FlowGraph], DataFrame] = sink_dominance) -> DataFrame:
     """The order slice again: of the nodes that reach the criterion in the cut graph, those without an immediate dominator, and the criterion."""
     k = list(g.keys)
-    h = g.cut(criterion)
+    h = settled(g.cut(criterion))
     imm = immediate_dominance(dominance(h), g.keys).select(*k, F.col("y").alias("node")).distinct()
     to = reach_from(h.reverse(), criterion)
     return to.join(imm, [*k, "node"], "left_anti").union(criterion.select(*k, "node")).distinct()
@@ -64,9 +70,9 @@ def by_immediate(g: FlowGraph, criterion: DataFrame, dominance: Callable[[FlowGr
 def next_observable(g: FlowGraph, observed: DataFrame) -> DataFrame:
     """keys, node, first: the observed nodes that node can meet first (an observed node meets itself)."""
     k = list(g.keys)
-    cut = g.cut(observed)
+    cut = settled(g.cut(observed))
     seed = observed.select(*k, "node", F.col("node").alias("first"))
-    return least_fixpoint(seed, lambda delta, _: delta.withColumnRenamed("node", "dst").join(cut.edges, [*k, "dst"]).select(*k, F.col("src").alias("node"), "first"))
+    return least_fixpoint(seed, lambda delta, _: delta.withColumnRenamed("node", "dst").join(cut.edges, [*k, "dst"]).select(*k, F.col("src").alias("node"), "first"), HOPS)
 
 
 def weakly_closed(g: FlowGraph, observed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint, written
+from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 
 
@@ -29,7 +29,7 @@ def reach(g: FlowGraph) -> DataFrame:
 def reach_from(g: FlowGraph, seeds: DataFrame) -> DataFrame:
     """Nodes reachable from seeds (keys and node), without building the closure."""
     k = list(g.keys)
-    return least_fixpoint(seeds.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, F.col("dst").alias("node")))
+    return least_fixpoint(seeds.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, F.col("dst").alias("node")), HOPS)
 
 
 def components(g: FlowGraph, closure: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint, written
+from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from .structure import components, cyclic, reach
 
@@ -23,7 +23,7 @@ def threads_of(g: FlowGraph, spawns: DataFrame, entry: DataFrame) -> DataFrame:
     """keys, node, thread: the threads that may run a node; the main thread starts at entry (keys, node)."""
     k = list(g.keys)
     edges = written(_marked(g, spawns))
-    return least_fixpoint(entry.select(*k, "node", F.col("node").alias("thread")), lambda delta, _: delta.withColumnRenamed("node", "src").join(edges, [*k, "src"]).select(*k, F.col("dst").alias("node"), F.when(F.col("spawn"), F.col("dst")).otherwise(F.col("thread")).alias("thread")))
+    return least_fixpoint(entry.select(*k, "node", F.col("node").alias("thread")), lambda delta, _: delta.withColumnRenamed("node", "src").join(edges, [*k, "src"]).select(*k, F.col("dst").alias("node"), F.when(F.col("spawn"), F.col("dst")).otherwise(F.col("thread")).alias("thread")), HOPS)
 
 
 def many(g: FlowGraph, spawns: DataFrame, entry: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def many(g: FlowGraph, spawns: DataFrame, entry: DataFrame) -> DataFrame:
     entries = g.edges.groupBy(*k, "dst").agg(F.count("*").alias("n")).where("n > 1").select(*k, "dst")
     started = spawns.join(live.withColumnRenamed("node", "src"), [*k, "src"], "left_semi")
     seed = started.join(loops, [*k, "src"], "left_semi").select(*k, F.col("dst").alias("node")).union(started.join(entries, [*k, "dst"], "left_semi").select(*k, F.col("dst").alias("node")))
-    return least_fixpoint(seed, lambda delta, _: delta.withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, F.col("dst").alias("node")))
+    return least_fixpoint(seed, lambda delta, _: delta.withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, F.col("dst").alias("node")), HOPS)
 
 
 def spawned_apart(g: FlowGraph, spawns: DataFrame, closure: DataFrame | None = None) -> DataFrame:
@@ -75,4 +75,4 @@ def classified(g: FlowGraph, dependence: DataFrame, mhp: DataFrame, high: DataFr
     k = list(g.keys)
     timed = g.edges.join(mhp.select(*k, F.col("a").alias("dst")).distinct(), [*k, "dst"], "left_semi").select(*k, F.col("src").alias("n"), F.col("dst").alias("m"))
     pairs = written(dependence.select(*k, "n", "m").union(timed).distinct())
-    return least_fixpoint(high.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "n").join(pairs, [*k, "n"]).select(*k, F.col("m").alias("node")))
+    return least_fixpoint(high.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "n").join(pairs, [*k, "n"]).select(*k, F.col("m").alias("node")), HOPS)

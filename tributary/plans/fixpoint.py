@@ -30,11 +30,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most: int = 100_000) -> DataFrame:
+#: Steps of a round, where a step needs the new rows alone: fewer, larger jobs.
+HOPS = 3
+
+
+def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], hops: int = 1, most: int = 100_000) -> DataFrame:
     """The least set of rows that has the seed and is closed under step.
 
     step(delta, seen) gives rows that follow from at least one row of delta, the last
     round's new rows, and any of seen, all rows so far (delta included); repeats are dropped.
+    A step that doesn't look at seen can be taken several times (hops) before rows are written.
     """
     spark, columns = seed.sparkSession, seed.columns
     base = f"{shared_dir(spark)}/fixpoint-{uuid.uuid4().hex}"
@@ -47,5 +52,9 @@ def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataF
         seen = spark.read.schema(schema).parquet(*paths)
         if delta.isEmpty():
             return seen
-        new = step(delta, seen).select(*columns).distinct().join(seen, columns, "left_anti")
+        out = front = step(delta, seen).select(*columns).distinct()
+        for _ in range(hops - 1):
+            front = step(front, seen).select(*columns).distinct()
+            out = out.union(front)
+        new = (out.distinct() if hops > 1 else out).join(seen, columns, "left_anti")
     raise RuntimeError(f"no fixpoint after {most} rounds")
