@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +46,21 @@ def text_pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_B
         yield batch.slice(begin)
 
 
+def trimmed(run):
+    """run for mapInArrow; when a task ends, its worker gives memory that is free back to the system.
+    Workers serve many tasks, and what one needed would else be held beside the next one's."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
     """f on bounded pieces of df's batches."""
 
@@ -52,7 +69,7 @@ def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
             for piece in text_pieces(batch, column):
                 yield f(piece)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 #: Rows of an Arrow batch; texts may be long, and a batch stands in memory on both sides.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, text_pieces, with_text
+from .common import text_pieces, trimmed, with_text
 from .words import PUNCT, grams, hashes, split
 
 WINDOW = 13
@@ -152,18 +152,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     df = with_text(docs).select("doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.lit("[]").alias("items"))
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, hit binary, items string"
     blocks = blocks_of(benchmark, block_bytes)
-    for k, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
+    for block in blocks[:-1]:
+        df = df.mapInArrow(trimmed(hitting(spark.sparkContext.broadcast(block), window, lambda piece: piece)), shape)
+    counts = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    return df.mapInArrow(trimmed(hitting(spark.sparkContext.broadcast(blocks[-1]), window, summarise)), counts)
 
-        def add(batches, sent=sent):
-            tests = Tests(sent.value, window)
-            for batch in batches:
-                for piece in text_pieces(batch):
-                    yield add_hits(piece, tests)
 
-        df = df.mapInArrow(add, shape)
-    counts = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    return map_text(df, summarise, counts)
+def hitting(sent, window: int, then):
+    """A pass that adds the hits of a block of items, and what follows on each piece."""
+
+    def run(batches):
+        tests = Tests(sent.value, window)
+        for batch in batches:
+            for piece in text_pieces(batch):
+                yield then(add_hits(piece, tests))
+
+    return run
 
 
 def add_hits(piece: pa.RecordBatch, tests: Tests) -> pa.RecordBatch:
@@ -226,7 +230,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_by
                         ["item_id", "item_word", "doc_id", "doc_word", "n_words"],
                     )
 
-        found = with_text(docs).mapInArrow(run, f"item_id string, item_word long, doc_id {kind}, doc_word long, n_words long")
+        found = with_text(docs).mapInArrow(trimmed(run), f"item_id string, item_word long, doc_id {kind}, doc_word long, n_words long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_pieces
+from .common import table, text_pieces, trimmed
 from .words import LOWER, text_bytes
 
 #: The commonest declared languages, so many at most, are told apart.
@@ -95,7 +95,7 @@ def model(rows: DataFrame, languages: list[str]) -> np.ndarray:
         k = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(counts[k])], ["k", "n"])
 
-    got = rows.select("text", "declared").where("declared is not null").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("text", "declared").where("declared is not null").mapInArrow(trimmed(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full(len(languages) * FEATURES, 0.5)
     counts[got.column("k").to_numpy()] += got.column("n").to_numpy()
     counts = counts.reshape(len(languages), FEATURES)
@@ -120,7 +120,7 @@ def likelihoods(rows: DataFrame, logs: np.ndarray) -> DataFrame:
                 yield pa.record_batch([piece.column("doc_id"), pa.array(np.diff(cut), pa.int64()), ll, *(piece.column(c) for c in ("declared", "suffix", "host", "domain"))], ["doc_id", "letters", "ll", "declared", "suffix", "host", "domain"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, letters long, ll array<double>, declared string, suffix string, host string, domain string")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, letters long, ll array<double>, declared string, suffix string, host string, domain string")
 
 
 def identify(rows: DataFrame, languages: list[str] | None = None, accept: float = ACCEPT) -> DataFrame:

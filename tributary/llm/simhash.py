@@ -34,13 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, table, with_text
+from .common import map_text, table, trimmed, with_text
 from .words import SPACE, joined, split
 
 SEED = 42
 RADIUS = 3
 WIDTHS = (22, 21, 21)
 SHIFTS = (42, 21, 0)
+#: Fingerprints of a task that makes keys, some 70 for each.
+TASK = 5000
 
 
 def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
@@ -167,7 +169,7 @@ def buckets(distinct: DataFrame) -> DataFrame:
                 index, key, side = join_keys(fp)
                 yield pa.record_batch([pa.array(key), pa.array(side), pa.array(fp[index])], ["key", "side", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "key long, side byte, fp long")
+    return distinct.select("fp").mapInArrow(trimmed(run), "key long, side byte, fp long")
 
 
 def near(a: Column | str, b: Column | str, radius: int = RADIUS) -> Column:
@@ -202,7 +204,8 @@ def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > RADIUS:
         raise ValueError(f"the pigeonhole covers at most {RADIUS} differing bits")
     distinct = table(fps.select("fp").distinct(), "fingerprints")
-    rows = table(buckets(distinct), "buckets")
+    # Dealt once by key: both the buckets' ends and the join read this shuffle. A task makes the rows of TASK fingerprints.
+    rows = buckets(distinct.repartition(distinct.count() // TASK + 1)).repartition("key")
     # Buckets with both sides and more than one fingerprint.
     ends = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1")).where("lo < hi and s0 < s1").select("key", "lo", "hi")
     star = table(rows.join(ends, "key"), "stars")

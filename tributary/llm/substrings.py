@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, small_batches, table, text_pieces
+from .common import map_text, small_batches, table, text_pieces, trimmed
 from .words import SPACE, Words, grams, hashes, joined, mix, split, starts_of_runs
 
 N = 20
@@ -210,7 +210,7 @@ def passages(docs: DataFrame, n: int, repeated: np.ndarray, hot: np.ndarray) ->
             take = pa.array(doc)
             yield pa.record_batch([pa.nulls(len(edge), pa.int64()), piece.column("id").take(take), piece.column("mark").take(take), pa.array((edge - w.first[doc]).astype(np.int32)), pa.array((stop - edge).astype(np.int32)), pa.nulls(len(edge), pa.binary())], NAMES)
 
-    return docs.mapInArrow(run, PASSAGES)
+    return docs.mapInArrow(trimmed(run), PASSAGES)
 
 
 NAMES = ["shard", "id", "mark", "start", "n", "words"]
@@ -282,7 +282,7 @@ def repeated_windows(found: DataFrame, n: int) -> DataFrame:
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32())], ["id", "mark", "start", "n"])
 
     new = found.where("shard is not null").repartition("shard").sortWithinPartitions("shard", "id", "start", "mark")
-    judged = new.mapInArrow(run, "id long, mark long, start int, n int")
+    judged = new.mapInArrow(trimmed(run), "id long, mark long, start int, n int")
     return judged.union(found.where("shard is null").select("id", "mark", "start", "n"))
 
 

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_text, shared_dir, table, with_text
+from .common import map_text, shared_dir, table, trimmed, with_text
 from .words import SPACE, hashes, split
 
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
@@ -224,7 +224,7 @@ def write(docs: DataFrame, path: str, to: str, end: int = 2, file_bytes: int = F
         if ids:
             yield pa.record_batch([pa.array(trailer(ids, entries), pa.binary())], ["frame"])
 
-    dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(to)
+    dealt.mapInArrow(trimmed(run), "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(to)
 
 
 def seek_table(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,7 +265,7 @@ def read(spark: SparkSession, at: str, wanted: set[int] | None = None) -> DataFr
                     yield pa.record_batch([pa.array([path] * len(part)), pa.array(part), pa.array(ids[part], mask=~has[part]), pa.array(before[part]), pa.array(n[part]), pa.array(out, pa.binary())], ["file", "row", "doc_id", "n_before", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at).select("path", "content")
-    return files.mapInArrow(run, "file string, row long, doc_id long, n_before long, n_tokens long, ids binary")
+    return files.mapInArrow(trimmed(run), "file string, row long, doc_id long, n_before long, n_tokens long, ids binary")
 
 
 def offsets(spark: SparkSession, at: str) -> DataFrame:
@@ -275,7 +275,7 @@ def offsets(spark: SparkSession, at: str) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column("file"), b.column("row"), b.column("doc_id"), b.column("n_before"), b.column("n_tokens"), pa.array([zlib.crc32(x.as_buffer()) for x in b.column("ids")], pa.int64())], ["file", "row", "doc_id", "n_before", "n_tokens", "ids_crc32"])
 
-    docs = table(read(spark, at).mapInArrow(digest, "file string, row long, doc_id long, n_before long, n_tokens long, ids_crc32 long"), "tokens")
+    docs = table(read(spark, at).mapInArrow(trimmed(digest), "file string, row long, doc_id long, n_before long, n_tokens long, ids_crc32 long"), "tokens")
     files = docs.groupBy("file").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"), F.sum("n_tokens").alias("n"))
     base = files.select("file", (F.sum("n").over(Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))  # a row for each file
     return docs.join(base, "file").select("doc_id", (F.col("base") + F.col("n_before")).alias("start"), "n_tokens", "ids_crc32")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, table, trimmed
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
@@ -77,7 +77,7 @@ def write(pages: DataFrame, to: str, least: int = 0, date: str = DATE) -> None:
                 rows = zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")))
                 yield pa.record_batch([pa.array([record(*r, date=date) for r in rows], pa.binary())], ["record"])
 
-    dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(to)
+    dealt.mapInArrow(trimmed(run), "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(to)
 
 
 def number(text: bytes | None) -> int | None:
@@ -153,7 +153,7 @@ def candidates(spark: SparkSession, at: str) -> DataFrame:
                 place += len(piece) + len(MAGIC)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(NAMES), TYPES)], NAMES)
 
-    return pieces.mapInArrow(run, CANDIDATE)
+    return pieces.mapInArrow(trimmed(run), CANDIDATE)
 
 
 TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
@@ -198,7 +198,7 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                 out.append((head["page_id"], size, sha, head["type"], head["refers_to"]))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], columns)
 
-    rest = pieces.select("file", "pieces").mapInArrow(put_together, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rest = pieces.select("file", "pieces").mapInArrow(trimmed(put_together), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     rows = table(records.where("whole").select(*columns).union(rest), "pages")
     # A revisit's payload is that of the response it refers to.
     of = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("original"), F.col("payload_digest").alias("sha")).agg(F.max("payload_bytes").alias("n"))
