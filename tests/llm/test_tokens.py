@@ -34,6 +34,30 @@ def test_byte_bpe(spark, monkeypatch):
     assert len(got) == len(known)
 
 
+def test_cuts_agree_with_the_pattern():
+    """Texts of every kind of white space around words, cut at spaces or not."""
+    import random
+
+    import regex
+
+    r = random.Random(9)
+    find = regex.compile(P.PATTERN).findall
+    texts = ["".join(r.choice(["a", "B1", "'s", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "é", ",", "'", "日"]) for _ in range(r.randint(0, 12))) for _ in range(20000)]
+    import pyarrow as pa
+
+    block = B.Block(find)
+    block.add(pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]))
+    _, counts, parts, numbers, places = block.finish(3)
+    words = sum(parts, [])
+    assert len(set(words)) == len(words)
+    words = [words[i] for i in places.tolist()]
+    at = 0
+    for t, n in zip(texts, counts):
+        assert [words[i] for i in numbers[at : at + n]] == find(t), repr(t)
+        at += n
+    assert B.unpacked(B.packed(numbers)).tolist() == numbers.tolist()
+
+
 def test_byte_bpe_repeats_and_nulls(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
     twice = docs.union(docs)

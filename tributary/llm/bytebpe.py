@@ -1,15 +1,15 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
 Pre-tokens are taken from every text with their positions; a block of documents
-keeps its positions as numbers into the block's own word list, so a word leaves
-its task once a block however often it occurs.  The word lists are shuffled by
-word: each distinct word of the corpus meets in one place and is encoded once.
-Its ids return to the blocks, which are put together again by position.
-Decoding joins ids with the token-byte table.
+keeps its positions as numbers into the block's own list of distinct words, so a
+word leaves its task once a block however often it occurs.  The lists go, in
+parts by the words' hashes, to the part's task, where each distinct word of the
+corpus meets and is encoded once.  Its ids return to the blocks, which are put
+together again by position.  Decoding joins ids with the token-byte table.
 
-A block's name is a digest of its contents, so both shuffles of a block agree
-even if the scan is repeated after an executor is lost; a block that doesn't get
-all its words back is an error, not a short result.
+Blocks are written to the shared folder once, so both shuffles see the same
+blocks whatever happens to executors; a block that doesn't get all its words
+back is an error, not a short result.
 
 Defined results: null text is empty, with no ids and no bytes; repeated rows give
 one row each; columns other than doc_id and text aren't read.
@@ -18,18 +18,26 @@ one row each; columns other than doc_id and text aren't read.
 from __future__ import annotations
 
 import base64
+import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_pieces, with_text
+from .common import table, text_pieces, trimmed, with_text
+from .words import Words, hashes, text_bytes
 
-#: Bytes of text of a block at most, or one text.
-BLOCK_TEXT = 8 << 20
+#: A block has so many bytes of text, or a piece more.
+BLOCK_TEXT = 32 << 20
+#: Pre-tokens put together at a time.
+PART = 1 << 18
+#: Parts of the word lists for each shuffle partition.
+PARTS = 4
 
 
 @lru_cache(4)
@@ -62,86 +70,191 @@ def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[at]
 
 
-def blocks(batches, pattern: str):
-    """(name, piece, words, numbers of the pre-tokens, pre-tokens of each text) of bounded blocks."""
-    find = regex.compile(pattern).findall
-    for batch in batches:
-        for piece in text_pieces(batch, most=BLOCK_TEXT):
-            numbers: dict[str, int] = {}
-            at, counts = [], []
-            for text in piece.column("text").to_pylist():
-                found = find(text) if text else []
-                counts.append(len(found))
-                at.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in found), np.int32, len(found)))
-            words = list(numbers)
-            flat = np.concatenate(at) if at else np.zeros(0, np.int32)
-            ids = "\x00".join(map(str, piece.column("doc_id").to_pylist()))
-            name = xxhash.xxh3_128(flat.tobytes() + np.array(counts, np.int64).tobytes() + ids.encode("utf-8"))
-            name.update("\x00".join(words).encode("utf-8", "surrogatepass"))
-            yield name.digest(), piece, words, flat, counts
-
-
-def encoded_blocks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows of each block together: first its documents and positions, then its words' ids by number.
-    block, kind (0: positions, 1: a word), number, doc_ids, counts, ids."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def cuts(texts: pa.Array) -> Words:
+    """The texts cut before every space, as words of bytes; an empty text has none."""
+    data, at = text_bytes(texts)
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    starts = np.flatnonzero((data == 0x20) | first[:-1])
+    ends = np.append(starts[1:], len(data))
+    return Words(data, starts, ends, np.searchsorted(starts, at), at)
+
+
+class Block:
+    """The pre-tokens of some documents as numbers into a list of distinct words.
+
+    A space after a character that isn't white space begins a pre-token, so texts
+    are cut there first and each distinct cut is matched once.  White space before
+    a space can belong to one match with it: such texts are matched whole.
+    """
+
+    def __init__(self, find):
+        self.find = find
+        self.ids: list[pa.Array] = []
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []  # of each piece: hashes of its cuts, cuts of each text
+        self.strings: dict[int, str] = {}  # of cuts, by hash
+        self.whole: list[dict[int, list[str]]] = []  # texts that are matched whole
+        self.size = 0
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        w = cuts(piece.column("text"))
+        h = hashes(w)
+        distinct, first = np.unique(h, return_index=True)
+        data, odd = memoryview(w.data), []
+        for x, i in zip(distinct.tolist(), first.tolist()):
+            s = self.strings.get(x)
+            if s is None:
+                s = self.strings[x] = str(data[w.starts[i] : w.ends[i]], "utf-8")
+            if s[-1].isspace():
+                odd.append(x)
+        whole = {}
+        if odd:  # a cut that ends in white space, with a cut after it in its text
+            hit = np.isin(h, np.array(odd, np.uint64))
+            hit[w.first[1:][w.counts() > 0] - 1] = False
+            for d in np.unique(w.owners()[hit]).tolist():
+                whole[d] = self.find(piece.column("text")[d].as_py())
+        self.whole.append(whole)
+        self.pieces.append((h, w.counts()))
+        self.ids.append(piece.column("doc_id"))
+        self.size += len(w.data)
+
+    def finish(self, parts: int) -> tuple[pa.Array, np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
+        """Documents, pre-tokens of each, distinct words by part, the words' numbers, and each number's place in the parts.
+        Common words have small numbers, which pack well."""
+        known = np.sort(np.fromiter(self.strings, np.uint64, len(self.strings)))
+        word: dict[str, int] = {}
+        n, flat = np.zeros(len(known), np.int64), []
+        for k, x in enumerate(known.tolist()):
+            found = self.find(self.strings[x])
+            n[k] = len(found)
+            flat += [word.setdefault(f, len(word)) for f in found]
+        flat, begin = np.array(flat, np.int64), np.cumsum(n) - n
+        out, counts = [], []
+        for (h, of), whole in zip(self.pieces, self.whole):
+            at = np.searchsorted(known, h)
+            numbers = gather(flat, begin[at], n[at])
+            ends = np.cumsum(of)
+            total = np.r_[0, np.cumsum(n[at])]
+            size = total[ends] - total[ends - of]
+            if whole:
+                each = np.split(numbers, np.cumsum(size)[:-1])
+                for d, found in whole.items():
+                    each[d] = np.array([word.setdefault(f, len(word)) for f in found], np.int64)
+                    size[d] = len(each[d])
+                numbers = np.concatenate(each)
+            out.append(numbers.astype(np.uint32))
+            counts.append(size)
+        self.pieces.clear()
+        # Words in order of their parts, so that a part is a range of numbers.
+        words = list(word)
+        part = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % parts for x in words), np.int64, len(words))
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        listed = [words[i] for i in order.tolist()]
+        numbers = np.concatenate(out) if out else np.zeros(0, np.uint32)
+        common = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[common] = np.arange(len(words), dtype=np.uint32)
+        return pa.concat_arrays(self.ids), np.concatenate(counts), [listed[a:b] for a, b in zip(cut, cut[1:])], rank[numbers], place[common]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+BLOCKS = "block long, part int, n int, size binary, data binary"
+NAMES = ["block", "part", "n", "size", "data"]
+
+
+def blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
+    """Of each block: a row with its documents and positions (part -1: size has the pre-tokens of each document, data the
+    numbers, places each number's place in the parts), and a row for each part of its words (size has the lengths, data
+    the bytes). doc_ids and places are null in these."""
+    kind = docs.schema["doc_id"].dataType
+
+    def row(block, part, n, size, data, ids=None, places=None):
+        ids_type = pa.list_(to_arrow_type(kind))
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(ids_type) if ids is not None else pa.nulls(1, ids_type)
+        return pa.record_batch([pa.array([block]), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([size], pa.binary()), pa.array([data], pa.binary()), listed, pa.array([places], pa.binary())], [*NAMES, "doc_ids", "places"])
+
+    def rows(block):
+        ids, counts, words, numbers, places = block.finish(parts)
+        name = uuid.uuid4().int >> 65
+        yield row(name, -1, sum(map(len, words)), packed(counts), packed(numbers), ids, packed(places))
+        for k, own in enumerate(words):
+            if own:
+                data = [x.encode("utf-8", "surrogatepass") for x in own]
+                yield row(name, k, len(own), packed(np.array([len(x) for x in data])), zstandard.compress(b"".join(data), 3))
 
-    def words(batches):
-        for name, _, found, _, _ in blocks(batches, pattern):
-            yield pa.record_batch([pa.array([name] * len(found), pa.binary()), pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found, pa.string())], ["block", "number", "word"])
-
-    def positions(batches):
-        for name, piece, found, flat, counts in blocks(batches, pattern):
-            small = flat.astype(np.uint16 if len(found) <= 1 << 16 else np.uint32)
-            row = [pa.array([name], pa.binary()), pa.array([len(found)], pa.int32()), pa.array([piece.column("doc_id").to_pylist()]), pa.array([counts], pa.list_(pa.int32())), pa.array([small.tobytes()], pa.binary())]
-            row[2] = row[2].cast(pa.list_(piece.schema.field("doc_id").type))
-            yield pa.record_batch(row, ["block", "number", "doc_ids", "counts", "ids"])
-
-    def encode(batches):
-        core = encoder(path, pattern)
-        one = core._encode_single_piece
-        last, ids = None, b""
+    def run(batches):
+        find = regex.compile(pattern).findall
+        block = Block(find)
         for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                if w != last:  # a partition has its words in order: each is encoded once
-                    last, ids = w, np.array(one(w), np.uint32).tobytes()
-                out.append(ids)
-            yield pa.record_batch([batch.column("block"), batch.column("number"), pa.array(out, pa.binary())], ["block", "number", "ids"])
+            for piece in text_pieces(batch):
+                block.add(piece)
+                if block.size >= BLOCK_TEXT:
+                    yield from rows(block)
+                    block = Block(find)
+        if block.ids:
+            yield from rows(block)
+
+    return table(with_text(docs).mapInArrow(trimmed(run), f"{BLOCKS}, doc_ids array<{kind.simpleString()}>, places binary"), "blocks")
 
-    source = with_text(docs)
-    distinct = source.mapInArrow(words, "block binary, number int, word string").repartition("word").sortWithinPartitions("word")
-    ids = distinct.mapInArrow(encode, "block binary, number int, ids binary")
-    whole = source.mapInArrow(positions, f"block binary, number int, doc_ids array<{kind}>, counts array<int>, ids binary")
-    rows = whole.selectExpr("block", "0 as kind", "number", "doc_ids", "counts", "ids").unionByName(ids.selectExpr("block", "1 as kind", "number", "ids"), allowMissingColumns=True)
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "number")
+
+def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The parts of word lists with ids: size has each word's number of ids, data the ids."""
+
+    def run(batches):
+        one = encoder(path, pattern)._encode_single_piece
+        last, known = None, {}
+        for batch in batches:
+            for block, part, n, size, data in zip(*(batch.column(c).to_pylist() for c in NAMES)):
+                if part != last:  # all lists of a part follow one another: each word is encoded once
+                    last, known = part, {}
+                raw, at, out = zstandard.decompress(data), 0, []
+                for m in unpacked(size).tolist():
+                    w = raw[at : at + m]
+                    at += m
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = np.array(one(w), np.uint32)
+                    out.append(ids)
+                yield pa.record_batch([pa.array([block]), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([packed(np.array([len(x) for x in out]))], pa.binary()), pa.array([packed(np.concatenate(out))], pa.binary())], NAMES)
+
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), BLOCKS)
 
 
 def assemble(batches, use):
-    """use(doc_ids, counts, word numbers, list of each word's ids) for every block of sorted rows."""
-    name, heads, words = None, [], []
+    """use(doc_ids, counts, numbers, ids of all words, how many each has) for every block of sorted rows."""
+    head, size, ids = None, [], []
 
     def finish():
-        for n, doc_ids, counts, ids in heads:
-            if n != len(words):
-                break
-            numbers = np.frombuffer(ids, np.uint16 if n <= 1 << 16 else np.uint32).astype(np.int64)
-            yield use(doc_ids, np.array(counts.as_py(), np.int64), numbers, words)
-        else:
-            if heads or not words:
-                return
-        raise RuntimeError("a block didn't get all its words: its documents were read in another order; write the input to a table first")
+        if head is None:
+            return
+        name, n, counts, numbers, doc_ids, places = head
+        sizes = np.concatenate(size) if size else np.zeros(0, np.int64)
+        if n != len(sizes):
+            raise RuntimeError(f"block {name} got {len(sizes)} of {n} words")
+        yield from use(doc_ids, unpacked(counts), unpacked(places)[unpacked(numbers)] if n else np.zeros(0, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes)
 
     for batch in batches:
-        block, kind, number, ids = (batch.column(c).to_pylist() for c in ("block", "kind", "number", "ids"))
-        for i in range(batch.num_rows):
-            if block[i] != name:
+        for i, (block, part, n, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in NAMES))):
+            if part < 0:
                 yield from finish()
-                name, heads, words = block[i], [], []
-            if kind[i] == 0:
-                heads.append((number[i], batch.column("doc_ids")[i].values, batch.column("counts")[i], ids[i]))
-            elif number[i] == len(words):  # repeated documents can make the same block twice
-                words.append(ids[i])
+                head, size, ids = (block, n, a, b, batch.column("doc_ids")[i].values, batch.column("places")[i].as_py()), [], []
+            elif head is None or head[0] != block:
+                raise RuntimeError(f"words of block {block} came without it")
+            else:
+                size.append(unpacked(a))
+                ids.append(unpacked(b))
     yield from finish()
 
 
@@ -152,21 +265,32 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         flat, begin, size = token_bytes(path)
 
-        def use(doc_ids, counts, numbers, words):
-            n = np.array([len(x) // 4 for x in words], np.int64)
-            own = np.frombuffer(b"".join(words), np.uint32)
-            each = n[numbers]
-            ids = gather(own, (np.cumsum(n) - n)[numbers], each)
-            first = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(counts)]]
-            data = gather(flat, begin[ids], size[ids])
-            at = np.r_[0, np.cumsum(size[ids])][first]
-            a, b = memoryview(ids.astype("<u4")).cast("B"), memoryview(data)
-            return doc_ids, np.diff(first), [bytes(a[4 * x : 4 * y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())], [bytes(b[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-
-        for doc_ids, n, ids, data in assemble(batches, use):
-            yield pa.record_batch([doc_ids, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    return encoded_blocks(docs, path, pattern).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+        def use(doc_ids, counts, numbers, own, n):
+            start = np.cumsum(n) - n
+            ends = np.cumsum(counts)
+            lo = 0
+            while lo < len(counts):  # documents of some pre-tokens at a time
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + PART, side="right")))
+                part = numbers[before : ends[hi - 1]]
+                each = n[part]
+                ids = gather(own, start[part], each)
+                first = np.r_[0, np.cumsum(each)][np.r_[0, ends[lo:hi] - before]]
+                data = gather(flat, begin[ids], size[ids])
+                at = np.r_[0, np.cumsum(size[ids])][first]
+                a, b = memoryview(ids.astype("<u4")).cast("B"), memoryview(data)
+                ids_of = [bytes(a[4 * x : 4 * y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+                bytes_of = [bytes(b[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.record_batch([doc_ids.slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array(ids_of, pa.binary()), pa.array(bytes_of, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+                lo = hi
+
+        yield from assemble(batches, use)
+
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = blocks(docs, pattern, parts)
+    ids = encoded_words(found.where("part >= 0").select(*NAMES), path, pattern)
+    rows = found.where("part < 0").unionByName(ids, allowMissingColumns=True)
+    return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 
 
 def decode(ids: bytes, path: str) -> bytes:
