@@ -47,10 +47,10 @@ def test_cuts_agree_with_the_pattern():
 
     block = B.Block(find)
     block.add(pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]))
-    _, counts, parts, numbers, places = block.finish(3)
+    _, counts, parts, numbers, part = block.finish(3)
     words = sum(parts, [])
     assert len(set(words)) == len(words)
-    words = [words[i] for i in places.tolist()]
+    words = [words[i] for i in B.places(part).tolist()]
     at = 0
     for t, n in zip(texts, counts):
         assert [words[i] for i in numbers[at : at + n]] == find(t), repr(t)

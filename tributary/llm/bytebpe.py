@@ -119,7 +119,7 @@ class Block:
         self.size += len(w.data)
 
     def finish(self, parts: int) -> tuple[pa.Array, np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
-        """Documents, pre-tokens of each, distinct words by part, the words' numbers, and each number's place in the parts.
+        """Documents, pre-tokens of each, distinct words by part, the words' numbers, and the part of each number.
         Common words have small numbers, which pack well."""
         known = np.sort(np.fromiter(self.strings, np.uint64, len(self.strings)))
         word: dict[str, int] = {}
@@ -145,24 +145,28 @@ class Block:
             out.append(numbers.astype(np.uint32))
             counts.append(size)
         self.pieces.clear()
-        # Words in order of their parts, so that a part is a range of numbers.
+        numbers = np.concatenate(out) if out else np.zeros(0, np.uint32)
+        common = np.argsort(-np.bincount(numbers, minlength=len(word)), kind="stable")
+        rank = np.empty(len(word), np.uint32)
+        rank[common] = np.arange(len(word), dtype=np.uint32)
         words = list(word)
+        words = [words[i] for i in common.tolist()]
         part = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) % parts for x in words), np.int64, len(words))
-        order = np.argsort(part, kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        listed = [words[i] for i in order.tolist()]
-        numbers = np.concatenate(out) if out else np.zeros(0, np.uint32)
-        common = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[common] = np.arange(len(words), dtype=np.uint32)
-        return pa.concat_arrays(self.ids), np.concatenate(counts), [listed[a:b] for a, b in zip(cut, cut[1:])], rank[numbers], place[common]
+        order = np.argsort(part, kind="stable").tolist()
+        cut = np.searchsorted(np.sort(part), np.arange(parts + 1))
+        return pa.concat_arrays(self.ids), np.concatenate(counts), [[words[i] for i in order[a:b]] for a, b in zip(cut, cut[1:])], rank[numbers], part
+
+
+def places(part: np.ndarray) -> np.ndarray:
+    """Where each word stands when the words are put in order of their parts."""
+    out = np.empty(len(part), np.int64)
+    out[np.argsort(part, kind="stable")] = np.arange(len(part))
+    return out
 
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 9)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -176,19 +180,19 @@ NAMES = ["block", "part", "n", "size", "data"]
 
 def blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     """Of each block: a row with its documents and positions (part -1: size has the pre-tokens of each document, data the
-    numbers, places each number's place in the parts), and a row for each part of its words (size has the lengths, data
-    the bytes). doc_ids and places are null in these."""
+    numbers, part_of each number's part), and a row for each part of its words (size has the lengths, data
+    the bytes). doc_ids and part_of are null in these."""
     kind = docs.schema["doc_id"].dataType
 
-    def row(block, part, n, size, data, ids=None, places=None):
+    def row(block, part, n, size, data, ids=None, part_of=None):
         ids_type = pa.list_(to_arrow_type(kind))
         listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(ids_type) if ids is not None else pa.nulls(1, ids_type)
-        return pa.record_batch([pa.array([block]), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([size], pa.binary()), pa.array([data], pa.binary()), listed, pa.array([places], pa.binary())], [*NAMES, "doc_ids", "places"])
+        return pa.record_batch([pa.array([block]), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([size], pa.binary()), pa.array([data], pa.binary()), listed, pa.array([part_of], pa.binary())], [*NAMES, "doc_ids", "part_of"])
 
     def rows(block):
-        ids, counts, words, numbers, places = block.finish(parts)
+        ids, counts, words, numbers, part_of = block.finish(parts)
         name = uuid.uuid4().int >> 65
-        yield row(name, -1, sum(map(len, words)), packed(counts), packed(numbers), ids, packed(places))
+        yield row(name, -1, sum(map(len, words)), packed(counts), packed(numbers), ids, packed(part_of))
         for k, own in enumerate(words):
             if own:
                 data = [x.encode("utf-8", "surrogatepass") for x in own]
@@ -206,7 +210,7 @@ def blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
         if block.ids:
             yield from rows(block)
 
-    return table(with_text(docs).mapInArrow(trimmed(run), f"{BLOCKS}, doc_ids array<{kind.simpleString()}>, places binary"), "blocks")
+    return table(with_text(docs).mapInArrow(trimmed(run), f"{BLOCKS}, doc_ids array<{kind.simpleString()}>, part_of binary"), "blocks")
 
 
 def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -239,17 +243,17 @@ def assemble(batches, use):
     def finish():
         if head is None:
             return
-        name, n, counts, numbers, doc_ids, places = head
+        name, n, counts, numbers, doc_ids, part_of = head
         sizes = np.concatenate(size) if size else np.zeros(0, np.int64)
         if n != len(sizes):
             raise RuntimeError(f"block {name} got {len(sizes)} of {n} words")
-        yield from use(doc_ids, unpacked(counts), unpacked(places)[unpacked(numbers)] if n else np.zeros(0, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes)
+        yield from use(doc_ids, unpacked(counts), places(unpacked(part_of))[unpacked(numbers)] if n else np.zeros(0, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes)
 
     for batch in batches:
         for i, (block, part, n, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in NAMES))):
             if part < 0:
                 yield from finish()
-                head, size, ids = (block, n, a, b, batch.column("doc_ids")[i].values, batch.column("places")[i].as_py()), [], []
+                head, size, ids = (block, n, a, b, batch.column("doc_ids")[i].values, batch.column("part_of")[i].as_py()), [], []
             elif head is None or head[0] != block:
                 raise RuntimeError(f"words of block {block} came without it")
             else:
