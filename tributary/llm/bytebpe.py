@@ -37,7 +37,7 @@ BLOCK_TEXT = 32 << 20
 #: Pre-tokens put together at a time.
 PART = 1 << 18
 #: Parts of the word lists for each shuffle partition.
-PARTS = 4
+PARTS = 1
 
 
 @lru_cache(4)
@@ -196,7 +196,7 @@ def blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
         for k, own in enumerate(words):
             if own:
                 data = [x.encode("utf-8", "surrogatepass") for x in own]
-                yield row(name, k, len(own), packed(np.array([len(x) for x in data])), zstandard.compress(b"".join(data), 3))
+                yield row(name, k, len(own), packed(np.array([len(x) for x in data])), zstandard.compress(b"".join(data), 9))
 
     def run(batches):
         find = regex.compile(pattern).findall
