@@ -57,3 +57,42 @@ def test_awkward_documents(spark):
     text = " ".join(f"w{i}" for i in range(90))
     nulls = spark.createDataFrame([(None, text), (None, None), (3, text), (3, text), (5, text + " z"), (7, None)], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in S.keep_one(nulls).collect()) == ["3", "3", "7", "None", "None"]
+
+
+def links(sets):
+    """The smallest id of each document's component, over all pairs."""
+    parent = {i: i for i in sets}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def exactly(spark, rows):
+    """The kept ids are those of all pairs compared; SimHash may link more, but not of these texts."""
+    sets = {i: shingles(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in S.keep_one(docs).collect()} == links(sets)
+    return sets
+
+
+def test_third_document_quotes_both(spark):
+    """Whatever a pair shares, a smaller id that is unlike both has, too."""
+    r = random.Random(3)
+    rows = []
+    for k in range(30):
+        text = " ".join(f"w{r.randrange(3000)}" for _ in range(120))
+        rows += [(k, text + " " + " ".join(f"v{r.randrange(3000)}" for _ in range(200))), (100 + k, text), (200 + k, edited(r, text, 0.02))]
+    sets = exactly(spark, rows)
+    assert len(links(sets)) < 75
+
+
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)
+    test_third_document_quotes_both(spark)

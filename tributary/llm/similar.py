@@ -2,12 +2,17 @@
 
 The fingerprints of whole documents, joined by Golay keys, find copies that differ
 in three bits of 64.  A document with a few words in a hundred changed differs in
-more; but cut where its words say so, into sections of about SECTION words, it
-shares most sections with its original unchanged.  So the SECTIONS smallest section
-hashes of a document are joined exactly: each document is a candidate with the
-smallest id of each bucket, never with all others, so a group of copies costs its
-size.  Candidates are verified: first by bottom-K sketches of their shingles, then
-by the shingle sets of both whole texts.
+more, so these pairs come from the shingles, by an exact prefix filter: under one
+order of all shingles, two sets that are similar enough share one of the first
+n - ceil(similarity * n) + 1 of each.  The order puts shingles that are common in a
+sample last; any order is right, this one keeps buckets small.
+
+Each document is first compared with the smallest id of each of its buckets, so a
+group of copies costs its size.  Components are made of these links, and in buckets
+that still hold several of them members of different components are compared, in
+blocks.  What is compared passes bounds that can't lose a pair (set sizes, the place
+in the prefix, bits that one set has and the other hasn't), then the shingle sets of
+both whole texts decide.
 
 Defined results: null text is empty and similar to nothing; null ids are left out;
 rows that repeat an id count as one document, the smallest text of it.
@@ -26,26 +31,15 @@ from .words import LOWER, SPACE, grams, hashes, split, starts_of_runs
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SECTION, SECTIONS, LEAST = 12, 8, 6
-SKETCH = 32
-#: Sketches this much below the similarity are still verified.
-SLACK = 0.2
+#: The order of shingles knows at most COMMON of them, from some SAMPLE documents.
+SAMPLE, COMMON = 20_000, 1 << 20
+#: Members of a bucket that are compared in one group.
+BLOCK = 500
+#: Bounds of floating point are loosened by so much.
+EPS = 1e-6
 FILTER_BITS = 24
 
 
-def smallest(values: np.ndarray, owner: np.ndarray, n: int, most: int) -> pa.ListArray:
-    """The smallest distinct values of each of n owners, so many at most."""
-    order = np.lexsort((values, owner))
-    v, o = values[order], owner[order]
-    fresh = np.ones(len(v), bool)
-    fresh[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
-    v, o = v[fresh], o[fresh]
-    first = np.searchsorted(o, np.arange(n + 1))
-    keep = np.arange(len(v)) - first[o] < most
-    counts = np.bincount(o[keep], minlength=n)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(v[keep].view(np.int64)))
-
-
 def lowered(texts: pa.Array):
     w = split(texts, SPACE)
     w.data = LOWER[w.data]
@@ -62,46 +56,97 @@ def shingles(w, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[value, each], np.r_[owner, short]
 
 
-def sections(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of sections of LEAST words or more, and the text of each: a word whose hash says so ends one, and so does the text."""
-    n = len(w)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    end = (h >> np.uint64(20)) % np.uint64(SECTION) == 0
-    end[w.first[1:][w.counts() > 0] - 1] = True
-    stop = np.flatnonzero(end) + 1
-    start = np.r_[0, stop[:-1]]
-    # A sum over the words, each by its place in the section.
-    at = np.arange(n) - np.repeat(start, stop - start)
-    mixed = (h ^ (h >> np.uint64(31))) * (2 * at.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    mixed ^= mixed >> np.uint64(29)
-    value = np.add.reduceat(mixed * np.uint64(0xC2B2AE3D27D4EB4F), start)
-    value ^= value >> np.uint64(32)
-    long = stop - start >= LEAST
-    return value[long], (np.searchsorted(w.first, start, side="right") - 1)[long]
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """id, sections, sketch of every document."""
+def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text in the order of their hashes, and the text of each."""
+    value, owner = shingles(*lowered(texts), SHINGLE)
+    order = np.lexsort((value, owner))
+    v, o = value[order], owner[order]
+    fresh = np.ones(len(v), bool)
+    fresh[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    return v[fresh], o[fresh]
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample have, sorted, and in how many. It only orders shingles."""
+    every = docs.count() // SAMPLE + 1
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        value, n = np.unique(shingle_sets(piece.column("text"))[0], return_counts=True)
+        return pa.record_batch([pa.array(value.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    sample = with_text(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    found = map_text(sample, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    key, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def prefixes(docs: DataFrame, similarity: float) -> DataFrame:
+    """id, n (shingles), keys (the prefix of them, in order), bits (a power of two, twice n or more, those of shingles set) of every document with words."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        w, h = lowered(piece.column("text"))
-        n = piece.num_rows
-        return pa.record_batch([piece.column("doc_id"), smallest(*sections(w, h), n, SECTIONS), smallest(*shingles(w, h, SHINGLE), n, SKETCH)], ["id", "sections", "sketch"])
+        common, times = sent.value
+        value, owner = shingle_sets(piece.column("text"))
+        n = np.bincount(owner, minlength=piece.num_rows).astype(np.int64)
+        first = np.cumsum(n) - n
+        rank = np.zeros(len(value), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, value), len(common) - 1)
+            rank = np.where(common[at] == value, times[at], 0)
+        ordered = value[np.argsort(owner << 32 | rank, kind="stable")]
+        most = n - np.ceil(similarity * n - EPS).astype(np.int64) + 1
+        keep = np.arange(len(value)) - first[owner] < most[owner]
+        size = np.full(len(n), 64, np.int64)
+        while (small := size < 2 * n).any():
+            size[small] *= 2
+        start = np.cumsum(size) - size
+        bits = np.zeros(size.sum(), bool)
+        bits[start[owner] + (value & (size[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+        ends = lambda counts: pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+        keys = pa.ListArray.from_arrays(ends(np.bincount(owner[keep], minlength=len(n))), pa.array(ordered[keep].view(np.int64)))
+        packed = pa.Array.from_buffers(pa.binary(), len(n), [None, ends(size // 8).buffers()[1], pa.py_buffer(np.packbits(bits, bitorder="little").tobytes())])
+        return pa.record_batch([piece.column("doc_id"), pa.array(n), keys, packed], ["id", "n", "keys", "bits"]).filter(pa.array(n > 0))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_text(with_text(docs).where("doc_id is not null"), run, f"id {kind}, sections array<long>, sketch array<long>")
+    return map_text(with_text(docs).where("doc_id is not null"), run, f"id {kind}, n long, keys array<long>, bits binary")
 
 
-def candidates(known: DataFrame, least: float) -> DataFrame:
-    """a, b: documents that share a section with a bucket's smallest id, whose sketches are similar enough."""
-    each = known.select("id", F.explode("sections").alias("section"))
-    first = each.groupBy("section").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a <> top").select("section", "a")
-    pairs = each.join(first, "section").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    both = pairs.join(known.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
-    shared = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
-    return both.where(shared >= least * F.size(union)).select("a", "b")
+def within_bits(x: bytes, y: bytes, nx: int, ny: int, similarity: float) -> bool:
+    """Whether sets with these bits can be similar enough: a bit that the other hasn't is a shingle that it hasn't."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) != len(b):
+        a, b = (np.bitwise_or.reduce(c.reshape(-1, min(len(a), len(b))), axis=0) for c in (a, b))
+    shared = min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+    return shared * (1 + similarity) + EPS >= similarity * (nx + ny)
+
+
+def bounded(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b that set sizes and bits don't rule out."""
+    side = lambda id_, n, bits: known.select(F.col("id").alias(id_), F.col("n").alias(n), F.col("bits").alias(bits))
+    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").where(F.least("na", "nb") + EPS >= similarity * F.greatest("na", "nb"))
+
+    def run(batches):
+        for batch in batches:
+            keep = [within_bits(*row, similarity) for row in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "na", "nb")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = known.schema["id"].dataType.simpleString()
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(trimmed(run), f"a {kind}, b {kind}").distinct()
+
+
+def across(held: DataFrame, similarity: float) -> DataFrame:
+    """a, b: members of a bucket (key, id, n, at, comp) in different components, as far as sizes and places allow.
+    A bucket of many members is cut into blocks, and each two blocks meet."""
+    mixed = held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).where("c0 < c1").select("key", F.floor(F.col("members") / BLOCK + 1).alias("blocks"))
+    rows = table(held.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")), "held")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca"), F.col("own").alias("i"), every.alias("j"))
+    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"), every.alias("i"), F.col("own").alias("j"))
+    fits = F.least("na", "nb") + EPS >= similarity * F.greatest("na", "nb")
+    # Of the first shingle that both have, so many can still follow.
+    fits &= F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (1 + similarity) + EPS >= similarity * (F.col("na") + F.col("nb"))
+    return x.join(y, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,9 +170,8 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return table(likely.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
 
-def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity: candidates whose sets of five-word shingles (A-Z in lower case) are similar enough."""
-    pairs = table(candidates(table(sketches(docs), "sketches"), similarity - SLACK), "pairs")
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b, similarity: the pairs whose sets of five-word shingles (A-Z in lower case) are similar enough."""
     texts = texts_of(docs, pairs)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
@@ -151,6 +195,21 @@ def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(trimmed(verify), f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similarity)
 
 
+def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b, similarity: similar documents, enough of them to connect all that are similar."""
+    known = table(prefixes(docs, similarity), "prefixes")
+    each = known.select("id", "n", F.posexplode("keys").alias("at", "key")).repartition("key")
+    ends = each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo")
+    star = table(each.join(ends, "key"), "stars")
+    tried = table(star.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    first = table(verified(docs, table(bounded(tried, known, similarity), "pairs"), similarity), "first")
+    nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    comps = table(connected(nodes, first).select(F.col("node").alias("id"), "comp"), "comps")
+    held = star.join(comps, "id", "left").select("key", "id", "n", "at", F.coalesce("comp", "id").alias("comp"))
+    rest = across(held, similarity).join(tried, ["a", "b"], "left_anti")
+    return first.union(verified(docs, table(bounded(rest, known, similarity), "pairs"), similarity))
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without the near-duplicates of one with a smaller id, by fingerprints and by shingles. Rows with a null id stay."""
     close = table(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id").distinct(), "close")
