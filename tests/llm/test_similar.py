@@ -96,3 +96,21 @@ def test_third_document_quotes_both(spark):
 def test_blocks_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 3)
     test_third_document_quotes_both(spark)
+
+
+def test_short_and_few_words(spark):
+    """One word added to texts of 10 or 20 words, and edits of texts over few words."""
+    r = random.Random(5)
+    rows = []
+    for k in range(40):
+        text = " ".join(f"w{r.randrange(3000)}" for _ in range(10 if k % 2 else 20))
+        rows += [(k, text), (100 + k, text + " more")]
+    for k in range(20):
+        text = [f"x{r.randrange(3 + k % 4)}" for _ in range(300)]
+        rows += [(200 + k, " ".join(text)), (300 + k, " ".join([*text[:150], "new", *text[151:]]))]
+    sets = {i: shingles(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in S.keep_one(docs).collect()}
+    assert kept <= links(sets) and not {100 + k for k in range(40)} & kept
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in S.similar_pairs(docs).collect()}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found)
