@@ -114,3 +114,23 @@ def test_short_and_few_words(spark):
     assert kept <= links(sets) and not {100 + k for k in range(40)} & kept
     found = {(min(r.a, r.b), max(r.a, r.b)) for r in S.similar_pairs(docs).collect()}
     assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found)
+
+
+def test_bits_lose_no_pair():
+    r = random.Random(7)
+    for _ in range(300):
+        n = r.randint(1, 300)
+        shared = [r.getrandbits(64) for _ in range(n)]
+        x, y = (shared + [r.getrandbits(64) for _ in range(r.randint(0, n // 4))] for _ in range(2))
+
+        def bits(v):
+            m = 64
+            while m < 2 * len(v):
+                m *= 2
+            out = [0] * (m // 64)
+            for h in v:
+                out[(h & (m - 1)) // 64] |= 1 << (h & 63)
+            return b"".join(w.to_bytes(8, "little") for w in out)
+
+        if n >= 0.8 * (len(x) + len(y) - n):
+            assert S.within_bits(bits(x), bits(y), len(x), len(y), 0.8)
