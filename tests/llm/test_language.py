@@ -36,3 +36,22 @@ def test_nulls_and_empty(spark):
     assert L.identify(L.from_documents(empty(spark))).count() == 0
     repeated = spark.createDataFrame([(1, "abc def", "en", None)] * 3, "doc_id long, text string, lang string, source string")
     assert [r.lang for r in L.identify(L.from_documents(repeated)).collect()] == ["en"] * 3
+
+
+def test_languages_in_blocks(spark, monkeypatch):
+    """More languages than a block of the model has: each is still told, as with one block."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(300)
+    rows = L.from_documents(docs)
+    want = sorted(map(tuple, L.identify(rows).collect()))
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    got = sorted(map(tuple, L.identify(rows).collect()))
+    assert len({x[1] for x in want} - {"und"}) == 4
+    assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want))
+
+
+def test_many_languages(spark):
+    """Seventy languages, each with words of its own."""
+    rows = [(i * 10 + k, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (i * 7 + j) % 26)}{chr(97 + k % 26)}" for j in range(60)), f"{chr(97 + i % 26)}{chr(97 + i // 26)}", None) for i in range(70) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.lang for r in L.identify(L.from_documents(docs)).collect()}
+    assert all(got[x[0]] == x[2] for x in rows)

@@ -9,8 +9,9 @@ prior is smoothed towards its domain's, and that towards the global one; a row's
 own vote is taken out of its host's and domain's counts.  Logarithms are added
 and normalised over the languages.
 
-Only the model (LANGUAGES x FEATURES counts) is collected and broadcast; the
-evidence is joined.
+Every declared language is told apart.  The model is collected and broadcast in blocks
+of LANGUAGES x FEATURES counts, one after another; the scores are carried over the
+blocks with the texts, and the evidence is joined.
 
 Defined results: a text without letters, or with none of the languages likely
 enough, is rejected (lang 'und' if nothing is known).  Null declared languages,
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, text_pieces, trimmed
 from .words import LOWER, text_bytes
 
-#: The commonest declared languages, so many at most, are told apart.
+#: Languages of a block of the model.
 LANGUAGES = 64
 FEATURES = 1 << 14
 #: Trigrams overlap, so their log-likelihoods count in part only.
@@ -102,9 +103,11 @@ def model(rows: DataFrame, languages: list[str]) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def likelihoods(rows: DataFrame, logs: np.ndarray) -> DataFrame:
-    """doc_id, letters (trigrams with one), ll (an array for the languages), and the other evidence."""
+def likelihoods(rows: DataFrame, logs: np.ndarray, last: bool = True):
+    """The rows with letters (trigrams with one) and the scores of these languages after those in ll."""
     sent = rows.sparkSession.sparkContext.broadcast(logs)
+    before = rows.columns
+    kept = ["doc_id", *([] if last else ["text"]), "declared", "suffix", "host", "domain"]
 
     def run(batches):
         logs = sent.value
@@ -116,29 +119,48 @@ def likelihoods(rows: DataFrame, logs: np.ndarray) -> DataFrame:
                 for i, table_ in enumerate(logs):
                     total = np.r_[0.0, np.cumsum(table_[f])]
                     out[:, i] = TEMPER * (total[cut[1:]] - total[cut[:-1]])
-                ll = pa.ListArray.from_arrays(pa.array(np.arange(piece.num_rows + 1, dtype=np.int32) * len(logs)), pa.array(out.ravel()))
-                yield pa.record_batch([piece.column("doc_id"), pa.array(np.diff(cut), pa.int64()), ll, *(piece.column(c) for c in ("declared", "suffix", "host", "domain"))], ["doc_id", "letters", "ll", "declared", "suffix", "host", "domain"])
+                if "ll" in before:
+                    out = np.concatenate([piece.column("ll").flatten().to_numpy().reshape(piece.num_rows, -1), out], axis=1)
+                ll = pa.ListArray.from_arrays(pa.array(np.arange(piece.num_rows + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+                yield pa.record_batch([*(piece.column(c) for c in kept), pa.array(np.diff(cut), pa.int64()), ll], [*kept, "letters", "ll"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, letters long, ll array<double>, declared string, suffix string, host string, domain string")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return rows.mapInArrow(trimmed(run), f"{shape}, letters long, ll array<double>"), sent
+
+
+def scores(rows: DataFrame, languages: list[str]) -> DataFrame:
+    """doc_id, letters, ll (an array for the languages), and the other evidence. Texts are written with
+    the scores as long as blocks follow."""
+    scored = rows
+    for lo in range(0, len(languages), LANGUAGES):
+        last = lo + LANGUAGES >= len(languages)
+        scored, sent = likelihoods(scored, model(rows, languages[lo : lo + LANGUAGES]), last)
+        if not last:
+            scored = table(scored, "scores")
+            sent.unpersist()
+    return scored
 
 
 def identify(rows: DataFrame, languages: list[str] | None = None, accept: float = ACCEPT) -> DataFrame:
     """doc_id, lang, confidence, text_lang (what the text alone suggests), accepted of every row of evidence."""
     if languages is None:
-        languages = sorted(r.declared for r in rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect())
+        languages = sorted(r.declared for r in rows.where("declared is not null").select("declared").distinct().collect())
     n = len(languages)
     if not n:
         return rows.select("doc_id", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), F.lit(False).alias("accepted"))
     names = F.array(*(F.lit(x) for x in languages))
-    scored = likelihoods(rows, model(rows, languages)).withColumn("vote", F.when(F.col("letters") > 0, F.array_position("ll", F.array_max("ll")).cast("int")))
+    scored = scores(rows, languages).withColumn("vote", F.when(F.col("letters") > 0, F.array_position("ll", F.array_max("ll")).cast("int")))
     scored = table(scored, "language")
 
     def counts(key: str) -> DataFrame:
-        """Votes for each language, in an array, of each value of key."""
-        return scored.where(F.col("vote").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_key")).agg(F.array(*(F.count_if(F.col("vote") == i + 1).cast("double") for i in range(n))).alias(f"{key}_n"))
-
-    overall = scored.agg(F.array(*(F.count_if(F.col("vote") == i + 1).cast("double") for i in range(n)))).first()[0]
+        """Votes for each language, in an array, and for all, of each value of key."""
+        each = scored.where(F.col("vote").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_key"), "vote").agg(F.count("*").cast("double").alias("n"))
+        votes = each.groupBy(f"{key}_key").agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("votes"), F.sum("n").alias(f"{key}_all"))
+        return votes.select(f"{key}_key", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("votes", i), F.lit(0.0))).alias(f"{key}_n"), f"{key}_all")
+
+    overall = [0.0] * n
+    for r in scored.where("vote is not null").groupBy("vote").count().collect():
+        overall[r.vote - 1] = float(r["count"])
     total = sum(overall)
     prior = F.array(*(F.lit((x + 1) / (total + n)) for x in overall))
     df = scored
@@ -146,10 +168,10 @@ def identify(rows: DataFrame, languages: list[str] | None = None, accept: float
         df = df.join(counts(key), F.col(key) == F.col(f"{key}_key"), "left")
     own = lambda x, i: x - F.when(F.col("vote") == i + 1, 1.0).otherwise(0.0)  # noqa: E731  without the row's own vote
 
-    def smoothed(votes: str, towards: Column) -> Column:
-        left = F.transform(F.col(votes), own)
-        size = F.aggregate(left, F.lit(0.0), lambda a, x: a + x)
-        return F.when(F.col(votes).isNull(), towards).otherwise(F.transform(left, lambda x, i: (x + SMOOTH * F.element_at(towards, i + 1)) / (size + SMOOTH)))
+    def smoothed(key: str, towards: Column) -> Column:
+        votes = F.col(f"{key}_n")
+        size = F.col(f"{key}_all") - F.when(F.col("vote").isNull(), 0.0).otherwise(1.0)
+        return F.when(votes.isNull(), towards).otherwise(F.zip_with(F.transform(votes, own), towards, lambda x, t: (x + SMOOTH * t) / (size + SMOOTH)))
 
     def evidence(votes: str) -> Column:
         """log P(value | language), with the row's own vote taken out."""
@@ -157,7 +179,7 @@ def identify(rows: DataFrame, languages: list[str] | None = None, accept: float
         none = F.array_repeat(F.lit(0.0), n)
         return F.when(F.col(votes).isNull(), none).otherwise(F.transform(F.col(votes), lambda x, i: F.log((own(x, i) + 0.5) / (own(F.element_at(sizes, i + 1), i) + 0.5 * (n + 1)))))
 
-    df = df.withColumn("by_domain", smoothed("domain_n", prior)).withColumn("by_host", smoothed("host_n", F.col("by_domain")))
+    df = df.withColumn("by_domain", smoothed("domain", prior)).withColumn("by_host", smoothed("host", F.col("by_domain")))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     score = add(add(add(F.col("ll"), F.transform("by_host", lambda p: F.log(p))), evidence("declared_n")), evidence("suffix_n"))
     df = df.withColumn("score", score).withColumn("best", F.array_max("score"))
