@@ -5,7 +5,8 @@ keeps its positions as numbers into the block's own list of distinct words, so a
 word leaves its task once a block however often it occurs.  The lists go, in
 parts by the words' hashes, to the part's task, where each distinct word of the
 corpus meets and is encoded once.  Its ids return to the blocks, which are put
-together again by position.  Decoding joins ids with the token-byte table.
+together again by position.  Decoding is an operator of its own on the ids, which
+joins them with the token-byte table.
 
 Blocks are written to the shared folder once, so both shuffles see the same
 blocks whatever happens to executors; a block that doesn't get all its words
@@ -19,10 +20,13 @@ from __future__ import annotations
 
 import base64
 import uuid
+from array import array
+from collections import deque
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -36,8 +40,8 @@ from .words import Words, hashes, text_bytes
 BLOCK_TEXT = 32 << 20
 #: Pre-tokens put together at a time.
 PART = 1 << 18
-#: Parts of the word lists for each shuffle partition.
-PARTS = 1
+#: Words of a part whose ids a task remembers; beyond that it forgets them and encodes a word again.
+KNOWN = 1 << 21
 
 
 @lru_cache(4)
@@ -53,6 +57,10 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
+#: A word is one match already: the encoder takes it whole.
+WHOLE = r"(?s).+"
+
+
 @lru_cache(4)
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token-byte table: all tokens' bytes, and where each id's begin and how many they are."""
@@ -91,8 +99,10 @@ class Block:
     def __init__(self, find):
         self.find = find
         self.ids: list[pa.Array] = []
-        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []  # of each piece: hashes of its cuts, cuts of each text
-        self.strings: dict[int, str] = {}  # of cuts, by hash
+        self.pieces: deque[tuple[np.ndarray, np.ndarray]] = deque()  # of each piece: hashes of its cuts, cuts of each text
+        self.known = np.zeros(0, np.uint64)  # hashes of the distinct cuts, sorted
+        self.fresh: list[tuple[np.ndarray, bytes, np.ndarray]] = []  # as they are met: hashes, bytes, sizes
+        self.odd: set[int] = set()  # hashes of cuts that end in white space
         self.whole: list[dict[int, list[str]]] = []  # texts that are matched whole
         self.size = 0
 
@@ -100,13 +110,14 @@ class Block:
         w = cuts(piece.column("text"))
         h = hashes(w)
         distinct, first = np.unique(h, return_index=True)
-        data, odd = memoryview(w.data), []
-        for x, i in zip(distinct.tolist(), first.tolist()):
-            s = self.strings.get(x)
-            if s is None:
-                s = self.strings[x] = str(data[w.starts[i] : w.ends[i]], "utf-8")
-            if s[-1].isspace():
-                odd.append(x)
+        at = np.searchsorted(self.known, distinct)
+        new = self.known[np.minimum(at, len(self.known) - 1)] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        data = memoryview(w.data)
+        raw = [bytes(data[w.starts[i] : w.ends[i]]) for i in first[new].tolist()]
+        self.odd.update(x for x, r in zip(distinct[new].tolist(), raw) if str(r, "utf-8")[-1].isspace())
+        self.fresh.append((distinct[new], b"".join(raw), np.array([len(r) for r in raw], np.int64)))
+        self.known = np.insert(self.known, at[new], distinct[new])
+        odd = [x for x in distinct.tolist() if x in self.odd] if self.odd else []
         whole = {}
         if odd:  # a cut that ends in white space, with a cut after it in its text
             hit = np.isin(h, np.array(odd, np.uint64))
@@ -121,16 +132,20 @@ class Block:
     def finish(self, parts: int) -> tuple[pa.Array, np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
         """Documents, pre-tokens of each, distinct words by part, the words' numbers, and the part of each number.
         Common words have small numbers, which pack well."""
-        known = np.sort(np.fromiter(self.strings, np.uint64, len(self.strings)))
+        known = self.known
         word: dict[str, int] = {}
-        n, flat = np.zeros(len(known), np.int64), []
-        for k, x in enumerate(known.tolist()):
-            found = self.find(self.strings[x])
-            n[k] = len(found)
-            flat += [word.setdefault(f, len(word)) for f in found]
-        flat, begin = np.array(flat, np.int64), np.cumsum(n) - n
+        n, begin, flat = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), array("q")
+        for met, raw, size in self.fresh:
+            ends = np.cumsum(size)
+            for k, a, b in zip(np.searchsorted(known, met).tolist(), (ends - size).tolist(), ends.tolist()):
+                found = self.find(str(raw[a:b], "utf-8"))
+                n[k], begin[k] = len(found), len(flat)
+                flat.extend([word.setdefault(f, len(word)) for f in found])
+        self.fresh.clear()
+        flat = np.array(flat, np.int64)
         out, counts = [], []
-        for (h, of), whole in zip(self.pieces, self.whole):
+        for whole in self.whole:
+            h, of = self.pieces.popleft()
             at = np.searchsorted(known, h)
             numbers = gather(flat, begin[at], n[at])
             ends = np.cumsum(of)
@@ -144,7 +159,6 @@ class Block:
                 numbers = np.concatenate(each)
             out.append(numbers.astype(np.uint32))
             counts.append(size)
-        self.pieces.clear()
         numbers = np.concatenate(out) if out else np.zeros(0, np.uint32)
         common = np.argsort(-np.bincount(numbers, minlength=len(word)), kind="stable")
         rank = np.empty(len(word), np.uint32)
@@ -213,15 +227,16 @@ def blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     return table(with_text(docs).mapInArrow(trimmed(run), f"{BLOCKS}, doc_ids array<{kind.simpleString()}>, part_of binary"), "blocks")
 
 
-def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
     """The parts of word lists with ids: size has each word's number of ids, data the ids."""
 
     def run(batches):
-        one = encoder(path, pattern)._encode_single_piece
+        one = encoder(path, WHOLE).encode_ordinary
         last, known = None, {}
         for batch in batches:
-            for block, part, n, size, data in zip(*(batch.column(c).to_pylist() for c in NAMES)):
-                if part != last:  # all lists of a part follow one another: each word is encoded once
+            for i in range(batch.num_rows):
+                block, part, n, size, data = (batch.column(c)[i].as_py() for c in NAMES)
+                if part != last or len(known) > KNOWN:  # all lists of a part follow one another: each word is encoded once
                     last, known = part, {}
                 raw, at, out = zstandard.decompress(data), 0, []
                 for m in unpacked(size).tolist():
@@ -229,7 +244,7 @@ def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
                     at += m
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = np.array(one(w), np.uint32)
+                        ids = known[w] = np.array(one(w.decode("utf-8", "surrogatepass")), np.uint32)
                     out.append(ids)
                 yield pa.record_batch([pa.array([block]), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([packed(np.array([len(x) for x in out]))], pa.binary()), pa.array([packed(np.concatenate(out))], pa.binary())], NAMES)
 
@@ -250,7 +265,8 @@ def assemble(batches, use):
         yield from use(doc_ids, unpacked(counts), places(unpacked(part_of))[unpacked(numbers)] if n else np.zeros(0, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes)
 
     for batch in batches:
-        for i, (block, part, n, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in NAMES))):
+        for i in range(batch.num_rows):
+            block, part, n, a, b = (batch.column(c)[i].as_py() for c in NAMES)
             if part < 0:
                 yield from finish()
                 head, size, ids = (block, n, a, b, batch.column("doc_ids")[i].values, batch.column("part_of")[i].as_py()), [], []
@@ -262,13 +278,11 @@ def assemble(batches, use):
     yield from finish()
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (unsigned 32-bit, little-endian), n_tokens, decoded (the bytes that the ids stand for)."""
+def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (unsigned 32-bit, little-endian)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        flat, begin, size = token_bytes(path)
-
         def use(doc_ids, counts, numbers, own, n):
             start = np.cumsum(n) - n
             ends = np.cumsum(counts)
@@ -280,21 +294,43 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 each = n[part]
                 ids = gather(own, start[part], each)
                 first = np.r_[0, np.cumsum(each)][np.r_[0, ends[lo:hi] - before]]
-                data = gather(flat, begin[ids], size[ids])
-                at = np.r_[0, np.cumsum(size[ids])][first]
-                a, b = memoryview(ids.astype("<u4")).cast("B"), memoryview(data)
+                a = memoryview(ids.astype("<u4")).cast("B")
                 ids_of = [bytes(a[4 * x : 4 * y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-                bytes_of = [bytes(b[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.record_batch([doc_ids.slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array(ids_of, pa.binary()), pa.array(bytes_of, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.record_batch([doc_ids.slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array(ids_of, pa.binary())], ["doc_id", "n_tokens", "ids"])
                 lo = hi
 
         yield from assemble(batches, use)
 
-    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many parts of the words as the input has partitions, so a part doesn't grow with the corpus.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.select("text").rdd.getNumPartitions())
     found = blocks(docs, pattern, parts)
-    ids = encoded_words(found.where("part >= 0").select(*NAMES), path, pattern)
+    ids = encoded_words(found.where("part >= 0").select(*NAMES), path)
     rows = found.where("part < 0").unionByName(ids, allowMissingColumns=True)
-    return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids binary")
+
+
+def decoded(ids: DataFrame, path: str) -> DataFrame:
+    """The rows with decoded, the bytes of their column ids, which is all that is read: each id is joined with
+    the token-byte table, an array by id."""
+
+    def run(batches):
+        flat, begin, size = token_bytes(path)
+        for batch in batches:
+            for piece in text_pieces(batch, "ids"):
+                own = piece.column("ids")
+                i = np.frombuffer(b"".join(own.to_pylist()), "<u4")
+                data = memoryview(gather(flat, begin[i], size[i]))
+                first = np.r_[0, np.cumsum(pc.binary_length(own).to_numpy(zero_copy_only=False) // 4)]
+                at = np.r_[0, np.cumsum(size[i])][first].tolist()
+                yield pa.record_batch([*piece.columns, pa.array([bytes(data[x:y]) for x, y in zip(at, at[1:])], pa.binary())], [*piece.schema.names, "decoded"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema)
+    return ids.mapInArrow(trimmed(run), f"{shape}, decoded binary")
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (unsigned 32-bit, little-endian), decoded (the bytes that the ids stand for)."""
+    return decoded(token_ids(docs, path, pattern), path)
 
 
 def decode(ids: bytes, path: str) -> bytes:
@@ -302,4 +338,3 @@ def decode(ids: bytes, path: str) -> bytes:
     flat, begin, size = token_bytes(path)
     i = np.frombuffer(ids, "<u4")
     return gather(flat, begin[i], size[i]).tobytes()
-

@@ -21,13 +21,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_pieces, trimmed, with_text
+from .common import small_batches, table, text_pieces, trimmed, with_text
 from .words import PUNCT, grams, hashes, split
 
 WINDOW = 13
@@ -135,43 +137,58 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which], which
 
 
-def blocks_of(benchmark: DataFrame, most: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded text, each collected for one broadcast."""
+def blocks_of(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of bounded text, each collected for one broadcast when it is asked for."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // most + 1
-    if n == 1:
-        return [[(r.item_id, r.text) for r in items.collect()]]
     of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text) for r in items.where(of == i).toLocalIterator()] for i in range(n)]
+    for i in range(n):
+        yield [(r.item_id, r.text) for r in (items.where(of == i) if n > 1 else items).toLocalIterator()]
+
+
+def passes(df: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, then, shape) -> DataFrame:
+    """then on every piece of df once it has the hits (columns hit, items, item, item_word, doc_word, n_match) of all
+    blocks. Only one block is on the driver and in a broadcast at a time: a pass that isn't the last is written."""
+    sent = None
+    rows = df.select("*", F.lit(None).cast("binary").alias("hit"), F.lit("[]").alias("items"), F.lit(None).cast("string").alias("item"), *(F.lit(None).cast("long").alias(c) for c in MATCH[1:]))
+    for block in blocks_of(benchmark, block_bytes):
+        if sent is not None:
+            names = rows.columns
+            rows = table(rows.mapInArrow(trimmed(hitting(sent, window, lambda piece, names=names: piece.select(names))), rows.schema), "hits")
+            sent.unpersist()
+        sent = df.sparkSession.sparkContext.broadcast(block)
+    return rows.mapInArrow(trimmed(hitting(sent, window, then)), shape)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array of ids) of every document."""
-    spark = docs.sparkSession
-    df = with_text(docs).select("doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.lit("[]").alias("items"))
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, hit binary, items string"
-    blocks = blocks_of(benchmark, block_bytes)
-    for block in blocks[:-1]:
-        df = df.mapInArrow(trimmed(hitting(spark.sparkContext.broadcast(block), window, lambda piece: piece)), shape)
-    counts = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    return df.mapInArrow(trimmed(hitting(spark.sparkContext.broadcast(blocks[-1]), window, summarise)), counts)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array of ids) of every document, and its longest
+    verbatim match with an item that is a window or more: item, item_word, doc_word (places of its first word), n_match
+    (words); of equals the smallest item, then the first places. Null without a window."""
+    counts = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, item string, item_word long, doc_word long, n_match long"
+    return passes(with_text(docs).select("doc_id", "text"), benchmark, window, block_bytes, summarise, counts)
 
 
 def hitting(sent, window: int, then):
-    """A pass that adds the hits of a block of items, and what follows on each piece."""
+    """A pass that adds the hits of a block of items, and what follows on each piece. Whole rows carry their text in row."""
 
     def run(batches):
         tests = Tests(sent.value, window)
         for batch in batches:
+            if "text" not in batch.schema.names:
+                batch = batch.append_column("text", pc.struct_field(batch.column("row"), "text"))
             for piece in text_pieces(batch):
                 yield then(add_hits(piece, tests))
 
     return run
 
 
+#: The columns of a document's longest match.
+MATCH = ["item", "item_word", "doc_word", "n_match"]
+
+
 def add_hits(piece: pa.RecordBatch, tests: Tests) -> pa.RecordBatch:
-    w, _, _, order, (_, _, lo, hi) = shard_hits(piece.column("text"), tests)
+    w, symbols, ends, order, (_, _, lo, hi) = shard_hits(piece.column("text"), tests)
     live = np.flatnonzero(hi > lo)
     places, which = ranges(lo[live], hi[live])
     at, test = order[places], live[which]
@@ -192,22 +209,52 @@ def add_hits(piece: pa.RecordBatch, tests: Tests) -> pa.RecordBatch:
             old, names = np.packbits(own).tobytes(), json.dumps(sorted({*json.loads(names), *found[d]}))
         bits.append(old)
         items.append(names)
-    return pa.record_batch([piece.column("doc_id"), piece.column("text"), pa.array(bits, pa.binary()), pa.array(items, pa.string())], ["doc_id", "text", "hit", "items"])
+    best = longest_of(w, symbols, ends, tests, at, test, owner)
+    match = [best.get(d, old) if old[3] is None else min(best.get(d, old), old, key=lambda m: (-m[3], *m[:3])) for d, old in enumerate(zip(*(piece.column(c).to_pylist() for c in MATCH)))]
+    own = {"hit": pa.array(bits, pa.binary()), "items": pa.array(items, pa.string())} | {c: pa.array([m[i] for m in match], pa.int64() if i else pa.string()) for i, c in enumerate(MATCH)}
+    return pa.record_batch([own.get(c, piece.column(i)) for i, c in enumerate(piece.schema.names)], piece.schema.names)
+
+
+def longest_of(w, symbols: np.ndarray, ends: np.ndarray, tests: Tests, at: np.ndarray, test: np.ndarray, owner: np.ndarray) -> dict[int, tuple[str, int, int, int]]:
+    """The longest match of each document of those that begin at these places with these test suffixes."""
+    begin = np.searchsorted(tests.item, tests.item)
+    inner = (at > w.first[owner]) & (test > begin[test])
+    inner[inner] = symbols[at[inner] - 1] == tests.symbols[test[inner] - 1]
+    at, test, owner = at[~inner], test[~inner], owner[~inner]  # others go on from a longer one
+    size = tests.need[test]
+    live = np.arange(len(at))
+    while len(live):
+        live = live[(size[live] < tests.left[test[live]]) & (at[live] + size[live] < ends[at[live]])]
+        live = live[symbols[at[live] + size[live]] == tests.symbols[test[live] + size[live]]]
+        size[live] += 1
+    out: dict[int, tuple[str, int, int, int]] = {}
+    most = np.zeros(len(w.first), np.int64)
+    np.maximum.at(most, owner, size)
+    top = np.flatnonzero(size == most[owner])
+    for d, t, a, n in zip(owner[top].tolist(), test[top].tolist(), at[top].tolist(), size[top].tolist()):
+        match = (tests.ids[tests.item[t]], t - int(begin[t]), a - int(w.first[d]), n)
+        out[d] = min(out.get(d, match), match)
+    return out
 
 
 def summarise(piece: pa.RecordBatch) -> pa.RecordBatch:
-    n_words = split(piece.column("text"), PUNCT, lower=True).counts()
-    n_hit = np.array([0 if b is None else int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in piece.column("hit").to_pylist()], np.int64)
+    n_words, n_hit, contaminated = verdict(piece)
     items = [sorted(json.loads(x)) for x in piece.column("items").to_pylist()]
     return pa.record_batch(
         [
             piece.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array((n_hit > 0) & (SHARE * n_hit >= n_words)), pa.array(items, pa.list_(pa.string())),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array(contaminated), pa.array(items, pa.list_(pa.string())), *(piece.column(c) for c in MATCH),
         ],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *MATCH],
     )
 
 
+def verdict(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n_words = split(piece.column("text"), PUNCT, lower=True).counts()
+    n_hit = np.array([0 if b is None else int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for b in piece.column("hit").to_pylist()], np.int64)
+    return n_words, n_hit, (n_hit > 0) & (SHARE * n_hit >= n_words)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The longest verbatim match of each test suffix in each shard, of `least` words or more:
     item_id, item_word, doc_id, doc_word, n_words (the first document of the shard that has it)."""
@@ -235,7 +282,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_by
     return out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that aren't contaminated, with their columns. Rows with a null id stay: nothing can name them."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that aren't contaminated, with their columns. Each row is judged by its own text and filtered in
+    the pass that judges it: nothing is shuffled, and rows that share an id or have none are told apart."""
+    columns = docs.columns
+    rows = small_batches(docs).select(F.struct(*(docs[c] for c in columns)).alias("row"))
+    kept = passes(rows, benchmark, window, block_bytes, lambda piece: piece.select(["row"]).filter(pa.array(~verdict(piece)[2])), rows.schema)
+    return kept.select(*(F.col("row")[c].alias(c) for c in columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_pieces, trimmed
+from .common import row_key, table, text_pieces, trimmed, without
 from .words import LOWER, text_bytes
 
 #: Languages of a block of the model.
@@ -192,6 +192,7 @@ def identify(rows: DataFrame, languages: list[str] | None = None, accept: float
 
 
 def keep_identified(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The documents whose language is told, with their columns. Rows with a null id stay."""
-    bad = identify(from_documents(docs), accept=accept).where("not accepted").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose language is told, with their columns. Verdicts are by id and text, so rows that share an id
+    or have none are told apart; only rows that may be rejected are shuffled."""
+    rows = from_documents(docs).withColumn("doc_id", row_key())
+    return without(docs, identify(rows, accept=accept).where("not accepted").select(F.col("doc_id").alias("key")))

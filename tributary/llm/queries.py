@@ -106,10 +106,14 @@ dwin AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw CROSS JOIN sizes WHERE len(w) >= n)),
 occ AS (SELECT d.doc_id, d.i, d.n, win.item_id FROM dwin d JOIN win ON d.g = win.g AND d.n = win.n),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM occ)) GROUP BY doc_id),
+al AS (SELECT d.doc_id, win.item_id, d.i AS di, win.i AS ii, d.n FROM dwin d JOIN (SELECT item_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM il)) win ON d.g = win.g AND d.n = win.n),
+runs AS (SELECT doc_id, item_id, n, min(di) AS di, min(ii) AS ii, count(*) AS c FROM (SELECT *, di - row_number() OVER (PARTITION BY doc_id, item_id, n, di - ii ORDER BY di) AS grp FROM al) GROUP BY doc_id, item_id, n, di - ii, grp),
+longest AS (SELECT doc_id, item, item_word, doc_word, n_match FROM (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, ii - 1 AS item_word, di - 1 AS doc_word, n + c - 1 AS n_match,
+            row_number() OVER (PARTITION BY doc_id ORDER BY n + c - 1 DESC, CAST(item_id AS VARCHAR), ii, di) AS o FROM runs) WHERE o = 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, item, item_word, doc_word, n_match
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, table, trimmed, with_text
+from .common import map_text, table, trimmed, with_text, without
 from .words import SPACE, joined, split
 
 SEED = 42
@@ -234,5 +234,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """The documents without the near-duplicates of one with a smaller id. Rows with a null id stay."""
-    gone = near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select(F.xxhash64("doc_id").alias("key"))
+    return without(docs, gone, F.xxhash64(docs["doc_id"]))

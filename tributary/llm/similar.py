@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, table, text_pieces, trimmed, with_text
+from .common import map_text, table, text_pieces, trimmed, with_text, without
 from .simhash import connected, near_duplicates
 from .words import LOWER, SPACE, grams, hashes, split, starts_of_runs
 
@@ -216,5 +216,5 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links = close.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     pairs = table(links.union(similar_pairs(docs, similarity).select("a", "b")), "links")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    gone = connected(nodes, pairs).where("node <> comp").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = connected(nodes, pairs).where("node <> comp").select(F.xxhash64("node").alias("key"))
+    return without(docs, gone, F.xxhash64(docs["doc_id"]))
