@@ -1,19 +1,24 @@
 """Personal data found by candidate gradient boosting, in DataFrame operations only.
 
-Generators, regular expressions of high recall, propose spans that may overlap;
-each becomes a struct in its row's array, with a little context, so nothing is
-shuffled.  Base spans are those whose checks hold (parts, digits, Luhn).  The
-model learns what valid spans look like from their format and context, not from
-the checks: candidates are grouped by their binned features and counted as valid
-or not, over all documents.  The table of these groups is bounded by the bins; on
-it the driver boosts small trees, and picks for each kind the lowest score at which
-enough of the held-out candidates are valid.  The trees become conditional
-expressions over the candidates, and candidates above their kind's threshold that
-touch no base span are added.
-
-Defined results: null text is empty, with no spans; repeated rows give one row
-each; without candidates the model adds nothing; columns other than those named
-aren't read.
+Generators, regular expressions of high recall, propose spans that may overlap: for
+each kind its base pattern and a looser one.  Matches become rows with a little
+context; their places are running sums over a text's pieces, and what they meet is
+told by running maxima, so a text of n matches costs n log n.  Base spans are base
+matches whose checks hold (parts, digits, Luhn).
+
+The model is learned from what can be labelled: a candidate that meets a base span of
+its kind is personal data, one whose own format is wrong (a part over 255, digits that
+fail Luhn, an address without a top-level domain), that lies in a failing base match or
+that meets a base span of another kind is not, and the others, which nothing labels, are not learned from.  Labelled candidates
+are grouped by binned features over all documents, and on that table, bounded by the
+bins, the driver boosts small trees and picks for each kind the lowest score at which
+enough of the held-out candidates are right.  The trees become conditional expressions;
+loose candidates above their kind's threshold that touch no base span are added, such as
+numbers in other notations and those that a base match swallowed with their neighbours.
+
+Defined results: null text is empty, with no spans; repeated rows give one row each;
+without labelled candidates the model adds nothing; columns other than those named
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import exp, log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_key, sieve, table
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -39,31 +44,24 @@ BASE = {
 #: Looser forms of each kind.
 LOOSE = {
     "email": r"[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]{1,3}(?:[.,][0-9]{1,3}){3}",
+    "ip": r"[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\))[0-9]{1,3}){3}",
     "card": r"[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{1,7}",
     "phone": r"\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,5}",
 }
 #: Texts that don't match these hold no candidate of the kind; they are cheap to search for.
-HINT = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9][.,][0-9]", "card": r"[0-9](?:[\x20.-]?[0-9]){11}", "phone": r"[+]?[0-9][\x20().0-9-]+[0-9]"}
+HINT = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9](?:\.[0-9]|\[\.|\(\.|\[dot|\(dot)", "card": r"[0-9](?:[\x20.-]?[0-9]){11}", "phone": r"[+]?[0-9][\x20().0-9-]+[0-9]"}
 
 CONTEXT = 24
 CUES = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|account|pay", "phone": "tel|phone|call|fax|mobile"}
-SPAN = "struct<start:int,end:int,match:string,left:string,right:string>"
+MATCH = "struct<g:int,i:int,gap:int,match:string,left:string,right:string>"
 
 
-def found(pattern: str, text: str = "text") -> Column:
-    """The leftmost non-overlapping matches, with their places in code points and what stands around them."""
+def found(pattern: str, g: int, text: str = "_text") -> Column:
+    """The leftmost non-overlapping matches of generator g: the code points before each since the last, and what stands around it."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    m, s = f"regexp_extract_all({text}, '{p}', 0)", f"split({text}, '{p}', -1)"
-    # Pieces between the matches give the places: the piece before each, and the one after.
-    walk = f"""aggregate(
-        zip_with(zip_with({m}, {s}, (m, s) -> named_struct('m', m, 's', s)), slice({s}, 2, greatest(size({s}) - 1, 0)), (x, n) -> named_struct('m', x.m, 's', x.s, 'n', n)),
-        named_struct('at', 0, 'out', cast(array() AS array<{SPAN}>)),
-        (a, x) -> named_struct('at', a.at + char_length(x.s) + coalesce(char_length(x.m), 0), 'out', if(x.m IS NULL, a.out,
-            array_append(a.out, named_struct('start', a.at + char_length(x.s), 'end', a.at + char_length(x.s) + char_length(x.m), 'match', x.m,
-                'left', right(x.s, {CONTEXT}), 'right', left(x.n, 1))))),
-        a -> a.out)"""
-    return F.expr(walk)
+    pieces = f"array(named_struct('m', regexp_extract_all({text}, '{p}', 0), 's', split({text}, '{p}', -1)))"
+    each = f"named_struct('g', {g}, 'i', i, 'gap', char_length(z.s[i]), 'match', x, 'left', right(z.s[i], {CONTEXT}), 'right', left(z.s[i + 1], 1))"
+    return F.expr(f"transform({pieces}, z -> transform(z.m, (x, i) -> {each}))[0]").cast(f"array<{MATCH}>")
 
 
 def digits(match: Column) -> Column:
@@ -89,48 +87,91 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def sound(kind: str, match: Column) -> Column:
+    """Whether a match in any notation has the format of its kind."""
+    n = F.length(digits(match))
+    if kind == "email":
+        return match.rlike(r"(?:\.|dot\))\x20?[A-Za-z]{2,}$|dot\]\x20?[A-Za-z]{2,}$")
+    if kind == "ip":
+        return valid("ip", F.regexp_replace(match, "[^0-9]+", "."))
+    if kind == "card":
+        return (n >= 13) & (n <= 19) & luhn(F.when((n >= 13) & (n <= 19), digits(match)).otherwise("1"))
+    return (n >= 8) & (n <= 15)
+
+
 def shape(c: Column) -> Column:
-    """0 nothing or white space, 1 letter, 2 digit, 3 quote or =, 4 other."""
-    return F.when(c.rlike(r"^\s*$"), 0).when(c.rlike(r"\p{L}"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike("[\"'=]"), 3).otherwise(4)
+    """0 nothing or white space, 1 letter, 2 digit, 3 other."""
+    return F.when(c.rlike(r"^\s*$"), 0).when(c.rlike(r"\p{L}"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
+
+
+def by_kind(f) -> Column:
+    """f(kind) of each row's kind."""
+    out = f(KINDS[-1])
+    for k, kind in reversed(list(enumerate(KINDS[:-1]))):
+        out = F.when(F.col("kind") == k, f(kind)).otherwise(out)
+    return out
 
 
 #: Format and context of a candidate, each a small integer; BINS bounds it.
-BINS = {"kind": 4, "n_digits": 24, "n_groups": 8, "longest": 8, "lead": 3, "left": 5, "right": 5, "cue": 2, "parens": 2}
+BINS = {"kind": 4, "sound": 2, "inner": 2, "n_digits": 20, "n_groups": 5, "lead": 3, "left": 4, "right": 4, "cue": 2, "parens": 2}
 
 
-def features(kind: str, c: Column) -> Column:
-    m = c["match"]
-    groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
+def features() -> Column:
+    m = F.col("match")
     return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"),
-        F.least(F.length(digits(m)), F.lit(23)).alias("n_digits"),
-        F.least(F.size(groups), F.lit(7)).alias("n_groups"),
-        F.least(F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)), F.lit(7)).alias("longest"),
+        F.col("kind").alias("kind"),
+        F.col("sound").cast("int").alias("sound"),
+        F.col("inner").cast("int").alias("inner"),
+        F.least(F.length(digits(m)), F.lit(19)).alias("n_digits"),
+        F.least(F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), F.lit(4)).alias("n_groups"),
         F.when(m.startswith("+"), 1).when(F.contains(m, F.lit("@")), 2).otherwise(0).alias("lead"),
-        shape(F.right(c["left"], F.lit(1))).alias("left"),
-        shape(F.coalesce(c["right"], F.lit(""))).alias("right"),
-        F.when(F.lower(c["left"]).rlike(CUES[kind]), 1).otherwise(0).alias("cue"),
+        shape(F.right("left", F.lit(1))).alias("left"),
+        shape(F.coalesce("right", F.lit(""))).alias("right"),
+        F.when(by_kind(lambda kind: F.lower("left").rlike(CUES[kind])), 1).otherwise(0).alias("cue"),
         F.when(F.contains(m, F.lit("(")), 1).otherwise(0).alias("parens"),
     )
 
 
-CANDIDATE = f"array<struct<kind:int,start:int,end:int,base:boolean,f:struct<{','.join(f'{k}:int' for k in BINS)}>>>"
+def meets(which: Column, *by: str) -> Column:
+    """Whether a span shares a place with one that is which, of the same text (and by)."""
+    over = Window.partitionBy("_row", *by)
+    before = F.max(F.when(which, F.col("end"))).over(over.orderBy("start")) > F.col("start")
+    after = F.min(F.when(which, F.col("start"))).over(over.orderBy(F.col("start").desc())) < F.col("end")
+    return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+
+
+def inside(which: Column, *by: str) -> Column:
+    """Whether a span lies in one that is which."""
+    return F.coalesce(F.max(F.when(which, F.col("end"))).over(Window.partitionBy("_row", *by).orderBy("start")) >= F.col("end"), F.lit(False))
+
 
+def inner() -> Column:
+    """Whether a candidate lies in a longer one of another kind."""
+    over = Window.partitionBy("_row").orderBy("start")
 
-def candidates(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns named, and every row's candidates."""
-    df = docs.select(*(docs[k] for k in keep), F.coalesce(docs["text"], F.lit("")).alias("_text"))
+    def furthest(window):
+        return F.greatest(*(F.when(F.col("kind") != k, F.max(F.when(F.col("kind") == k, F.col("end"))).over(window)) for k in range(len(KINDS))))
 
-    def proposed(kind: str, base: bool) -> Column:
-        def make(c):
-            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), (valid(kind, c["match"]) if base else F.lit(False)).alias("base"), features(kind, c).alias("f"))
+    longer = (furthest(over) > F.col("end")) | (furthest(over.rangeBetween(Window.unboundedPreceding, -1)) >= F.col("end"))
+    return F.coalesce(longer, F.lit(False))
 
-        return F.transform(found((BASE if base else LOOSE)[kind], "_text"), make).cast(CANDIDATE)
 
-    none = F.array().cast(CANDIDATE)
-    each = [F.when(F.col("_text").rlike(HINT[kind]), F.concat(proposed(kind, True), proposed(kind, False))).otherwise(none) for kind in KINDS]
+def candidates(docs: DataFrame) -> DataFrame:
+    """All candidates as a table: doc_id, key (row_key), kind, start, end, base, loose, f (features), label (1, 0 or null),
+    free (touches no base span), part (0: to learn from, 1: held out). Rows that repeat id and text give one set of them."""
+    df = docs.select(docs["doc_id"].alias("doc_id"), row_key(docs["doc_id"], docs["text"]).alias("key"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
+    none = F.array().cast(f"array<{MATCH}>")
+    each = [F.when(F.col("_text").rlike(HINT[kind]), F.concat(found(BASE[kind], 2 * k), found(LOOSE[kind], 2 * k + 1))).otherwise(none) for k, kind in enumerate(KINDS)]
     # A digit or an at sign must be there at all.
-    return df.select(*keep, F.when(F.col("_text").rlike(r"[0-9]|@|[\[(]at[\])]"), F.concat(*each)).otherwise(none).alias("candidates"))
+    rows = df.where(F.col("_text").rlike(r"[0-9]|@|[\[(]at[\])]")).select("doc_id", "key", F.monotonically_increasing_id().alias("_row"), F.concat(*each).alias("cs"))
+    rows = rows.select("doc_id", "key", "_row", F.explode("cs").alias("c")).select("doc_id", "key", "_row", "c.*")
+    end = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("_row", "g").orderBy("i")).cast("int")
+    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).withColumn("kind", F.floor(F.col("g") / 2).cast("int")).withColumn("loose", F.col("g") % 2 == 1)
+    rows = rows.withColumn("base", ~F.col("loose") & by_kind(lambda kind: valid(kind, F.col("match")))).withColumn("sound", by_kind(lambda kind: sound(kind, F.col("match"))))
+    rows = rows.withColumn("good", meets(F.col("base"), "kind")).withColumn("bad", inside(~F.col("loose") & ~F.col("base"), "kind")).withColumn("free", ~meets(F.col("base"))).withColumn("inner", inner())
+    label = F.when(F.col("good"), 1).when(F.col("bad") | ~F.col("sound") | ~F.col("free"), 0)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("part")
+    return table(rows.select("doc_id", "key", "kind", "start", "end", "base", "loose", features().alias("f"), label.alias("label"), "free", part).distinct(), "pii")
 
 
 @dataclass(frozen=True)
@@ -242,41 +283,46 @@ def boost(rows: Sequence[Row], held: Sequence[Row], rounds: int = 20, depth: int
 
 
 def counted(found_: DataFrame) -> list[tuple[dict[str, int], list[float]]]:
-    """Candidates by features: how many are valid and not, in the learning part and the held-out part.
-    A candidate counts as valid if a valid base span of its kind meets it."""
-    cs = F.col("candidates")
-    each = F.transform(cs, lambda c: F.struct(c["f"].alias("f"), F.exists(cs, lambda b: b["base"] & (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])).alias("ok")))
-    rows = found_.where(F.size("candidates") > 0).select("part", F.explode(each).alias("c")).groupBy("c.f").agg(
-        *(F.count_if((F.col("part") == p) & (F.col("c.ok") == ok)).alias(n) for n, p, ok in (("p0", 0, True), ("n0", 0, False), ("p1", 1, True), ("n1", 1, False)))
+    """Labelled candidates by features: how many are right and wrong, in the learning part and the held-out part.
+    At most as many rows as there are bins."""
+    rows = found_.where("label is not null").groupBy("f").agg(
+        *(F.count_if((F.col("part") == p) & (F.col("label") == ok)).alias(n) for n, p, ok in (("p0", 0, 1), ("n0", 0, 0), ("p1", 1, 1), ("n1", 1, 0)))
     )
     return [(r.f.asDict(), [float(r.p0), float(r.n0), float(r.p1), float(r.n1)]) for r in rows.toLocalIterator()]
 
 
 def train(found_: DataFrame, **how) -> Model:
-    """A model from rows with candidates and part (0: to learn from, 1: held out)."""
+    """A model from candidates()."""
     rows = sorted(counted(found_), key=lambda r: sorted(r[0].items()))
     return boost([(x, c[0], c[1]) for x, c in rows if c[0] + c[1]], [(x, c[2], c[3]) for x, c in rows if c[2] + c[3]], **how)
 
 
-def spans(model: Model) -> Column:
-    """Base spans, and candidates that the model takes and that meet no base span; by kind and start."""
-    cs = F.col("candidates")
-    base = F.filter(cs, lambda c: c["base"])
-    more = F.filter(cs, lambda c: ~c["base"] & model.takes(c["f"]) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    short = lambda a: F.transform(a, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
-    return F.array_sort(F.array_distinct(F.concat(short(base), short(more))))
+def spans(found_: DataFrame, model: Model) -> DataFrame:
+    """doc_id, key, spans: an array of kind, start, end, base and back for each text with base spans or candidates that
+    the model takes and that meet none; by kind and start. back: where all spans that begin before it have ended."""
+    taken = F.col("base") | (F.col("loose") & F.col("free") & model.takes(F.col("f")))
+    rows = found_.where(taken).select("doc_id", "key", "kind", "start", "end", "base").distinct()
+    before = Window.partitionBy("doc_id", "key").orderBy("start", F.col("end").desc(), "kind", F.col("base").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("back", F.coalesce(F.max("end").over(before), F.lit(0)))
+    return rows.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "base", "back"))).alias("spans"))
 
 
-def part(column: Column) -> Column:
-    """The held-out half is told by a hash."""
-    return F.pmod(F.xxhash64(column), F.lit(2)).cast("int").alias("part")
+NO_SPANS = "cast(array() as array<struct<kind:int,start:int,end:int,base:boolean,back:int>>)"
+
+
+def with_spans(docs: DataFrame, *keep: str) -> DataFrame:
+    """_row (a struct of the columns to keep) and _spans of every row. Only rows that may have spans are shuffled."""
+    found_ = candidates(docs)
+    known = table(spans(found_, train(found_)), "spans").select(F.col("doc_id").alias("_id"), F.col("key").alias("_known"), F.col("spans").alias("_spans"))
+    packed = docs.select(F.struct(*(docs[c] for c in keep)).alias("_row"), docs["doc_id"].alias("_doc"), row_key(docs["doc_id"], docs["text"]).alias("_key"))
+    maybe, rest = sieve(packed, known.select(F.col("_known").alias("_key")), "_key")
+    hit = maybe.join(known, (F.col("_key") == F.col("_known")) & F.col("_doc").eqNullSafe(F.col("_id")), "left").select("_row", F.coalesce("_spans", F.expr(NO_SPANS)).alias("_spans"))
+    return hit.unionByName(rest.select("_row", F.expr(NO_SPANS).alias("_spans")))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of kind, start, end, base; kind as an index into KINDS) of every row."""
-    rows = docs.select("doc_id", "text", part(F.col("doc_id")))
-    found_ = table(candidates(rows, "doc_id", "part"), "pii")
-    return found_.select("doc_id", spans(train(found_)).alias("spans"))
+    """doc_id, spans (array of kind, start, end, base, back; kind as an index into KINDS) of every row."""
+    return with_spans(docs, "doc_id").select(F.col("_row")["doc_id"].alias("doc_id"), F.col("_spans").alias("spans"))
 
 
 def written(spans_: Column | str) -> Column:
@@ -285,7 +331,7 @@ def written(spans_: Column | str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts of base spans, their digest, and all spans in writing."""
+    """Counts of base spans, their digest, all spans in writing, and how many the model added."""
     df = find(docs)
     base = F.filter("spans", lambda s: s["base"])
 
@@ -293,36 +339,40 @@ def report(docs: DataFrame) -> DataFrame:
         return lambda s: s["kind"] == i
 
     counts = [F.size(F.filter(base, of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return df.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return df.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents with <KIND> for their spans (overlapping spans become one, named after the first);
-    n_chars, if there, is the new length. Rows without spans are unchanged."""
-    columns = docs.columns
-    rows = docs.select(*(docs[c] for c in columns), part(F.col("doc_id")))
-    model = train(table(candidates(rows, "part").where(F.size("candidates") > 0), "pii"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    marked = candidates(rows.select(F.struct(*columns).alias("_row"), "part", "text"), "_row", "part").select("_row", spans(model).alias("_spans"))
+def redacted(text: Column, spans_: Column) -> Column:
+    """The text with <KIND> for each span; overlapping ones become one, named after the first. The text is cut as UTF-32,
+    where a place is found without counting from the start."""
     tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    text = F.col("_row")["text"]
-    # In order of place; what an earlier span covers is cut from a later one.
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    mark = F.to_binary(F.lit("0000FEFF"), F.lit("hex"))  # so that one in the text is kept
+
+    def made(b):
+        def cut(lo, hi):
+            return F.decode(F.concat(mark, F.substring(b, 4 * lo + 1, 4 * (hi - lo))), "UTF-32")
 
-    def step(a, s):
-        fresh = s["start"] >= a["at"]
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(gap, F.element_at(tags, s["kind"] + 1)))).otherwise(a["out"]).alias("out"))
+        first = F.filter(spans_, lambda s: s["start"] >= s["back"])
+        order = F.array_sort(F.transform(first, lambda s: F.struct(s["start"].alias("start"), s["back"].alias("back"), s["kind"].alias("kind"))))
+        # Of spans that begin at one place the longest comes first, and the others begin before its end.
+        out = F.transform(order, lambda s: F.concat(cut(s["back"], s["start"]), F.element_at(tags, s["kind"] + 1)))
+        last = F.array_max(F.transform(spans_, lambda s: s["end"]))
+        return F.concat(F.array_join(out, ""), cut(last, F.floor(F.octet_length(b) / 4).cast("int")))
 
-    new = F.aggregate(order, init, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), made), 1)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with <KIND> for their spans; n_chars, if there, is the new length. Rows without spans are unchanged."""
+    columns = docs.columns
     changed = F.size("_spans") > 0
+    df = with_spans(docs, *columns).select("_row", F.when(changed, redacted(F.col("_row")["text"], F.col("_spans"))).alias("_new"), changed.alias("_changed"))
     out = []
     for c in columns:
         old = F.col("_row")[c]
         if c == "text":
-            old = F.when(changed, new).otherwise(old)
+            old = F.when(F.col("_changed"), F.col("_new")).otherwise(old)
         elif c == "n_chars":
-            old = F.when(changed, F.length(new).cast(docs.schema[c].dataType)).otherwise(old)
+            old = F.when(F.col("_changed"), F.length("_new").cast(docs.schema[c].dataType)).otherwise(old)
         out.append(old.alias(c))
-    return marked.select(*out)
+    return df.select(*out)
