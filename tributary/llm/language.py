@@ -1,7 +1,8 @@
 """Language ID by fusing evidence: text, declared markup language, address suffix and host.
 
 The text likelihood is a naive Bayes model of byte trigrams, counted over all
-documents with a declared language.  The other evidence is counted against the
+documents with a declared language; a row's own trigrams are taken out of the counts
+of the language that it declares, so no text vouches for its own tag.  The other evidence is counted against the
 language that the text alone suggests, by grouped aggregation over all rows:
 how often texts of a language are declared as another, how often they stand at an
 address with a suffix, and how the languages of a host are spread.  A host's
@@ -49,9 +50,17 @@ def declared(column: Column) -> Column:
     return F.when(tag != "", tag)
 
 
+#: The last label of the host in a text's first address.
+ADDRESS = r"(?:@|://)(?:[A-Za-z0-9-]+\.)+([A-Za-z]{2,})(?![A-Za-z0-9.-]*[A-Za-z0-9])"
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
-    """Evidence of documents: their language tag, and their source as host."""
-    return docs.select("doc_id", "text", declared(docs["lang"]).alias("declared"), F.lit(None).cast("string").alias("suffix"), docs["source"].alias("host"), docs["source"].alias("domain"))
+    """Evidence of documents: their language tag, the suffix of the first address in the text, their source as host, and as
+    its domain the last two labels of a dotted source or the stem of a numbered one."""
+    source = docs["source"].cast("string")
+    suffix = F.when(docs["text"].contains("@") | docs["text"].contains("://"), F.lower(F.regexp_extract(docs["text"], ADDRESS, 1)))
+    domain = F.when(source.contains("."), F.substring_index(source, ".", -2)).otherwise(F.regexp_replace(source, r"[0-9]+$", ""))
+    return docs.select("doc_id", "text", declared(docs["lang"]).alias("declared"), F.when(suffix != "", F.concat(F.lit("."), suffix)).alias("suffix"), source.alias("host"), domain.alias("domain"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
@@ -82,7 +91,7 @@ def trigrams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def model(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """log P(trigram | language): a row for each language."""
+    """Half a count more than each trigram has in each language: a row for each language."""
     number = {x: i for i, x in enumerate(languages)}
 
     def run(batches):
@@ -99,26 +108,41 @@ def model(rows: DataFrame, languages: list[str]) -> np.ndarray:
     got = rows.select("text", "declared").where("declared is not null").mapInArrow(trimmed(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full(len(languages) * FEATURES, 0.5)
     counts[got.column("k").to_numpy()] += got.column("n").to_numpy()
-    counts = counts.reshape(len(languages), FEATURES)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    return counts.reshape(len(languages), FEATURES)
+
 
+def own_scores(f: np.ndarray, owner: np.ndarray, lang: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the texts whose number in lang isn't -1: which they are, and the log-likelihood in that language without their own trigrams."""
+    live = lang[owner] >= 0
+    key, n = np.unique(owner[live].astype(np.uint32) * np.uint32(FEATURES) + f[live].astype(np.uint32), return_counts=True)
+    doc, own = (key // FEATURES).astype(np.int64), counts[lang[key // FEATURES], key % FEATURES]
+    size = np.bincount(owner[live], minlength=len(lang))
+    total = counts.sum(axis=1)[lang[doc]] - size[doc]
+    which = np.flatnonzero((lang >= 0) & (size > 0))
+    return which, np.bincount(doc, n * np.log((own - n) / total), len(lang))[which]
 
-def likelihoods(rows: DataFrame, logs: np.ndarray, last: bool = True):
+
+def likelihoods(rows: DataFrame, counts: np.ndarray, languages: list[str], last: bool = True):
     """The rows with letters (trigrams with one) and the scores of these languages after those in ll."""
-    sent = rows.sparkSession.sparkContext.broadcast(logs)
+    sent = rows.sparkSession.sparkContext.broadcast(counts)
+    number = {x: i for i, x in enumerate(languages)}
     before = rows.columns
     kept = ["doc_id", *([] if last else ["text"]), "declared", "suffix", "host", "domain"]
 
     def run(batches):
-        logs = sent.value
+        counts = sent.value
+        logs = np.log(counts / counts.sum(axis=1, keepdims=True))
         for batch in batches:
             for piece in text_pieces(batch):
                 f, where, at = trigrams(piece.column("text"))
+                lang = np.array([number.get(x, -1) for x in piece.column("declared").to_pylist()], np.int64)
                 cut = np.searchsorted(where, at)
                 out = np.empty((piece.num_rows, len(logs)))
                 for i, table_ in enumerate(logs):
                     total = np.r_[0.0, np.cumsum(table_[f])]
                     out[:, i] = TEMPER * (total[cut[1:]] - total[cut[:-1]])
+                which, own = own_scores(f, np.repeat(np.arange(piece.num_rows), np.diff(cut)), lang, counts)
+                out[which, lang[which]] = TEMPER * own
                 if "ll" in before:
                     out = np.concatenate([piece.column("ll").flatten().to_numpy().reshape(piece.num_rows, -1), out], axis=1)
                 ll = pa.ListArray.from_arrays(pa.array(np.arange(piece.num_rows + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
@@ -134,7 +158,7 @@ def scores(rows: DataFrame, languages: list[str]) -> DataFrame:
     scored = rows
     for lo in range(0, len(languages), LANGUAGES):
         last = lo + LANGUAGES >= len(languages)
-        scored, sent = likelihoods(scored, model(rows, languages[lo : lo + LANGUAGES]), last)
+        scored, sent = likelihoods(scored, model(rows, languages[lo : lo + LANGUAGES]), languages[lo : lo + LANGUAGES], last)
         if not last:
             scored = table(scored, "scores")
             sent.unpersist()
@@ -187,7 +211,7 @@ def identify(rows: DataFrame, languages: list[str] | None = None, accept: float
     known = F.col("letters") > 0
     return df.select(
         "doc_id", F.when(known, F.element_at(names, F.array_position("score", F.col("best")).cast("int"))).otherwise("und").alias("lang"), F.when(known, confidence).otherwise(0.0).alias("confidence"),
-        F.coalesce(F.element_at(names, F.col("vote")), F.lit("und")).alias("text_lang"), (known & (confidence >= accept)).alias("accepted"),
+        F.when(F.col("vote").isNotNull(), F.element_at(names, F.col("vote"))).otherwise("und").alias("text_lang"), (known & (confidence >= accept)).alias("accepted"),
     )
 
 
