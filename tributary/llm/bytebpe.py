@@ -99,9 +99,10 @@ class Block:
     def __init__(self, find):
         self.find = find
         self.ids: list[pa.Array] = []
-        self.pieces: deque[tuple[np.ndarray, np.ndarray]] = deque()  # of each piece: hashes of its cuts, cuts of each text
+        self.pieces: deque[tuple[np.ndarray, np.ndarray]] = deque()  # of each piece: numbers of its cuts, cuts of each text
         self.known = np.zeros(0, np.uint64)  # hashes of the distinct cuts, sorted
-        self.fresh: list[tuple[np.ndarray, bytes, np.ndarray]] = []  # as they are met: hashes, bytes, sizes
+        self.number = np.zeros(0, np.int32)  # their numbers, in the order in which they are met
+        self.fresh: list[tuple[bytes, np.ndarray]] = []  # in that order: bytes, sizes
         self.odd: set[int] = set()  # hashes of cuts that end in white space
         self.whole: list[dict[int, list[str]]] = []  # texts that are matched whole
         self.size = 0
@@ -115,7 +116,8 @@ class Block:
         data = memoryview(w.data)
         raw = [bytes(data[w.starts[i] : w.ends[i]]) for i in first[new].tolist()]
         self.odd.update(x for x, r in zip(distinct[new].tolist(), raw) if str(r, "utf-8")[-1].isspace())
-        self.fresh.append((distinct[new], b"".join(raw), np.array([len(r) for r in raw], np.int64)))
+        self.fresh.append((b"".join(raw), np.array([len(r) for r in raw], np.int32)))
+        self.number = np.insert(self.number, at[new], np.arange(len(self.known), len(self.known) + len(raw), dtype=np.int32))
         self.known = np.insert(self.known, at[new], distinct[new])
         odd = [x for x in distinct.tolist() if x in self.odd] if self.odd else []
         whole = {}
@@ -125,28 +127,28 @@ class Block:
             for d in np.unique(w.owners()[hit]).tolist():
                 whole[d] = self.find(piece.column("text")[d].as_py())
         self.whole.append(whole)
-        self.pieces.append((h, w.counts()))
-        self.ids.append(piece.column("doc_id"))
+        self.pieces.append((self.number[np.searchsorted(self.known, h)], w.counts()))
+        self.ids.append(piece.column("doc_id").take(pa.array(np.arange(piece.num_rows))))  # a copy: a slice would hold the batch
         self.size += len(w.data)
 
     def finish(self, parts: int) -> tuple[pa.Array, np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
         """Documents, pre-tokens of each, distinct words by part, the words' numbers, and the part of each number.
         Common words have small numbers, which pack well."""
-        known = self.known
         word: dict[str, int] = {}
-        n, begin, flat = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), array("q")
-        for met, raw, size in self.fresh:
-            ends = np.cumsum(size)
-            for k, a, b in zip(np.searchsorted(known, met).tolist(), (ends - size).tolist(), ends.tolist()):
-                found = self.find(str(raw[a:b], "utf-8"))
-                n[k], begin[k] = len(found), len(flat)
+        n, flat = array("i"), array("i")
+        for raw, size in self.fresh:
+            at = 0
+            for m in size.tolist():
+                found = self.find(str(raw[at : at + m], "utf-8"))
+                at += m
+                n.append(len(found))
                 flat.extend([word.setdefault(f, len(word)) for f in found])
         self.fresh.clear()
-        flat = np.array(flat, np.int64)
+        n, flat = np.array(n, np.int64), np.array(flat, np.uint32)
+        begin = np.cumsum(n) - n
         out, counts = [], []
         for whole in self.whole:
-            h, of = self.pieces.popleft()
-            at = np.searchsorted(known, h)
+            at, of = self.pieces.popleft()
             numbers = gather(flat, begin[at], n[at])
             ends = np.cumsum(of)
             total = np.r_[0, np.cumsum(n[at])]
@@ -154,12 +156,13 @@ class Block:
             if whole:
                 each = np.split(numbers, np.cumsum(size)[:-1])
                 for d, found in whole.items():
-                    each[d] = np.array([word.setdefault(f, len(word)) for f in found], np.int64)
+                    each[d] = np.array([word.setdefault(f, len(word)) for f in found], np.uint32)
                     size[d] = len(each[d])
                 numbers = np.concatenate(each)
-            out.append(numbers.astype(np.uint32))
+            out.append(numbers)
             counts.append(size)
         numbers = np.concatenate(out) if out else np.zeros(0, np.uint32)
+        del out
         common = np.argsort(-np.bincount(numbers, minlength=len(word)), kind="stable")
         rank = np.empty(len(word), np.uint32)
         rank[common] = np.arange(len(word), dtype=np.uint32)
@@ -173,19 +176,23 @@ class Block:
 
 def places(part: np.ndarray) -> np.ndarray:
     """Where each word stands when the words are put in order of their parts."""
-    out = np.empty(len(part), np.int64)
-    out[np.argsort(part, kind="stable")] = np.arange(len(part))
+    out = np.empty(len(part), np.uint32)
+    out[np.argsort(part, kind="stable")] = np.arange(len(part), dtype=np.uint32)
     return out
 
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 9)
+    to = zstandard.ZstdCompressor(9).compressobj(4 * len(numbers))
+    return b"".join([*(to.compress((numbers >> 8 * k & 255).astype(np.uint8)) for k in range(4)), to.flush()])
 
 
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    out = planes[0].astype(np.uint32)
+    for k in range(1, 4):
+        out |= planes[k].astype(np.uint32) << 8 * k
+    return out
 
 
 BLOCKS = "block long, part int, n int, size binary, data binary"
@@ -262,7 +269,7 @@ def assemble(batches, use):
         sizes = np.concatenate(size) if size else np.zeros(0, np.int64)
         if n != len(sizes):
             raise RuntimeError(f"block {name} got {len(sizes)} of {n} words")
-        yield from use(doc_ids, unpacked(counts), places(unpacked(part_of))[unpacked(numbers)] if n else np.zeros(0, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes)
+        yield from use(doc_ids, unpacked(counts).astype(np.int64), places(unpacked(part_of))[unpacked(numbers)] if n else np.zeros(0, np.int64), np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes)
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -273,7 +280,7 @@ def assemble(batches, use):
             elif head is None or head[0] != block:
                 raise RuntimeError(f"words of block {block} came without it")
             else:
-                size.append(unpacked(a))
+                size.append(unpacked(a).astype(np.int64))
                 ids.append(unpacked(b))
     yield from finish()
 
