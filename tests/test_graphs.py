@@ -15,8 +15,8 @@ def random_graphs(n=60, seed=3):
     r = random.Random(seed)
     out = {}
     for g in range(n):
-        size = r.randint(1, 7)
-        out[g] = (list(range(size)), {(a, b) for a in range(size) for b in range(size) if r.random() < r.choice([0.12, 0.25, 0.4]) and r.random() < 0.9})
+        size = r.randint(1, 7) if g % 10 else r.randint(12, 16)
+        out[g] = (list(range(size)), {(a, b) for a in range(size) for b in range(size) if r.random() < r.choice([0.12, 0.25, 0.4]) * min(1, 6 / size) and r.random() < 0.9})
     known = {
         100: {(1, 2), (1, 3), (2, 3), (3, 2)},
         101: {(1, 2), (1, 3), (2, 4), (2, 5), (3, 5), (4, 5)},
@@ -288,6 +288,44 @@ def test_balanced_reachability(g):
     assert got(dataflow.balanced_reach(g, parens), "a", "b") == every(balanced)
 
 
+def big_graph(size=10_000, seed=5):
+    """One graph of many nodes: chains with jumps on and back, cut now and then."""
+    r = random.Random(seed)
+    edges = set()
+    for n in range(1, size + 1):
+        kind = r.randrange(6)
+        to = {n + 1} if kind else set()
+        to |= {n + 3} if kind == 1 else {max(1, n - 2)} if kind == 2 else set()
+        edges |= {(n, m) for m in to if m <= size}
+    return list(range(1, size + 1)), edges
+
+
+def test_one_large_graph(spark):
+    ns, es = big_graph()
+    g = flow.graph(spark.createDataFrame([(1, n) for n in ns], "graph_id long, node long"), spark.createDataFrame([(1, *e) for e in es], "graph_id long, src long, dst long"))
+    out = {n: [] for n in ns}
+    for a, b in es:
+        out[a].append(b)
+    d = {}
+    for n in ns:  # reachable nodes, then the greatest fixpoint
+        seen, todo = {n}, [n]
+        while todo:
+            for m in out[todo.pop()]:
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        d[n] = seen
+    changed = True
+    while changed:
+        changed = False
+        for n in reversed(ns):
+            new = {n} | (set.intersection(*(d[m] for m in out[n])) if out[n] else set())
+            if new != d[n]:
+                d[n], changed = new, True
+    want = {(n, m) for n in ns for m in {x for s in out[n] for x in d[s]} if m != n and any(m not in d[s] for s in out[n])}
+    assert {(x.n, x.m) for x in control.insensitive(g).collect()} == want
+
+
 def test_ladder(spark):
     g = flow.ladder(spark, 2)
     edges = {(r.src, r.dst) for r in g.edges.collect()}

@@ -12,20 +12,19 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
-from .structure import components, reach, sinks
+from .structure import reach
 
 
 def sink_dominance(g: FlowGraph) -> DataFrame:
     """keys, y, x: x is on all sink paths from y.
 
-    Violations are a least fixpoint: y reaches, around x, a sink that x isn't part of."""
+    It is the greatest set of reachable pairs in which x, if it isn't y, dominates all of y's successors.  Its violations
+    are a least fixpoint among reachable pairs: x isn't reachable from a successor of y, or a successor violates it."""
     k = list(g.keys)
     closure = reach(g)
-    scc = written(components(g, closure))
-    sink = written(sinks(g, scc))
-    x = g.nodes.withColumnRenamed("node", "x").join(sink.select(*k, F.col("node").alias("x"), F.col("sink").alias("own")), [*k, "x"], "left")
-    bad = sink.select(*k, F.col("node").alias("y"), "sink").join(x, k).where("own is null or own <> sink").where("x <> y").select(*k, "x", "y")
-    edges = g.edges
+    edges = written(g.edges.join(g.outdegree().withColumnRenamed("node", "src"), [*k, "src"]))
+    hit = edges.withColumnRenamed("src", "y").join(closure.select(*k, F.col("a").alias("dst"), F.col("b").alias("x")), [*k, "dst"]).where("y <> x").groupBy(*k, "y", "x").agg(F.count("*").alias("n"), F.first("outdegree").alias("d"))
+    bad = hit.where("n < d").select(*k, "x", "y")
     bad = least_fixpoint(bad, lambda delta, _: delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).where("src <> x").select(*k, "x", F.col("src").alias("y")), HOPS)
     return closure.select(*k, F.col("a").alias("y"), F.col("b").alias("x")).join(bad, [*k, "x", "y"], "left_anti").select(*k, "y", "x")
 
@@ -44,19 +43,26 @@ def max_dominance(g: FlowGraph) -> DataFrame:
 
 
 def one_dominance(dom: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, y, x: x dominates a dominator of y other than x (x ≠ y, or x on a cycle of dominators)."""
+    """keys, y, x: x dominates a dominator of y other than x: x ≠ y, or x = y on a cycle of dominators."""
     k = list(keys)
-    two = dom.select(*k, "y", F.col("x").alias("m")).join(dom.select(*k, F.col("y").alias("m"), "x"), [*k, "m"]).where("m <> x").select(*k, "y", "x").distinct()
-    return two.join(dom, [*k, "y", "x"], "left_semi")
+    other = dom.where("y <> x")
+    turned = other.join(other.select(*k, F.col("y").alias("x"), F.col("x").alias("y")), [*k, "y", "x"], "left_semi").select(*k, "y", F.col("y").alias("x")).distinct()
+    return other.select(*k, "y", "x").union(turned)
+
+
+def _sizes(dom: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """How many dominators each node has."""
+    return dom.groupBy(*keys, F.col("y").alias(name)).agg(F.count("*").alias("size"))
 
 
 def immediate_dominance(dom: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, y, x: of those, the ones that all the others dominate; several if they form a cycle."""
+    """keys, y, x: of those, the ones that all the others dominate; several if they form a cycle.
+
+    Dominance is transitive, so the dominators of x are among those of y: all of them count if they are as many."""
     k = list(keys)
     one = written(one_dominance(dom, keys))
-    pairs = one.join(one.select(*k, "y", F.col("x").alias("other")), [*k, "y"])
-    met = pairs.join(dom.select(*k, F.col("y").alias("x"), F.col("x").alias("other")), [*k, "x", "other"], "left_anti").select(*k, "y", "x").distinct()
-    return one.join(met, [*k, "y", "x"], "left_anti")
+    many = one.groupBy(*k, "y").agg(F.count("*").alias("others"))
+    return one.join(_sizes(dom, keys, "x"), [*k, "x"]).join(many, [*k, "y"]).where("size = others").select(*k, "y", "x")
 
 
 def frontier(g: FlowGraph, dom: DataFrame) -> DataFrame:
@@ -68,10 +74,10 @@ def frontier(g: FlowGraph, dom: DataFrame) -> DataFrame:
 
 
 def nearest_common(ancestor: DataFrame, pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, a, b, lca: for pairs of nodes, the common dominators that all other common dominators dominate."""
+    """keys, a, b, lca: for pairs of nodes, the common dominators that all other common dominators dominate: those that
+    have as many dominators as are common."""
     k = list(keys)
     both = pairs.join(ancestor.select(*k, F.col("y").alias("a"), F.col("x").alias("lca")), [*k, "a"]).join(ancestor.select(*k, F.col("y").alias("b"), F.col("x").alias("lca")), [*k, "b", "lca"])
-    both = written(both.select(*k, "a", "b", "lca"))
-    other = both.join(both.withColumnRenamed("lca", "other"), [*k, "a", "b"])
-    below = other.join(ancestor.select(*k, F.col("y").alias("lca"), F.col("x").alias("other")), [*k, "lca", "other"], "left_anti").select(*k, "a", "b", "lca").distinct()
-    return both.join(below, [*k, "a", "b", "lca"], "left_anti")
+    both = written(both.select(*k, "a", "b", "lca").distinct())
+    common = both.groupBy(*k, "a", "b").agg(F.count("*").alias("common"))
+    return both.join(common, [*k, "a", "b"]).join(_sizes(ancestor, keys, "lca"), [*k, "lca"]).where("size = common").select(*k, "a", "b", "lca")

@@ -24,21 +24,25 @@ def certain(g: FlowGraph, dom: DataFrame) -> DataFrame:
     return hits.join(g.branches().withColumnRenamed("node", "n"), [*k, "n"]).where("hit = outdegree and n <> m").select(*k, "n", "m", "outdegree")
 
 
-def before(g: FlowGraph, second: DataFrame, dominance: Callable[[FlowGraph], DataFrame]) -> DataFrame:
-    """keys, m2, y, x: x comes before m2 on all paths from y, for the m2 of second (keys and m2)."""
+def before(g: FlowGraph, second: DataFrame, dom: DataFrame, dominance: Callable[[FlowGraph], DataFrame]) -> DataFrame:
+    """keys, m2, y, x: x comes before m2 on all paths from y, for the m2 of second (keys and m2) and the y that m2 dominates.
+
+    What such a y reaches before m2 is dominated by m2, too, so the graph of m2 has these nodes alone: all graphs
+    together are as large as dom."""
     k = list(g.keys)
-    nodes, edges = g.nodes.join(second, k), g.edges.join(second, k).where("src <> m2")
-    cut = FlowGraph(written(nodes.select(*k, "m2", "node")), written(edges.select(*k, "m2", "src", "dst")), (*g.keys, "m2"))
-    return dominance(cut)
+    nodes = written(dom.select(*k, F.col("x").alias("m2"), F.col("y").alias("node")).join(second, [*k, "m2"], "left_semi"))
+    edges = nodes.withColumnRenamed("node", "src").where("src <> m2").join(g.edges, [*k, "src"])
+    return dominance(FlowGraph(nodes.select(*k, "m2", "node"), written(edges.select(*k, "m2", "src", "dst")), (*g.keys, "m2")))
 
 
 def _counted(g: FlowGraph, dominance: Callable[[FlowGraph], DataFrame]) -> DataFrame:
     """keys, n, m1, m2, outdegree, first: of the successors of n, whose both m1 and m2 are certain, how many see m1 first."""
     k = list(g.keys)
-    sure = written(certain(g, dominance(g)))
+    dom = written(dominance(g))
+    sure = written(certain(g, dom))
     pairs = sure.select(*k, "n", F.col("m").alias("m1"), "outdegree").join(sure.select(*k, "n", F.col("m").alias("m2")), [*k, "n"]).where("m1 <> m2")
     second = pairs.select(*k, "m2").distinct()
-    order = before(g, second, dominance).where("x <> m2")
+    order = before(g, second, dom, dominance).where("x <> m2")
     hits = pairs.join(g.edges.withColumnRenamed("src", "n"), [*k, "n"]).join(order.select(*k, "m2", F.col("y").alias("dst"), F.col("x").alias("m1")), [*k, "m2", "dst", "m1"])
     return hits.groupBy(*k, "n", "m1", "m2").agg(F.count("*").alias("first"), F.first("outdegree").alias("outdegree"))
 

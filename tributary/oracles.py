@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 EVENTS = """
-ev AS (SELECT user_id AS graph_id, event_type AS event, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS node FROM events),
-en AS (SELECT * FROM ev WHERE node <= 12),
+en AS (SELECT user_id AS graph_id, event_type AS event, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS node FROM events),
 mx AS (SELECT graph_id, max(node) AS last FROM en GROUP BY graph_id),
 e0 AS (SELECT graph_id, node AS src, node + 1 AS dst FROM en WHERE event <> 'purchase'
        UNION SELECT graph_id, node, node + 3 FROM en WHERE event = 'click'
@@ -55,7 +54,7 @@ def dominance(p: str = "", nodes: str = "n", edges: str = "e", k: str = "graph_i
 
 def cd(name: str, dom: str, p: str = "", edges: str = "e", k: str = "graph_id") -> str:
     return f"""
-{name} AS (SELECT DISTINCT {k}, n, m FROM (SELECT {k}, src AS n, x AS m, count(*) AS hit FROM {edges} JOIN (SELECT {k}, y AS dst, x FROM {dom}) USING ({k}, dst) GROUP BY {k}, src, x)
+{name} AS MATERIALIZED (SELECT DISTINCT {k}, n, m FROM (SELECT {k}, src AS n, x AS m, count(*) AS hit FROM {edges} JOIN (SELECT {k}, y AS dst, x FROM {dom}) USING ({k}, dst) GROUP BY {k}, src, x)
            JOIN (SELECT {k}, node AS n, outdegree FROM {p}deg) USING ({k}, n) WHERE hit < outdegree AND n <> m)"""
 
 
@@ -71,17 +70,25 @@ def slice_(pairs: str, criterion: str, name: str = "sl") -> str:
 
 
 def ordered(dom: str) -> str:
-    """cnt (n, m1, m2, outdegree, first): of each branch whose successors m1 and m2 dominate, the successors that see m1 first."""
+    """cnt (n, m1, m2, outdegree, first): of each branch whose successors m1 and m2 dominate, the successors that see m1 first:
+    those from which m1 dominates in the graph without the edges that leave m2."""
+    k = "graph_id, m2"
     return f"""{dominance()},
 hits AS (SELECT graph_id, src AS n, x AS m, count(*) AS hit FROM e JOIN (SELECT graph_id, y AS dst, x FROM {dom}) USING (graph_id, dst) GROUP BY graph_id, src, x),
 sure AS (SELECT graph_id, n, m, outdegree FROM hits JOIN (SELECT graph_id, node AS n, outdegree FROM deg WHERE outdegree > 1) USING (graph_id, n) WHERE hit = outdegree AND n <> m),
-cn AS (SELECT a.graph_id, a.node AS m2, b.node FROM n a JOIN n b USING (graph_id)),
-ce AS (SELECT graph_id, m2, src, dst FROM e JOIN (SELECT graph_id, node AS m2 FROM n) USING (graph_id) WHERE src <> m2),
-{dominance('c', 'cn', 'ce', 'graph_id, m2').lstrip()},
-cnt AS (SELECT graph_id, s.n, s.m AS m1, t.m AS m2, s.outdegree, count(*) AS first
-        FROM sure s JOIN sure t USING (graph_id, n) JOIN (SELECT graph_id, src AS n, dst FROM e) USING (graph_id, n)
-        JOIN c{dom} d ON d.graph_id = s.graph_id AND d.m2 = t.m AND d.y = dst AND d.x = s.m
-        WHERE s.m <> t.m GROUP BY graph_id, s.n, s.m, t.m, s.outdegree)"""
+pr AS MATERIALIZED (SELECT graph_id, n, s.m AS m1, t.m AS m2, s.outdegree FROM sure s JOIN sure t USING (graph_id, n) WHERE s.m <> t.m),
+want AS MATERIALIZED (SELECT DISTINCT graph_id, m2, m1 AS x, dst AS y FROM pr JOIN (SELECT graph_id, src AS n, dst FROM e) USING (graph_id, n)),
+second AS (SELECT DISTINCT graph_id, m2 FROM pr),
+cn AS MATERIALIZED (SELECT graph_id, m2, node FROM n JOIN second USING (graph_id)),
+ce AS MATERIALIZED (SELECT graph_id, m2, src, dst FROM e JOIN second USING (graph_id) WHERE src <> m2),
+{closure('c', 'cn', 'ce', k).lstrip()},
+cav AS (SELECT {k}, x, y, y AS b FROM want WHERE x <> y UNION SELECT {k}, x, y, dst FROM cav JOIN (SELECT {k}, src AS b, dst FROM ce) USING ({k}, b) WHERE dst <> x),
+csbad AS (SELECT DISTINCT {k}, x, y FROM cav JOIN (SELECT {k}, node AS b, sink FROM csink) USING ({k}, b) LEFT JOIN (SELECT {k}, node AS x, sink AS own FROM csink) USING ({k}, x) WHERE own IS DISTINCT FROM sink),
+around AS (SELECT DISTINCT {k}, x, b AS c, b FROM cav UNION SELECT {k}, x, c, dst FROM around JOIN (SELECT {k}, src AS b, dst FROM ce) USING ({k}, b) WHERE dst <> x),
+turn_ AS (SELECT {k}, x, b FROM around JOIN (SELECT {k}, src AS b, dst AS c FROM ce) USING ({k}, b, c) UNION SELECT {k}, x, b FROM cav ANTI JOIN (SELECT {k}, node AS b FROM cdeg) USING ({k}, b)),
+cmbad AS (SELECT DISTINCT {k}, x, y FROM cav JOIN turn_ USING ({k}, x, b)),
+first_ AS (SELECT {k}, x, y FROM want JOIN (SELECT {k}, a AS y, b AS x FROM cr) USING ({k}, x, y) ANTI JOIN c{dom[0]}bad USING ({k}, x, y)),
+cnt AS (SELECT graph_id, n, m1, m2, outdegree, count(*) AS first FROM pr JOIN (SELECT graph_id, src AS n, dst AS y FROM e) USING (graph_id, n) JOIN (SELECT {k}, x AS m1, y FROM first_) USING ({k}, m1, y) GROUP BY graph_id, n, m1, m2, outdegree)"""
 
 
 def query(*parts: str, select: str) -> str:
@@ -164,7 +171,7 @@ ec AS (SELECT graph_id, src, dst, CAST({cost} AS BIGINT) AS cost FROM e),
 wk AS (SELECT graph_id, node AS y, node AS x, CAST(0 AS BIGINT) AS steps FROM n
        UNION SELECT graph_id, src, x, steps + cost FROM wk JOIN (SELECT graph_id, src, dst AS y, cost FROM ec) USING (graph_id, y) SEMI JOIN (SELECT graph_id, y AS src, x FROM mdom) USING (graph_id, src, x) WHERE src <> x),
 td AS (SELECT graph_id, y, x, min(steps) AS steps FROM wk GROUP BY graph_id, y, x HAVING min(steps) = max(steps)),
-res AS (SELECT DISTINCT graph_id, n, m FROM (SELECT graph_id, src AS n, x AS m, steps + cost AS z, count(*) AS hit FROM ec JOIN (SELECT graph_id, y AS dst, x, steps FROM td) USING (graph_id, dst) GROUP BY ALL)
+res AS MATERIALIZED (SELECT DISTINCT graph_id, n, m FROM (SELECT graph_id, src AS n, x AS m, steps + cost AS z, count(*) AS hit FROM ec JOIN (SELECT graph_id, y AS dst, x, steps FROM td) USING (graph_id, dst) GROUP BY ALL)
         JOIN (SELECT graph_id, node AS n, outdegree FROM deg) USING (graph_id, n) WHERE hit < outdegree)"""
         out[f"timing_dominance{name}"] = query(EVENTS, dom, walks, select="SELECT * FROM td")
         out[f"tscd{name}"] = query(EVENTS, dom, walks, select="SELECT * FROM res")
@@ -175,7 +182,7 @@ res AS (SELECT DISTINCT graph_id, n, m FROM (SELECT graph_id, src AS n, x AS m,
     halves = "WITH c AS (SELECT event_type, sum(CAST(user_id % 2 = 0 AS INTEGER)) AS a, sum(CAST(user_id % 2 = 1 AS INTEGER)) AS b FROM events GROUP BY event_type), s AS (SELECT CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2 FROM c) "
     out["equivalence_distance"] = halves + "SELECT round(sum((a / n1 - b / n2) * (a / n1 - b / n2)), 10) AS d2, n1, n2 FROM c, s GROUP BY n1, n2"
     out["two_sample_test"] = halves + "SELECT round(sum((a * sqrt(n2 / n1) - b * sqrt(n1 / n2)) * (a * sqrt(n2 / n1) - b * sqrt(n1 / n2)) / (a + b)), 6) AS chi2, count(*) - 1 AS df FROM c, s"
-    pdg = "\npdg AS (SELECT * FROM res UNION SELECT * FROM dd)"
+    pdg = "\npdg AS MATERIALIZED (SELECT * FROM res UNION SELECT * FROM dd)"
     base = (EVENTS, NAMES, dom, cd("res", "sdom"), pdg)
     flow = "\nfl AS (SELECT graph_id, node FROM hi UNION SELECT graph_id, m FROM fl JOIN (SELECT graph_id, n AS node, m FROM pdg) USING (graph_id, node))"
     out["program_dependence"] = query(*base, select="SELECT * FROM pdg")
@@ -199,7 +206,7 @@ res AS (SELECT DISTINCT graph_id, n, m FROM (SELECT graph_id, src AS n, x AS m,
     out["parallel_nodes"] = query(*threads, select="SELECT * FROM mhp")
     out["data_conflicts"] = query(*threads, NAMES, "\ntu AS (SELECT * FROM uses UNION SELECT * FROM defs)", select="SELECT DISTINCT graph_id, a AS n, b AS m FROM mhp JOIN (SELECT graph_id, node AS a, name FROM defs) USING (graph_id, a) JOIN (SELECT graph_id, node AS b, name FROM tu) USING (graph_id, b, name)")
     out["inter_thread_dependence"] = query(*threads, NAMES, select="SELECT DISTINCT graph_id, a AS n, b AS m FROM mhp JOIN (SELECT graph_id, node AS a, name FROM defs) USING (graph_id, a) JOIN (SELECT graph_id, node AS b, name FROM uses) USING (graph_id, b, name)")
-    timed = "\npdg AS (SELECT graph_id, n, m FROM res UNION SELECT graph_id, n, m FROM dd UNION SELECT graph_id, src, dst FROM e WHERE (graph_id, dst) IN (SELECT (graph_id, a) FROM mhp))"
+    timed = "\npdg AS MATERIALIZED (SELECT graph_id, n, m FROM res UNION SELECT graph_id, n, m FROM dd UNION SELECT graph_id, src, dst FROM e WHERE (graph_id, dst) IN (SELECT (graph_id, a) FROM mhp))"
     out["timed_classification"] = query(EVENTS, NAMES, dom, cd("res", "sdom"), sp, th, apart, many, par, timed, kind("hi", "signup"), flow, select="SELECT * FROM fl")
     kinds = "\nkd AS (SELECT graph_id, src, dst, CASE WHEN dst = src + 3 THEN 'in' WHEN dst < src THEN 'out' ELSE 'data' END AS kind FROM e)"
     back_by = lambda name, seed, kinds_: f"\n{name} AS (SELECT graph_id, node FROM {seed} UNION SELECT graph_id, src FROM {name} JOIN (SELECT graph_id, src, dst AS node FROM kd WHERE kind IN ({kinds_})) USING (graph_id, node))"

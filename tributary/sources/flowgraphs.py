@@ -46,11 +46,11 @@ def graph(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("graph_id
     return FlowGraph(nodes.select(*keys, "node").distinct(), edges.select(*keys, "src", "dst").distinct(), keys)
 
 
-def event_nodes(spark: SparkSession, sf_dir: str, most: int = 12) -> DataFrame:
-    """graph_id (user), node (1 … most), event of each user's first events."""
+def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id (user), node (1, 2, … in order), event of all events."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "event_id")
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.select(F.col("user_id").alias("graph_id"), seq.cast("long").alias("node"), F.col("event_type").alias("event")).where(F.col("node") <= most)
+    return events.select(F.col("user_id").alias("graph_id"), seq.cast("long").alias("node"), F.col("event_type").alias("event"))
 
 
 def event_flow(spark: SparkSession, sf_dir: str) -> FlowGraph:
