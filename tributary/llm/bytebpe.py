@@ -37,7 +37,7 @@ from .common import table, text_pieces, trimmed, with_text
 from .words import Words, hashes, text_bytes
 
 #: A block has so many bytes of text, or a piece more.
-BLOCK_TEXT = 32 << 20
+BLOCK_TEXT = 20 << 20
 #: Pre-tokens put together at a time.
 PART = 1 << 18
 #: Words of a part whose ids a task remembers; beyond that it forgets them and encodes a word again.
