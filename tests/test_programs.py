@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_graphs import GRAPHS, K, every, got, reach, suc
 
-from tributary.operators import dataflow, paths, procedures, structure, threads
+from tributary.operators import classification, dataflow, paths, procedures, structure, threads, timing
 from tributary.sources import flowgraphs as flow
 
 
@@ -153,3 +153,73 @@ def test_automaton(spark):
 def test_reducing_cycles(g):
     pairs = structure.reach(g).select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"))
     assert structure.is_transitive(pairs, K).where("not transitive").count() == 0
+
+
+def test_timing_dependence(g):
+    def timdom(ns, es):
+        t = {y: {(y, 0)} for y in ns}
+        while True:
+            new = {}
+            for y in ns:
+                each = [{(m, k + 1) for m, k in t[x]} for x in suc(es, y)]
+                new[y] = {(y, 0)} | ({p for p in set.intersection(*each) if p[0] != y} if each else set())
+            if new == t:
+                return t
+            t = new
+
+    def dep(ns, es):
+        r, out = reach(ns, es), set()
+        for m in ns:
+            to = [n for n in ns if (n, m) in r]
+            t = timdom(to, {(a, b) for a, b in es if a in to and b in to and a != m})
+            out |= {(n, m) for n in to if n != m and all(x == n for x, _ in t[n])}
+        return out
+
+    assert got(timing.dependence(g), "n", "m") == every(dep)
+
+
+def test_common_dominators_and_classes(g):
+    """Of pairs n, n + 1 as if parallel: the nearest common dominator from node 0 that is parallel to neither."""
+    entry = g.nodes.where("node = 0")
+    pairs = lambda ns: {(a, b) for a in ns for b in ns if abs(a - b) == 1}
+    x, y = g.nodes.withColumnRenamed("node", "a"), g.nodes.withColumnRenamed("node", "b")
+    mhp = x.join(y, "graph_id").where("abs(a - b) = 1")
+
+    def doms(ns, es):
+        live = {b for a, b in reach(ns, es) if a == 0 and 0 in ns}
+        return {n: {x for x in live if x == n or (0, n) not in reach([v for v in ns if v != x], {e for e in es if x not in e}) or x == 0} for n in live}
+
+    def common(ns, es):
+        d, out = doms(ns, es), {}
+        for a, b in pairs(ns):
+            if a in d and b in d:
+                ok = [c for c in d[a] & d[b] if (c, a) not in pairs(ns) and (c, b) not in pairs(ns)]
+                if ok:
+                    out[a, b] = max(ok, key=lambda c: len(d[c]))
+        return {(a, b, c) for (a, b), c in out.items()}
+
+    c = classification.common_dominators(classification.dominators(g, entry), mhp, K)
+    assert got(c, "a", "b", "dom") == every(common)
+    deps = g.edges.select("graph_id", F.col("src").alias("n"), F.col("dst").alias("m")).where("m > n + 1")
+    high = g.nodes.where("node = 1")
+
+    def minimal(ns, es):
+        r, s = reach(ns, es), {n for n in ns if n == 1}
+        edges = {(a, b) for a, b in es if b > a + 1} | {(x, a) for a, _, c in common(ns, es) for x in ns if (c, x) in r and (x, a) in r}
+        while True:
+            new = s | {b for a, b in edges if a in s}
+            if new == s:
+                return s
+            s = new
+
+    assert got(classification.minimal(deps, c, structure.reach(g), high, K), "node") == every(minimal)
+    low = g.nodes.where("node = 3")
+
+    def secure(ns, es):
+        s = {n for n in ns if n in (1, 5)}
+        while (new := s | {b for a, b in es if b > a + 1 and a in s}) != s:
+            s = new
+        return 3 not in ns or (3 not in s)
+
+    got_ = {r.graph_id: r.secure for r in classification.low_security(g, deps, mhp, g.nodes.where("node = 5"), high, low).collect()}
+    assert got_ == every(secure)

@@ -20,9 +20,9 @@ def from_dominance(g: FlowGraph, dom: DataFrame) -> DataFrame:
     return hits.join(g.outdegree().withColumnRenamed("node", "n"), [*k, "n"]).where("hit < outdegree and n <> m").select(*k, "n", "m")
 
 
-def insensitive(g: FlowGraph) -> DataFrame:
+def insensitive(g: FlowGraph, closure: DataFrame | None = None) -> DataFrame:
     """Nontermination-insensitive control dependence: by sink paths."""
-    return from_dominance(g, sink_dominance(g))
+    return from_dominance(g, sink_dominance(g, closure))
 
 
 def sensitive(g: FlowGraph) -> DataFrame:

@@ -15,13 +15,13 @@ from ..sources.flowgraphs import FlowGraph
 from .structure import reach
 
 
-def sink_dominance(g: FlowGraph) -> DataFrame:
+def sink_dominance(g: FlowGraph, closure: DataFrame | None = None) -> DataFrame:
     """keys, y, x: x is on all sink paths from y.
 
     It is the greatest set of reachable pairs in which x, if it isn't y, dominates all of y's successors.  Its violations
     are a least fixpoint among reachable pairs: x isn't reachable from a successor of y, or a successor violates it."""
     k = list(g.keys)
-    closure = reach(g)
+    closure = closure if closure is not None else reach(g)
     edges = written(g.edges.join(g.outdegree().withColumnRenamed("node", "src"), [*k, "src"]))
     hit = edges.withColumnRenamed("src", "y").join(closure.select(*k, F.col("a").alias("dst"), F.col("b").alias("x")), [*k, "dst"]).where("y <> x").groupBy(*k, "y", "x").agg(F.count("*").alias("n"), F.first("outdegree").alias("d"))
     bad = hit.where("n < d").select(*k, "x", "y")

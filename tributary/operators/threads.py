@@ -26,11 +26,11 @@ def threads_of(g: FlowGraph, spawns: DataFrame, entry: DataFrame) -> DataFrame:
     return least_fixpoint(entry.select(*k, "node", F.col("node").alias("thread")), lambda delta, _: delta.withColumnRenamed("node", "src").join(edges, [*k, "src"]).select(*k, F.col("dst").alias("node"), F.when(F.col("spawn"), F.col("dst")).otherwise(F.col("thread")).alias("thread")), HOPS)
 
 
-def many(g: FlowGraph, spawns: DataFrame, entry: DataFrame) -> DataFrame:
+def many(g: FlowGraph, spawns: DataFrame, entry: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """keys, node: nodes of threads that may run several times at once: spawned on a cycle or from two places, or by such a thread."""
     k = list(g.keys)
     live = written(threads_of(g, spawns, entry).select(*k, "node").distinct())
-    loops = cyclic(components(g)).select(*k, F.col("node").alias("src"))
+    loops = cyclic(components(g, closure)).select(*k, F.col("node").alias("src"))
     entries = g.edges.groupBy(*k, "dst").agg(F.count("*").alias("n")).where("n > 1").select(*k, "dst")
     started = spawns.join(live.withColumnRenamed("node", "src"), [*k, "src"], "left_semi")
     seed = started.join(loops, [*k, "src"], "left_semi").select(*k, F.col("dst").alias("node")).union(started.join(entries, [*k, "dst"], "left_semi").select(*k, F.col("dst").alias("node")))
@@ -47,13 +47,14 @@ def spawned_apart(g: FlowGraph, spawns: DataFrame, closure: DataFrame | None = N
     return left.union(left.select(*k, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def parallel(g: FlowGraph, spawns: DataFrame, entry: DataFrame) -> DataFrame:
+def parallel(g: FlowGraph, spawns: DataFrame, entry: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """keys, a, b: nodes that may run at the same time: of threads spawned apart, or of one thread that runs several times."""
     k = list(g.keys)
+    closure = closure if closure is not None else reach(g)
     t = written(threads_of(g, spawns, entry).groupBy(*k, "node").agg(F.count("*").alias("n"), F.min("thread").alias("thread")).where("n = 1").drop("n"))
     same = written(t.withColumnRenamed("node", "a").join(t.withColumnRenamed("node", "b"), [*k, "thread"]).select(*k, "a", "b"))
-    again = same.join(many(g, spawns, entry).withColumnRenamed("node", "a"), [*k, "a"], "left_semi")
-    return again.union(spawned_apart(g, spawns).join(same, [*k, "a", "b"], "left_anti"))
+    again = same.join(many(g, spawns, entry, closure).withColumnRenamed("node", "a"), [*k, "a"], "left_semi")
+    return again.union(spawned_apart(g, spawns, closure).join(same, [*k, "a", "b"], "left_anti"))
 
 
 def conflicts(mhp: DataFrame, defines: DataFrame, uses: DataFrame, keys: tuple[str, ...]) -> DataFrame:

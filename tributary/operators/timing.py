@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
+from .dominance import frontier as frontier_of
+from .structure import reach
 
 
 def _costed(g: FlowGraph, costs: DataFrame | None) -> DataFrame:
@@ -42,3 +44,29 @@ def coarse(g: FlowGraph, closure: DataFrame) -> DataFrame:
     k = list(g.keys)
     hits = g.edges.join(closure.select(*k, F.col("a").alias("dst"), F.col("b").alias("m")), [*k, "dst"])
     return hits.groupBy(*k, F.col("src").alias("n"), "m").agg(F.count("*").alias("hit")).where("hit > 1").select(*k, "n", "m")
+
+
+def frontier(g: FlowGraph, costs: DataFrame | None = None) -> DataFrame:
+    """keys, x, y: x timing-dominates a successor of y but not (twice removed) y itself."""
+    dom = timing_dominance(g, costs).select(*g.keys, "y", "x").distinct()
+    return frontier_of(g, written(dom))
+
+
+def dependence(g: FlowGraph, closure: DataFrame | None = None) -> DataFrame:
+    """keys, n, m: the time at which m is reached, if it is, depends on n: of the nodes that reach m, in the graph of these
+    without the edges that leave m, n has no timing dominator but itself. The graphs of all m are as large as reachability."""
+    k = list(g.keys)
+    r = closure if closure is not None else reach(g)
+    nodes = written(r.select(*k, F.col("b").alias("m"), F.col("a").alias("node")))
+    edges = nodes.withColumnRenamed("node", "src").where("src <> m").join(g.edges, [*k, "src"]).join(nodes.withColumnRenamed("node", "dst"), [*k, "m", "dst"], "left_semi")
+    each = FlowGraph(nodes, written(edges.select(*k, "m", "src", "dst")), (*k, "m"))
+    timed = timing_dominance(each).where("y <> x").select(*k, "m", F.col("y").alias("node")).distinct()
+    return nodes.where("node <> m").join(timed, [*k, "m", "node"], "left_anti").select(*k, F.col("node").alias("n"), "m")
+
+
+def dependence_of_threads(g: FlowGraph, spawns: DataFrame, closure: DataFrame) -> DataFrame:
+    """keys, n, m: timing dependence along edges that aren't spawns; what decides when a thread starts decides it for all that the thread reaches."""
+    k = list(g.keys)
+    own = written(dependence(FlowGraph(g.nodes, written(g.edges.join(spawns, [*k, "src", "dst"], "left_anti").select(*k, "src", "dst")), g.keys)))
+    started = own.join(spawns.select(*k, F.col("src").alias("m"), F.col("dst").alias("a")), [*k, "m"]).join(closure, [*k, "a"]).select(*k, "n", F.col("b").alias("m"))
+    return own.union(started).distinct()

@@ -219,6 +219,58 @@ res AS MATERIALIZED (SELECT DISTINCT graph_id, n, m FROM (SELECT graph_id, src A
     out["bounded_walks"] = query(EVENTS, "\nwk AS (SELECT graph_id, node AS origin, node, 0 AS steps FROM n WHERE node = 1 UNION SELECT graph_id, origin, dst, steps + 1 FROM wk JOIN (SELECT graph_id, src AS node, dst FROM e) USING (graph_id, node) WHERE steps < 5)", select="SELECT * FROM wk")
     out["chain_roots"] = query(EVENTS, "\npa AS (SELECT graph_id, src AS node, max(dst) AS parent FROM e GROUP BY graph_id, src HAVING max(dst) > src),\nup AS (SELECT graph_id, node, parent AS z, 1 AS depth FROM pa UNION ALL SELECT graph_id, up.node, pa.parent, depth + 1 FROM up JOIN pa USING (graph_id) WHERE pa.node = up.z)", select="SELECT graph_id, node, arg_max(z, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY graph_id, node")
     out["accepted_words"] = query(EVENTS, select="SELECT DISTINCT a.graph_id AS word_id FROM en a JOIN en b ON a.graph_id = b.graph_id AND b.node = a.node + 1 WHERE a.event = 'click' AND b.event IN ('error', 'purchase')")
+    itd = "\nitd AS (SELECT DISTINCT graph_id, a AS n, b AS m FROM mhp JOIN (SELECT graph_id, node AS a, name FROM defs) USING (graph_id, a) JOIN (SELECT graph_id, node AS b, name FROM uses) USING (graph_id, b, name))"
+    cpdg = "\ncpdg AS MATERIALIZED (SELECT graph_id, n, m FROM res UNION SELECT graph_id, n, m FROM dd UNION SELECT graph_id, n, m FROM itd UNION SELECT graph_id, src, dst FROM sp)"
+    whole = (EVENTS, NAMES, dom, cd("res", "sdom"), sp, th, apart, many, par.replace("mhp AS (", "mhp AS MATERIALIZED ("), itd, cpdg)
+    fdom = """
+fav AS (SELECT graph_id, node AS x, CAST(1 AS BIGINT) AS b FROM n WHERE node <> 1 UNION SELECT graph_id, x, dst FROM fav JOIN (SELECT graph_id, src AS b, dst FROM e) USING (graph_id, b) WHERE dst <> x),
+fdom AS MATERIALIZED (SELECT graph_id, y, x FROM (SELECT graph_id, b AS y FROM r WHERE a = 1) JOIN (SELECT graph_id, b AS x FROM r WHERE a = 1) USING (graph_id) ANTI JOIN (SELECT graph_id, x, b AS y FROM fav) USING (graph_id, x, y)),
+cdom AS MATERIALIZED (SELECT graph_id, a, b, arg_max(dom, size) AS dom FROM mhp JOIN (SELECT graph_id, y AS a, x AS dom FROM fdom) USING (graph_id, a) JOIN (SELECT graph_id, y AS b, x AS dom FROM fdom) USING (graph_id, b, dom)
+         JOIN (SELECT graph_id, y AS dom, count(*) AS size FROM fdom GROUP BY ALL) USING (graph_id, dom) ANTI JOIN (SELECT graph_id, a AS dom, b AS a FROM mhp) USING (graph_id, dom, a) ANTI JOIN (SELECT graph_id, a AS dom, b FROM mhp) USING (graph_id, dom, b) GROUP BY graph_id, a, b)"""
+
+    def tdep(edges: str, p: str = "t") -> str:
+        k = "graph_id, m"
+        return f"""
+{p}n AS MATERIALIZED (SELECT graph_id, b AS m, a AS node FROM {p}0r),
+{p}e AS MATERIALIZED (SELECT graph_id, m, src, dst FROM {edges} JOIN (SELECT graph_id, m, node AS src FROM {p}n) USING (graph_id, src) JOIN (SELECT graph_id, m, node AS dst FROM {p}n) USING (graph_id, m, dst) WHERE src <> m),
+{dominance(p, p + 'n', p + 'e', k).lstrip()},
+{p}wk AS (SELECT {k}, node AS y, node AS x, 0 AS steps FROM {p}n UNION SELECT {k}, src, x, steps + 1 FROM {p}wk JOIN (SELECT {k}, src, dst AS y FROM {p}e) USING ({k}, y) SEMI JOIN (SELECT {k}, y AS src, x FROM {p}mdom) USING ({k}, src, x) WHERE src <> x),
+{p}td AS (SELECT {k}, y FROM (SELECT {k}, y, x FROM {p}wk WHERE y <> x GROUP BY {k}, y, x HAVING min(steps) = max(steps)) GROUP BY ALL),
+{p}dep AS MATERIALIZED (SELECT graph_id, node AS n, m FROM {p}n ANTI JOIN (SELECT {k}, y AS node FROM {p}td) USING ({k}, node) WHERE node <> m)"""
+
+    alone = (closure("t0").lstrip(), tdep("e").lstrip())
+    out["timing_dependence"] = query(EVENTS, *alone, select="SELECT * FROM tdep")
+    for name, d in two.items():
+        out[f"nt{'i' if name == 'sink' else 's'}cd_timing_slice"] = query(EVENTS, *alone, dom, cd("res", d), "\nctd AS MATERIALIZED (SELECT * FROM res UNION SELECT * FROM tdep)", EXIT, slice_("ctd", "exits"), select="SELECT * FROM sl")
+    for name, cost in (("", "1"), ("_cost", "1 + (src * 7 + dst * 3) % 32")):
+        out[f"timing_frontier{name}"] = query(
+            EVENTS, dom, f"\nec AS (SELECT graph_id, src, dst, CAST({cost} AS BIGINT) AS cost FROM e)",
+            "\nwk AS (SELECT graph_id, node AS y, node AS x, CAST(0 AS BIGINT) AS steps FROM n UNION SELECT graph_id, src, x, steps + cost FROM wk JOIN (SELECT graph_id, src, dst AS y, cost FROM ec) USING (graph_id, y) SEMI JOIN (SELECT graph_id, y AS src, x FROM mdom) USING (graph_id, src, x) WHERE src <> x)",
+            "\ntd AS MATERIALIZED (SELECT graph_id, y, x FROM wk GROUP BY graph_id, y, x HAVING min(steps) = max(steps))", immediate("td").split(",\nimm AS")[0],
+            select="SELECT DISTINCT graph_id, x, src AS y FROM e JOIN (SELECT graph_id, y AS dst, x FROM td) USING (graph_id, dst) ANTI JOIN (SELECT graph_id, x, y AS src FROM one) USING (graph_id, x, src)",
+        )
+    out["tscd_cost_slice"] = out["tscd_slice"].replace("CAST(1 AS BIGINT) AS cost", "CAST(1 + (src * 7 + dst * 3) % 32 AS BIGINT) AS cost")
+    out["ternary_slice"] = out["immediate_slice"] = out["nticd_ntiod_slice"]
+    out["concurrent_dependence"] = query(*whole, select="SELECT * FROM cpdg")
+    out["common_dominator"] = query(*threads, fdom, select="SELECT * FROM cdom")
+    hi, lw = kind("hi", "signup"), kind("lw", "purchase")
+    high = lambda pairs, name="fl", seed="hi": f"\n{name} AS (SELECT graph_id, node FROM {seed} UNION SELECT graph_id, m FROM {name} JOIN (SELECT graph_id, n AS node, m FROM {pairs}) USING (graph_id, node))"
+    inside = "\nal AS MATERIALIZED (SELECT * FROM cpdg UNION SELECT c.graph_id, p.b, c.a FROM (SELECT DISTINCT graph_id, dom, a FROM cdom) c JOIN r p ON p.graph_id = c.graph_id AND p.a = c.dom JOIN r q ON q.graph_id = c.graph_id AND q.a = p.b AND q.b = c.a)"
+    out["minimal_classification"] = query(*whole, fdom, inside, hi, high("al"), select="SELECT * FROM fl")
+    plain = "\nne AS MATERIALIZED (SELECT graph_id, src, dst FROM e WHERE dst <> src + 3)"
+    spawned = "\ntdp AS MATERIALIZED (SELECT * FROM tdep UNION SELECT t.graph_id, t.n, r.b FROM tdep t JOIN sp ON sp.graph_id = t.graph_id AND sp.src = t.m JOIN r ON r.graph_id = t.graph_id AND r.a = sp.dst)"
+    timed_by = "\ntb AS MATERIALIZED (SELECT DISTINCT c.graph_id, c.a, c.b, t.n AS x FROM cdom c JOIN tdp t ON t.graph_id = c.graph_id AND (t.m = c.a OR t.m = c.b) JOIN r ON r.graph_id = c.graph_id AND r.a = c.dom AND r.b = t.n)"
+    cf = "\ntu AS (SELECT * FROM uses UNION SELECT * FROM defs),\ncf AS MATERIALIZED (SELECT DISTINCT graph_id, a AS n, b AS m FROM mhp JOIN (SELECT graph_id, node AS a, name FROM defs) USING (graph_id, a) JOIN (SELECT graph_id, node AS b, name FROM tu) USING (graph_id, b, name))"
+    races = "\nal AS MATERIALIZED (SELECT * FROM cpdg UNION SELECT graph_id, x, b FROM tb SEMI JOIN (SELECT graph_id, n AS a, m AS b FROM cf) USING (graph_id, a, b))"
+    levels = "\ntl AS (SELECT DISTINCT graph_id, a, b FROM tb SEMI JOIN (SELECT graph_id, node AS x FROM fl) USING (graph_id, x))"
+    clocks = (*whole, fdom, plain, closure("t0", "n", "ne"), tdep("ne"), spawned, timed_by, cf, races, hi, high("al"), levels)
+    secure = lambda bad: f"SELECT graph_id, graph_id NOT IN ({bad}) AS secure FROM (SELECT DISTINCT graph_id FROM n)"
+    low_pairs = "SEMI JOIN (SELECT graph_id, node AS a FROM lw) USING (graph_id, a) SEMI JOIN (SELECT graph_id, node AS b FROM lw) USING (graph_id, b)"
+    out["timing_classification"] = query(*clocks, select="SELECT * FROM fl")
+    out["timing_levels"] = query(*clocks, select="SELECT * FROM tl")
+    out["timing_security"] = query(*clocks, lw, select=secure(f"SELECT graph_id FROM fl SEMI JOIN lw USING (graph_id, node) UNION SELECT graph_id FROM tl {low_pairs}"))
+    for name, racing in (("lsod", "SELECT graph_id, n FROM cf UNION SELECT graph_id, m FROM cf"), ("rlsod", "SELECT graph_id, m FROM itd UNION SELECT graph_id, b FROM mhp JOIN (SELECT graph_id, node AS a, name FROM defs) USING (graph_id, a) JOIN (SELECT graph_id, node AS b, name FROM defs) USING (graph_id, b, name)")):
+        out[name] = query(*whole, cf, hi, lw, f"\nsd AS (SELECT * FROM hi UNION {racing})", high("cpdg", "fl", "sd"), select=secure(f"SELECT graph_id FROM fl SEMI JOIN lw USING (graph_id, node) UNION SELECT graph_id FROM mhp {low_pairs}"))
     exit_ = "\nxn AS (SELECT * FROM n UNION SELECT DISTINCT graph_id, CAST(-1 AS BIGINT) FROM n),\nxe AS (SELECT * FROM e UNION SELECT graph_id, node, CAST(-1 AS BIGINT) FROM n ANTI JOIN (SELECT graph_id, src AS node FROM e) USING (graph_id, node))"
     live = "\nyn AS (SELECT graph_id, a AS node FROM xr WHERE b = -1),\nye AS (SELECT graph_id, src, dst FROM xe SEMI JOIN (SELECT graph_id, node AS src FROM yn) USING (graph_id, src) SEMI JOIN (SELECT graph_id, node AS dst FROM yn) USING (graph_id, dst))"
     out["classic_control_dependence"] = query(EVENTS, exit_, closure("x", "xn", "xe"), live, dominance("y", "yn", "ye"), cd("res", "ysdom", "y", "ye"), select="SELECT * FROM res WHERE m <> -1")

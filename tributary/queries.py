@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import statistics, values
-from .operators import control, dataflow, dominance, order, paths, procedures, slicing, structure, threads, timing
+from .operators import classification, control, dataflow, dominance, order, paths, procedures, slicing, structure, threads, timing
 from .plans.fixpoint import written
 from .sources import flowgraphs as flow
 
@@ -32,10 +32,10 @@ def names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return n.select("graph_id", "node", F.col("event").alias("name")), n.select("graph_id", "node", before.alias("name")).where("name is not null")
 
 
-def dependence(g: flow.FlowGraph, spark: SparkSession, d: str) -> DataFrame:
+def dependence(g: flow.FlowGraph, spark: SparkSession, d: str, closure: DataFrame | None = None) -> DataFrame:
     """Control and data dependence together."""
     defines, uses = names(spark, d)
-    return control.insensitive(g).union(dataflow.data_dependence(dataflow.reaching_definitions(g, defines), uses, K)).distinct()
+    return control.insensitive(g, closure).union(dataflow.data_dependence(dataflow.reaching_definitions(g, defines), uses, K)).distinct()
 
 
 def of_type(spark: SparkSession, d: str, event: str) -> DataFrame:
@@ -257,10 +257,15 @@ def insecure_nodes(spark, d):
     return dataflow.insecure(written(program_dependence(spark, d)), of_type(spark, d, "signup"), of_type(spark, d, "purchase"), K)
 
 
+def event_parens(g: flow.FlowGraph) -> DataFrame:
+    """Jumps on call, jumps back return."""
+    kind = F.when(F.col("dst") == F.col("src") + 3, "(").when(F.col("dst") < F.col("src"), ")")
+    return written(g.edges.withColumn("paren", kind).where("paren is not null").withColumn("site", F.pmod(F.col("src"), F.lit(2))))
+
+
 def balanced_reachability(spark, d):
     g = events(spark, d)
-    kind = F.when(F.col("dst") == F.col("src") + 3, "(").when(F.col("dst") < F.col("src"), ")")
-    return dataflow.balanced_reach(g, written(g.edges.withColumn("paren", kind).where("paren is not null").withColumn("site", F.pmod(F.col("src"), F.lit(2)))))
+    return dataflow.balanced_reach(g, event_parens(g))
 
 
 def spawns(g: flow.FlowGraph) -> DataFrame:
@@ -298,8 +303,135 @@ def inter_thread_dependence(spark, d):
 
 
 def timed_classification(spark, d):
+    g, mhp, closure = program(spark, d)
+    return threads.classified(g, dependence(g, spark, d, closure), mhp, of_type(spark, d, "signup"))
+
+
+def program(spark: SparkSession, d: str) -> tuple[flow.FlowGraph, DataFrame, DataFrame]:
+    """The event graphs as programs with threads: what may run at the same time, and reachability."""
+    g = events(spark, d)
+    closure = structure.reach(g)
+    return g, written(threads.parallel(g, spawns(g), entries(g), closure)), closure
+
+
+def concurrent(g: flow.FlowGraph, mhp: DataFrame, closure: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Control and data dependence, dependence between threads, and starts of threads."""
+    between = threads.between_threads(mhp, *names(spark, d), K)
+    return written(dependence(g, spark, d, closure).union(between).union(spawns(g).select("graph_id", F.col("src").alias("n"), F.col("dst").alias("m"))).distinct())
+
+
+def commons(g: flow.FlowGraph, mhp: DataFrame) -> DataFrame:
+    return written(classification.common_dominators(written(classification.dominators(g, entries(g))), mhp, K))
+
+
+def concurrent_dependence(spark, d):
+    g, mhp, closure = program(spark, d)
+    return concurrent(g, mhp, closure, spark, d)
+
+
+def common_dominator(spark, d):
+    return commons(*program(spark, d)[:2])
+
+
+def minimal_classification(spark, d):
+    g, mhp, closure = program(spark, d)
+    return classification.minimal(concurrent(g, mhp, closure, spark, d), commons(g, mhp), closure, of_type(spark, d, "signup"), K)
+
+
+def _timing_classes(spark, d):
+    g, mhp, closure = program(spark, d)
+    timed = written(classification.timed_by(commons(g, mhp), closure, written(timing.dependence_of_threads(g, spawns(g), closure)), K))
+    nodes, pairs = classification.timing_classes(concurrent(g, mhp, closure, spark, d), threads.conflicts(mhp, *names(spark, d), K), timed, of_type(spark, d, "signup"), K)
+    return g, mhp, nodes, pairs
+
+
+def timing_classification(spark, d):
+    return _timing_classes(spark, d)[2]
+
+
+def timing_levels(spark, d):
+    return _timing_classes(spark, d)[3]
+
+
+def timing_security(spark, d):
+    g, mhp, nodes, pairs = _timing_classes(spark, d)
+    return classification.timing_security(g, nodes, pairs, mhp, of_type(spark, d, "purchase"))
+
+
+def lsod(spark, d):
+    """Both nodes of a conflict race."""
+    g, mhp, closure = program(spark, d)
+    pairs = threads.conflicts(mhp, *names(spark, d), K)
+    racing = pairs.select("graph_id", F.col("n").alias("node")).union(pairs.select("graph_id", "m"))
+    return classification.low_security(g, concurrent(g, mhp, closure, spark, d), mhp, racing, of_type(spark, d, "signup"), of_type(spark, d, "purchase"))
+
+
+def rlsod(spark, d):
+    """Only what another thread's definition reaches, or overwrites, races."""
+    g, mhp, closure = program(spark, d)
+    defines, uses = names(spark, d)
+    racing = threads.between_threads(mhp, defines, uses, K).union(threads.between_threads(mhp, defines, defines, K)).select("graph_id", F.col("m").alias("node"))
+    return classification.low_security(g, concurrent(g, mhp, closure, spark, d), mhp, racing, of_type(spark, d, "signup"), of_type(spark, d, "purchase"))
+
+
+def timing_dependence(spark, d):
+    return timing.dependence(events(spark, d))
+
+
+def timing_frontier(spark, d):
+    return timing.frontier(events(spark, d))
+
+
+def timing_frontier_cost(spark, d):
+    g = events(spark, d)
+    return timing.frontier(g, flow.edge_costs(g.edges))
+
+
+def nticd_timing_slice(spark, d):
+    return slicing.control_slice(events(spark, d), flow.exits_of_events(spark, d), lambda g: control.insensitive(g).union(timing.dependence(g)).distinct())
+
+
+def ntscd_timing_slice(spark, d):
+    return slicing.control_slice(events(spark, d), flow.exits_of_events(spark, d), lambda g: control.sensitive(g).union(timing.dependence(g)).distinct())
+
+
+def tscd_cost_slice(spark, d):
+    return slicing.control_slice(events(spark, d), flow.exits_of_events(spark, d), lambda g: timing.timing_sensitive(g, flow.edge_costs(g.edges)))
+
+
+def ternary_slice(spark, d):
+    """The order slice by its definition: closed under pairs and triples."""
+    g = events(spark, d)
+    return slicing.backward(written(control.insensitive(g)), flow.exits_of_events(spark, d), K, written(order.insensitive(g)))
+
+
+def immediate_slice(spark, d):
+    return slicing.by_immediate(events(spark, d), flow.exits_of_events(spark, d))
+
+
+def call_ends(g: flow.FlowGraph) -> tuple[DataFrame, DataFrame]:
+    """Actual and formal nodes of jumps on (in) and back (out); calls are told apart by the parity of the actual node."""
+    e = kinds(g)
+    ins = e.where(F.col("kind") == procedures.IN).select("graph_id", F.col("src").alias("actual"), F.col("dst").alias("formal"), F.pmod("src", F.lit(2)).alias("call"))
+    outs = e.where(F.col("kind") == procedures.OUT).select("graph_id", F.col("dst").alias("actual"), F.col("src").alias("formal"), F.pmod("dst", F.lit(2)).alias("call"))
+    return ins, outs
+
+
+def summary_edges(spark, d):
+    g = events(spark, d)
+    return procedures.summary_edges(kinds(g), *call_ends(g), K)
+
+
+def summary_slice(spark, d):
+    """Two phases over a graph with its summary edges."""
+    g = events(spark, d)
+    return procedures.two_phase(written(procedures.with_summaries(kinds(g), *call_ends(g), K)), flow.exits_of_events(spark, d), K)
+
+
+def balanced_chop(spark, d):
     g = events(spark, d)
-    return threads.classified(g, dependence(g, spark, d), written(threads.parallel(g, spawns(g), entries(g))), of_type(spark, d, "signup"))
+    parens = event_parens(g)
+    return procedures.balanced_chop(g, parens, written(dataflow.balanced_reach(g, parens)), of_type(spark, d, "view"), of_type(spark, d, "purchase"))
 
 
 def kinds(g: flow.FlowGraph) -> DataFrame:
@@ -378,6 +510,9 @@ QUERIES = (
     reaching_definitions, data_dependence, program_dependence, program_slice, information_flow, insecure_nodes, balanced_reachability,
     threads_of, spawned_apart, parallel_nodes, data_conflicts, inter_thread_dependence, timed_classification, two_phase_slice, within_chop,
     distances, bounded_walks, chain_roots, accepted_words,
+    timing_dependence, timing_frontier, timing_frontier_cost, nticd_timing_slice, ntscd_timing_slice, tscd_cost_slice, ternary_slice, immediate_slice,
+    concurrent_dependence, common_dominator, minimal_classification, timing_classification, timing_levels, timing_security, lsod, rlsod,
+    summary_edges, summary_slice, balanced_chop,
     value_arithmetic, level_join, g_test, equivalence_distance, two_sample_test,
 )
 
