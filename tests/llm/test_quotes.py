@@ -107,3 +107,9 @@ def test_many_lines(spark):
     rows = [(1, 0, "a", "\n".join(f"line {i}" for i in range(20000))), (1, 1, "b", "\n".join(f"> line {i}\nno" for i in range(5000)))]
     got = result(Q.link_quotes(made(spark, rows)))
     assert got[1, 1][2:5] == [5000, 5000, 0]
+
+
+def test_control_characters_are_kept(spark):
+    rows = [("c", 0, "user", "a\x1eb\x1fc\n > no quote > of it"), ("c", 1, "assistant", "> a\x1eb\x1fc\nyes\x1e")]
+    got = {r.turn: r for r in Q.link_quotes(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    assert got[0].body == "a\x1eb\x1fc" and got[1].body == "yes\x1e" and got[1].reply_to == 0 and got[1].n_linked == 1

@@ -48,19 +48,20 @@ def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, row (tells rows of one turn apart), body (unquoted lines), passages
     (array of level and normalised text, in order, without empty ones)."""
     text = F.coalesce(messages["text"], F.lit(""))
-    df = messages.select("conv_id", "turn", "role", F.xxhash64("role", text).alias("row"), F.split(F.translate(text, "\x1e\x1f", "  "), r"\r?\n").alias("lines"))
+    df = messages.select("conv_id", "turn", "role", F.xxhash64("role", text).alias("row"), F.split(text, r"\r?\n").alias("lines"))
     levels = F.transform("lines", level)
     df = df.withColumn("levels", levels)
     plain = F.transform(F.filter(F.arrays_zip("lines", "levels"), lambda x: x["levels"] == 0), lambda x: x["lines"])
     body = F.regexp_replace(F.array_join(plain, "\n"), r"^(?:[ \t]*\n)+|\s+$", "")
-    # A line that changes the level begins a passage: marked, joined and split again, which is linear.
+    # A line that changes the level begins a passage: marked, joined and split again, which is linear. A line holds no line
+    # end, and each is put in after one and a space, so one before > is a mark, whatever the message holds.
     before = F.concat(F.array(F.lit(-1)), F.slice("levels", 1, F.greatest(F.size("levels") - 1, F.lit(0))))
     marked = F.transform(
         F.arrays_zip("lines", "levels", before.alias("before")),
-        lambda x: F.concat(F.when(x["levels"] == x["before"], F.lit("\n")).otherwise(F.concat(F.lit("\x1e"), x["levels"].cast("string"), F.lit("\x1f"))), unmarked(x["lines"])),
+        lambda x: F.concat(F.when(x["levels"] == x["before"], F.lit("\n ")).otherwise(F.concat(F.lit("\n>"), x["levels"].cast("string"), F.lit("\n "))), unmarked(x["lines"])),
     )
-    runs = F.filter(F.split(F.array_join(marked, ""), "\x1e"), lambda p: p != "")
-    passages = F.transform(runs, lambda p: F.struct(F.substring_index(p, "\x1f", 1).cast("int").alias("level"), F.substring_index(p, "\x1f", -1).alias("text")))
+    runs = F.transform(F.filter(F.split(F.array_join(marked, ""), "\n>"), lambda p: p != ""), lambda p: F.split(p, "\n "))
+    passages = F.transform(runs, lambda p: F.struct(p[0].cast("int").alias("level"), F.array_join(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), "\n").alias("text")))
     return df.select("conv_id", "turn", "role", "row", body.alias("body"), F.filter(passages, lambda p: normal(p["text"]) != "").alias("passages"))
 
 
