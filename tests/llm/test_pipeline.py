@@ -2,10 +2,12 @@
 
 import importlib
 import random
+import re
+from pathlib import Path
 
 from brute import documents
 
-from tributary.llm import language, pii
+from tributary.llm import decontaminate, language, pii, similar
 
 
 def sf_dir(spark, tmp_path, docs, items):
@@ -66,4 +68,24 @@ def test_awkward_documents(spark, tmp_path):
 
 
 def test_modules_do_not_hide_errors():
-    assert language.ACCEPT and pii.KINDS
+    """The guard against missing modules is in the entry file alone."""
+    root = Path(__file__).parents[2]
+    for path in [root / "corpus_pipeline.py", *(root / "tributary" / "llm").glob("*.py")]:
+        assert not re.search(r"except[^\n]*(Import|ModuleNotFound)Error|suppress\([^\n]*(Import|ModuleNotFound)Error", path.read_text()), path
+
+
+def test_rows_that_share_an_id_and_clashing_names(spark):
+    """Verdicts reach the row that they are about, whatever else has its id, and odd columns come through."""
+    r = random.Random(3)
+    some = lambda k: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "rho", "tau", "phi", "chi"]) + str(r.randrange(9)) for _ in range(k))
+    item, clean, other = some(40), some(60), some(60)
+    rows = [(7, clean), (7, "12 34 !!"), (7, item), (None, other), (None, "56 78"), (None, item + " mail a@b.co")]
+    docs = spark.createDataFrame([(*x, "en", "s", 1, "h", "r", 2) for x in rows], "doc_id long, text string, lang string, source string, key int, hit string, row string, _key int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    told = language.keep_identified(docs)
+    assert told.columns == docs.columns and {x.text for x in told.collect()} == {t for _, t in rows} - {"12 34 !!", "56 78"}
+    left = decontaminate.remove_contaminated(told, bench)
+    assert left.columns == docs.columns and {x.text for x in left.collect()} == {clean, other}
+    red = pii.redact(docs)
+    assert red.columns == docs.columns and {x.text for x in red.collect()} == {t for _, t in rows[:-1]} | {item + " mail <EMAIL>"}
+    assert similar.keep_one(docs).columns == docs.columns
