@@ -136,18 +136,18 @@ def bounded(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
 
 
 def across(held: DataFrame, similarity: float) -> DataFrame:
-    """a, b: members of a bucket (key, id, n, at, p1, p2, comp) in different components, as far as sizes and places allow.
-    A bucket of many members is cut into blocks, and each two blocks meet. Two that share one of the two keys before (p1,
-    p2), too, have met in its bucket or an earlier one, where the bounds are looser: they don't meet again."""
+    """a, b: members of a bucket (key, id, n, at, before, comp) in different components, as far as sizes and places allow.
+    A bucket of many members is cut into blocks, and each two blocks meet. Two that share the key before, too, have met
+    in its bucket or an earlier one, where the bounds are looser: they don't meet again."""
     mixed = held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).where("c0 < c1").select("key", F.floor(F.col("members") / BLOCK + 1).alias("blocks"))
     rows = table(held.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")), "held")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca"), F.col("own").alias("i"), every.alias("j"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
-    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"), every.alias("i"), F.col("own").alias("j"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
+    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca"), F.col("own").alias("i"), every.alias("j"), F.col("before").alias("ka"))
+    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"), every.alias("i"), F.col("own").alias("j"), F.col("before").alias("kb"))
     fits = F.least("na", "nb") + EPS >= similarity * F.greatest("na", "nb")
     # Of the first shingle that both have, so many can still follow.
     fits &= F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (1 + similarity) + EPS >= similarity * (F.col("na") + F.col("nb"))
-    fits &= ~F.coalesce(F.expr("a1 = b1 or a1 = b2 or a2 = b1 or a2 = b2"), F.lit(False))
+    fits &= ~F.coalesce(F.col("ka") == F.col("kb"), F.lit(False))
     return x.join(y, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
 
 
@@ -200,7 +200,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, similarity: similar documents, enough of them to connect all that are similar."""
     known = table(prefixes(docs, similarity), "prefixes")
-    keys = F.expr("transform(keys, (k, i) -> named_struct('key', k, 'p1', if(i > 0, keys[i - 1], null), 'p2', if(i > 1, keys[i - 2], null)))")
+    keys = F.expr("transform(keys, (k, i) -> named_struct('key', k, 'before', if(i > 0, keys[i - 1], null)))")
     each = known.select("id", "n", F.posexplode(keys).alias("at", "k")).select("id", "n", "at", "k.*").repartition("key")
     ends = each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo")
     star = table(each.join(ends, "key"), "stars")
@@ -208,7 +208,7 @@ def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = table(verified(docs, table(bounded(tried, known, similarity), "pairs"), similarity), "first")
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     comps = table(connected(nodes, first).select(F.col("node").alias("id"), "comp"), "comps")
-    held = star.join(comps, "id", "left").select("key", "id", "n", "at", "p1", "p2", F.coalesce("comp", "id").alias("comp"))
+    held = star.join(comps, "id", "left").select("key", "id", "n", "at", "before", F.coalesce("comp", "id").alias("comp"))
     rest = across(held, similarity).join(tried, ["a", "b"], "left_anti")
     return first.union(verified(docs, table(bounded(rest, known, similarity), "pairs"), similarity))
 
