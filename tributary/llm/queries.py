@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, language, pii, quality, quotes, simhash, substrings, tokenfile, warc
+from . import bytebpe, decontaminate, language, merkle, pii, quality, quotes, simhash, substrings, tokenfile, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_without_lines(read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS id, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
 l AS (SELECT id, conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM m),
@@ -129,7 +133,34 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
-QUERIES = (op1_quotation_linking, op2_decontamination, op3_warc, op4_simhash, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_language_id, language_id_pages, op9_byte_bpe, op10_pii)
+#: A table of CRC-32 by its rule; crc(x) over a list of bytes is written out where it is used.
+CRC_TABLE = "crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+f AS (SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+      xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS code FROM documents, crc),
+d AS (SELECT doc_id, coalesce('1' || source, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+      sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS claim FROM (SELECT *, CASE WHEN code % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM f)),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d),
+lv AS (SELECT g, 0 AS level, i, leaf AS h, m FROM r
+       UNION ALL SELECT g, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 2) // 3 FROM lv WHERE m > 1 GROUP BY g, level, i // 3),
+tops AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM lv WHERE m = 1),
+tl AS (SELECT 0 AS level, i, subroot AS h, m FROM tops UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 2) // 3 FROM tl WHERE m > 1 GROUP BY level, i // 3),
+every AS (SELECT '1' || g AS g, level, i, h, m FROM lv UNION ALL SELECT '0', level, i, h, m FROM tl),
+sib AS (SELECT a.g, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+        FROM every a JOIN every b ON a.g = b.g AND a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.m > 1 GROUP BY a.g, a.level, a.i),
+up AS (SELECT r.*, '1' || g AS tree, 0 AS level, i AS spot, claim AS fold, '' AS proof FROM r
+       UNION ALL SELECT up.doc_id, up.g, up.leaf, up.claim, up.i, up.m, tree, up.level + 1, spot // 3, sha256(sib.l || fold || sib.r), proof || sib.l || sib.r FROM up JOIN sib ON sib.g = tree AND sib.level = up.level AND sib.i = spot),
+mid AS (SELECT up.*, tops.subroot, tops.i AS place FROM up JOIN tops USING (g) QUALIFY row_number() OVER (PARTITION BY up.g, up.i ORDER BY level DESC) = 1),
+fin AS (SELECT doc_id, g, i, leaf, subroot, 0 AS level, place AS spot, fold, proof FROM mid
+        UNION ALL SELECT doc_id, fin.g, fin.i, leaf, subroot, fin.level + 1, spot // 3, sha256(sib.l || fold || sib.r), proof || sib.l || sib.r FROM fin JOIN sib ON sib.g = '0' AND sib.level = fin.level AND sib.i = spot)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY g, i ORDER BY level DESC) = 1), (SELECT h AS root FROM tl WHERE m = 1)
+"""
+
+
+QUERIES = (op1_quotation_linking, op2_decontamination, op3_warc, op4_simhash, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_language_id, language_id_pages, op9_byte_bpe, op10_pii, op12_merkle)
 
 
 def queries() -> dict:
@@ -137,4 +168,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op12_merkle": OP12_SQL}
