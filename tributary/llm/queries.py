@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, language, merkle, pii, quality, quotes, simhash, substrings, tokenfile, warc
+from . import bytebpe, decontaminate, language, merkle, pii, quality, quotes, simhash, spelling, substrings, tokenfile, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_without_lines(read(spark, sf_dir, "documents"))
 
@@ -136,6 +140,22 @@ FROM d LEFT JOIN kept USING (doc_id)
 #: A table of CRC-32 by its rule; crc(x) over a list of bytes is written out where it is used.
 CRC_TABLE = "crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"
 
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM documents),
+once AS (SELECT doc_id, w, count(*) AS k, coalesce(doc_id::VARCHAR, '') || ':' || w AS s FROM run WHERE length(w) >= 7 GROUP BY doc_id, w),
+coded AS (SELECT w, k, xor(4294967295, list_reduce(list_transform(range(strlen(s)), lambda i: ('0x' || substr(hex(s), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS h FROM once, crc),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM coded) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, range(length(word)) r(i)),
+link AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON v.word = rest UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON v.word = rest),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM link QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) = 1),
+f AS (SELECT word, CASE WHEN near_n >= 10 * n THEN near END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.root = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT up.word, root FROM up JOIN f ON f.word = root WHERE form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
+"""
+
 OP12_SQL = f"""
 WITH RECURSIVE {CRC_TABLE},
 f AS (SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
@@ -160,7 +180,7 @@ FROM (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY g, i ORDER BY le
 """
 
 
-QUERIES = (op1_quotation_linking, op2_decontamination, op3_warc, op4_simhash, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_language_id, language_id_pages, op9_byte_bpe, op10_pii, op12_merkle)
+QUERIES = (op1_quotation_linking, op2_decontamination, op3_warc, op4_simhash, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_language_id, language_id_pages, op9_byte_bpe, op10_pii, op11_spelling, op12_merkle)
 
 
 def queries() -> dict:
@@ -168,4 +188,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op12_merkle": OP12_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op11_spelling": OP11_SQL, "op12_merkle": OP12_SQL}
