@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontaminate, language, merkle, pii, quality, quotes, simhash, spelling, substrings, tokenfile, warc
+from . import bytebpe, decontaminate, language, merkle, pii, quality, quotes, similar, simhash, spelling, substrings, tokenfile, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_without_lines(read(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.components(read(spark, sf_dir, "documents"), 0.9, 3)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS id, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
 l AS (SELECT id, conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM m),
@@ -180,7 +184,18 @@ FROM (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY g, i ORDER BY le
 """
 
 
-QUERIES = (op1_quotation_linking, op2_decontamination, op3_warc, op4_simhash, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_language_id, language_id_pages, op9_byte_bpe, op10_pii, op11_spelling, op12_merkle)
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS g FROM d)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM pair JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+r AS (SELECT doc_id, doc_id AS z FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.z = e.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+QUERIES = (op1_quotation_linking, op2_decontamination, op3_warc, op4_simhash, op5_token_files, op6_substring_dedup, op7_quality_rules, op8_language_id, language_id_pages, op9_byte_bpe, op10_pii, op11_spelling, op12_merkle, op13_ngram_jaccard)
 
 
 def queries() -> dict:
@@ -188,4 +203,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quotation_linking": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op11_spelling": OP11_SQL, "op12_merkle": OP12_SQL}
+    return {"op1_quotation_linking": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op11_spelling": OP11_SQL, "op12_merkle": OP12_SQL, "op13_ngram_jaccard": OP13_SQL}

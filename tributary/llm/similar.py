@@ -1,43 +1,55 @@
-"""Near-duplicates at a similarity of shingle sets, where SimHash fingerprints are too far apart.
-
-The fingerprints of whole documents, joined by Golay keys, find copies that differ
-in three bits of 64.  A document with a few words in a hundred changed differs in
-more, so these pairs come from the shingles, by an exact prefix filter: under one
-order of all shingles, two sets that are similar enough share one of the first
-n - ceil(similarity * n) + 1 of each.  The order puts shingles that are common in a
-sample last; any order is right, this one keeps buckets small.
-
-Each document is first compared with the smallest id of each of its buckets, so a
-group of copies costs its size.  Components are made of these links, and in buckets
-that still hold several of them members of different components are compared, in
-blocks.  What is compared passes bounds that can't lose a pair (set sizes, the place
-in the prefix, bits that one set has and the other hasn't), then the shingle sets of
-both whole texts decide.
-
-Defined results: null text is empty and similar to nothing; null ids are left out;
-rows that repeat an id count as one document, the smallest text of it.
+"""Similar documents by the Jaccard similarity of their sets of shingles, found with signature trees.
+
+Documents with equal sets are one: only the row with the smallest key of each set
+goes on.  Under one order of all shingles two sets that are similar enough share one
+of the first n - ceil(similarity * n) + 1 of each, so the documents are dealt to
+buckets by these; the order puts shingles that are common in a sample last (any
+order is right, this one keeps buckets small).  Keys that one document has are
+dropped in the pass that first brings keys together.
+
+Groups of copies mustn't cost the square of their size.  So each document is first
+compared with one hub: the smallest member of most of its buckets; then, while that
+links anything, with the smallest member of another component in its buckets.  What
+may be similar after that lies in different components of a bucket.  There the
+members, in the order of their sizes, are leaves of a signature tree: every node
+holds the bits of its members' shingles, OR-combined, the range of their sizes, and
+the range of their components.  Pairs of nodes are visited from the roots down; one
+is left out with all below it if its sizes are too far apart, if one component holds
+both, or if the bits that both have can't hold an overlap that is large enough.
+Pairs of leaves that are left are settled by both whole texts.  A crowded bucket is cut by
+sizes, then into blocks, and each two blocks make one tree.
+
+Defined results: null text is empty and similar to nothing; rows that repeat an id
+and text are one document; rows that repeat an id alone are documents of their own,
+but keep_one drops and keeps by id; null ids are left out by keep_one.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, table, text_pieces, trimmed, with_text, without
+from .common import map_text, row_key, sieve, small_batches, table, text_pieces, trimmed, without
 from .simhash import connected, near_duplicates
-from .words import LOWER, SPACE, grams, hashes, split, starts_of_runs
+from .words import LOWER, SPACE, grams, hashes, mix, split, starts_of_runs
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: The order of shingles knows at most COMMON of them, from some SAMPLE documents.
 SAMPLE, COMMON = 20_000, 1 << 20
-#: Members of a bucket that are compared in one group.
+#: Members of a bucket that meet in one tree, if the bucket holds more than one tree's members.
 BLOCK = 500
 #: Bounds of floating point are loosened by so much.
 EPS = 1e-6
-FILTER_BITS = 24
+#: Children of a node; pairs of nodes that are looked at together; rows whose trees stand in memory together.
+FANOUT, AT_ONCE, FOREST = 8, 10_000, 20_000
+#: Words of bits that are compared together.
+WIDE = 1 << 21
 
 
 def lowered(texts: pa.Array):
@@ -56,9 +68,9 @@ def shingles(w, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[value, each], np.r_[owner, short]
 
 
-def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text in the order of their hashes, and the text of each."""
-    value, owner = shingles(*lowered(texts), SHINGLE)
+    value, owner = shingles(*lowered(texts), size)
     order = np.lexsort((value, owner))
     v, o = value[order], owner[order]
     fresh = np.ones(len(v), bool)
@@ -66,59 +78,225 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return v[fresh], o[fresh]
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def keyed(docs: DataFrame) -> DataFrame:
+    """id (a key of doc_id and text), doc_id, text of each row, and nothing else."""
+    return small_batches(docs.select(row_key(docs["doc_id"], docs["text"]).alias("id"), docs["doc_id"], docs["text"]))
+
+
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample have, sorted, and in how many. It only orders shingles."""
     every = docs.count() // SAMPLE + 1
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        value, n = np.unique(shingle_sets(piece.column("text"))[0], return_counts=True)
+        value, n = np.unique(shingle_sets(piece.column("text"), size)[0], return_counts=True)
         return pa.record_batch([pa.array(value.view(np.int64)), pa.array(n)], ["key", "n"])
 
-    sample = with_text(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sample = docs.where(F.pmod("id", F.lit(every)) == 0)
     found = map_text(sample, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     key, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(key)
     return key[order], n[order]
 
 
-def prefixes(docs: DataFrame, similarity: float) -> DataFrame:
-    """id, n (shingles), keys (the prefix of them, in order), bits (a power of two, twice n or more, those of shingles set) of every document with words."""
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+def signatures(docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """id, doc_id, n (shingles), set (a hash of them), keys (the prefix of them, in order), rare (how many of these the
+    order doesn't know), bits (a power of two, twice n or more, those of shingles set) of every document (keyed)."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         common, times = sent.value
-        value, owner = shingle_sets(piece.column("text"))
+        value, owner = shingle_sets(piece.column("text"), size)
         n = np.bincount(owner, minlength=piece.num_rows).astype(np.int64)
         first = np.cumsum(n) - n
         rank = np.zeros(len(value), np.int64)
         if len(common):
             at = np.minimum(np.searchsorted(common, value), len(common) - 1)
             rank = np.where(common[at] == value, times[at], 0)
-        ordered = value[np.argsort(owner << 32 | rank, kind="stable")]
+        order = np.argsort(owner << 32 | rank, kind="stable")
         most = n - np.ceil(similarity * n - EPS).astype(np.int64) + 1
         keep = np.arange(len(value)) - first[owner] < most[owner]
-        size = np.full(len(n), 64, np.int64)
-        while (small := size < 2 * n).any():
-            size[small] *= 2
-        start = np.cumsum(size) - size
-        bits = np.zeros(size.sum(), bool)
-        bits[start[owner] + (value & (size[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+        known = np.bincount(owner[keep & (rank[order] == 0)], minlength=len(n))
+        width = np.full(len(n), 64, np.int64)
+        while (small := width < 2 * n).any():
+            width[small] *= 2
+        start = np.cumsum(width) - width
+        bits = np.zeros(width.sum(), bool)
+        bits[start[owner] + (value & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+        whole = np.zeros(len(n), np.uint64)
+        np.add.at(whole, owner, mix(value, value >> np.uint64(32)))  # of equal sets alike
         ends = lambda counts: pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-        keys = pa.ListArray.from_arrays(ends(np.bincount(owner[keep], minlength=len(n))), pa.array(ordered[keep].view(np.int64)))
-        packed = pa.Array.from_buffers(pa.binary(), len(n), [None, ends(size // 8).buffers()[1], pa.py_buffer(np.packbits(bits, bitorder="little").tobytes())])
-        return pa.record_batch([piece.column("doc_id"), pa.array(n), keys, packed], ["id", "n", "keys", "bits"]).filter(pa.array(n > 0))
+        keys = pa.ListArray.from_arrays(ends(np.bincount(owner[keep], minlength=len(n))), pa.array(value[order][keep].view(np.int64)))
+        packed = pa.Array.from_buffers(pa.binary(), len(n), [None, ends(width // 8).buffers()[1], pa.py_buffer(np.packbits(bits, bitorder="little").tobytes())])
+        return pa.record_batch([piece.column("id"), piece.column("doc_id"), pa.array(n), pa.array(mix(whole, n.astype(np.uint64)).view(np.int64)), keys, pa.array(known), packed], ["id", "doc_id", "n", "set", "keys", "rare", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_text(with_text(docs).where("doc_id is not null"), run, f"id {kind}, n long, keys array<long>, bits binary")
+    return table(map_text(docs, run, f"id long, doc_id {kind}, n long, set long, keys array<long>, rare long, bits binary"), "signatures")
+
+
+def folded(words: np.ndarray, first: np.ndarray, have: int, want: int) -> np.ndarray:
+    """A row of `want` words for each bit set that begins at first, `have` words long, its parts OR-combined."""
+    rows = words[first[:, None] + np.arange(have)]
+    return rows if have == want else np.bitwise_or.reduce(rows.reshape(len(rows), -1, want), axis=1)
+
+
+class Bits:
+    """Bit sets of several widths, one after another."""
+
+    def __init__(self, words: np.ndarray, width: np.ndarray, n: np.ndarray):
+        """width in words; n: shingles of each."""
+        self.words, self.width, self.first = words, width, np.cumsum(width) - width
+        ones = np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)]
+        self.ones = ones[self.first + width] - ones[self.first]
+        self.extra = n - self.ones  # shingles that share their bit with another
+
+    @classmethod
+    def of(cls, column: pa.Array, n: np.ndarray) -> Bits:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return cls(np.frombuffer(b"".join(column.to_pylist()), np.uint64), pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8, n)
+
+    def classes(self, other: Bits, a: np.ndarray, b: np.ndarray):
+        """Parts of the pairs a of self, b of other that have the same widths, not too many together: places, and both as rows of equal width."""
+        kind = self.width[a] << 32 | other.width[b]
+        order = np.argsort(kind, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(order) else []:
+            wa, wb = int(self.width[a[part[0]]]), int(other.width[b[part[0]]])
+            for lo in range(0, len(part), step := max(1, WIDE // max(wa, wb))):
+                at, w = part[lo : lo + step], min(wa, wb)
+                yield at, folded(self.words, self.first[a[at]], wa, w), folded(other.words, other.first[b[at]], wb, w)
+
+    def overlap(self, other: Bits, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most shingles that both can have: bits that both have, and those that may share a bit with another."""
+        out = np.where(self.width[a] < other.width[b], self.extra[a], np.where(self.width[a] > other.width[b], other.extra[b], np.minimum(self.extra[a], other.extra[b])))
+        for at, x, y in self.classes(other, a, b):
+            out[at] += np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+        return out
+
+    def within(self, other: Bits, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether single sets can be similar enough: a bit that the other hasn't is a shingle that it hasn't."""
+        shared = np.empty(len(a), np.int64)
+        for at, x, y in self.classes(other, a, b):
+            shared[at] = np.minimum(na[at] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), nb[at] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+        return shared * (1 + similarity) + EPS >= similarity * (na + nb)
 
 
 def within_bits(x: bytes, y: bytes, nx: int, ny: int, similarity: float) -> bool:
-    """Whether sets with these bits can be similar enough: a bit that the other hasn't is a shingle that it hasn't."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if len(a) != len(b):
-        a, b = (np.bitwise_or.reduce(c.reshape(-1, min(len(a), len(b))), axis=0) for c in (a, b))
-    shared = min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
-    return shared * (1 + similarity) + EPS >= similarity * (nx + ny)
+    """The same for one pair."""
+    one = np.zeros(1, np.int64)
+    a, b = (Bits(np.frombuffer(v, np.uint64), np.array([len(v) // 8]), np.array([n])) for v, n in ((x, nx), (y, ny)))
+    return bool(a.within(b, one, one, np.array([nx]), np.array([ny]), similarity)[0])
+
+
+class Nodes:
+    """A level of a forest: bits, and ranges of sizes, components and places of what stands below; children first … last - 1."""
+
+    def __init__(self, bits: Bits, group: np.ndarray, ranges: dict[str, tuple[np.ndarray, np.ndarray]], first: np.ndarray, last: np.ndarray):
+        self.bits, self.group, self.ranges, self.first, self.last = bits, group, ranges, first, last
+
+    def above(self) -> Nodes:
+        """The next level: runs of FANOUT nodes of a group. The nodes are in the order of group and size."""
+        here = np.arange(len(self.group))
+        start = np.flatnonzero(np.r_[True, np.diff(self.group) != 0])
+        place = here - np.repeat(start, np.diff(np.r_[start, len(here)]))
+        first = np.flatnonzero(place % FANOUT == 0)
+        last = np.r_[first[1:], len(here)]
+        run = np.repeat(np.arange(len(first)), last - first)
+        ranges = {k: (np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)) for k, (lo, hi) in self.ranges.items()}
+        width = np.minimum.reduceat(self.bits.width, first)
+        begin = np.cumsum(width) - width
+        words = np.zeros(int(width.sum()), np.uint64)
+        extra = np.zeros(len(first), np.int64)
+        kind = width[run] << 32 | self.bits.width
+        for k in np.unique(kind).tolist():
+            want, have = k >> 32, k & 0xFFFFFFFF
+            at = np.flatnonzero(kind == k)
+            for lo in range(0, len(at), step := max(1, WIDE // have)):
+                part = at[lo : lo + step]
+                rows = folded(self.bits.words, self.bits.first[part], have, want)
+                cut = np.flatnonzero(np.r_[True, np.diff(run[part]) != 0])
+                to = begin[run[part[cut]]][:, None] + np.arange(want)
+                words[to] |= np.bitwise_or.reduceat(rows, cut, axis=0)
+                lost = self.bits.ones[part] - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+                np.maximum.at(extra, run[part], self.bits.extra[part] + lost)
+        bits = Bits(words, width, np.zeros(len(first), np.int64))
+        bits.extra = extra
+        return Nodes(bits, self.group[first], ranges, first, last)
+
+
+def children(a: np.ndarray, b: np.ndarray, nodes: Nodes) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a child of a and a child of b, each pair once."""
+    na, nb = nodes.last[a] - nodes.first[a], nodes.last[b] - nodes.first[b]
+    of = np.repeat(np.arange(len(a)), na * nb)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+    x, y = nodes.first[a[of]] + k // nb[of], nodes.first[b[of]] + k % nb[of]
+    once = (a[of] != b[of]) | (x <= y)
+    return x[once], y[once]
+
+
+def similar_in(group, n, place, comp, upper, block, mixed, bits: Bits, similarity: float):
+    """Pairs of rows of a group that may be similar and aren't in one component. Rows are in the order of group and n.
+    place: of the group's key in the row's prefix. Of two rows one at least isn't upper; if the group is mixed, their blocks differ."""
+    every = {k: (v, v) for k, v in (("n", n), ("comp", comp), ("block", block), ("upper", upper))}
+    levels = [Nodes(bits, group, every, np.arange(len(n)), np.arange(len(n)))]
+    while len(levels[-1].group) > len(np.unique(levels[-1].group)):
+        levels.append(levels[-1].above())
+    crossed = mixed[np.searchsorted(group, np.arange(group.max(initial=-1) + 1))] if len(group) else mixed
+    roots = np.arange(len(levels[-1].group))
+    stack = [(len(levels) - 1, roots[k : k + AT_ONCE], roots[k : k + AT_ONCE]) for k in range(0, len(roots), AT_ONCE)]
+    while stack:
+        k, a, b = stack.pop()
+        level = levels[k]
+        (n0, n1), (c0, c1), (b0, b1), (u0, _) = (level.ranges[x] for x in ("n", "comp", "block", "upper"))
+        live = (n1[a] + EPS >= similarity * n0[b]) & (np.maximum(c1[a], c1[b]) > np.minimum(c0[a], c0[b])) & ~((u0[a] == 1) & (u0[b] == 1))
+        live &= ~(crossed[level.group[a]] & (np.maximum(b1[a], b1[b]) == np.minimum(b0[a], b0[b])))
+        a, b = a[live], b[live]
+        if k:
+            need = similarity * (n0[a] + n0[b])
+            live = (a == b) | (level.bits.overlap(level.bits, a, b) * (1 + similarity) + EPS >= need)
+            a, b = children(a[live], b[live], level)
+            stack += [(k - 1, a[i : i + AT_ONCE], b[i : i + AT_ONCE]) for i in range(0, len(a), AT_ONCE)]
+        else:  # of the first shingle that both have, so many can still follow
+            live = (a != b) & (np.minimum(n[a] - place[a], n[b] - place[b]) * (1 + similarity) + EPS >= similarity * (n[a] + n[b]))
+            a, b = a[live], b[live]
+            live = bits.within(bits, a, b, n[a], n[b], similarity)
+            yield a[live], b[live]
+
+
+def whole_groups(batches, key: str, rows: int):
+    """Sorted batches put together, so that each key is in one of them: a table of `rows` rows or more, or the last."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        t = pa.Table.from_batches(held)
+        k = t.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
+        if cut:
+            yield t.slice(0, cut)
+        held, count = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
+    if count:
+        yield pa.Table.from_batches(held)
+
+
+def shared_keys(known: DataFrame) -> DataFrame:
+    """key, id, n, at (place in the prefix), lo (the smallest id of the key), of keys that several documents have."""
+    key = F.posexplode("keys").alias("at", "key")
+    each = known.select("id", "n", "rare", key).select("key", "id", F.col("n").cast("int").alias("n"), "at", (F.col("at") < F.col("rare")).alias("rare"))
+
+    def run(batches):
+        for t in whole_groups(batches, "key", 1):
+            k, id_ = t.column("key").to_numpy(), t.column("id").to_numpy()
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            size = np.diff(np.r_[first, len(k)])
+            keep = np.repeat(size > 1, size)
+            yield from t.append_column("lo", pa.array(np.repeat(id_[first], size))).filter(pa.array(keep)).to_batches()
+
+    # The sample has seen no rare key three times, so none is hot; common ones are counted before they meet.
+    rare = each.where("rare").drop("rare").repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(run), "key long, id long, n int, at int, lo long")
+    common = each.where("not rare").drop("rare")
+    ends = common.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
+    return table(rare.union(common.join(ends, "key").select("key", "id", "n", "at", "lo")), "shared")
 
 
 def bounded(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
@@ -128,53 +306,20 @@ def bounded(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = [within_bits(*row, similarity) for row in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "na", "nb")))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = known.schema["id"].dataType.simpleString()
-    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(trimmed(run), f"a {kind}, b {kind}").distinct()
-
-
-def across(held: DataFrame, similarity: float) -> DataFrame:
-    """a, b: members of a bucket (key, id, n, at, before, comp) in different components, as far as sizes and places allow.
-    A bucket of many members is cut into blocks, and each two blocks meet. Two that share the key before, too, have met
-    in its bucket or an earlier one, where the bounds are looser: they don't meet again."""
-    mixed = held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).where("c0 < c1").select("key", F.floor(F.col("members") / BLOCK + 1).alias("blocks"))
-    rows = table(held.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")), "held")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    x = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca"), F.col("own").alias("i"), every.alias("j"), F.col("before").alias("ka"))
-    y = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"), every.alias("i"), F.col("own").alias("j"), F.col("before").alias("kb"))
-    fits = F.least("na", "nb") + EPS >= similarity * F.greatest("na", "nb")
-    # Of the first shingle that both have, so many can still follow.
-    fits &= F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (1 + similarity) + EPS >= similarity * (F.col("na") + F.col("nb"))
-    fits &= ~F.coalesce(F.col("ka") == F.col("kb"), F.lit(False))
-    return x.join(y, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
-
-
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, text of the documents in pairs. A bit filter of fixed size keeps most other texts out of the shuffle."""
-    ids = table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    bit = F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER_BITS)
-    rows = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[rows.column("i").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            every = np.arange(len(na))
+            keep = Bits.of(batch.column("x"), na).within(Bits.of(batch.column("y"), nb), every, every, na, nb, similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    def run(batches):
-        for batch in batches:
-            at = batch.column("bit").to_numpy()
-            keep = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.select(["id", "text"]).filter(pa.array(keep))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = with_text(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text").select("id", "text", bit.alias("bit"))
-    likely = marked.mapInArrow(trimmed(run), f"id {kind}, text string")
-    return table(likely.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b, similarity: the pairs whose sets of five-word shingles (A-Z in lower case) are similar enough."""
-    texts = texts_of(docs, pairs)
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """a, b, similarity: the pairs whose sets of shingles (A-Z in lower case) are similar enough, by their texts."""
+    pairs = table(pairs, "pairs")
+    ids = table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    likely = sieve(docs.where("text is not null").select("id", "text"), ids, "id")[0]
+    texts = table(likely.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches):
@@ -182,42 +327,113 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             for piece in text_pieces(batch, "x"):
                 sets = []
                 for c in ("x", "y"):
-                    w, h = lowered(piece.column(c))
-                    value, owner = shingles(w, h, SHINGLE)
-                    order = np.argsort(owner, kind="stable")
-                    cut = np.searchsorted(owner[order], np.arange(1, piece.num_rows))
-                    sets.append([np.unique(v) for v in np.split(value[order], cut)])
+                    value, owner = shingle_sets(piece.column(c), size)
+                    sets.append(np.split(value, np.searchsorted(owner, np.arange(1, piece.num_rows))))
                 out = []
                 for x, y in zip(*sets):
                     n = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append(n / max(1, len(x) + len(y) - n))
-                yield pa.record_batch([piece.column("a"), piece.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+                    out.append((n, len(x) + len(y) - n))
+                n, all_ = np.array(out, np.int64).reshape(-1, 2).T
+                keep = (n > 0) & (n + EPS >= similarity * all_)
+                yield pa.record_batch([piece.column("a"), piece.column("b"), pa.array(n / np.maximum(all_, 1))], ["a", "b", "similarity"]).filter(pa.array(keep))
+
+    return table(both.select("a", "b", "x", "y").mapInArrow(trimmed(verify), "a long, b long, similarity double"), "verified")
+
+
+def labelled(links: DataFrame) -> DataFrame:
+    """id, comp of the documents that links (a, b) connect."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    return table(connected(nodes, links).select(F.col("node").alias("id"), "comp"), "comps")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.select("a", "b", "x", "y").mapInArrow(trimmed(verify), f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similarity)
 
+def with_components(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """shared with comp, those keys alone that hold several components."""
+    held = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    return table(held.join(mixed, "key").select(*shared.columns, "comp"), "mixed")
 
-def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity: similar documents, enough of them to connect all that are similar."""
-    known = table(prefixes(docs, similarity), "prefixes")
-    keys = F.expr("transform(keys, (k, i) -> named_struct('key', k, 'before', if(i > 0, keys[i - 1], null)))")
-    each = known.select("id", "n", F.posexplode(keys).alias("at", "k")).select("id", "n", "at", "k.*").repartition("key")
-    ends = each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo")
-    star = table(each.join(ends, "key"), "stars")
-    tried = table(star.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "tried")
-    first = table(verified(docs, table(bounded(tried, known, similarity), "pairs"), similarity), "first")
-    nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    comps = table(connected(nodes, first).select(F.col("node").alias("id"), "comp"), "comps")
-    held = star.join(comps, "id", "left").select("key", "id", "n", "at", "before", F.coalesce("comp", "id").alias("comp"))
-    rest = across(held, similarity).join(tried, ["a", "b"], "left_anti")
-    return first.union(verified(docs, table(bounded(rest, known, similarity), "pairs"), similarity))
+
+def most_shared(pairs: DataFrame) -> DataFrame:
+    """For each b the a with which it shares most keys."""
+    counted = pairs.where("a <> b").groupBy("b", "a").agg(F.count("*").alias("k"))
+    return counted.groupBy("b").agg(F.max(F.struct("k", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+
+
+def across(mixed: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """a, b: documents of different components that meet in a tree and may be similar."""
+    size = mixed.groupBy("key").agg(F.count("*").alias("members"))
+    rows = mixed.join(size, "key").withColumns({"cut": F.col("members") > BLOCK, "kind": F.floor(F.log("n") / max(math.log(1 / similarity) * (1 + EPS), EPS)).cast("int")})
+    # A crowded bucket has trees by size, each with the sizes next above.
+    kinds = F.when(F.col("cut"), F.array(F.struct(F.col("kind").alias("at_kind"), F.lit(0).alias("upper")), F.struct((F.col("kind") - 1).alias("at_kind"), F.lit(1).alias("upper")))).otherwise(F.array(F.struct(F.lit(-9).alias("at_kind"), F.lit(0).alias("upper"))))
+    rows = table(rows.select("key", "id", "n", "at", "comp", F.explode(kinds).alias("_k")).select("key", "id", "n", "at", "comp", "_k.*"), "trees")
+    live = rows.groupBy("key", "at_kind").agg(F.count("*").alias("members"), F.min("upper").alias("u0"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("u0 = 0 and c0 < c1")
+    rows = rows.join(live.select("key", "at_kind", F.floor((F.col("members") - 1) / BLOCK + 1).cast("int").alias("blocks")), ["key", "at_kind"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("key", "at_kind", F.least("block", "other"), F.greatest("block", "other")).alias("tree"), (F.col("block") != F.col("other")).alias("odd"), "id", "n", "at", "comp", "upper", "block", "blocks")
+    # Of blocks i and j a tree has the rows of both; its own rows alone if they are one.
+    mixed_ = rows.join(known.select("id", "bits"), "id").repartition("tree").sortWithinPartitions("tree", "n")
+
+    def run(batches):
+        for t in whole_groups((b for b in batches if b.num_rows), "tree", FOREST):
+            col = lambda c: t.column(c).to_numpy().astype(np.int64)
+            group = np.unique(col("tree"), return_inverse=True)[1]
+            id_, n = col("id"), col("n")
+            for a, b in similar_in(group, n, col("at"), col("comp"), col("upper"), col("block"), col("odd").astype(bool), Bits.of(t.column("bits"), n), similarity):
+                yield pa.record_batch([pa.array(np.minimum(id_[a], id_[b])), pa.array(np.maximum(id_[a], id_[b]))], ["a", "b"])
+
+    return mixed_.mapInArrow(trimmed(run), "a long, b long").distinct()
+
+
+#: Rounds of hubs at most; trees settle what is left.
+HUBS = 3
+
+
+def links(docs: DataFrame, known: DataFrame, similarity: float, size: int) -> DataFrame:
+    """a, b, similarity: pairs of ids that connect all documents (keyed, with their signatures) that are similar."""
+    some = known.where("n > 0")
+    sets = table(some.groupBy("set").agg(F.min("id").alias("lo"), F.count("*").alias("rows")).where("rows > 1"), "sets")
+    same = table(some.join(sets, "set").where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")).distinct(), "same")
+    maybe, rest = sieve(some, sets, "set")
+    known = table(rest.unionByName(maybe.join(same.select(F.col("b").alias("id")), "id", "left_anti").dropDuplicates(["id"])), "representatives")
+    shared = shared_keys(known)
+    found = verified(docs, bounded(most_shared(shared.select(F.col("lo").alias("a"), F.col("id").alias("b"))), known, similarity), similarity, size)
+    for _ in range(HUBS):
+        mixed = with_components(shared, labelled(found))
+        least = mixed.groupBy("key", "comp").agg(F.min("id").alias("id"))
+        one = least.groupBy("key").agg(F.min(F.struct("id", "comp")).alias("one"))
+        two = least.join(one, "key").where("comp <> one.comp").groupBy("key").agg(F.first("one").alias("one"), F.min(F.struct("id", "comp")).alias("two"))
+        hub = F.when(F.col("comp") == F.col("one.comp"), F.col("two.id")).otherwise(F.col("one.id"))
+        tried = most_shared(mixed.join(two, "key").select(hub.alias("a"), F.col("id").alias("b")))
+        more = verified(docs, bounded(tried, known, similarity), similarity, size)
+        if more.isEmpty():
+            break
+        found = table(found.union(more), "links")
+    mixed = with_components(shared, labelled(found))
+    return same.union(found).union(verified(docs, across(mixed, known, similarity), similarity, size))
+
+
+def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """a, b (ids of documents), similarity: similar documents, enough of them to connect all that are similar."""
+    rows = keyed(docs).where("doc_id is not null")
+    known = signatures(rows, similarity, size)
+    name = lambda c: known.select(F.col("id").alias(c), F.col("doc_id").alias(f"doc_{c}")).distinct()
+    return links(rows, known, similarity, size).join(name("a"), "a").join(name("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "similarity")
+
+
+def components(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by similar documents) of every row."""
+    rows = keyed(docs)
+    known = signatures(rows, similarity, size)
+    comps = labelled(links(rows, known, similarity, size))
+    named = table(known.select("id", "doc_id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
+    several = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return named.join(several, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without the near-duplicates of one with a smaller id, by fingerprints and by shingles. Rows with a null id stay."""
-    close = table(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id").distinct(), "close")
-    links = close.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    pairs = table(links.union(similar_pairs(docs, similarity).select("a", "b")), "links")
+    close = near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id").union(components(docs.where(docs["doc_id"].isNotNull()), similarity).select("doc_id", "component_id"))
+    pairs = table(close.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "links")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     gone = connected(nodes, pairs).where("node <> comp").select(F.xxhash64("node").alias("key"))
     return without(docs, gone, F.xxhash64(docs["doc_id"]))
