@@ -2,13 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import HOPS, least_fixpoint
+from ..plans.fixpoint import HOPS, lattice_fixpoint, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 
 
+@dataclass(frozen=True)
+class Lattice:
+    """Values of a column that are joined by an aggregate; bottom (SQL) is below all of them."""
+
+    bottom: str
+    join: Callable[[Column], Column]
+
+
+#: The largest of numbers, 0 at least; the smallest, null before there is one; sets as bits, by union and by intersection.
+HIGHEST = Lattice("0L", lambda c: F.max(c))
+NEAREST = Lattice("cast(null as bigint)", lambda c: F.min(c))
+SOME = Lattice("0L", lambda c: F.bit_or(c))
+EVERY = Lattice("-1L", lambda c: F.bit_and(c))
+#: Sets as sorted arrays, by union.
+UNION = Lattice("cast(array() as array<bigint>)", lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))))  # collect_list skips nulls
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """transfer(value) is the value at the end of an edge by the value at its begin and any columns that stand with the
+    graph's edges; it must be monotone. initial (keys, node, value): values that nodes have besides."""
+
+    lattice: Lattice
+    transfer: Callable[[Column], Column]
+    initial: DataFrame | None = None
+
+
+def analysis(g: FlowGraph, **parts: Analysis) -> DataFrame:
+    """keys, node, and a column for each part: the least solutions of forward analyses of all graphs, in one run.
+
+    A node's value is the join of what its in-edges transfer, and of its initial one; of nodes that nothing reaches, the
+    bottom is transferred. For a backward analysis turn the edges."""
+    k = list(g.keys)
+    edges = written(g.edges)
+    bottoms = {c: F.expr(p.lattice.bottom) for c, p in parts.items()}
+    seed = g.nodes.select(*k, "node", *(v.alias(c) for c, v in bottoms.items()))
+    for c, p in parts.items():
+        if p.initial is not None:
+            seed = seed.union(p.initial.select(*k, "node", *((F.col("value").cast(seed.schema[x].dataType) if x == c else v).alias(x) for x, v in bottoms.items())))
+
+    def step(delta: DataFrame) -> DataFrame:
+        on = delta.withColumnRenamed("node", "src").join(edges, [*k, "src"])
+        return on.select(*k, F.col("dst").alias("node"), *(p.transfer(F.col(c)).alias(c) for c, p in parts.items()))
+
+    return lattice_fixpoint(seed, step, {c: p.lattice.join for c, p in parts.items()})
+
+
 def reaching_definitions(g: FlowGraph, defines: DataFrame, weak: DataFrame | None = None) -> DataFrame:
     """keys, node, name, origin: the definition of name at origin (keys, node, name of defines) reaches node's start.
     A definition ends those of its name before it, but for names in weak (keys, name), such as arrays."""

@@ -12,7 +12,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,3 +62,52 @@ def least_fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataF
             out = out.union(front)
         new = (out.distinct() if hops > 1 else out).join(seen, columns, "left_anti")
     raise RuntimeError(f"no fixpoint after {most} rounds")
+
+
+#: Rounds after which the versions of a lattice's rows are put together.
+COMPACT = 12
+
+
+def lattice_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], joins: dict[str, Callable[[Column], Column]], hops: int = 4, most: int = 100_000) -> DataFrame:
+    """The least table with one row for each key (the columns of seed but those of joins) whose values are above the
+    seed's and closed under step.
+
+    step(delta) gives rows of the same columns that follow from rows of which a value has just risen. joins has the
+    lattice's join of each value as an aggregate (max, min, a union or an intersection of sets …), which must give equal
+    values for equal sets. Values that rise replace those before them: a round takes several steps (hops) and writes
+    the rows that have changed, no others.
+    """
+    spark, columns, schema = seed.sparkSession, seed.columns, seed.schema
+    keys = [c for c in columns if c not in joins]
+    base = f"{shared_dir(spark)}/lattice-{uuid.uuid4().hex}"
+    typed = lambda df: df.select(*(F.col(c).cast(schema[c].dataType) for c in columns))
+
+    def joined(df: DataFrame) -> DataFrame:
+        return typed(df.groupBy(*keys).agg(*(join(F.col(c)).alias(c) for c, join in joins.items())))
+
+    def read(paths: list[str]) -> DataFrame:
+        return spark.read.schema(schema).parquet(*paths)
+
+    new, paths = joined(seed), []
+    for k in range(most):
+        paths.append(f"{base}/{k}")
+        new.write.parquet(paths[-1])
+        delta = read(paths[-1:])
+        if delta.isEmpty():
+            return joined(read(paths))
+        if len(paths) > COMPACT:
+            joined(read(paths)).write.parquet(f"{base}/all-{k}")
+            paths = [f"{base}/all-{k}"]
+        out = front = typed(step(delta))
+        for _ in range(hops - 1):
+            front = typed(step(joined(front)))
+            out = out.union(front)
+        # One aggregation joins what has risen with what stood before, and tells both apart.
+        both = out.withColumn("_old", F.lit(False)).union(read(paths).withColumn("_old", F.lit(True)))
+        stood = [join(F.when(F.col("_old"), F.col(c))).alias(f"_old_{c}") for c, join in joins.items()]
+        both = both.groupBy(*keys).agg(*(join(F.col(c)).alias(c) for c, join in joins.items()), F.max("_old").alias("_stood"), *stood)
+        rose = ~F.col("_stood")
+        for c in joins:
+            rose |= ~F.col(c).cast(schema[c].dataType).eqNullSafe(F.col(f"_old_{c}").cast(schema[c].dataType))
+        new = typed(both.where(rose))
+    raise RuntimeError(f"no fixpoint after {most} rounds")

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import program_queries
 from .functions import statistics, values
 from .operators import classification, control, dataflow, dominance, order, paths, procedures, slicing, structure, threads, timing
 from .plans.fixpoint import written
@@ -518,4 +519,4 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | program_queries.queries()
