@@ -100,7 +100,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 def signatures(docs: DataFrame, similarity: float, size: int) -> DataFrame:
     """id, doc_id, n (shingles), set (a hash of them), keys (the prefix of them, in order), rare (how many of these the
-    order doesn't know), bits (a power of two, twice n or more, those of shingles set) of every document (keyed)."""
+    order doesn't know), bits (a power of two, four times n or more, those of shingles set) of every document (keyed)."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, similarity: float, size: int) -> DataFrame:
         keep = np.arange(len(value)) - first[owner] < most[owner]
         known = np.bincount(owner[keep & (rank[order] == 0)], minlength=len(n))
         width = np.full(len(n), 64, np.int64)
-        while (small := width < 2 * n).any():
+        while (small := width < 4 * n).any():
             width[small] *= 2
         start = np.cumsum(width) - width
         bits = np.zeros(width.sum(), bool)
@@ -280,7 +280,8 @@ def whole_groups(batches, key: str, rows: int):
 
 
 def shared_keys(known: DataFrame) -> DataFrame:
-    """key, id, n, at (place in the prefix), lo (the smallest id of the key), of keys that several documents have."""
+    """key, id, n, at (the first place in the prefix), lo (the smallest id of the key), weight, of keys that several
+    documents have. Keys that the same documents have are one, of their weight: passages make runs of them."""
     key = F.posexplode("keys").alias("at", "key")
     each = known.select("id", "n", "rare", key).select("key", "id", F.col("n").cast("int").alias("n"), "at", (F.col("at") < F.col("rare")).alias("rare"))
 
@@ -290,19 +291,29 @@ def shared_keys(known: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             size = np.diff(np.r_[first, len(k)])
             keep = np.repeat(size > 1, size)
-            yield from t.append_column("lo", pa.array(np.repeat(id_[first], size))).filter(pa.array(keep)).to_batches()
+            members = mix(np.bitwise_xor.reduceat(mix(id_.view(np.uint64), id_.view(np.uint64)), first), size.astype(np.uint64)).view(np.int64)
+            out = pa.table({"key": np.repeat(members, size), "id": id_, "n": t.column("n"), "at": t.column("at"), "lo": np.repeat(id_[first], size)})
+            yield from out.filter(pa.array(keep)).to_batches()
 
     # The sample has seen no rare key three times, so none is hot; common ones are counted before they meet.
     rare = each.where("rare").drop("rare").repartition("key").sortWithinPartitions("key", "id").mapInArrow(trimmed(run), "key long, id long, n int, at int, lo long")
     common = each.where("not rare").drop("rare")
-    ends = common.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
-    return table(rare.union(common.join(ends, "key").select("key", "id", "n", "at", "lo")), "shared")
+    ends = common.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.xxhash64(F.bit_xor(F.xxhash64("id")), F.count("*")).alias("members")).where("lo < hi").select("key", "lo", "members")
+    common = common.join(ends, "key").select(F.col("members").alias("key"), "id", "n", "at", "lo")
+    return table(rare.union(common).groupBy("key", "id").agg(F.first("n").alias("n"), F.min("at").alias("at"), F.first("lo").alias("lo"), F.count("*").alias("weight")), "shared")
+
+
+def those(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df that may be in ids, both by their column id: a filter of fixed size keeps others out of shuffles."""
+    return sieve(df, ids, "id")[0]
 
 
 def bounded(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b that set sizes and bits don't rule out."""
+    pairs = table(pairs, "pairs")
+    known = those(known.select("id", "n", "bits"), pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     side = lambda id_, n, bits: known.select(F.col("id").alias(id_), F.col("n").alias(n), F.col("bits").alias(bits))
-    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").where(F.least("na", "nb") + EPS >= similarity * F.greatest("na", "nb"))
+    both = pairs.join(side("b", "nb", "y"), "b").join(side("a", "na", "x"), "a").where(F.least("na", "nb") + EPS >= similarity * F.greatest("na", "nb"))
 
     def run(batches):
         for batch in batches:
@@ -311,16 +322,14 @@ def bounded(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
             keep = Bits.of(batch.column("x"), na).within(Bits.of(batch.column("y"), nb), every, every, na, nb, similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(trimmed(run), "a long, b long").distinct()
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) -> DataFrame:
     """a, b, similarity: the pairs whose sets of shingles (A-Z in lower case) are similar enough, by their texts."""
-    pairs = table(pairs, "pairs")
-    ids = table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    likely = sieve(docs.where("text is not null").select("id", "text"), ids, "id")[0]
-    texts = table(likely.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    pairs, docs = table(pairs, "pairs"), docs.where("text is not null").select("id", "text")
+    text = lambda id_, name: those(docs, pairs.select(F.col(id_).alias("id"))).select(F.col("id").alias(id_), F.col("text").alias(name))
+    both = pairs.join(text("b", "y"), "b").join(text("a", "x"), "a")
 
     def verify(batches):
         for batch in batches:
@@ -337,7 +346,7 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, size: int) ->
                 keep = (n > 0) & (n + EPS >= similarity * all_)
                 yield pa.record_batch([piece.column("a"), piece.column("b"), pa.array(n / np.maximum(all_, 1))], ["a", "b", "similarity"]).filter(pa.array(keep))
 
-    return table(both.select("a", "b", "x", "y").mapInArrow(trimmed(verify), "a long, b long, similarity double"), "verified")
+    return table(both.select("a", "b", "x", "y").mapInArrow(trimmed(verify), "a long, b long, similarity double").distinct(), "verified")
 
 
 def labelled(links: DataFrame) -> DataFrame:
@@ -354,8 +363,8 @@ def with_components(shared: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def most_shared(pairs: DataFrame) -> DataFrame:
-    """For each b the a with which it shares most keys."""
-    counted = pairs.where("a <> b").groupBy("b", "a").agg(F.count("*").alias("k"))
+    """For each b the a with which it shares most keys, by their weight."""
+    counted = pairs.where("a <> b").groupBy("b", "a").agg(F.sum("weight").alias("k"))
     return counted.groupBy("b").agg(F.max(F.struct("k", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
@@ -396,20 +405,24 @@ def links(docs: DataFrame, known: DataFrame, similarity: float, size: int) -> Da
     maybe, rest = sieve(some, sets, "set")
     known = table(rest.unionByName(maybe.join(same.select(F.col("b").alias("id")), "id", "left_anti").dropDuplicates(["id"])), "representatives")
     shared = shared_keys(known)
-    found = verified(docs, bounded(most_shared(shared.select(F.col("lo").alias("a"), F.col("id").alias("b"))), known, similarity), similarity, size)
+    tried = table(most_shared(shared.select(F.col("lo").alias("a"), F.col("id").alias("b"), "weight")), "tried")
+    found = verified(docs, bounded(tried, known, similarity), similarity, size)
     for _ in range(HUBS):
         mixed = with_components(shared, labelled(found))
         least = mixed.groupBy("key", "comp").agg(F.min("id").alias("id"))
         one = least.groupBy("key").agg(F.min(F.struct("id", "comp")).alias("one"))
         two = least.join(one, "key").where("comp <> one.comp").groupBy("key").agg(F.first("one").alias("one"), F.min(F.struct("id", "comp")).alias("two"))
         hub = F.when(F.col("comp") == F.col("one.comp"), F.col("two.id")).otherwise(F.col("one.id"))
-        tried = most_shared(mixed.join(two, "key").select(hub.alias("a"), F.col("id").alias("b")))
-        more = verified(docs, bounded(tried, known, similarity), similarity, size)
+        new = mixed.join(two, "key").select(hub.alias("a"), F.col("id").alias("b"), "weight").join(tried, ["a", "b"], "left_anti")
+        new = table(most_shared(new), "tried")
+        more = verified(docs, bounded(new, known, similarity), similarity, size)
+        tried = tried.union(new)
         if more.isEmpty():
             break
         found = table(found.union(more), "links")
     mixed = with_components(shared, labelled(found))
-    return same.union(found).union(verified(docs, across(mixed, known, similarity), similarity, size))
+    rest = across(mixed, known, similarity).join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    return same.union(found).union(verified(docs, rest, similarity, size))
 
 
 def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
