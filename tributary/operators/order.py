@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..plans.fixpoint import written
 from ..sources.flowgraphs import FlowGraph
 from .dominance import max_dominance, sink_dominance
+from .structure import reach
 
 
 def certain(g: FlowGraph, dom: DataFrame) -> DataFrame:
@@ -68,3 +69,42 @@ def to_pairs(triples: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, n, m: n controls the order of m and some other node."""
     k = list(keys)
     return triples.select(*k, "n", F.col("m1").alias("m")).union(triples.select(*k, "n", F.col("m2").alias("m"))).distinct()
+
+
+def cut_at_each(g: FlowGraph) -> FlowGraph:
+    """A graph for each node of g (key column cut), without the edges that leave it. Its size is the square of g's."""
+    k = list(g.keys)
+    cuts = g.nodes.withColumnRenamed("node", "cut")
+    nodes, edges = g.nodes.join(cuts, k), g.edges.join(cuts, k).where("src <> cut")
+    return FlowGraph(written(nodes.select(*k, "cut", "node")), written(edges.select(*k, "cut", "src", "dst")), (*g.keys, "cut"))
+
+
+def _either_first(g: FlowGraph, without: DataFrame) -> DataFrame:
+    """keys, n, m1, m2: branches from which m1 can come before m2, and m2 before m1. without: reachability in cut graphs."""
+    k = list(g.keys)
+    may = without.where("b <> cut").join(g.branches().select(*k, F.col("node").alias("a")), [*k, "a"], "left_semi").select(*k, F.col("a").alias("n"), F.col("b").alias("m1"), F.col("cut").alias("m2"))
+    may = written(may)
+    return written(may.join(may.select(*k, "n", F.col("m2").alias("m1"), F.col("m1").alias("m2")), [*k, "n", "m1", "m2"]))
+
+
+def weak(g: FlowGraph) -> DataFrame:
+    """Weak order dependence: from n either of m1 and m2 may come first, and after some successor of n, on maximal paths,
+    one of them always does."""
+    k = list(g.keys)
+    cut = cut_at_each(g)
+    either = _either_first(g, reach(cut))
+    always = max_dominance(cut).where("x <> cut").select(*k, F.col("y").alias("dst"), F.col("x").alias("m1"), F.col("cut").alias("m2"))
+    after = either.withColumnRenamed("n", "src").join(g.edges, [*k, "src"]).join(always, [*k, "dst", "m1", "m2"], "left_semi").select(*k, F.col("src").alias("n"), "m1", "m2").distinct()
+    return after.union(after.select(*k, "n", F.col("m2").alias("m1"), F.col("m1").alias("m2"))).distinct().select(*k, "m1", "m2", "n")
+
+
+def weak_reachable(g: FlowGraph) -> DataFrame:
+    """Weak order dependence by reachability: from n either may come first, and some successor of n reaches one of them
+    and can't reach the other but past it."""
+    k = list(g.keys)
+    without = written(reach(cut_at_each(g)))
+    either = _either_first(g, without)
+    at = either.withColumnRenamed("n", "src").join(g.edges, [*k, "src"])
+    at = at.join(reach(g).select(*k, F.col("a").alias("dst"), F.col("b").alias("m1")), [*k, "dst", "m1"], "left_semi")
+    after = at.join(without.select(*k, F.col("cut").alias("m1"), F.col("a").alias("dst"), F.col("b").alias("m2")), [*k, "m1", "dst", "m2"], "left_anti").select(*k, F.col("src").alias("n"), "m1", "m2").distinct()
+    return after.union(after.select(*k, "n", F.col("m2").alias("m1"), F.col("m1").alias("m2"))).distinct().select(*k, "m1", "m2", "n")

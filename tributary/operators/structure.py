@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
+from .paths import roots
 
 
 def reach(g: FlowGraph) -> DataFrame:
@@ -114,3 +115,23 @@ def is_transitive(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     two = pairs.select(*k, "src", F.col("dst").alias("m")).join(pairs.select(*k, F.col("src").alias("m"), "dst"), [*k, "m"]).select(*k, "src", "dst").distinct()
     missing = two.join(pairs, [*k, "src", "dst"], "left_anti").select(*k).distinct().withColumn("missing", F.lit(True))
     return pairs.select(*k).distinct().join(missing, k, "left").select(*k, F.col("missing").isNull().alias("transitive"))
+
+
+def reducible(g: FlowGraph, entries: DataFrame) -> DataFrame:
+    """keys, left, reducible of each graph with an entry (keys and node): nodes that are left of those that the entry
+    reaches, when edges to oneself are dropped and nodes with one predecessor put into it, again and again; one is left of
+    a reducible graph. A round puts whole chains of such nodes into their heads, so rounds grow with the nesting of loops."""
+    k = list(g.keys)
+    entries = written(entries.select(*k, "node").distinct())
+    part = g.induced(written(reach_from(g, entries)))
+    nodes, edges = written(part.nodes), written(part.edges.where("src <> dst"))
+    while True:
+        single = edges.groupBy(*k, F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.first("src").alias("parent")).where("n = 1").join(entries, [*k, "node"], "left_anti").select(*k, "node", "parent")
+        single = written(single)
+        if single.isEmpty():
+            counts = nodes.groupBy(*k).agg(F.count("*").alias("left"))
+            return counts.withColumn("reducible", F.col("left") == 1)
+        heads = written(roots(single, g.keys).select(*k, "node", F.col("root").alias("head")))
+        at = lambda end: heads.select(*k, F.col("node").alias(end), F.col("head").alias(f"to_{end}"))
+        moved = edges.join(at("src"), [*k, "src"], "left").join(at("dst"), [*k, "dst"], "left").select(*k, F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst"))
+        nodes, edges = written(nodes.join(single, [*k, "node"], "left_anti")), written(moved.where("src <> dst").distinct())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import EVENTS, closure, query
+from .oracles import EVENTS, ORDERS, closure, dominance, query
 
 PROGRAMS = """
 pe AS (SELECT graph_id, node AS i, event, lag(event) OVER (PARTITION BY graph_id ORDER BY node) AS before, (node - 1) // 8 AS proc, max(node) OVER (PARTITION BY graph_id) AS fin FROM en),
@@ -58,6 +58,53 @@ sys AS MATERIALIZED (SELECT *, 'data' AS kind FROM ddp UNION ALL SELECT *, 'cont
         UNION ALL SELECT graph_id, fo, ao, 'out' FROM an JOIN fn USING (graph_id, proc, name) UNION ALL SELECT *, 'summary' FROM su)"""
 
 
+PARENS = "\nop AS MATERIALIZED (SELECT *, CASE WHEN dst = src + 2 THEN '(' WHEN dst < src THEN ')' END AS paren, src % 2 AS site FROM e)"
+
+BALANCED = """
+ba(graph_id, a, b) USING KEY (graph_id, a, b) AS (SELECT graph_id, node, node FROM n UNION SELECT graph_id, src, dst FROM op WHERE paren IS NULL
+   UNION (SELECT x.graph_id, x.a, y.b FROM recurring.ba x JOIN recurring.ba y ON x.graph_id = y.graph_id AND x.b = y.a
+          UNION SELECT x.graph_id, o.src, c.dst FROM recurring.ba x JOIN op o ON o.graph_id = x.graph_id AND o.dst = x.a AND o.paren = '(' JOIN op c ON c.graph_id = x.graph_id AND c.src = x.b AND c.paren = ')' AND c.site = o.site))"""
+
+#: What doesn't dominate: on one way into y neither its begin nor, of a return, any of its calls has x.
+VALID = """
+sc AS MATERIALIZED (SELECT graph_id, site, src AS call FROM op WHERE paren = '('),
+vb(graph_id, y, x) USING KEY (graph_id, y, x) AS (SELECT graph_id, CAST(1 AS BIGINT), node FROM n WHERE node <> 1
+   UNION SELECT op.graph_id, op.dst, b.x FROM op JOIN recurring.vb b ON b.graph_id = op.graph_id AND b.y = op.src WHERE op.dst <> 1 AND op.dst <> b.x
+         AND (op.paren IS DISTINCT FROM ')' OR NOT EXISTS (SELECT 1 FROM sc WHERE sc.graph_id = op.graph_id AND sc.site = op.site AND NOT EXISTS (SELECT 1 FROM recurring.vb c WHERE c.graph_id = sc.graph_id AND c.y = sc.call AND c.x = b.x)))),
+vd AS MATERIALIZED (SELECT n.graph_id, n.node AS y, m.node AS x FROM n JOIN n m USING (graph_id) ANTI JOIN vb ON vb.graph_id = n.graph_id AND vb.y = n.node AND vb.x = m.node)"""
+
+PASSES = """
+f1 AS MATERIALIZED (SELECT graph_id, src, dst FROM op WHERE paren IS DISTINCT FROM ')'),
+{first},
+f2 AS MATERIALIZED (SELECT DISTINCT op.graph_id, x.scc AS src, y.scc AS dst FROM op JOIN pscc x ON x.graph_id = op.graph_id AND x.node = op.src JOIN pscc y ON y.graph_id = op.graph_id AND y.node = op.dst WHERE op.paren IS DISTINCT FROM '(' AND x.scc <> y.scc),
+n2 AS MATERIALIZED (SELECT DISTINCT graph_id, scc AS node FROM pscc),
+{second},
+tp AS MATERIALIZED (SELECT graph_id, p.node, p.scc AS first, q.scc AS cls FROM pscc p JOIN (SELECT graph_id, node AS scc_, scc FROM qscc) q USING (graph_id) WHERE p.scc = q.scc_)"""
+
+PUSHDOWN = """
+ps(graph_id, src, symbol, dst) USING KEY (graph_id, src, symbol, dst) AS (SELECT graph_id, CAST(0 AS BIGINT), node, CAST(1 AS BIGINT) FROM pd WHERE name = 'purchase' UNION SELECT graph_id, 1, back, 1 FROM calls UNION SELECT graph_id, 0, exit, 0 FROM procs
+   UNION (SELECT f.graph_id, CAST(0 AS BIGINT), f.src, r.dst FROM flow f JOIN recurring.ps r ON r.graph_id = f.graph_id AND r.src = 0 AND r.symbol = f.dst
+          UNION SELECT c.graph_id, 0, c.call, t.dst FROM calls c JOIN recurring.ps r ON r.graph_id = c.graph_id AND r.src = 0 AND r.symbol = c.entry JOIN recurring.ps t ON t.graph_id = c.graph_id AND t.src = r.dst AND t.symbol = c.back))"""
+
+PRODUCT = """
+lt(s, d, kind, letter) AS (VALUES (0, 0, 'all', NULL), (0, 1, 'only', 'click'), (1, 2, 'only', 'error'), (1, 2, 'only', 'purchase'), (2, 3, 'free', NULL), (3, 3, 'all', NULL)),
+ut AS MATERIALIZED (SELECT DISTINCT a.graph_id, a.event AS s, b.event AS d FROM en a JOIN en b ON a.graph_id = b.graph_id AND b.node = a.node + 1 UNION SELECT graph_id, 'start', event FROM en WHERE node = 1),
+uf AS (SELECT graph_id, event AS s FROM en SEMI JOIN (SELECT graph_id, last AS node FROM mx) USING (graph_id, node)),
+mv AS MATERIALIZED (SELECT graph_id, us.s AS a, lt.s AS b, us.s AS c, lt.d AS d, 'free' AS kind, CAST(NULL AS VARCHAR) AS letter FROM (SELECT graph_id, s FROM ut UNION SELECT graph_id, d FROM ut) us, lt WHERE lt.kind = 'free'
+       UNION ALL SELECT graph_id, ut.s, lt.s, ut.d, lt.d, 'only', ut.d FROM ut JOIN lt ON lt.kind = 'all' OR (lt.kind = 'only' AND lt.letter = ut.d)),
+fw AS (SELECT DISTINCT graph_id, 'start' AS a, 0 AS b FROM en UNION SELECT graph_id, c, d FROM fw JOIN mv USING (graph_id, a, b)),
+bw AS (SELECT graph_id, s AS c, 3 AS d FROM uf UNION SELECT graph_id, a, b FROM bw JOIN mv USING (graph_id, c, d)),
+ok AS MATERIALIZED (SELECT graph_id, a, b FROM fw SEMI JOIN (SELECT graph_id, c AS a, d AS b FROM bw) USING (graph_id, a, b))"""
+
+#: cn and ce: a graph for each node whose out-edges are cut; may: m1 can be reached from n before m2.
+CUTS = """
+cn AS MATERIALIZED (SELECT graph_id, n.node AS cut, m.node FROM n JOIN n m USING (graph_id)),
+ce AS MATERIALIZED (SELECT e.graph_id, node AS cut, src, dst FROM e JOIN n ON n.graph_id = e.graph_id WHERE src <> node)"""
+EITHER = """
+may AS MATERIALIZED (SELECT graph_id, a AS n, b AS m1, cut AS m2 FROM cr SEMI JOIN (SELECT graph_id, src AS a FROM e GROUP BY ALL HAVING count(*) > 1) USING (graph_id, a) WHERE b <> cut),
+ei AS MATERIALIZED (SELECT graph_id, n, m1, m2 FROM may SEMI JOIN (SELECT graph_id, n, m2 AS m1, m1 AS m2 FROM may) USING (graph_id, n, m1, m2))"""
+
+
 def bits(names: dict[str, int], column: str = "event") -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in names.items()) + " ELSE 0 END"
 
@@ -91,4 +138,23 @@ LEFT JOIN reached USING (graph_id, node) LEFT JOIN miss USING (graph_id, node) L
             select="SELECT * FROM down",
         ),
     }
+    folds = PASSES.format(first=closure("p", "n", "f1").lstrip(), second=closure("q", "n2", "f2").lstrip())
+    both = "SELECT graph_id, m1, m2, n FROM af UNION SELECT graph_id, m2, m1, n FROM af"
+    k = "graph_id, cut"
+    cuts = (ORDERS, CUTS, dominance("c", "cn", "ce", k), EITHER)
+    entry = "\nfav AS (SELECT graph_id, node AS x, CAST(1 AS BIGINT) AS b FROM n WHERE node <> 1 UNION SELECT graph_id, x, dst FROM fav JOIN (SELECT graph_id, src AS b, dst FROM e) USING (graph_id, b) WHERE dst <> x)"
+    # Without the edges that lead to a dominator of their begin no cycle is left.
+    forward = "\nfe AS MATERIALIZED (SELECT e.graph_id, src, dst FROM e SEMI JOIN (SELECT graph_id, b AS src FROM r WHERE a = 1) USING (graph_id, src) WHERE src <> dst AND EXISTS (SELECT 1 FROM fav WHERE fav.graph_id = e.graph_id AND fav.x = e.dst AND fav.b = e.src) AND dst <> 1)"
+    out |= {
+        "same_level_components": query(ORDERS, PARENS, BALANCED, select="SELECT graph_id, x.a AS node, min(x.b) AS scc, count(*) AS size FROM ba x JOIN ba y USING (graph_id) WHERE x.a = y.b AND x.b = y.a GROUP BY ALL"),
+        "two_pass_folding": query(ORDERS, PARENS, folds, select="SELECT * FROM tp"),
+        "folded_graph": query(ORDERS, PARENS, folds, select="SELECT DISTINCT e.graph_id, x.cls AS src, y.cls AS dst FROM e JOIN tp x ON x.graph_id = e.graph_id AND x.node = e.src JOIN tp y ON y.graph_id = e.graph_id AND y.node = e.dst WHERE x.cls <> y.cls"),
+        "valid_dominance": query(ORDERS, PARENS, VALID, select="SELECT * FROM vd"),
+        "valid_immediate_dominance": query(ORDERS, PARENS, VALID, select="SELECT graph_id, y, x FROM vd WHERE y <> x AND NOT EXISTS (SELECT 1 FROM vd a JOIN vd b ON a.graph_id = b.graph_id AND a.x = b.y WHERE a.graph_id = vd.graph_id AND a.y = vd.y AND b.x = vd.x AND a.x <> a.y AND b.x <> b.y)"),
+        "pushdown_saturation": query(EVENTS, PROGRAMS, PUSHDOWN, select="SELECT * FROM ps"),
+        "automata_product": query(EVENTS, PRODUCT, select="SELECT graph_id, a || ':' || b AS src, c || ':' || d AS dst, kind, letter FROM mv SEMI JOIN ok USING (graph_id, a, b) SEMI JOIN (SELECT graph_id, a AS c, b AS d FROM ok) USING (graph_id, c, d)"),
+        "order_wod": query(*cuts, f"\naf AS (SELECT DISTINCT ei.graph_id, n, m1, m2 FROM ei JOIN e ON e.graph_id = ei.graph_id AND e.src = ei.n SEMI JOIN cmdom d ON d.graph_id = e.graph_id AND d.cut = m2 AND d.y = e.dst AND d.x = m1)", select=both),
+        "order_wod_reachable": query(*cuts, closure(), "\naf AS (SELECT DISTINCT ei.graph_id, n, m1, m2 FROM ei JOIN e ON e.graph_id = ei.graph_id AND e.src = ei.n SEMI JOIN r ON r.graph_id = e.graph_id AND r.a = e.dst AND r.b = m1 ANTI JOIN cr ON cr.graph_id = e.graph_id AND cr.cut = m1 AND cr.a = e.dst AND cr.b = m2)", select=both),
+        "reducible": query(EVENTS, closure(), entry, forward, "\nfr AS (SELECT graph_id, src AS a, dst AS b FROM fe UNION SELECT graph_id, a, dst FROM fr JOIN (SELECT graph_id, src AS b, dst FROM fe) USING (graph_id, b))", select="SELECT graph_id, graph_id NOT IN (SELECT graph_id FROM fr WHERE a = b) AS reducible FROM (SELECT DISTINCT graph_id FROM n)"),
+    }
     return out

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import dataflow, programs
+from .operators import automata, balanced, dataflow, order, programs, structure
 from .plans.fixpoint import written
 from .sources import flowgraphs as flow
 from .sources.programs import Program, event_program
 
+K = ("graph_id",)
+
 #: A bit for each type of event, and how grave it is.
 BITS = {"click": 1, "error": 2, "purchase": 4, "signup": 8, "view": 16}
 GRAVE = {"view": 1, "signup": 2, "click": 3, "error": 4}
@@ -76,7 +78,89 @@ def sdg_slice(spark, d):
     return programs.program_slice(written(programs.system_dependence(p)), bought)
 
 
-QUERIES = (dataflow_analysis, live_events, must_kill, strong_reaching_definitions, sdg, sdg_slice)
+def order_parens(g: flow.FlowGraph) -> DataFrame:
+    """On graphs of orders: two on calls, one back returns; sites by parity."""
+    kind = F.when(F.col("dst") == F.col("src") + 2, "(").when(F.col("dst") < F.col("src"), ")")
+    return written(g.edges.withColumn("paren", kind).where("paren is not null").withColumn("site", F.pmod(F.col("src"), F.lit(2))))
+
+
+def events(spark: SparkSession, d: str) -> flow.FlowGraph:
+    g = flow.event_flow(spark, d)
+    return replace(g, nodes=written(g.nodes), edges=written(g.edges))
+
+
+def orders(spark: SparkSession, d: str) -> flow.FlowGraph:
+    g = flow.order_flow(spark, d)
+    return replace(g, nodes=written(g.nodes), edges=written(g.edges))
+
+
+def same_level_components(spark, d):
+    g = orders(spark, d)
+    return balanced.same_level_components(written(dataflow.balanced_reach(g, order_parens(g))), K)
+
+
+def two_pass_folding(spark, d):
+    g = orders(spark, d)
+    return balanced.two_pass_folding(g, order_parens(g))[0]
+
+
+def folded_graph(spark, d):
+    g = orders(spark, d)
+    return balanced.two_pass_folding(g, order_parens(g))[1].edges
+
+
+def valid_dominance(spark, d):
+    """From the first line of each order."""
+    g = orders(spark, d)
+    return balanced.valid_dominance(g, order_parens(g), g.nodes.where("node = 1"))
+
+
+def valid_immediate_dominance(spark, d):
+    return balanced.reduced(written(valid_dominance(spark, d)), K)
+
+
+def pushdown_saturation(spark, d):
+    """Configurations of each program from which a purchase can be reached, on any stack of return nodes."""
+    p = program(spark, d)
+    calls = p.calls()
+    bought = p.defines.where("name = 'purchase'").select("graph_id", F.lit(0).cast("long").alias("src"), F.col("node").alias("symbol"), F.lit(1).cast("long").alias("dst"))
+    rest = calls.select("graph_id", F.lit(1).cast("long").alias("src"), F.col("back").alias("symbol"), F.lit(1).cast("long").alias("dst"))
+    plain = p.flow().select("graph_id", F.col("src").alias("node"), F.col("dst").alias("next"))
+    return balanced.pre_star(plain, calls.select("graph_id", F.col("call").alias("node"), "entry", "back"), p.procs.select("graph_id", F.col("exit").alias("node")), bought.union(rest), K)
+
+
+def automata_product(spark, d):
+    """The pairs of events that follow one another in a user's table, as an automaton, with: any events, then a click and at
+    once an error or a purchase, then any; trimmed."""
+    n = flow.event_nodes(spark, d)
+    after = F.lead("event").over(Window.partitionBy("graph_id").orderBy("node"))
+    pairs = written(n.select("graph_id", "node", F.col("event").alias("src"), after.alias("dst")))
+    t = pairs.where("dst is not null").select("graph_id", "src", "dst").distinct().union(pairs.where("node = 1").select("graph_id", F.lit("start"), "src"))
+    users = automata.Automata(pairs.where("node = 1").select("graph_id", F.lit("start").alias("state")), pairs.where("dst is null").select("graph_id", F.col("src").alias("state")), t.select("graph_id", "src", "dst", F.lit("only").alias("kind"), F.col("dst").alias("letter")))
+    pattern = spark.createDataFrame([(0, 0, "all", None), (0, 1, "only", "click"), (1, 2, "only", "error"), (1, 2, "only", "purchase"), (2, 3, "free", None), (3, 3, "all", None)], "src int, dst int, kind string, letter string")
+    wanted = automata.Automata(spark.createDataFrame([(0,)], "state int"), spark.createDataFrame([(3,)], "state int"), pattern, ())
+    name = lambda c: F.concat_ws(":", f"{c}.a", f"{c}.b").alias(c)
+    return automata.trimmed(automata.product(users, wanted)).transitions.select("graph_id", name("src"), name("dst"), "kind", "letter")
+
+
+def order_wod(spark, d):
+    return order.weak(orders(spark, d))
+
+
+def order_wod_reachable(spark, d):
+    return order.weak_reachable(orders(spark, d))
+
+
+def reducible(spark, d):
+    g = events(spark, d)
+    return structure.reducible(g, g.nodes.where("node = 1")).select("graph_id", "reducible")
+
+
+QUERIES = (
+    dataflow_analysis, live_events, must_kill, strong_reaching_definitions, sdg, sdg_slice,
+    same_level_components, two_pass_folding, folded_graph, valid_dominance, valid_immediate_dominance, pushdown_saturation, automata_product,
+    order_wod, order_wod_reachable, reducible,
+)
 
 
 def queries() -> dict:
