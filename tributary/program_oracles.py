@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import EVENTS, ORDERS, closure, dominance, query
+from .oracles import EVENTS, ORDERS, cd, closure, dominance, immediate, query
 
 PROGRAMS = """
 pe AS (SELECT graph_id, node AS i, event, lag(event) OVER (PARTITION BY graph_id ORDER BY node) AS before, (node - 1) // 8 AS proc, max(node) OVER (PARTITION BY graph_id) AS fin FROM en),
@@ -156,5 +156,12 @@ LEFT JOIN reached USING (graph_id, node) LEFT JOIN miss USING (graph_id, node) L
         "order_wod": query(*cuts, f"\naf AS (SELECT DISTINCT ei.graph_id, n, m1, m2 FROM ei JOIN e ON e.graph_id = ei.graph_id AND e.src = ei.n SEMI JOIN cmdom d ON d.graph_id = e.graph_id AND d.cut = m2 AND d.y = e.dst AND d.x = m1)", select=both),
         "order_wod_reachable": query(*cuts, closure(), "\naf AS (SELECT DISTINCT ei.graph_id, n, m1, m2 FROM ei JOIN e ON e.graph_id = ei.graph_id AND e.src = ei.n SEMI JOIN r ON r.graph_id = e.graph_id AND r.a = e.dst AND r.b = m1 ANTI JOIN cr ON cr.graph_id = e.graph_id AND cr.cut = m1 AND cr.a = e.dst AND cr.b = m2)", select=both),
         "reducible": query(EVENTS, closure(), entry, forward, "\nfr AS (SELECT graph_id, src AS a, dst AS b FROM fe UNION SELECT graph_id, a, dst FROM fr JOIN (SELECT graph_id, src AS b, dst FROM fe) USING (graph_id, b))", select="SELECT graph_id, graph_id NOT IN (SELECT graph_id FROM fr WHERE a = b) AS reducible FROM (SELECT DISTINCT graph_id FROM n)"),
+        "dominator_forest": query(EVENTS, dominance(), immediate("sdom"), select="SELECT graph_id, y, x FROM imm"),
+        "forest_nticd": query(EVENTS, dominance(), cd("res", "sdom"), select="SELECT * FROM res"),
+        "order_forest_nticd": query(ORDERS, dominance(), cd("res", "sdom"), select="SELECT * FROM res"),
+        "forest_lca": query(
+            EVENTS, dominance(), "\ncm AS MATERIALIZED (SELECT e.graph_id, src AS a, dst AS b, p.x AS lca FROM e JOIN sdom p ON p.graph_id = e.graph_id AND p.y = src JOIN sdom q ON q.graph_id = e.graph_id AND q.y = dst AND q.x = p.x)",
+            select="SELECT * FROM cm WHERE NOT EXISTS (SELECT 1 FROM cm o WHERE o.graph_id = cm.graph_id AND o.a = cm.a AND o.b = cm.b AND NOT EXISTS (SELECT 1 FROM sdom d WHERE d.graph_id = cm.graph_id AND d.y = cm.lca AND d.x = o.lca))",
+        ),
     }
     return out

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import automata, balanced, dataflow, order, programs, structure
+from .operators import automata, balanced, dataflow, forest, order, programs, structure
 from .plans.fixpoint import written
 from .sources import flowgraphs as flow
 from .sources.programs import Program, event_program
@@ -156,10 +156,28 @@ def reducible(spark, d):
     return structure.reducible(g, g.nodes.where("node = 1")).select("graph_id", "reducible")
 
 
+def dominator_forest(spark, d):
+    return forest.immediate(forest.sink_forest(events(spark, d))[0])
+
+
+def forest_nticd(spark, d):
+    return forest.control_dependence(*forest.sink_forest(events(spark, d)))
+
+
+def order_forest_nticd(spark, d):
+    return forest.control_dependence(*forest.sink_forest(orders(spark, d)))
+
+
+def forest_lca(spark, d):
+    """The nearest common dominator of the ends of each edge."""
+    g = events(spark, d)
+    return forest.nearest_common(forest.sink_forest(g)[0], g.edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 QUERIES = (
     dataflow_analysis, live_events, must_kill, strong_reaching_definitions, sdg, sdg_slice,
     same_level_components, two_pass_folding, folded_graph, valid_dominance, valid_immediate_dominance, pushdown_saturation, automata_product,
-    order_wod, order_wod_reachable, reducible,
+    order_wod, order_wod_reachable, reducible, dominator_forest, forest_nticd, order_forest_nticd, forest_lca,
 )
 
 
