@@ -48,6 +48,8 @@ BLOCK = 500
 EPS = 1e-6
 #: Children of a node; pairs of nodes that are looked at together; rows whose trees stand in memory together.
 FANOUT, AT_ONCE, FOREST = 8, 10_000, 20_000
+#: Bits of a leaf of a tree at most; all bits are compared after it.
+LEAF_BITS = 1024
 #: Words of bits that are compared together.
 WIDE = 1 << 21
 
@@ -100,7 +102,8 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 def signatures(docs: DataFrame, similarity: float, size: int) -> DataFrame:
     """id, doc_id, n (shingles), set (a hash of them), keys (the prefix of them, in order), rare (how many of these the
-    order doesn't know), bits (a power of two, four times n or more, those of shingles set) of every document (keyed)."""
+    order doesn't know), bits (a power of two, four times n or more, those of shingles set),
+    leaf (the same, folded to LEAF_BITS at most) of every document (keyed)."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -119,18 +122,21 @@ def signatures(docs: DataFrame, similarity: float, size: int) -> DataFrame:
         width = np.full(len(n), 64, np.int64)
         while (small := width < 4 * n).any():
             width[small] *= 2
-        start = np.cumsum(width) - width
-        bits = np.zeros(width.sum(), bool)
-        bits[start[owner] + (value & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
         whole = np.zeros(len(n), np.uint64)
         np.add.at(whole, owner, mix(value, value >> np.uint64(32)))  # of equal sets alike
         ends = lambda counts: pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
         keys = pa.ListArray.from_arrays(ends(np.bincount(owner[keep], minlength=len(n))), pa.array(value[order][keep].view(np.int64)))
-        packed = pa.Array.from_buffers(pa.binary(), len(n), [None, ends(width // 8).buffers()[1], pa.py_buffer(np.packbits(bits, bitorder="little").tobytes())])
-        return pa.record_batch([piece.column("id"), piece.column("doc_id"), pa.array(n), pa.array(mix(whole, n.astype(np.uint64)).view(np.int64)), keys, pa.array(known), packed], ["id", "doc_id", "n", "set", "keys", "rare", "bits"])
+
+        def packed(width: np.ndarray) -> pa.Array:
+            start = np.cumsum(width) - width
+            bits = np.zeros(width.sum(), bool)
+            bits[start[owner] + (value & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+            return pa.Array.from_buffers(pa.binary(), len(n), [None, ends(width // 8).buffers()[1], pa.py_buffer(np.packbits(bits, bitorder="little").tobytes())])
+
+        return pa.record_batch([piece.column("id"), piece.column("doc_id"), pa.array(n), pa.array(mix(whole, n.astype(np.uint64)).view(np.int64)), keys, pa.array(known), packed(width), packed(np.minimum(width, LEAF_BITS))], ["id", "doc_id", "n", "set", "keys", "rare", "bits", "leaf"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return table(map_text(docs, run, f"id long, doc_id {kind}, n long, set long, keys array<long>, rare long, bits binary"), "signatures")
+    return table(map_text(docs, run, f"id long, doc_id {kind}, n long, set long, keys array<long>, rare long, bits binary, leaf binary"), "signatures")
 
 
 def folded(words: np.ndarray, first: np.ndarray, have: int, want: int) -> np.ndarray:
@@ -380,14 +386,14 @@ def across(mixed: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(F.xxhash64("key", "at_kind", F.least("block", "other"), F.greatest("block", "other")).alias("tree"), (F.col("block") != F.col("other")).alias("odd"), "id", "n", "at", "comp", "upper", "block", "blocks")
     # Of blocks i and j a tree has the rows of both; its own rows alone if they are one.
-    mixed_ = rows.join(known.select("id", "bits"), "id").repartition("tree").sortWithinPartitions("tree", "n")
+    mixed_ = rows.join(known.select("id", "leaf"), "id").repartition("tree").sortWithinPartitions("tree", "n")
 
     def run(batches):
         for t in whole_groups((b for b in batches if b.num_rows), "tree", FOREST):
             col = lambda c: t.column(c).to_numpy().astype(np.int64)
             group = np.unique(col("tree"), return_inverse=True)[1]
             id_, n = col("id"), col("n")
-            for a, b in similar_in(group, n, col("at"), col("comp"), col("upper"), col("block"), col("odd").astype(bool), Bits.of(t.column("bits"), n), similarity):
+            for a, b in similar_in(group, n, col("at"), col("comp"), col("upper"), col("block"), col("odd").astype(bool), Bits.of(t.column("leaf"), n), similarity):
                 yield pa.record_batch([pa.array(np.minimum(id_[a], id_[b])), pa.array(np.maximum(id_[a], id_[b]))], ["a", "b"])
 
     return mixed_.mapInArrow(trimmed(run), "a long, b long").distinct()
@@ -422,7 +428,7 @@ def links(docs: DataFrame, known: DataFrame, similarity: float, size: int) -> Da
         found = table(found.union(more), "links")
     mixed = with_components(shared, labelled(found))
     rest = across(mixed, known, similarity).join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
-    return same.union(found).union(verified(docs, rest, similarity, size))
+    return same.union(found).union(verified(docs, bounded(rest, known, similarity), similarity, size))
 
 
 def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
