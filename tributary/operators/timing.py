@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import least_fixpoint, written
+from ..plans.fixpoint import lattice_fixpoint, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from .dominance import frontier as frontier_of
+from .dominance import max_dominance
 from .structure import reach
 
 
@@ -70,3 +71,30 @@ def dependence_of_threads(g: FlowGraph, spawns: DataFrame, closure: DataFrame) -
     own = written(dependence(FlowGraph(g.nodes, written(g.edges.join(spawns, [*k, "src", "dst"], "left_anti").select(*k, "src", "dst")), g.keys)))
     started = own.join(spawns.select(*k, F.col("src").alias("m"), F.col("dst").alias("a")), [*k, "m"]).join(closure, [*k, "a"]).select(*k, "n", F.col("b").alias("m"))
     return own.union(started).distinct()
+
+
+def slowest(g: FlowGraph, dom: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """keys, y, x, steps: the longest way from y to x, up to the first visit, for all x that are on every maximal path from y
+    (dom: keys, y, x): then no way goes round in between."""
+    k = list(g.keys)
+    edges, dom = written(_costed(g, costs).select(*k, "src", "dst", "cost")), written(dom.select(*k, "y", "x"))
+
+    def step(delta: DataFrame) -> DataFrame:
+        on = delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).where("src <> x").select(*k, F.col("src").alias("y"), "x", (F.col("steps") + F.col("cost")).alias("steps"))
+        return on.join(dom, [*k, "y", "x"], "left_semi")
+
+    return lattice_fixpoint(g.nodes.select(*k, F.col("node").alias("y"), F.col("node").alias("x"), F.lit(0).cast("long").alias("steps")), step, {"steps": lambda c: F.max(c)})
+
+
+def correction(g: FlowGraph, costs: DataFrame | None = None) -> DataFrame:
+    """keys, src, dst, cost: costs of edges, raised so that all ways from a branch to the next node on all of them take as
+    long as the slowest. Then that node is met after a fixed time, and so is the next one after it: timing dominance is dominance,
+    but where two nodes are on all maximal paths in either order, which no costs can mend. Branches with no such node, and
+    other edges, keep their costs."""
+    k = list(g.keys)
+    dom = max_dominance(g)
+    longest = written(slowest(g, dom, costs))
+    nearest = longest.where("y <> x").groupBy(*k, F.col("y").alias("src")).agg(F.min(F.struct("steps", "x")).alias("next")).select(*k, "src", F.col("next.steps").alias("whole"), F.col("next.x").alias("x"))
+    edges = _costed(g, costs).select(*k, "src", "dst", "cost").join(nearest, [*k, "src"], "left")
+    rest = longest.select(*k, F.col("y").alias("dst"), "x", F.col("steps").alias("rest"))
+    return edges.join(rest, [*k, "dst", "x"], "left").select(*k, "src", "dst", F.coalesce(F.col("whole") - F.col("rest"), "cost").alias("cost"))

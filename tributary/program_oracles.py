@@ -145,6 +145,23 @@ LEFT JOIN reached USING (graph_id, node) LEFT JOIN miss USING (graph_id, node) L
     entry = "\nfav AS (SELECT graph_id, node AS x, CAST(1 AS BIGINT) AS b FROM n WHERE node <> 1 UNION SELECT graph_id, x, dst FROM fav JOIN (SELECT graph_id, src AS b, dst FROM e) USING (graph_id, b) WHERE dst <> x)"
     # Without the edges that lead to a dominator of their begin no cycle is left.
     forward = "\nfe AS MATERIALIZED (SELECT e.graph_id, src, dst FROM e SEMI JOIN (SELECT graph_id, b AS src FROM r WHERE a = 1) USING (graph_id, src) WHERE src <> dst AND EXISTS (SELECT 1 FROM fav WHERE fav.graph_id = e.graph_id AND fav.x = e.dst AND fav.b = e.src) AND dst <> 1)"
+    slowest = """
+ec AS (SELECT graph_id, src, dst, 1 + (src * 7 + dst * 3) % 32 AS cost FROM e),
+wl AS (SELECT graph_id, node AS y, node AS x, CAST(0 AS BIGINT) AS steps FROM n UNION SELECT graph_id, src, x, steps + cost FROM wl JOIN (SELECT graph_id, src, dst AS y, cost FROM ec) USING (graph_id, y) SEMI JOIN (SELECT graph_id, y AS src, x FROM mdom) USING (graph_id, src, x) WHERE src <> x),
+lo AS MATERIALIZED (SELECT graph_id, y, x, max(steps) AS steps FROM wl GROUP BY ALL),
+nr AS (SELECT graph_id, y, min(steps) AS whole, arg_min(x, steps) AS x FROM lo WHERE y <> x GROUP BY ALL)"""
+    walked = """
+st AS (SELECT graph_id, src AS node, 0 AS input, min(dst) AS dst FROM e GROUP BY ALL UNION ALL SELECT graph_id, src, 1, max(dst) FROM e GROUP BY ALL),
+wa AS (SELECT DISTINCT graph_id, CAST(unnest([0, 1]) AS INTEGER) AS input, CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS pos FROM n UNION SELECT graph_id, input, dst, pos + 1 FROM wa JOIN st USING (graph_id, input, node) WHERE pos < 250),
+vi AS (SELECT graph_id, input, node, min(pos) AS pos, count(*) > 1 AS again FROM wa GROUP BY ALL),
+ru AS MATERIALIZED (SELECT graph_id, input, pos, node, CASE WHEN pos >= min(pos) FILTER (WHERE again) OVER w THEN max(pos) OVER w + 1 - min(pos) FILTER (WHERE again) OVER w END AS period FROM vi WINDOW w AS (PARTITION BY graph_id, input))"""
+    seen = """
+ob AS MATERIALIZED (SELECT graph_id, input, string_agg(node, ',' ORDER BY pos) AS word, coalesce(string_agg(node, ',' ORDER BY pos) FILTER (WHERE period IS NULL), '') AS before, count(period) > 0 AS shows FROM ru SEMI JOIN (SELECT graph_id, node FROM en WHERE event = 'view') USING (graph_id, node) GROUP BY ALL),
+sides AS (SELECT graph_id, input, coalesce(word, '') AS word, coalesce(before, '') AS before, coalesce(shows, false) AS shows, loops FROM (SELECT graph_id, input, count(period) > 0 AS loops FROM ru GROUP BY ALL) LEFT JOIN ob USING (graph_id, input))"""
+    told = """SELECT a.graph_id, a.input AS a, b.input AS b, a.word = b.word AND a.before = b.before AS equal,
+a.word = b.word AND a.before = b.before OR a.loops AND NOT a.shows AND starts_with(b.word || ',', CASE WHEN a.word = '' THEN '' ELSE a.word || ',' END) OR b.loops AND NOT b.shows AND starts_with(a.word || ',', CASE WHEN b.word = '' THEN '' ELSE b.word || ',' END) AS weakly,
+NOT EXISTS (SELECT 1 FROM ru x JOIN ru y ON x.graph_id = y.graph_id AND x.node = y.node JOIN en ON en.graph_id = x.graph_id AND en.node = x.node AND event = 'view' WHERE x.graph_id = a.graph_id AND x.input = 0 AND y.input = 1 AND (x.pos <> y.pos OR x.period <> y.period)) AS timed
+FROM sides a JOIN sides b ON a.graph_id = b.graph_id AND a.input < b.input"""
     out |= {
         "same_level_components": query(ORDERS, PARENS, BALANCED, select="SELECT graph_id, x.a AS node, min(x.b) AS scc, count(*) AS size FROM ba x JOIN ba y USING (graph_id) WHERE x.a = y.b AND x.b = y.a GROUP BY ALL"),
         "two_pass_folding": query(ORDERS, PARENS, folds, select="SELECT * FROM tp"),
@@ -163,5 +180,14 @@ LEFT JOIN reached USING (graph_id, node) LEFT JOIN miss USING (graph_id, node) L
             EVENTS, dominance(), "\ncm AS MATERIALIZED (SELECT e.graph_id, src AS a, dst AS b, p.x AS lca FROM e JOIN sdom p ON p.graph_id = e.graph_id AND p.y = src JOIN sdom q ON q.graph_id = e.graph_id AND q.y = dst AND q.x = p.x)",
             select="SELECT * FROM cm WHERE NOT EXISTS (SELECT 1 FROM cm o WHERE o.graph_id = cm.graph_id AND o.a = cm.a AND o.b = cm.b AND NOT EXISTS (SELECT 1 FROM sdom d WHERE d.graph_id = cm.graph_id AND d.y = cm.lca AND d.x = o.lca))",
         ),
+        "timing_correction": query(ORDERS, dominance(), slowest, select="""SELECT e.graph_id, e.src, e.dst, CAST(coalesce(nr.whole - lo.steps, e.cost) AS BIGINT) AS cost FROM ec e LEFT JOIN nr ON nr.graph_id = e.graph_id AND nr.y = e.src
+LEFT JOIN lo ON lo.graph_id = e.graph_id AND lo.y = e.dst AND lo.x = nr.x"""),
+        "corrected_timing_dominance": query(
+            ORDERS, dominance(), slowest, "\nnc AS MATERIALIZED (SELECT e.graph_id, e.src, e.dst, coalesce(nr.whole - lo.steps, e.cost) AS cost FROM ec e LEFT JOIN nr ON nr.graph_id = e.graph_id AND nr.y = e.src LEFT JOIN lo ON lo.graph_id = e.graph_id AND lo.y = e.dst AND lo.x = nr.x)",
+            "\nwc AS (SELECT graph_id, node AS y, node AS x, CAST(0 AS BIGINT) AS steps FROM n UNION SELECT graph_id, src, x, steps + cost FROM wc JOIN (SELECT graph_id, src, dst AS y, cost FROM nc) USING (graph_id, y) SEMI JOIN (SELECT graph_id, y AS src, x FROM mdom) USING (graph_id, src, x) WHERE src <> x)",
+            select="SELECT graph_id, y, x FROM wc GROUP BY ALL HAVING min(steps) = max(steps)",
+        ),
+        "runs": query(EVENTS, walked, select="SELECT graph_id, input, pos, node, period FROM ru"),
+        "low_equivalence": query(EVENTS, walked, seen, select=told),
     }
     return out

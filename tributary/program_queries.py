@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import automata, balanced, dataflow, forest, order, programs, structure
+from .operators import automata, balanced, dataflow, forest, order, programs, structure, timing, traces
 from .plans.fixpoint import written
 from .sources import flowgraphs as flow
 from .sources.programs import Program, event_program
@@ -174,10 +174,43 @@ def forest_lca(spark, d):
     return forest.nearest_common(forest.sink_forest(g)[0], g.edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+def timing_correction(spark, d):
+    g = orders(spark, d)
+    return timing.correction(g, flow.edge_costs(g.edges))
+
+
+def corrected_timing_dominance(spark, d):
+    """Timing dominance under corrected costs, without its times: dominance, but for nodes that come in either order."""
+    g = orders(spark, d)
+    return timing.timing_dominance(g, written(timing.correction(g, flow.edge_costs(g.edges)))).select("graph_id", "y", "x")
+
+
+def event_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of each event graph: input 0 takes the nearest successor of each node, input 1 the farthest."""
+    g = events(spark, d)
+    to = g.edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.min("dst").alias("low"), F.max("dst").alias("high"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("input"), F.col("low").alias("to")), F.struct(F.lit(1).alias("input"), F.col("high").alias("to"))))
+    steps = to.select("graph_id", "node", both.alias("s")).select("graph_id", F.col("s.input").alias("input"), "node", F.col("s.to").alias("to"))
+    starts = g.nodes.where("node = 1").select("graph_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("input"), "node")
+    return traces.runs(steps, starts, K)
+
+
+def runs(spark, d):
+    return event_runs(spark, d)
+
+
+def low_equivalence(spark, d):
+    """Whether those who see the views of a user can tell both runs apart."""
+    n = flow.event_nodes(spark, d)
+    seen = n.where("event = 'view'").select("graph_id", "node")
+    return traces.compared(written(event_runs(spark, d)), seen, K)
+
+
 QUERIES = (
     dataflow_analysis, live_events, must_kill, strong_reaching_definitions, sdg, sdg_slice,
     same_level_components, two_pass_folding, folded_graph, valid_dominance, valid_immediate_dominance, pushdown_saturation, automata_product,
     order_wod, order_wod_reachable, reducible, dominator_forest, forest_nticd, order_forest_nticd, forest_lca,
+    timing_correction, corrected_timing_dominance, runs, low_equivalence,
 )
 
 
