@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import EVENTS, ORDERS, cd, closure, dominance, immediate, query
+from .oracles import EVENTS, EXIT, ORDERS, cd, closure, dominance, immediate, query
 
 PROGRAMS = """
 pe AS (SELECT graph_id, node AS i, event, lag(event) OVER (PARTITION BY graph_id ORDER BY node) AS before, (node - 1) // 8 AS proc, max(node) OVER (PARTITION BY graph_id) AS fin FROM en),
@@ -65,6 +65,15 @@ ba(graph_id, a, b) USING KEY (graph_id, a, b) AS (SELECT graph_id, node, node FR
    UNION (SELECT x.graph_id, x.a, y.b FROM recurring.ba x JOIN recurring.ba y ON x.graph_id = y.graph_id AND x.b = y.a
           UNION SELECT x.graph_id, o.src, c.dst FROM recurring.ba x JOIN op o ON o.graph_id = x.graph_id AND o.dst = x.a AND o.paren = '(' JOIN op c ON c.graph_id = x.graph_id AND c.src = x.b AND c.paren = ')' AND c.site = o.site))"""
 
+SUMMARIES = """
+kd AS MATERIALIZED (SELECT graph_id, src, dst, CASE WHEN dst = src + 3 THEN 'in' WHEN dst < src THEN 'out' ELSE 'data' END AS kind FROM e),
+si AS MATERIALIZED (SELECT graph_id, src AS actual, dst AS formal, src % 2 AS call FROM kd WHERE kind = 'in'),
+so AS MATERIALIZED (SELECT graph_id, dst AS actual, src AS formal, dst % 2 AS call FROM kd WHERE kind = 'out'),
+rc(graph_id, node, fo) USING KEY (graph_id, node, fo) AS (SELECT DISTINCT graph_id, formal, formal FROM so
+   UNION (SELECT graph_id, src, fo FROM recurring.rc JOIN (SELECT graph_id, src, dst AS node FROM kd WHERE kind = 'data') USING (graph_id, node)
+          UNION SELECT a.graph_id, i.actual, b.fo FROM recurring.rc a JOIN si i ON i.graph_id = a.graph_id AND i.formal = a.node JOIN so o ON o.graph_id = a.graph_id AND o.formal = a.fo AND o.call = i.call JOIN recurring.rc b ON b.graph_id = a.graph_id AND b.node = o.actual)),
+sm AS MATERIALIZED (SELECT DISTINCT a.graph_id, i.actual AS src, o.actual AS dst FROM rc a JOIN si i ON i.graph_id = a.graph_id AND i.formal = a.node JOIN so o ON o.graph_id = a.graph_id AND o.formal = a.fo AND o.call = i.call)"""
+
 #: What doesn't dominate: on one way into y neither its begin nor, of a return, any of its calls has x.
 VALID = """
 sc AS MATERIALIZED (SELECT graph_id, site, src AS call FROM op WHERE paren = '('),
@@ -189,5 +198,13 @@ LEFT JOIN lo ON lo.graph_id = e.graph_id AND lo.y = e.dst AND lo.x = nr.x"""),
         ),
         "runs": query(EVENTS, walked, select="SELECT graph_id, input, pos, node, period FROM ru"),
         "low_equivalence": query(EVENTS, walked, seen, select=told),
+        "balanced_reachability": query(EVENTS, PARENS.replace("src + 2", "src + 3"), BALANCED, select="SELECT * FROM ba"),
+        "summary_edges": query(EVENTS, SUMMARIES, select="SELECT * FROM sm"),
+        "summary_slice": query(
+            EVENTS, SUMMARIES, EXIT, "\nks AS MATERIALIZED (SELECT * FROM kd UNION ALL SELECT graph_id, src, dst, 'summary' FROM sm)",
+            "\nup AS (SELECT graph_id, node FROM exits UNION SELECT graph_id, src FROM up JOIN (SELECT graph_id, src, dst AS node FROM ks WHERE kind <> 'out') USING (graph_id, node))",
+            "\ndown AS (SELECT * FROM up UNION SELECT graph_id, src FROM down JOIN (SELECT graph_id, src, dst AS node FROM ks WHERE kind <> 'in') USING (graph_id, node))",
+            select="SELECT * FROM down",
+        ),
     }
     return out
