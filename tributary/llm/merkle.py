@@ -36,7 +36,7 @@ FANOUT = 3
 #: Levels of the tree that one row holds: 3 ** 6 nodes.
 CHUNK = 6
 #: Hexadecimal digits of a key that are counted at a time, and documents that may be ranked together.
-DIGITS, CELL = 4, 1000
+DIGITS, CELL = 3, 1000
 #: Equal rows are written out in runs of so many.
 RUN = 1 << 16
 
