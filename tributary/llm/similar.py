@@ -400,7 +400,7 @@ def across(mixed: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
 
 
 #: Rounds of hubs at most; trees settle what is left.
-HUBS = 3
+HUBS = 1
 
 
 def links(docs: DataFrame, known: DataFrame, similarity: float, size: int) -> DataFrame:
