@@ -47,11 +47,11 @@ BLOCK = 500
 #: Bounds of floating point are loosened by so much.
 EPS = 1e-6
 #: Children of a node; pairs of nodes that are looked at together; rows whose trees stand in memory together.
-FANOUT, AT_ONCE, FOREST = 8, 10_000, 20_000
+FANOUT, AT_ONCE, FOREST = 8, 4_000, 10_000
 #: Bits of a leaf of a tree at most; all bits are compared after it.
 LEAF_BITS = 1024
 #: Words of bits that are compared together.
-WIDE = 1 << 21
+WIDE = 1 << 20
 
 
 def lowered(texts: pa.Array):
