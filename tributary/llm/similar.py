@@ -80,8 +80,14 @@ def shingle_sets(texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return v[fresh], o[fresh]
 
 
+#: Bytes of an Arrow batch: pairs of long texts, a thousand to a batch, would fill a task's memory. Set for the session.
+BATCH_BYTES = "4194304"
+BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """id (a key of doc_id and text), doc_id, text of each row, and nothing else."""
+    docs.sparkSession.conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
     return small_batches(docs.select(row_key(docs["doc_id"], docs["text"]).alias("id"), docs["doc_id"], docs["text"]))
 
 
