@@ -1,15 +1,19 @@
 """Personal data found by candidate gradient boosting, in DataFrame operations only.
 
 Generators, regular expressions of high recall, propose spans that may overlap: for
-each kind its base pattern and a looser one.  Matches become rows with a little
-context; their places are running sums over a text's pieces, and what they meet is
+each kind its base pattern and a looser one, and on demand long runs that may be secrets.
+Matches become rows with a little context; their places are running sums over a text's pieces, and what they meet is
 told by running maxima, so a text of n matches costs n log n.  Base spans are base
 matches whose checks hold (parts, digits, Luhn).
 
-The model is learned from what can be labelled: a candidate that meets a base span of
-its kind is personal data, one whose own format is wrong (a part over 255, digits that
-fail Luhn, an address without a top-level domain), that lies in a failing base match or
-that meets a base span of another kind is not, and the others, which nothing labels, are not learned from.  Labelled candidates
+The model is learned from what can be labelled, and no label is read off a feature.  A
+candidate that meets a base span of its kind is personal data; one that meets only base
+spans of other kinds, or that is as long as a base match that fails its checks, is not;
+what lies deeper in such a match, and what meets none, may be either and isn't learned
+from.  A run that a credential's name is assigned to is a secret, one without such a name
+isn't; the model sees no names, only the run's form and what stands next to it, so it
+also takes those of the same form whose name it doesn't know, as long as these are few
+enough for the precision asked for.  Labelled candidates
 are grouped by binned features over all documents, and on that table, bounded by the
 bins, the driver boosts small trees and picks for each kind the lowest score at which
 enough of the held-out candidates are right.  The trees become conditional expressions;
@@ -33,6 +37,9 @@ from pyspark.sql import functions as F
 from .common import row_key, sieve, table
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Kinds in the order of their numbers; secrets have no base pattern.
+SECRET = len(KINDS)
+ALL = [*KINDS, "secret"]
 
 #: The base patterns. Possessive repeats can't change what these match, and don't use the stack.
 BASE = {
@@ -51,6 +58,12 @@ LOOSE = {
 #: Texts that don't match these hold no candidate of the kind; they are cheap to search for.
 HINT = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9](?:\.[0-9]|\[\.|\(\.|\[dot|\(dot)", "card": r"[0-9](?:[\x20.-]?[0-9]){11}", "phone": r"[+]?[0-9][\x20().0-9-]+[0-9]"}
 
+#: What may be a secret; a name that makes it one stands before it.
+RUN = r"[A-Za-z0-9_+/=-]{16,}+"
+LONG = r"[A-Za-z0-9_+/=-]{16}"
+NAMED = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|credentials?)[\"']?\s*(?:=>|[=:])\s*[\"']?$"
+ASSIGNED = r"(?:=>|[=:])\s*[\"']?$"
+
 CONTEXT = 24
 CUES = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|account|pay", "phone": "tel|phone|call|fax|mobile"}
 MATCH = "struct<g:int,i:int,gap:int,match:string,left:string,right:string>"
@@ -90,6 +103,8 @@ def valid(kind: str, match: Column) -> Column:
 def sound(kind: str, match: Column) -> Column:
     """Whether a match in any notation has the format of its kind."""
     n = F.length(digits(match))
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     if kind == "email":
         return match.rlike(r"(?:\.|dot\))\x20?[A-Za-z]{2,}$|dot\]\x20?[A-Za-z]{2,}$")
     if kind == "ip":
@@ -106,29 +121,33 @@ def shape(c: Column) -> Column:
 
 def by_kind(f) -> Column:
     """f(kind) of each row's kind."""
-    out = f(KINDS[-1])
-    for k, kind in reversed(list(enumerate(KINDS[:-1]))):
+    out = f(ALL[-1])
+    for k, kind in reversed(list(enumerate(ALL[:-1]))):
         out = F.when(F.col("kind") == k, f(kind)).otherwise(out)
     return out
 
 
 #: Format and context of a candidate, each a small integer; BINS bounds it.
-BINS = {"kind": 4, "sound": 2, "inner": 2, "n_digits": 20, "n_groups": 5, "lead": 3, "left": 4, "right": 4, "cue": 2, "parens": 2}
+#: The last two are of secrets alone, which have no inner, n_groups, lead and parens.
+BINS = {"kind": 5, "sound": 2, "inner": 2, "n_digits": 20, "n_groups": 5, "lead": 3, "left": 4, "right": 4, "cue": 2, "parens": 2, "size": 6, "cases": 4}
 
 
 def features() -> Column:
-    m = F.col("match")
+    m, secret = F.col("match"), F.col("kind") == SECRET
+    other = lambda c: F.when(secret, 0).otherwise(c)
     return F.struct(
         F.col("kind").alias("kind"),
         F.col("sound").cast("int").alias("sound"),
-        F.col("inner").cast("int").alias("inner"),
+        other(F.col("inner").cast("int")).alias("inner"),
         F.least(F.length(digits(m)), F.lit(19)).alias("n_digits"),
-        F.least(F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), F.lit(4)).alias("n_groups"),
-        F.when(m.startswith("+"), 1).when(F.contains(m, F.lit("@")), 2).otherwise(0).alias("lead"),
+        other(F.least(F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), F.lit(4))).alias("n_groups"),
+        other(F.when(m.startswith("+"), 1).when(F.contains(m, F.lit("@")), 2).otherwise(0)).alias("lead"),
         shape(F.right("left", F.lit(1))).alias("left"),
         shape(F.coalesce("right", F.lit(""))).alias("right"),
-        F.when(by_kind(lambda kind: F.lower("left").rlike(CUES[kind])), 1).otherwise(0).alias("cue"),
+        F.when(by_kind(lambda kind: F.col("left").rlike(ASSIGNED) if kind == "secret" else F.lower("left").rlike(CUES[kind])), 1).otherwise(0).alias("cue"),
         F.when(F.contains(m, F.lit("(")), 1).otherwise(0).alias("parens"),
+        F.when(secret, F.least(F.floor(F.log2(F.length(m) / 16.0)).cast("int"), F.lit(5))).otherwise(0).alias("size"),
+        F.when(secret, sum((m.rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]")), F.lit(0))).otherwise(0).alias("cases"),
     )
 
 
@@ -140,13 +159,13 @@ def meets(which: Column, *by: str) -> Column:
     return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
 
-def inside(which: Column, *by: str) -> Column:
-    """Whether a span lies in one that is which."""
-    return F.coalesce(F.max(F.when(which, F.col("end"))).over(Window.partitionBy("_row", *by).orderBy("start")) >= F.col("end"), F.lit(False))
+def equal(which: Column, *by: str) -> Column:
+    """Whether a span has both ends of one that is which."""
+    return F.coalesce(F.max(which).over(Window.partitionBy("_row", *by, "start", "end")), F.lit(False))
 
 
 def inner() -> Column:
-    """Whether a candidate lies in a longer one of another kind."""
+    """Whether a candidate lies in a longer one of another kind, secrets apart."""
     over = Window.partitionBy("_row").orderBy("start")
 
     def furthest(window):
@@ -156,20 +175,25 @@ def inner() -> Column:
     return F.coalesce(longer, F.lit(False))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """All candidates as a table: doc_id, key (row_key), kind, start, end, base, loose, f (features), label (1, 0 or null),
+def candidates(docs: DataFrame, secrets: bool = False) -> DataFrame:
+    """All candidates, secrets among them if asked for, as a table: doc_id, key (row_key), kind, start, end, base, loose, f (features), label (1, 0 or null),
     free (touches no base span), part (0: to learn from, 1: held out). Rows that repeat id and text give one set of them."""
     df = docs.select(docs["doc_id"].alias("doc_id"), row_key(docs["doc_id"], docs["text"]).alias("key"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
     none = F.array().cast(f"array<{MATCH}>")
     each = [F.when(F.col("_text").rlike(HINT[kind]), F.concat(found(BASE[kind], 2 * k), found(LOOSE[kind], 2 * k + 1))).otherwise(none) for k, kind in enumerate(KINDS)]
-    # A digit or an at sign must be there at all.
-    rows = df.where(F.col("_text").rlike(r"[0-9]|@|[\[(]at[\])]")).select("doc_id", "key", F.monotonically_increasing_id().alias("_row"), F.concat(*each).alias("cs"))
+    if secrets:
+        each.append(F.when(F.col("_text").rlike(LONG), found(RUN, 2 * SECRET + 1)).otherwise(none))
+    # A digit, an at sign or a long run must be there at all.
+    rows = df.where(F.col("_text").rlike(r"[0-9]|@|[\[(]at[\])]" + (f"|{LONG}" if secrets else ""))).select("doc_id", "key", F.monotonically_increasing_id().alias("_row"), F.concat(*each).alias("cs"))
     rows = rows.select("doc_id", "key", "_row", F.explode("cs").alias("c")).select("doc_id", "key", "_row", "c.*")
     end = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("_row", "g").orderBy("i")).cast("int")
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match")).withColumn("kind", F.floor(F.col("g") / 2).cast("int")).withColumn("loose", F.col("g") % 2 == 1)
     rows = rows.withColumn("base", ~F.col("loose") & by_kind(lambda kind: valid(kind, F.col("match")))).withColumn("sound", by_kind(lambda kind: sound(kind, F.col("match"))))
-    rows = rows.withColumn("good", meets(F.col("base"), "kind")).withColumn("bad", inside(~F.col("loose") & ~F.col("base"), "kind")).withColumn("free", ~meets(F.col("base"))).withColumn("inner", inner())
-    label = F.when(F.col("good"), 1).when(F.col("bad") | ~F.col("sound") | ~F.col("free"), 0)
+    rows = rows.withColumn("good", meets(F.col("base"), "kind")).withColumn("bad", equal(~F.col("loose") & ~F.col("base"), "kind")).withColumn("free", ~meets(F.col("base"))).withColumn("inner", inner())
+    # Where another run ends a few characters before, the name may be in it.
+    seen = (F.col("i") == 0) | (F.col("gap") >= CONTEXT)
+    run = F.when(~F.col("free"), 0).when(F.col("left").rlike(NAMED), 1).when(seen, 0)
+    label = F.when(F.col("kind") == SECRET, run).when(F.col("good"), 1).when(F.col("bad") | ~F.col("free"), 0)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("part")
     return table(rows.select("doc_id", "key", "kind", "start", "end", "base", "loose", features().alias("f"), label.alias("label"), "free", part).distinct(), "pii")
 
@@ -252,7 +276,7 @@ def boost(rows: Sequence[Row], held: Sequence[Row], rounds: int = 20, depth: int
     """Trees for the log-odds of being valid, and calibrated thresholds on the held-out rows."""
     pos, neg = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not pos:
-        return Model(0.0, (), (None,) * len(KINDS))
+        return Model(0.0, (), (None,) * len(ALL))
     start = log((pos + 1) / (neg + 1))
     scores, trees = [start] * len(rows), []
     for _ in range(rounds):
@@ -265,7 +289,7 @@ def boost(rows: Sequence[Row], held: Sequence[Row], rounds: int = 20, depth: int
         scores = [s + tree.score(x) for (x, _, _), s in zip(rows, scores)]
     model = Model(start, tuple(trees), ())
     thresholds = []
-    for k in range(len(KINDS)):
+    for k in range(len(ALL)):
         by_score: dict[float, list[float]] = {}
         for x, p, n in held:
             if x["kind"] == k:
@@ -310,9 +334,9 @@ def spans(found_: DataFrame, model: Model) -> DataFrame:
 NO_SPANS = "cast(array() as array<struct<kind:int,start:int,end:int,base:boolean,back:int>>)"
 
 
-def with_spans(docs: DataFrame, *keep: str) -> DataFrame:
+def with_spans(docs: DataFrame, *keep: str, secrets: bool = False) -> DataFrame:
     """_row (a struct of the columns to keep) and _spans of every row. Only rows that may have spans are shuffled."""
-    found_ = candidates(docs)
+    found_ = candidates(docs, secrets)
     known = table(spans(found_, train(found_)), "spans").select(F.col("doc_id").alias("_id"), F.col("key").alias("_known"), F.col("spans").alias("_spans"))
     packed = docs.select(F.struct(*(docs[c] for c in keep)).alias("_row"), docs["doc_id"].alias("_doc"), row_key(docs["doc_id"], docs["text"]).alias("_key"))
     maybe, rest = sieve(packed, known.select(F.col("_known").alias("_key")), "_key")
@@ -320,19 +344,19 @@ def with_spans(docs: DataFrame, *keep: str) -> DataFrame:
     return hit.unionByName(rest.select("_row", F.expr(NO_SPANS).alias("_spans")))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of kind, start, end, base, back; kind as an index into KINDS) of every row."""
-    return with_spans(docs, "doc_id").select(F.col("_row")["doc_id"].alias("doc_id"), F.col("_spans").alias("spans"))
+def find(docs: DataFrame, secrets: bool = False) -> DataFrame:
+    """doc_id, spans (array of kind, start, end, base, back; kind as an index into ALL) of every row."""
+    return with_spans(docs, "doc_id", secrets=secrets).select(F.col("_row")["doc_id"].alias("doc_id"), F.col("_spans").alias("spans"))
 
 
 def written(spans_: Column | str) -> Column:
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in ALL))
     return F.array_join(F.transform(spans_, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, secrets: bool = False) -> DataFrame:
     """Counts of base spans, their digest, all spans in writing, and how many the model added."""
-    df = find(docs)
+    df = find(docs, secrets)
     base = F.filter("spans", lambda s: s["base"])
 
     def of(i):
@@ -345,7 +369,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(text: Column, spans_: Column) -> Column:
     """The text with <KIND> for each span; overlapping ones become one, named after the first. The text is cut as UTF-32,
     where a place is found without counting from the start."""
-    tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    tags = F.array(*(F.lit(f"<{k.upper()}>") for k in ALL))
     mark = F.to_binary(F.lit("0000FEFF"), F.lit("hex"))  # so that one in the text is kept
 
     def made(b):
@@ -362,11 +386,11 @@ def redacted(text: Column, spans_: Column) -> Column:
     return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), made), 1)
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, secrets: bool = False) -> DataFrame:
     """The documents with <KIND> for their spans; n_chars, if there, is the new length. Rows without spans are unchanged."""
     columns = docs.columns
     changed = F.size("_spans") > 0
-    df = with_spans(docs, *columns).select("_row", F.when(changed, redacted(F.col("_row")["text"], F.col("_spans"))).alias("_new"), changed.alias("_changed"))
+    df = with_spans(docs, *columns, secrets=secrets).select("_row", F.when(changed, redacted(F.col("_row")["text"], F.col("_spans"))).alias("_new"), changed.alias("_changed"))
     out = []
     for c in columns:
         old = F.col("_row")[c]

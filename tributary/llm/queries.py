@@ -57,7 +57,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(read(spark, sf_dir, "documents"))
+    return pii.report(read(spark, sf_dir, "documents"), secrets=True)
 
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
