@@ -54,3 +54,14 @@ def test_held_out_accuracy(spark):
     bad = rows["quality"] == 0
     assert ((rows["rule"] > 0) & ~bad).sum() <= 0.05 * (~bad).sum()
     assert Q.train(docs, labels.where("false")) == []
+
+
+def test_rules_find_bad_documents(spark):
+    """On labels that weren't learned from, an empty list would find none and a careless one would drop good documents."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rules = Q.train(docs, labels.where("doc_id % 2 = 0"))
+    rows = Q.judge(docs, rules).join(labels.where("doc_id % 2 = 1"), "doc_id").select("rule", "base_failed", "kept", "quality").toPandas()
+    bad, dropped = rows["quality"] == 0, rows["rule"] > 0
+    assert (~rows["kept"] == rows["base_failed"] | dropped).all()
+    assert rules and (dropped & bad).sum() >= 0.9 * bad.sum() and (dropped & ~bad).sum() <= 0.02 * (~bad).sum()
