@@ -217,3 +217,26 @@ def test_redacts_secrets(spark):
         assert got[i] == (new, len(new))
     assert got[1000] == (None, None) and got[1001] == ("", 0)
     assert P.redact(empty(spark), secrets=True).count() == 0
+
+
+def test_long_texts_of_secrets(spark):
+    """Texts above 1 MB: many secrets, one run without end, runs that are a character too short; repeated and null ids, clashing names."""
+    runs_ = (hashlib.sha1(str(i).encode()).hexdigest() for i in range(20_100))
+    runs_ = [x for x in runs_ if not brute(x)][:20_000]  # a run that meets a base span, as a card in it, isn't added
+    many = " ".join(f'token = "{x}"' for x in runs_)
+    short = " ".join("abcdefghijklmn1" for _ in range(80_000))
+    rows = [(1, many, "s"), (1, many, "s"), (None, many, "t"), (2, "x" * 1_500_000 + " 1", "u"), (3, short, "v"), (4, "a@b.co", None)]
+    rows += [(10 + i, f'see token = "{hashlib.sha1(b"%d" % i).hexdigest()}"', "w") for i in range(50)]
+    plain = " and then it goes on as it did before: ".join(["abcdefghijklmnopqrstuvwx"] * 100)  # runs to learn from that are none
+    rows += [(100 + i, plain, "p") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = P.redact(docs, secrets=True)
+    assert got.columns == docs.columns
+    done = " ".join(['token = "<SECRET>"'] * 20_000)
+    want = [(1, done, "s"), (1, done, "s"), (None, done, "t"), (2, "x" * 1_500_000 + " 1", "u"), (3, short, "v"), (4, "<EMAIL>", None)]
+    want += [(10 + i, 'see token = "<SECRET>"', "w") for i in range(50)]
+    want += [(100 + i, plain, "p") for i in range(60)]
+    # What the run without end is taken for isn't defined here: it is unlike all that was learned from.
+    got, rows_2 = [tuple(r) for r in got.collect()], {(2, "x" * 1_500_000 + " 1", "u"), (2, "<SECRET> 1", "u")}
+    assert len(set(got) & rows_2) == 1
+    assert sorted(map(str, set(got) - rows_2)) == sorted(map(str, set(want) - rows_2)) and len(got) == len(want)
