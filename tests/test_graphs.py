@@ -4,8 +4,9 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
-from tributary.operators import control, dataflow, dominance, order, slicing, structure, timing
+from tributary.operators import control, dataflow, dominance, order, paths, slicing, structure, timing
 from tributary.sources import flowgraphs as flow
 
 K = ("graph_id",)
@@ -343,3 +344,16 @@ def test_graph_tables(spark, g, tmp_path):
     flow.write_graph(g, str(tmp_path / "g"), 2)
     back = flow.read_graph(spark, str(tmp_path / "g"))
     assert got(back.edges, "src", "dst") == got(g.edges, "src", "dst")
+
+
+def test_words_are_composed_in_as_many_rounds_as_their_length_has_bits(spark, monkeypatch):
+    """Words of 1 to 300 letters; one of another letter, one with a gap. a's, then b and at once c, then anything."""
+    texts = {n: "a" * (n - 2) + "bc" for n in (2, 3, 64, 65, 300)} | {1: "b", 7: "aaabac", 8: "aaaabcab", 9: "aabbccc"}
+    rows = [(w, i, c) for w, text in texts.items() for i, c in enumerate(text)] + [(90, 0, "a"), (90, 1, "b"), (90, 3, "c"), (91, 0, "a"), (91, 2, "b"), (91, 3, "c")]
+    t = spark.createDataFrame([(0, 0, "only", "a"), (0, 1, "only", "b"), (1, 2, "only", "c"), (2, 3, "free", None), (3, 3, "all", None)], "src int, dst int, kind string, letter string")
+    state = lambda s: spark.createDataFrame([(s,)], "state int")
+    calls, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **kw: calls.append(1) or write(self, *a, **kw))
+    got = paths.accepted(spark.createDataFrame(rows, "word_id long, pos int, letter string"), state(0), state(3), t)
+    assert sorted(r.word_id for r in got.collect()) == [2, 3, 8, 64, 65, 300]
+    assert len(calls) <= 20

@@ -47,15 +47,28 @@ def roots(parents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def accepted(words: DataFrame, initial: DataFrame, final: DataFrame, transitions: DataFrame) -> DataFrame:
     """word_id of the words (word_id, pos from 0, letter) that the automaton accepts. transitions: src, dst, kind
-    ('all': any letter, 'only': letter, 'free': none), letter; initial and final: state. Words without letters aren't in the table."""
-    last = words.groupBy("word_id").agg((F.max("pos") + 1).alias("size"))
-    seed = last.select("word_id").join(initial, how="cross").select("word_id", F.lit(0).alias("pos"), "state")  # each word in each initial state
-
-    def step(delta, _):
-        at = delta.withColumnRenamed("state", "src")
-        free = at.join(transitions.where("kind = 'free'").select("src", "dst"), "src").select("word_id", "pos", F.col("dst").alias("state"))
-        read = at.join(words, ["word_id", "pos"]).join(transitions.where("kind <> 'free'").select("src", "dst", "kind", F.col("letter").alias("want")), "src").where("kind = 'all' or letter = want")
-        return free.union(read.select("word_id", (F.col("pos") + 1).alias("pos"), F.col("dst").alias("state")))
-
-    states = least_fixpoint(seed.withColumn("pos", F.col("pos").cast("int")), lambda d, s: step(d, s).withColumn("pos", F.col("pos").cast("int")))
-    return states.join(last, "word_id").where("pos = size").join(final, "state", "left_semi").select("word_id").distinct()
+    ('all': any letter, 'only': letter, 'free': none), letter; initial and final: state. Words without letters aren't in the table.
+
+    Each letter is the pairs of states that it leads from and to, free moves before it included; neighbours are composed
+    until a word is one table of pairs, so rounds are the logarithm of the longest word, and each has half the rows."""
+    t = transitions.select("src", "dst", "kind", "letter")
+    states = t.select(F.col("src").alias("state")).union(t.select("dst")).union(initial.select("state")).union(final.select("state")).distinct()
+    ways = states.select(F.col("state").alias("src"), F.col("state").alias("mid")).union(t.where("kind = 'free'").select("src", F.col("dst").alias("mid")))
+    free = least_fixpoint(ways, lambda delta, seen: delta.select("src", F.col("mid").alias("m")).join(seen.select(F.col("src").alias("m"), "mid"), "m").select("src", "mid"))
+    moves = written(free.join(t.where("kind <> 'free'").withColumnRenamed("src", "mid"), "mid").select("src", "dst", "kind", "letter").distinct())
+    any_, only = moves.where("kind = 'all'").select("src", "dst"), moves.where("kind = 'only'").select("src", "dst", "letter")
+    words = words.select("word_id", F.col("pos").cast("long").alias("at"), "letter")
+    size = words.groupBy("word_id").agg((F.max("at") + 1).alias("size"))
+    read = words.select("word_id", "at").join(any_, how="cross").union(words.join(only, "letter").select("word_id", "at", "src", "dst"))
+    # Of the first letters only moves from initial states matter.
+    start = read.where("at = 0").join(initial.select(F.col("state").alias("src")), "src", "left_semi").select(*read.columns)
+    part = written(start.union(read.where("at > 0")).distinct().join(size, "word_id"))
+    left = part.agg(F.max("size")).first()[0] or 1
+    while left > 1:
+        first = part.where("at % 2 = 0 and at < size - 1").select("word_id", "size", (F.col("at") + 1).alias("at"), "src", F.col("dst").alias("mid"))
+        both = first.join(part.where("at % 2 = 1").select("word_id", "at", F.col("src").alias("mid"), "dst"), ["word_id", "at", "mid"])
+        odd = part.where("at % 2 = 0 and at = size - 1")
+        rows = both.select("word_id", "at", "src", "dst", "size").distinct().union(odd.select("word_id", "at", "src", "dst", "size"))
+        part, left = written(rows.select("word_id", F.expr("at div 2").alias("at"), "src", "dst", F.expr("(size + 1) div 2").alias("size"))), (left + 1) // 2
+    ends = free.join(final.select(F.col("state").alias("mid")), "mid", "left_semi").select(F.col("src").alias("dst"))
+    return part.join(initial.select(F.col("state").alias("src")), "src", "left_semi").join(ends, "dst", "left_semi").select("word_id").distinct()
