@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 from test_graphs import GRAPHS, K, g, got  # noqa: F401
 
 from tributary.operators import dominance, order, timing, traces
@@ -79,3 +80,15 @@ def test_corrected_costs_make_dominance_timed(g):  # noqa: F811
     before = got(timing.timing_dominance(g, costs), "y", "x")
     assert any(timed[k] > before[k] for k in GRAPHS)
     assert any(raised[k] != old[k] for k in GRAPHS)
+
+
+def test_walks_double(spark, monkeypatch):
+    """A run of 700 nodes that ends, and one that loops: as many rounds as the length has bits."""
+    steps = [(0, 0, v, v + 1) for v in range(700)] + [(0, 1, v, v + 1) for v in range(500)] + [(0, 1, 500, 480)]
+    calls, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **kw: calls.append(1) or write(self, *a, **kw))
+    table = spark.createDataFrame(steps, "graph_id long, input int, node long, to long")
+    starts = spark.createDataFrame([(0, 0, 0), (0, 1, 0)], "graph_id long, input int, node long")
+    rows = {(r.input, r.pos): (r.node, r.period) for r in traces.runs(table, starts, K).collect()}
+    assert rows == {(0, v): (v, None) for v in range(701)} | {(1, v): (v, 21 if v >= 480 else None) for v in range(501)}
+    assert len(calls) <= 4 + 2 * 10

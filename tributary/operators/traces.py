@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import HOPS, least_fixpoint, written
+from ..plans.fixpoint import written
 
 
 def runs(steps: DataFrame, starts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -20,8 +20,16 @@ def runs(steps: DataFrame, starts: DataFrame, keys: tuple[str, ...]) -> DataFram
     steps = written(steps.select(*k, "node", "to"))
     most = steps.groupBy(*k).agg((F.count("*") + 1).alias("most"))
     seed = starts.select(*k, "node", F.lit(0).cast("long").alias("pos")).join(most, k, "left").select(*k, "node", "pos", F.coalesce("most", F.lit(0)).cast("long").alias("most"))
-    # One visit more than there are nodes: then the loop has been closed.
-    walk = least_fixpoint(seed, lambda delta, _: delta.where("pos < most").join(steps, [*k, "node"]).select(*k, F.col("to").alias("node"), (F.col("pos") + 1).alias("pos"), "most"), HOPS)
+    # One visit more than there are nodes: then the loop has been closed. Jumps of 1, 2, 4 … steps double the walk.
+    walk, jump, far = written(seed.distinct()), steps, 1
+    while True:
+        on = walk.where(F.col("pos") + far <= F.col("most")).join(jump, [*k, "node"]).select(*k, F.col("to").alias("node"), (F.col("pos") + far).alias("pos"), "most")
+        on = written(on)
+        if on.isEmpty():
+            break
+        walk = walk.union(on)
+        jump = written(jump.select(*k, "node", F.col("to").alias("mid")).join(jump.select(*k, F.col("node").alias("mid"), "to"), [*k, "mid"]).select(*k, "node", "to"))
+        far *= 2
     visits = written(walk.groupBy(*k, "node").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"), F.count("*").alias("times")))
     by = Window.partitionBy(*k)
     entered = F.min(F.when(F.col("times") > 1, F.col("pos"))).over(by)
