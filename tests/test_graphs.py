@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
+import __spark_entry__
 from tributary.operators import control, dataflow, dominance, order, paths, slicing, structure, timing
 from tributary.sources import flowgraphs as flow
 
@@ -357,3 +358,16 @@ def test_words_are_composed_in_as_many_rounds_as_their_length_has_bits(spark, mo
     got = paths.accepted(spark.createDataFrame(rows, "word_id long, pos int, letter string"), state(0), state(3), t)
     assert sorted(r.word_id for r in got.collect()) == [2, 3, 8, 64, 65, 300]
     assert len(calls) <= 20
+
+
+def test_distances_agree_with_their_sql_on_long_ways(spark, tmp_path):
+    """80 events of a user, whose ways cost more than 400, with jumps on and back; one who buys at once."""
+    duckdb = pytest.importorskip("duckdb")
+    kinds = ["view", "click", "signup", "error", "view", "view", "signup"]
+    rows = [(1, kinds[i % 7], i) for i in range(80)] + [(2, "purchase", 100), (2, "view", 101)]
+    spark.createDataFrame(rows, "user_id long, event_type string, event_id long").selectExpr("*", "timestamp_seconds(event_id) as ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = set(c.execute(__spark_entry__.oracle_sql()["distances"]).fetchall())
+    assert {tuple(r) for r in __spark_entry__.queries()["distances"](spark, str(tmp_path)).collect()} == want
+    assert max(w[3] for w in want) > 432

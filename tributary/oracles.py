@@ -215,7 +215,13 @@ res AS MATERIALIZED (SELECT DISTINCT graph_id, n, m FROM (SELECT graph_id, src A
         EVENTS, EXIT, kinds, kind("vw", "view"), back_by("p1", "exits", "'data'"), "\np2 AS (SELECT graph_id, node FROM vw UNION SELECT graph_id, dst FROM p2 JOIN (SELECT graph_id, dst, src AS node FROM kd WHERE kind = 'data') USING (graph_id, node))",
         select="SELECT * FROM p1 SEMI JOIN p2 USING (graph_id, node)",
     )
-    out["distances"] = query(EVENTS, "\nds AS (SELECT graph_id, node, 0 AS d FROM n WHERE node = 1 UNION SELECT graph_id, dst, d + 1 + (src * 7 + dst * 3) % 32 FROM ds JOIN (SELECT graph_id, src AS node, src, dst FROM e) USING (graph_id, node) WHERE d < 400)", select="SELECT graph_id, CAST(1 AS BIGINT) AS origin, node, CAST(min(d) AS BIGINT) AS distance FROM ds GROUP BY graph_id, node")
+    # A node's row is replaced while a shorter way is found, so no bound on costs is needed.
+    shorter = """
+c AS (SELECT graph_id, src, dst, 1 + (src * 7 + dst * 3) % 32 AS cost FROM e),
+ds(graph_id, node, d) USING KEY (graph_id, node) AS (SELECT graph_id, node, CAST(0 AS BIGINT) FROM n WHERE node = 1
+    UNION SELECT w.graph_id, c.dst, min(w.d + c.cost) FROM ds w JOIN c ON c.graph_id = w.graph_id AND c.src = w.node
+          LEFT JOIN recurring.ds o ON o.graph_id = w.graph_id AND o.node = c.dst WHERE o.d IS NULL OR w.d + c.cost < o.d GROUP BY w.graph_id, c.dst)"""
+    out["distances"] = query(EVENTS, shorter, select="SELECT graph_id, CAST(1 AS BIGINT) AS origin, node, d AS distance FROM ds")
     out["bounded_walks"] = query(EVENTS, "\nwk AS (SELECT graph_id, node AS origin, node, 0 AS steps FROM n WHERE node = 1 UNION SELECT graph_id, origin, dst, steps + 1 FROM wk JOIN (SELECT graph_id, src AS node, dst FROM e) USING (graph_id, node) WHERE steps < 5)", select="SELECT * FROM wk")
     out["chain_roots"] = query(EVENTS, "\npa AS (SELECT graph_id, src AS node, max(dst) AS parent FROM e GROUP BY graph_id, src HAVING max(dst) > src),\nup AS (SELECT graph_id, node, parent AS z, 1 AS depth FROM pa UNION ALL SELECT graph_id, up.node, pa.parent, depth + 1 FROM up JOIN pa USING (graph_id) WHERE pa.node = up.z)", select="SELECT graph_id, node, arg_max(z, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY graph_id, node")
     out["accepted_words"] = query(EVENTS, select="SELECT DISTINCT a.graph_id AS word_id FROM en a JOIN en b ON a.graph_id = b.graph_id AND b.node = a.node + 1 WHERE a.event = 'click' AND b.event IN ('error', 'purchase')")
