@@ -7,9 +7,13 @@ Both are pairs (y, x) and hold of x = y.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import bits
+from ..plans.bits import solved
 from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from .structure import reach
@@ -21,25 +25,35 @@ def sink_dominance(g: FlowGraph, closure: DataFrame | None = None) -> DataFrame:
     It is the greatest set of reachable pairs in which x, if it isn't y, dominates all of y's successors.  Its violations
     are a least fixpoint among reachable pairs: x isn't reachable from a successor of y, or a successor violates it."""
     k = list(g.keys)
-    closure = closure if closure is not None else reach(g)
-    edges = written(g.edges.join(g.outdegree().withColumnRenamed("node", "src"), [*k, "src"]))
-    hit = edges.withColumnRenamed("src", "y").join(closure.select(*k, F.col("a").alias("dst"), F.col("b").alias("x")), [*k, "dst"]).where("y <> x").groupBy(*k, "y", "x").agg(F.count("*").alias("n"), F.first("outdegree").alias("d"))
-    bad = hit.where("n < d").select(*k, "x", "y")
-    bad = least_fixpoint(bad, lambda delta, _: delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).where("src <> x").select(*k, "x", F.col("src").alias("y")), HOPS)
-    return closure.select(*k, F.col("a").alias("y"), F.col("b").alias("x")).join(bad, [*k, "x", "y"], "left_anti").select(*k, "y", "x")
+
+    def large(big: DataFrame) -> DataFrame:
+        h = replace(g, nodes=written(g.nodes.join(big, k, "left_semi")), edges=written(g.edges.join(big, k, "left_semi")))
+        pairs = written(closure.join(big, k, "left_semi")) if closure is not None else reach(h)
+        edges = written(h.edges.join(h.outdegree().withColumnRenamed("node", "src"), [*k, "src"]))
+        hit = edges.withColumnRenamed("src", "y").join(pairs.select(*k, F.col("a").alias("dst"), F.col("b").alias("x")), [*k, "dst"]).where("y <> x").groupBy(*k, "y", "x").agg(F.count("*").alias("n"), F.first("outdegree").alias("d"))
+        bad = hit.where("n < d").select(*k, "x", "y")
+        bad = least_fixpoint(bad, lambda delta, _: delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).where("src <> x").select(*k, "x", F.col("src").alias("y")), HOPS)
+        return pairs.select(*k, F.col("a").alias("y"), F.col("b").alias("x")).join(bad, [*k, "x", "y"], "left_anti").select(*k, "y", "x")
+
+    return solved(bits.flow_rows(g), g.keys, bits.sink_pairs, ("y", "x"), large)
 
 
 def max_dominance(g: FlowGraph) -> DataFrame:
     """keys, y, x: x is on all maximal paths from y: it is y, or dominates all of y's successors."""
     k = list(g.keys)
-    edges = written(g.edges.join(g.outdegree().withColumnRenamed("node", "src"), [*k, "src"]))
 
-    def step(delta, seen):
-        maybe = delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).select(*k, "src", "x").distinct()
-        every = maybe.join(edges, [*k, "src"]).join(seen.withColumnRenamed("y", "dst"), [*k, "dst", "x"])
-        return every.groupBy(*k, "src", "x").agg(F.count("*").alias("n"), F.first("outdegree").alias("d")).where("n = d").select(*k, F.col("src").alias("y"), "x")
+    def large(big: DataFrame) -> DataFrame:
+        h = replace(g, nodes=g.nodes.join(big, k, "left_semi"), edges=written(g.edges.join(big, k, "left_semi")))
+        edges = written(h.edges.join(h.outdegree().withColumnRenamed("node", "src"), [*k, "src"]))
+
+        def step(delta, seen):
+            maybe = delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).select(*k, "src", "x").distinct()
+            every = maybe.join(edges, [*k, "src"]).join(seen.withColumnRenamed("y", "dst"), [*k, "dst", "x"])
+            return every.groupBy(*k, "src", "x").agg(F.count("*").alias("n"), F.first("outdegree").alias("d")).where("n = d").select(*k, F.col("src").alias("y"), "x")
+
+        return least_fixpoint(h.nodes.select(*k, F.col("node").alias("y"), F.col("node").alias("x")), step)
 
-    return least_fixpoint(g.nodes.select(*k, F.col("node").alias("y"), F.col("node").alias("x")), step)
+    return solved(bits.flow_rows(g), g.keys, bits.maximal_pairs, ("y", "x"), large)
 
 
 def one_dominance(dom: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -7,30 +7,22 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import HOPS, least_fixpoint, written
+from ..plans.bits import spread
+from ..plans.fixpoint import written
 from ..sources.flowgraphs import FlowGraph
 from .paths import roots
 
 
 def reach(g: FlowGraph) -> DataFrame:
-    """keys, a, b: b is reachable from a; every node from itself. Paths double in length each round."""
+    """keys, a, b: b is reachable from a; every node from itself."""
     k = list(g.keys)
-    seed = g.nodes.select(*k, F.col("node").alias("a"), F.col("node").alias("b")).union(g.edges.select(*k, F.col("src").alias("a"), F.col("dst").alias("b")))
-
-    def step(delta, seen):
-        def then(x, y):
-            return x.select(*k, "a", F.col("b").alias("m")).join(y.select(*k, F.col("a").alias("m"), "b"), [*k, "m"]).select(*k, "a", "b")
-
-        delta, seen = delta.where("a <> b"), seen.where("a <> b")
-        return then(delta, seen).union(then(seen, delta))
-
-    return least_fixpoint(seed, step)
+    seed = g.nodes.select(*k, "node", F.col("node").alias("value")).union(g.edges.select(*k, F.col("dst").alias("node"), F.col("src").alias("value")))
+    return spread(g.keys, seed, g.edges).select(*k, F.col("value").alias("a"), F.col("node").alias("b"))
 
 
 def reach_from(g: FlowGraph, seeds: DataFrame) -> DataFrame:
     """Nodes reachable from seeds (keys and node), without building the closure."""
-    k = list(g.keys)
-    return least_fixpoint(seeds.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, F.col("dst").alias("node")), HOPS)
+    return spread(g.keys, seeds.select(*g.keys, "node", F.lit(0).alias("value")), g.edges).select(*g.keys, "node")
 
 
 def components(g: FlowGraph, closure: DataFrame | None = None) -> DataFrame:

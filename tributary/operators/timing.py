@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import bits
 from ..plans.fixpoint import lattice_fixpoint, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from .dominance import frontier as frontier_of
@@ -21,14 +24,19 @@ def _costed(g: FlowGraph, costs: DataFrame | None) -> DataFrame:
 def timing_dominance(g: FlowGraph, costs: DataFrame | None = None) -> DataFrame:
     """keys, y, x, steps: on every way from y, x comes after exactly so many steps (or cost; costs: keys, src, dst, cost)."""
     k = list(g.keys)
-    edges = written(_costed(g, costs))
 
-    def step(delta, seen):
-        new = delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).where("src <> x").select(*k, "src", "x", (F.col("steps") + F.col("cost")).alias("steps")).distinct()
-        every = new.join(edges, [*k, "src"]).join(seen.select(*k, F.col("y").alias("dst"), "x", F.col("steps").alias("rest")), [*k, "dst", "x"]).where("rest + cost = steps")
-        return every.groupBy(*k, "src", "x", "steps").agg(F.count("*").alias("n"), F.first("outdegree").alias("d")).where("n = d").select(*k, F.col("src").alias("y"), "x", "steps")
+    def large(big: DataFrame) -> DataFrame:
+        h = replace(g, nodes=g.nodes.join(big, k, "left_semi"), edges=written(g.edges.join(big, k, "left_semi")))
+        edges = written(_costed(h, costs))
+
+        def step(delta, seen):
+            new = delta.withColumnRenamed("y", "dst").join(edges, [*k, "dst"]).where("src <> x").select(*k, "src", "x", (F.col("steps") + F.col("cost")).alias("steps")).distinct()
+            every = new.join(edges, [*k, "src"]).join(seen.select(*k, F.col("y").alias("dst"), "x", F.col("steps").alias("rest")), [*k, "dst", "x"]).where("rest + cost = steps")
+            return every.groupBy(*k, "src", "x", "steps").agg(F.count("*").alias("n"), F.first("outdegree").alias("d")).where("n = d").select(*k, F.col("src").alias("y"), "x", "steps")
+
+        return least_fixpoint(h.nodes.select(*k, F.col("node").alias("y"), F.col("node").alias("x"), F.lit(0).cast("long").alias("steps")), step)
 
-    return least_fixpoint(g.nodes.select(*k, F.col("node").alias("y"), F.col("node").alias("x"), F.lit(0).cast("long").alias("steps")), step)
+    return bits.solved(bits.flow_rows(g, costs), g.keys, bits.timed_pairs, ("y", "x", "steps"), large)
 
 
 def timing_sensitive(g: FlowGraph, costs: DataFrame | None = None, timdom: DataFrame | None = None) -> DataFrame:
