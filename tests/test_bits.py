@@ -17,7 +17,7 @@ def g(spark):
     return flow.graph(spark.createDataFrame(nodes, "graph_id long, node long"), spark.createDataFrame(edges, "graph_id long, src long, dst long"))
 
 
-@pytest.mark.parametrize("most", [0, 12, 1024])
+@pytest.mark.parametrize("most", [0, 12, 4096])
 def test_small_and_large_graphs_agree(g, most, monkeypatch):
     monkeypatch.setattr(bits, "MOST", most)
     assert got(structure.reach(g), "a", "b") == every(reach)

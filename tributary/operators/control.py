@@ -7,7 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import HOPS, least_fixpoint, written
+from ..plans.bits import spread
+from ..plans.fixpoint import written
 from ..sources.flowgraphs import FlowGraph
 from .dominance import immediate_dominance, max_dominance, sink_dominance
 from .structure import reach_from, with_exit
@@ -44,10 +45,6 @@ def between(g: FlowGraph, dom: DataFrame) -> DataFrame:
     """keys, n, m: nodes on the way from n's successors to its immediate dominators, without those and n."""
     k = list(g.keys)
     stop = written(immediate_dominance(dom, g.keys).select(*k, F.col("y").alias("n"), F.col("x").alias("m")))
-    seed = g.edges.select(*k, F.col("src").alias("n"), F.col("dst").alias("m"))
-
-    def step(delta, _):
-        on = delta.join(stop, [*k, "n", "m"], "left_anti")
-        return on.withColumnRenamed("m", "src").join(g.edges, [*k, "src"]).select(*k, "n", F.col("dst").alias("m"))
-
-    return least_fixpoint(seed, step, HOPS).join(stop, [*k, "n", "m"], "left_anti").where("n <> m")
+    seed = g.edges.select(*k, F.col("dst").alias("node"), F.col("src").alias("value"))
+    on = spread(g.keys, seed, g.edges, stop.select(*k, F.col("m").alias("node"), F.col("n").alias("value"))).select(*k, F.col("value").alias("n"), F.col("node").alias("m"))
+    return on.join(stop, [*k, "n", "m"], "left_anti").where("n <> m")

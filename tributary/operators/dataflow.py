@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import HOPS, lattice_fixpoint, least_fixpoint, written
+from ..plans.bits import spread
+from ..plans.fixpoint import lattice_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 
 
@@ -62,15 +63,12 @@ def analysis(g: FlowGraph, **parts: Analysis) -> DataFrame:
 def reaching_definitions(g: FlowGraph, defines: DataFrame, weak: DataFrame | None = None) -> DataFrame:
     """keys, node, name, origin: the definition of name at origin (keys, node, name of defines) reaches node's start.
     A definition ends those of its name before it, but for names in weak (keys, name), such as arrays."""
-    k = list(g.keys)
-    kills = defines if weak is None else defines.join(weak, [*k, "name"], "left_anti")
-    seed = defines.withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, F.col("dst").alias("node"), "name", F.col("src").alias("origin"))
-
-    def step(delta, _):
-        on = delta.join(kills, [*k, "node", "name"], "left_anti")
-        return on.withColumnRenamed("node", "src").join(g.edges, [*k, "src"]).select(*k, F.col("dst").alias("node"), "name", "origin")
-
-    return least_fixpoint(seed, step, HOPS)
+    k = [*g.keys, "name"]
+    kills = defines if weak is None else defines.join(weak, k, "left_anti")
+    # A graph for each name, without the edges that leave definitions which end those before them.
+    kept = g.edges.join(defines.select(*k).distinct(), list(g.keys)).join(kills.select(*k, F.col("node").alias("src")), [*k, "src"], "left_anti")
+    seed = defines.withColumnRenamed("node", "src").join(g.edges, [*g.keys, "src"]).select(*k, F.col("dst").alias("node"), F.col("src").alias("value"))
+    return spread(tuple(k), seed, kept).select(*g.keys, "node", "name", F.col("value").alias("origin"))
 
 
 def data_dependence(reaching: DataFrame, uses: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -81,8 +79,8 @@ def data_dependence(reaching: DataFrame, uses: DataFrame, keys: tuple[str, ...])
 
 def information_flow(dependence: DataFrame, high: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, node: nodes that depend on some of high (keys, node) along pairs (n, m), themselves included."""
-    k = list(keys)
-    return least_fixpoint(high.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "n").join(dependence, [*k, "n"]).select(*k, F.col("m").alias("node")), HOPS)
+    seeds = high.select(*keys, "node", F.lit(0).alias("value"))
+    return spread(keys, seeds, dependence.select(*keys, F.col("n").alias("src"), F.col("m").alias("dst"))).select(*keys, "node")
 
 
 def insecure(dependence: DataFrame, high: DataFrame, low: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -94,15 +92,9 @@ def balanced_reach(g: FlowGraph, parens: DataFrame) -> DataFrame:
     """keys, a, b: b is reachable from a by a path whose calls and returns match.
     parens (keys, src, dst, paren '(' or ')', site) marks edges; others are plain, each node reaches itself."""
     k = list(g.keys)
-    plain = g.edges.join(parens, [*k, "src", "dst"], "left_anti").select(*k, F.col("src").alias("a"), F.col("dst").alias("b"))
-    opens = parens.where("paren = '('").select(*k, F.col("src").alias("a"), F.col("dst").alias("m1"), "site")
-    closes = parens.where("paren = ')'").select(*k, F.col("src").alias("m2"), F.col("dst").alias("b"), "site")
-
-    def step(delta, seen):
-        def then(x, y):
-            return x.select(*k, "a", F.col("b").alias("m")).join(y.select(*k, F.col("a").alias("m"), "b"), [*k, "m"]).select(*k, "a", "b")
-
-        inside = delta.select(*k, F.col("a").alias("m1"), F.col("b").alias("m2")).join(opens, [*k, "m1"]).join(closes, [*k, "m2", "site"]).select(*k, "a", "b")
-        return then(delta, seen).union(then(seen, delta)).union(inside)
-
-    return least_fixpoint(g.nodes.select(*k, F.col("node").alias("a"), F.col("node").alias("b")).union(plain), step)
+    # Of each node what it reaches, found backwards; a call leads on over its return once the callee's entry reaches its exit.
+    plain = g.edges.join(parens, [*k, "src", "dst"], "left_anti").select(*k, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    opens = parens.where("paren = '('").select(*k, F.col("src").alias("dst"), F.col("dst").alias("at"), "site")
+    closes = parens.where("paren = ')'").select(*k, F.col("src").alias("key"), F.col("dst").alias("src"), "site")
+    seeds = g.nodes.select(*k, "node", F.col("node").alias("value"))
+    return spread(g.keys, seeds, plain, gates=opens.join(closes, [*k, "site"])).select(*k, F.col("node").alias("a"), F.col("value").alias("b"))

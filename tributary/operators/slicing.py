@@ -8,7 +8,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import HOPS, least_fixpoint, written
+from ..plans.bits import spread
+from ..plans.fixpoint import least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from . import control
 from .dominance import immediate_dominance, max_dominance, sink_dominance
@@ -19,16 +20,17 @@ def backward(pairs: DataFrame, criterion: DataFrame, keys: tuple[str, ...], trip
     """The least set with the criterion, closed under dependence pairs (n, m) backwards, and under triples (m1, m2, n)
     of which it has m1 and m2."""
     k = list(keys)
+    if triples is None:
+        seeds = criterion.select(*k, "node", F.lit(0).alias("value"))
+        return spread(keys, seeds, pairs.select(*k, F.col("m").alias("src"), F.col("n").alias("dst"))).select(*k, "node")
 
     def step(delta, seen):
         out = delta.withColumnRenamed("node", "m").join(pairs, [*k, "m"]).select(*k, F.col("n").alias("node"))
-        if triples is not None:
-            a = triples.join(delta.withColumnRenamed("node", "m1"), [*k, "m1"]).join(seen.withColumnRenamed("node", "m2"), [*k, "m2"])
-            b = triples.join(delta.withColumnRenamed("node", "m2"), [*k, "m2"]).join(seen.withColumnRenamed("node", "m1"), [*k, "m1"])
-            out = out.union(a.select(*k, F.col("n").alias("node"))).union(b.select(*k, F.col("n").alias("node")))
-        return out
+        a = triples.join(delta.withColumnRenamed("node", "m1"), [*k, "m1"]).join(seen.withColumnRenamed("node", "m2"), [*k, "m2"])
+        b = triples.join(delta.withColumnRenamed("node", "m2"), [*k, "m2"]).join(seen.withColumnRenamed("node", "m1"), [*k, "m1"])
+        return out.union(a.select(*k, F.col("n").alias("node"))).union(b.select(*k, F.col("n").alias("node")))
 
-    return least_fixpoint(criterion.select(*k, "node"), step, HOPS if triples is None else 1)
+    return least_fixpoint(criterion.select(*k, "node"), step)
 
 
 def settled(g: FlowGraph) -> FlowGraph:
@@ -71,8 +73,8 @@ def next_observable(g: FlowGraph, observed: DataFrame) -> DataFrame:
     """keys, node, first: the observed nodes that node can meet first (an observed node meets itself)."""
     k = list(g.keys)
     cut = settled(g.cut(observed))
-    seed = observed.select(*k, "node", F.col("node").alias("first"))
-    return least_fixpoint(seed, lambda delta, _: delta.withColumnRenamed("node", "dst").join(cut.edges, [*k, "dst"]).select(*k, F.col("src").alias("node"), "first"), HOPS)
+    seed = observed.select(*k, "node", F.col("node").alias("value"))
+    return spread(g.keys, seed, cut.reverse().edges).select(*k, "node", F.col("value").alias("first"))
 
 
 def weakly_closed(g: FlowGraph, observed: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from ..sources.flowgraphs import FlowGraph
 from .fixpoint import HOPS, least_fixpoint, written
 
 #: Rows of the largest graph that is gathered.
-MOST = 1024
+MOST = 4096
 #: Rows that a task works on at once; more only if one graph has them.
 ROWS = 8192
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -52,8 +52,9 @@ def _bounded(df: DataFrame) -> DataFrame:
 def solved(rows: DataFrame, keys: tuple[str, ...], solve: Callable[[dict], tuple], names: tuple[str, ...], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """keys and names, as a table: of small graphs by solve, from the columns of their gathered rows and the number of each
     row's graph to numbers of graphs and columns of names; of the others by large(their keys)."""
-    k = list(keys)
-    big = written(rows.groupBy(*k).agg(F.count("*").alias("n")).where(F.col("n") > MOST).select(*k))
+    k, rows = list(keys), written(rows)
+    big = rows.groupBy(*k).agg(F.count("*").alias("n")).where(F.col("n") > MOST).select(*k)
+    big = written(big)
     some = not big.isEmpty()
     packed = (rows.join(big, k, "left_anti") if some else rows).groupBy(*k).agg(F.collect_list(F.struct("kind", *ROW)).alias("rows"))
     schema = packed.select(*k, *(F.lit(0).cast("long").alias(c) for c in names)).schema
