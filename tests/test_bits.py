@@ -1,5 +1,7 @@
 """Fixpoints of gathered graphs: the same rows as without gathering, for small graphs and for some beside large ones."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,29 @@ def test_no_tables_a_round(spark, monkeypatch):
         return len(tables)
 
     assert count(300) == count(3)
+
+
+def test_gates_and_stops_agree(spark, monkeypatch):
+    """Edges that open with what is found, values that stop: gathered, as tables, and in plain Python."""
+    r = random.Random(5)
+    seeds, edges, stops, gates = set(), set(), set(), set()
+    for k in range(30):
+        n = lambda: r.randrange(9)
+        seeds |= {(k, n(), n()) for _ in range(3)}
+        edges |= {(k, n(), n()) for _ in range(8)}
+        stops |= {(k, n(), n()) for _ in range(4)}
+        gates |= {(k, n(), n(), n(), n()) for _ in range(12)}
+    want = set(seeds)
+    while True:
+        live = want - stops
+        on = edges | {(k, a, b) for k, a, b, at, key in gates if (k, at, key) in live}
+        more = want | {(k, b, v) for k, a, b in on for j, x, v in live if (k, a) == (j, x)}
+        if more == want:
+            break
+        want = more
+    table = lambda rows, columns: spark.createDataFrame(sorted(rows), "graph_id long, " + ", ".join(f"{c} long" for c in columns.split()))
+    given = table(seeds, "node value"), table(edges, "src dst"), table(stops, "node value"), table(gates, "src dst at key")
+    assert want != seeds
+    for most in (4096, 0):
+        monkeypatch.setattr(bits, "MOST", most)
+        assert sorted(map(tuple, bits.spread(K, *given).collect())) == sorted(want)

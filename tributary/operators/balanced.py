@@ -5,9 +5,10 @@ parens (keys, src, dst, paren '(' or ')', site) mark the edges of a graph that c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.bits import spread
 from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from .structure import components, quotient
@@ -90,16 +91,18 @@ def pre_star(plain: DataFrame, calls: DataFrame, exits: DataFrame, automaton: Da
     s, the node it replaces is read to s, too."""
     k = list(keys)
     zero = F.lit(0).cast(automaton.schema["src"].dataType)
-    seed = automaton.select(*k, "src", "symbol", "dst").union(exits.select(*k, zero, F.col("node"), zero))
     plain, calls = written(plain), written(calls)
-
-    def step(delta: DataFrame, seen: DataFrame) -> DataFrame:
-        along = delta.where("src = 0").select(*k, F.col("symbol").alias("next"), "dst").join(plain, [*k, "next"]).select(*k, zero.alias("src"), F.col("node").alias("symbol"), "dst")
-
-        def over(x: DataFrame, y: DataFrame) -> DataFrame:
-            first = x.where("src = 0").select(*k, F.col("symbol").alias("entry"), F.col("dst").alias("mid")).join(calls, [*k, "entry"])
-            return first.join(y.select(*k, F.col("src").alias("mid"), F.col("symbol").alias("back"), "dst"), [*k, "mid", "back"]).select(*k, zero.alias("src"), F.col("node").alias("symbol"), "dst")
-
-        return along.union(over(delta, seen)).union(over(seen, delta))
-
-    return least_fixpoint(seed, step)
+    # States to which symbols are read from state 0, at the symbol's node 2 n; what other states read is given, at the nodes
+    # of their own pairs, 2 n + 1. Of a call, what its return node is read to from where its callee's entry is read to counts.
+    rest = automaton.where("src <> 0").select(*k, "src", "symbol").distinct()
+    rest = written(rest.select(*k, F.col("src").alias("mid"), "symbol", (2 * F.row_number().over(Window.partitionBy(*k).orderBy("src", "symbol")).cast("long") + 1).alias("at_mid")))
+    top = automaton.where("src = 0").select(*k, "symbol", "dst").union(exits.select(*k, F.col("node"), zero))
+    seeds = top.select(*k, (2 * F.col("symbol")).alias("node"), F.col("dst").alias("value"))
+    seeds = seeds.union(automaton.where("src <> 0").withColumnRenamed("src", "mid").join(rest, [*k, "mid", "symbol"]).select(*k, F.col("at_mid").alias("node"), F.col("dst").alias("value")))
+    edges = plain.select(*k, (2 * F.col("next")).alias("src"), (2 * F.col("node")).alias("dst"))
+    call = calls.select(*k, (2 * F.col("node")).alias("dst"), (2 * F.col("entry")).alias("at"), "back")
+    gates = call.select(*k, (2 * F.col("back")).alias("src"), "dst", "at", F.lit(0).alias("key"))
+    gates = gates.union(call.join(rest.withColumnRenamed("symbol", "back"), [*k, "back"]).select(*k, F.col("at_mid").alias("src"), "dst", "at", F.col("mid").alias("key")))
+    found = spread(keys, seeds, edges, gates=gates).where(F.pmod("node", F.lit(2)) == 0)
+    found = found.select(*k, zero.alias("src"), F.expr("shiftright(node, 1)").alias("symbol"), F.col("value").alias("dst"))
+    return found.union(automaton.where("src <> 0").select(*k, "src", "symbol", "dst").distinct())

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..plans.bits import spread
 from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 
@@ -21,9 +23,21 @@ def backward(edges: DataFrame, criterion: DataFrame, kinds: tuple[str, ...], key
     """Nodes that reach the criterion (keys, node) along edges of the kinds."""
     k = list(keys)
     own = written(edges.where(F.col("kind").isin(*kinds)).select(*k, "src", "dst").distinct())
+    if _integers(own, "src", "dst"):
+        return _closure(own, criterion, "dst", "src", keys)
     return least_fixpoint(criterion.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "dst").join(own, [*k, "dst"]).select(*k, F.col("src").alias("node")), HOPS)
 
 
+def _integers(df: DataFrame, *columns: str) -> bool:
+    return all(isinstance(df.schema[c].dataType, IntegralType) for c in columns)
+
+
+def _closure(edges: DataFrame, seeds: DataFrame, a: str, b: str, keys: tuple[str, ...]) -> DataFrame:
+    """keys, node: what seeds (keys, node) lead to along edges from column a to column b."""
+    seeds = seeds.select(*keys, "node", F.lit(0).alias("value"))
+    return spread(keys, seeds, edges.select(*keys, F.col(a).alias("src"), F.col(b).alias("dst"))).select(*keys, "node")
+
+
 def forward(edges: DataFrame, criterion: DataFrame, kinds: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
     return backward(edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"), criterion, kinds, keys)
 
@@ -60,6 +74,10 @@ def summary_edges(edges: DataFrame, ins: DataFrame, outs: DataFrame, keys: tuple
         return along.union(over(summaries(delta), seen)).union(over(summaries(seen), delta))
 
     seed = outs.select(*k, F.col("formal").alias("node"), F.col("formal").alias("out")).distinct()
+    if _integers(inside, "prev", "node"):
+        calls = ins.select(*k, F.col("formal").alias("at"), F.col("actual").alias("dst"), "call").join(outs.select(*k, F.col("formal").alias("key"), F.col("actual").alias("src"), "call"), [*k, "call"])
+        reached = spread(keys, seed.withColumnRenamed("out", "value"), inside.select(*k, F.col("node").alias("src"), F.col("prev").alias("dst")), gates=calls.distinct())
+        return summaries(reached.withColumnRenamed("value", "out"))
     return summaries(least_fixpoint(seed, step))
 
 
@@ -77,13 +95,10 @@ def balanced_chop(g: FlowGraph, parens: DataFrame, balanced: DataFrame, source:
     right = written(plain.where("paren <> '('").select(*k, "src", "dst").union(over).distinct())
     left = written(plain.where("paren <> ')'").select(*k, "src", "dst").union(over).distinct())
 
-    def closure(edges, seeds, a, b):
-        return least_fixpoint(seeds.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", a).join(edges, [*k, a]).select(*k, F.col(b).alias("node")), HOPS)
-
     ends = [*k, "node"]
-    out, into = closure(right, source, "src", "dst"), closure(left, target, "dst", "src")
+    out, into = _closure(right, source, "src", "dst", g.keys), _closure(left, target, "dst", "src", g.keys)
     turn = written(out.join(into, ends))
-    first, second = out.join(closure(right, turn, "dst", "src"), ends), closure(left, turn, "src", "dst").join(into, ends)
+    first, second = out.join(_closure(right, turn, "dst", "src", g.keys), ends), _closure(left, turn, "src", "dst", g.keys).join(into, ends)
     on = written(first.withColumn("half", F.lit(1)).union(second.withColumn("half", F.lit(2))))
     # Nodes inside the calls that the halves pass over.
     used = over.join(on.select(*k, F.col("node").alias("src"), "half"), [*k, "src"]).join(on.select(*k, F.col("node").alias("dst"), "half"), [*k, "dst", "half"]).select(*k, "src", "dst").distinct()

@@ -7,7 +7,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import HOPS, least_fixpoint, written
+from ..plans.bits import spread
+from ..plans.fixpoint import written
 from ..sources.programs import Program
 from . import procedures
 from .control import classic
@@ -32,24 +33,14 @@ def may_keep(p: Program) -> DataFrame:
     """graph_id, node, name: on some path inside a procedure, from its entry to node, name isn't overwritten, by nodes on
     it or by all of a call that it passes over. A call keeps a name if its callee's entry keeps it to the exit: so the
     names that calls must overwrite, a greatest fixpoint, are those that this least one leaves out."""
-    flow, calls, names = written(p.flow()), written(p.calls()), written(p.names())
-    defines = written(p.defines.select(G, "node", "name").distinct())
-    dead = written(without_return(p).select(G, "exit").join(names, G))
-    seed = p.procs.select(G, F.col("entry").alias("node")).join(names, G)
-
-    def over(at_call: DataFrame, at_exit: DataFrame) -> DataFrame:
-        through = at_call.withColumnRenamed("node", "call").join(calls.select(G, "call", "back", "exit"), [G, "call"])
-        return through.join(at_exit.withColumnRenamed("node", "exit"), [G, "exit", "name"]).select(G, F.col("back").alias("node"), "name")
-
-    def step(delta: DataFrame, seen: DataFrame) -> DataFrame:
-        keep = lambda df: df.join(defines, [G, "node", "name"], "left_anti")
-        live = keep(delta)
-        along = live.withColumnRenamed("node", "src").join(flow, [G, "src"]).select(G, F.col("dst").alias("node"), "name")
-        # A procedure that doesn't end is taken to overwrite nothing.
-        never = over(live, dead.select(G, F.col("exit").alias("node"), "name"))
-        return along.union(never).union(over(live, keep(seen))).union(over(keep(seen), live))
-
-    return least_fixpoint(seed, step)
+    calls, names = written(p.calls()), written(p.names())
+    # A graph for each name; a call leads over once the exit of its callee is found, and keeps the name.
+    seeds = p.procs.select(G, F.col("entry").alias("node")).join(names, G).withColumn("value", F.lit(0))
+    # A procedure that doesn't end is taken to overwrite nothing.
+    never = calls.join(without_return(p).select(G, "exit"), [G, "exit"], "left_semi").select(G, F.col("call").alias("src"), F.col("back").alias("dst"))
+    over = calls.select(G, F.col("call").alias("src"), F.col("back").alias("dst"), F.col("exit").alias("at"), F.lit(0).alias("key"))
+    stops = p.defines.select(G, "node", "name").distinct().withColumn("value", F.lit(0))
+    return spread((G, "name"), seeds, p.flow().union(never).join(names, G), stops, over.join(names, G)).select(G, "node", "name")
 
 
 def must_kill(p: Program, kept: DataFrame | None = None) -> DataFrame:
@@ -73,12 +64,11 @@ def strong_reaching_definitions(p: Program, killed: DataFrame | None = None) ->
     before = p.procs.select(G, F.col("entry").alias("node"), F.col("entry").alias("origin")).join(names, G).select(G, "node", "name", "origin")
     after = calls.select(G, F.col("back").alias("node"), F.col("call").alias("origin")).join(names, G).select(G, "node", "name", "origin")
 
-    def step(delta: DataFrame, _: DataFrame) -> DataFrame:
-        live = delta.join(defines, [G, "node", "name"], "left_anti")
-        out = live.join(stopped.withColumn("stop", F.lit(True)), [G, "node", "name"], "left").withColumnRenamed("node", "src").join(passes, [G, "src"])
-        return out.where("not past or stop is null").select(G, F.col("dst").alias("node"), "name", "origin")
-
-    return least_fixpoint(before.union(after).union(own).distinct(), step, HOPS)
+    # A graph for each name, without the edges that no definition of it passes.
+    along = passes.join(names, G).join(defines.withColumnRenamed("node", "src"), [G, "src", "name"], "left_anti")
+    along = along.where("not past").unionByName(along.where("past").join(stopped.withColumnRenamed("node", "src"), [G, "src", "name"], "left_anti"))
+    seeds = before.union(after).union(own).distinct().withColumnRenamed("origin", "value")
+    return spread((G, "name"), seeds, along).select(G, "node", "name", F.col("value").alias("origin"))
 
 
 def label(kind: str, at: Column | str, name: Column | str = "name") -> Column:
@@ -100,12 +90,18 @@ def parameter_data_dependence(p: Program, formal: DataFrame, actual: DataFrame)
     define them before its return node. No definition passes over a call but through these."""
     flow, defines = written(p.flow()), written(p.defines.select(G, "node", "name").distinct())
     own = defines.select(G, F.col("node").alias("src"), "name", F.col("node").cast("string").alias("origin")).union(formal.select(G, F.col("entry").alias("src"), "name", F.col("fi").alias("origin")))
-    seed = own.join(flow, [G, "src"]).select(G, F.col("dst").alias("node"), "name", "origin").union(actual.select(G, F.col("back").alias("node"), "name", F.col("ao").alias("origin")))
+    # A graph for each name. Definitions are numbered by their node, 2 n, or, of parameters, that of the entry or return, 2 n + 1.
+    named = formal.select(G, "name", (2 * F.col("entry") + 1).alias("value"), F.col("fi").alias("label")).union(actual.select(G, "name", (2 * F.col("back") + 1).alias("value"), F.col("ao").alias("label")))
+    after = actual.select(G, F.col("back").alias("node"), "name", (2 * F.col("back") + 1).alias("value"))
+    numbers = defines.select(G, F.col("node").alias("src"), "name", (2 * F.col("node")).alias("value")).union(formal.select(G, F.col("entry").alias("src"), "name", (2 * F.col("entry") + 1).alias("value")))
+    seeds = numbers.join(flow, [G, "src"]).select(G, F.col("dst").alias("node"), "name", "value").union(after)
 
     def kept(df: DataFrame) -> DataFrame:
         return df.join(defines, [G, "node", "name"], "left_anti")
 
-    reaching = least_fixpoint(seed, lambda delta, _: kept(delta).withColumnRenamed("node", "src").join(flow, [G, "src"]).select(G, F.col("dst").alias("node"), "name", "origin"), HOPS)
+    along = flow.join(p.names(), G).join(defines.withColumnRenamed("node", "src"), [G, "src", "name"], "left_anti")
+    reaching = spread((G, "name"), seeds, along)
+    reaching = reaching.join(named, [G, "name", "value"], "left").select(G, "node", "name", F.coalesce("label", F.expr("cast(shiftright(value, 1) as string)")).alias("origin"))
     uses = p.uses.select(G, "node", "name", F.col("node").cast("string").alias("dst")).union(formal.select(G, F.col("exit").alias("node"), "name", "fo"))
     leaving = kept(reaching).union(own.select(G, F.col("src").alias("node"), "name", "origin"))
     into = leaving.join(actual.select(G, F.col("call").alias("node"), "name", F.col("ai").alias("dst")), [G, "node", "name"])
