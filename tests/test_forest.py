@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_graphs import GRAPHS, K, g, got  # noqa: F401
 
 from tributary.operators import control, dominance, forest
+from tributary.plans import bits
 from tributary.plans.fixpoint import written
 from tributary.sources import flowgraphs as flow
 
@@ -31,6 +32,24 @@ def test_nearest_common_dominators(g, built):  # noqa: F811
     assert got(forest.nearest_common(built[0], pairs), "a", "b", "lca") == got(want, "a", "b", "lca")
 
 
+def test_no_tables_a_round(spark, monkeypatch):
+    """A chain of 300 nodes with a way past every second takes as many tables as one of 4."""
+    tables = []
+    for module in (bits, forest):
+        monkeypatch.setattr(module, "written", lambda df: tables.append(1) or written(df))
+
+    def count(n):
+        tables.clear()
+        nodes = spark.range(n).select(F.lit(1).alias("graph_id"), F.col("id").alias("node"))
+        on = lambda k: nodes.where((F.col("node") < n - k) & (F.col("node") % k == 0)).select("graph_id", F.col("node").alias("src"), (F.col("node") + k).alias("dst"))
+        f, edges = forest.sink_forest(flow.FlowGraph(nodes, on(1).union(on(2))))
+        assert forest.immediate(f).count() == n - 1
+        assert forest.control_dependence(f, edges).count() == forest.nearest_common(f, edges.where("dst < 1000").select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"))).count() - n + 1 > 0
+        return len(tables)
+
+    assert count(300) == count(4)
+
+
 def test_ten_thousand_nodes(spark):
     """A chain in which every fifth node may skip the next two, with loops back, and a loop without an end."""
     n = 10_000

@@ -10,15 +10,20 @@ depth in joins of tables with a row a node.
 
 The first tree takes, of each node, the successor with the largest number; nodes whose
 pointers don't lead to the root then take one that does.  Any choice is right.
+
+Small graphs are gathered (plans.bits): a task reads pointers and depths off the bits of
+dominance, and walks up the pointers for what is asked of them.  All else is tables.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import bits
 from ..plans.fixpoint import written
 from ..sources.flowgraphs import FlowGraph
 
@@ -85,8 +90,8 @@ def spanning(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...], root: Da
 
 @dataclass(frozen=True)
 class Forest:
-    """parents (keys, node, to; ROOT above what nothing dominates), the jumps up and the depth of each node, and the nodes of
-    sinks of several nodes (keys, node, cls), each of which is one node, cls, of the forest."""
+    """parents (keys, node, to; ROOT above what nothing dominates), the jumps up (of a part with larger graphs, else none) and
+    the depth of each node, and the nodes of sinks of several nodes (keys, node, cls), each of which is one node, cls, of the forest."""
 
     keys: tuple[str, ...]
     parents: DataFrame
@@ -100,6 +105,16 @@ class Forest:
         to = self.sinks.select(*k, F.col("node").alias(column), F.col("cls").alias("_cls"))
         return df.join(to, [*k, column], "left").withColumn(column, F.coalesce("_cls", column)).drop("_cls").select(*df.columns)
 
+    def part(self, big: DataFrame) -> Forest:
+        """The forest of some graphs (keys), with jumps."""
+        return _forest(written(self.parents.join(big, list(self.keys), "left_semi")), self.keys, self.sinks)
+
+    def rows(self, arcs: DataFrame, *ends: str) -> DataFrame:
+        """Gathered rows of the forest and of arcs (keys and two ends) beside it."""
+        up = self.parents.join(self.depths, [*self.keys, "node"])
+        rows = bits.rows_of(up, self.keys, PARENT, "node", "to", "depth").union(bits.rows_of(self.sinks, self.keys, MEMBER, "node", "cls"))
+        return rows.union(bits.rows_of(arcs, self.keys, ARC, *ends))
+
     def nearest(self, pairs: DataFrame) -> DataFrame:
         """pairs (keys, a, b and more columns; nodes of the forest) with lca, the nearest common ancestor of a and b, and its depth."""
         k, more = list(self.keys), [c for c in pairs.columns if c not in (*self.keys, "a", "b")]
@@ -127,8 +142,95 @@ def _forest(parents: DataFrame, keys: tuple[str, ...], sinks: DataFrame) -> Fore
     return Forest(keys, parents, jumps, written(last.select(*keys, "node", F.col("steps").alias("depth"))), sinks)
 
 
+#: Kinds of rows of a gathered forest and what stands in them: (node, to, depth), (node, cls), (src, dst).
+PARENT, MEMBER, ARC = range(3)
+
+
+def _solved(p: dict) -> tuple:
+    """Kinds and rows of the forests of gathered graphs."""
+    f = bits.Flow(p)
+    node, number = f.node, np.arange(f.n)
+    row, column = bits.pairs(bits.on_sink_paths(f))
+    x, size = node.first[row] + column, np.bincount(row, minlength=f.n)
+    # Nodes of a sink dominate one another, and have as many dominators; any other dominator of a node has fewer than it.
+    equal = size[x] == size[row]
+    cls, most = number.copy(), np.full(f.n, -1)
+    np.minimum.at(cls, row[equal], x[equal])
+    np.maximum.at(most, row[~equal], size[x[~equal]] * node.width + node.width - 1 - column[~equal])
+    to = np.where(most < 0, ROOT, node.name[np.where(most < 0, 0, node.first + node.width - 1 - most % node.width)])
+    depth = np.bincount(row, weights=cls[x] == x, minlength=f.n).astype(np.int64)
+    single = f.own & (cls == number)
+    member = f.own & (np.bincount(cls, minlength=f.n) > 1)[cls]
+    src, dst = cls[f.out.head], cls[f.out.tail]
+    arc = np.unique(src[src != dst] * f.n + dst[src != dst])
+    src, dst = arc // max(f.n, 1), arc % max(f.n, 1)
+    ends = np.flatnonzero(single & (np.bincount(src, minlength=f.n) == 0))
+    at = (np.flatnonzero(single), np.flatnonzero(member), src, ends)
+    what = np.repeat([PARENT, MEMBER, ARC, ARC], [len(i) for i in at])
+    second = np.r_[to[at[0]], node.name[cls[at[1]]], node.name[dst], np.full(len(ends), ROOT)]
+    at = np.concatenate(at)
+    return node.of[at], what, node.name[at], second, np.where(what == PARENT, depth[at], 0)
+
+
+class _Tree:
+    """Gathered rows of a forest as pointers, each node of a sink replaced by the sink's; arcs by the numbers of their ends."""
+
+    def __init__(self, p: dict):
+        kind, n = p["kind"], len(p["kind"])
+        self.node = bits.Numbers(np.r_[p["graph"], p["graph"]], np.r_[p["a"], p["b"]])
+        a, b = self.node.at[:n], self.node.at[n:]
+        self.to = np.arange(len(self.node.of))
+        self.depth, cls = np.zeros(len(self.to), np.int64), self.to.copy()
+        up, member, self.arc = (kind == x for x in (PARENT, MEMBER, ARC))
+        self.to[a[up]], self.depth[a[up]], cls[a[member]] = b[up], p["c"][up], b[member]
+        self.begin, self.end = cls[a[self.arc]], cls[b[self.arc]]
+
+
+def _met(p: dict) -> tuple:
+    """a, b, and their nearest common ancestor, if it isn't the root."""
+    t = _Tree(p)
+    x, y = t.begin.copy(), t.end.copy()
+    live = np.flatnonzero(x != y)
+    while len(live):
+        dx, dy = t.depth[x[live]], t.depth[y[live]]
+        i, j = live[dx >= dy], live[dy >= dx]
+        x[i], y[j] = t.to[x[i]], t.to[y[j]]
+        live = live[(x[live] != y[live]) & (np.maximum(dx, dy) > 0)]
+    found = (x == y) & (t.node.name[x] != ROOT)
+    return p["graph"][t.arc][found], p["a"][t.arc][found], p["b"][t.arc][found], t.node.name[x[found]]
+
+
+def _controlled(p: dict) -> tuple:
+    """n and m: from the end of each arc of n up to n's parent, all nodes but n."""
+    t = _Tree(p)
+    n, m = t.begin, t.end
+    found = []
+    while len(n):
+        on = t.depth[m] > np.maximum(t.depth[n] - 1, 0)
+        n, m = n[on], m[on]
+        found.append((n * len(t.to) + m)[n != m])
+        m = t.to[m]
+    pair = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+    n, m = pair // max(len(t.to), 1), pair % max(len(t.to), 1)
+    return t.node.of[n], t.node.name[n], t.node.name[m]
+
+
 def sink_forest(g: FlowGraph) -> tuple[Forest, DataFrame]:
     """The forest of sink dominators, and the edges (keys, src, dst) of the graph whose sinks are single nodes."""
+    k, columns = list(g.keys), ("what", "a", "b", "c")
+
+    def large(big: DataFrame) -> DataFrame:
+        part, whole = _by_tables(replace(g, nodes=g.nodes.join(big, k, "left_semi"), edges=g.edges.join(big, k, "left_semi")))
+        row = lambda df, what, *of: df.select(*k, *(F.lit(v).cast("long").alias(c) if isinstance(v, int) else F.col(v).cast("long").alias(c) for c, v in zip(columns, (what, *of))))
+        up = part.parents.join(part.depths, [*k, "node"])
+        return row(up, PARENT, "node", "to", "depth").union(row(part.sinks, MEMBER, "node", "cls", 0)).union(row(whole, ARC, "src", "dst", 0))
+
+    rows = bits.solved(bits.flow_rows(g), g.keys, _solved, columns, large)
+    of = lambda what, **names: rows.where(F.col("what") == what).select(*k, *(F.col(c).alias(name) for name, c in names.items()))
+    return Forest(g.keys, of(PARENT, node="a", to="b"), [], of(PARENT, node="a", depth="c"), of(MEMBER, node="a", cls="b")), of(ARC, src="a", dst="b")
+
+
+def _by_tables(g: FlowGraph) -> tuple[Forest, DataFrame]:
     k = list(g.keys)
     nodes, edges = written(g.nodes.select(*k, "node")), written(g.edges.where("src <> dst").select(*k, "src", "dst"))
     ends = written(nodes.join(edges.select(*k, F.col("src").alias("node")).distinct(), [*k, "node"], "left_anti"))
@@ -187,9 +289,15 @@ def control_dependence(forest: Forest, edges: DataFrame) -> DataFrame:
     """keys, n, m: nontermination-insensitive control dependence: from each successor of a branch n up to n's parent, all
     nodes but n. edges: those of sink_forest."""
     k = list(forest.keys)
-    parent = forest.parents.join(forest.depths, [*k, "node"]).select(*k, F.col("node").alias("n"), (F.col("depth") - 1).alias("stop"))
-    starts = edges.where(F.col("dst") != _root()).select(*k, F.col("src").alias("n"), F.col("dst").alias("node")).join(parent, [*k, "n"])
-    pairs = above(forest, starts.distinct()).where("n <> node").select(*k, "n", F.col("node").alias("m")).distinct()
+    arcs = edges.where(F.col("dst") != _root())
+
+    def large(big: DataFrame) -> DataFrame:
+        part = forest.part(big)
+        parent = part.parents.join(part.depths, [*k, "node"]).select(*k, F.col("node").alias("n"), (F.col("depth") - 1).alias("stop"))
+        starts = arcs.select(*k, F.col("src").alias("n"), F.col("dst").alias("node")).join(parent, [*k, "n"])
+        return above(part, starts.distinct()).where("n <> node").select(*k, "n", F.col("node").alias("m")).distinct()
+
+    pairs = bits.solved(forest.rows(arcs, "src", "dst"), forest.keys, _controlled, ("n", "m"), large)
     members = forest.sinks.select(*k, F.col("cls").alias("m"), F.col("node").alias("member"))
     return pairs.join(members, [*k, "m"], "left").select(*k, "n", F.coalesce("member", "m").alias("m"))
 
@@ -197,8 +305,13 @@ def control_dependence(forest: Forest, edges: DataFrame) -> DataFrame:
 def nearest_common(forest: Forest, pairs: DataFrame) -> DataFrame:
     """keys, a, b, lca: the nearest common sink dominator of each pair that has one; all nodes of a sink of several."""
     k = list(forest.keys)
-    at = pairs.select(*k, F.col("a").alias("_a"), F.col("b").alias("_b"), "a", "b").distinct()
-    at = forest.represented(forest.represented(at, "a"), "b")
-    met = forest.nearest(at).where(F.col("lca") != _root())
+    pairs = pairs.select(*k, "a", "b").distinct()
+
+    def large(big: DataFrame) -> DataFrame:
+        at = pairs.join(big, k, "left_semi").select(*k, F.col("a").alias("_a"), F.col("b").alias("_b"), "a", "b")
+        met = forest.part(big).nearest(forest.represented(forest.represented(at, "a"), "b")).where(F.col("lca") != _root())
+        return met.select(*k, F.col("_a").alias("a"), F.col("_b").alias("b"), "lca")
+
+    met = bits.solved(forest.rows(pairs, "a", "b"), forest.keys, _met, ("a", "b", "lca"), large)
     members = forest.sinks.select(*k, F.col("cls").alias("lca"), F.col("node").alias("member"))
-    return met.join(members, [*k, "lca"], "left").select(*k, F.col("_a").alias("a"), F.col("_b").alias("b"), F.coalesce("member", "lca").alias("lca"))
+    return met.join(members, [*k, "lca"], "left").select(*k, "a", "b", F.coalesce("member", "lca").alias("lca"))

@@ -103,9 +103,9 @@ class Fold:
 
     def __init__(self, head: np.ndarray, tail: np.ndarray):
         order = np.argsort(head, kind="stable")
-        self.tail, head = tail[order], head[order]
-        self.starts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]][: len(head)])
-        self.heads, self.order = head[self.starts], order
+        self.tail, self.head = tail[order], head[order]
+        self.starts = np.flatnonzero(np.r_[True, self.head[1:] != self.head[:-1]][: len(head)])
+        self.heads, self.order = self.head[self.starts], order
 
     def __call__(self, ufunc: np.ufunc, rows: np.ndarray) -> np.ndarray:
         return ufunc.reduceat(rows, self.starts, axis=0)
