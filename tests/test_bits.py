@@ -5,11 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators import dominance, structure, timing
+from tributary.operators import control, dominance, order, structure, timing
 from tributary.plans import bits, fixpoint
 from tributary.sources import flowgraphs as flow
 
-from test_graphs import GRAPHS, K, every, got, mdom, reach, sdom
+from test_graphs import GRAPHS, K, every, got, mdom, reach, sdom, suc
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,23 @@ def test_gates_and_stops_agree(spark, monkeypatch):
     for most in (4096, 0):
         monkeypatch.setattr(bits, "MOST", most)
         assert sorted(map(tuple, bits.spread(K, *given).collect())) == sorted(want)
+
+
+def _refuse(monkeypatch, module, *names):
+    for name in names:
+        monkeypatch.setattr(module, name, lambda *_, **__: pytest.fail("ran as tables"))
+
+
+def test_classic_control_dependence_in_tasks(g, monkeypatch):
+    """Small graphs need neither tables of what reaches the exit nor of dominance."""
+    _refuse(monkeypatch, control, "reach_from", "sink_dominance", "from_dominance")
+
+    def want(ns, es):
+        r, ends = reach(ns, es), {n for n in ns if not suc(es, n)}
+        keep = [n for n in ns if any((n, e) in r for e in ends)]
+        es = {(a, b) for a, b in es if a in keep and b in keep}
+        d = sdom(keep, es)
+        hits = {(n, m): sum((s, m) in d for s in suc(es, n)) for n in keep for m in keep if n != m}
+        return {(n, m) for (n, m), hit in hits.items() if 0 < hit < len(suc(es, n))}
+
+    assert got(control.classic(g), "n", "m") == every(want)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import bits
 from ..plans.bits import spread
 from ..plans.fixpoint import written
 from ..sources.flowgraphs import FlowGraph
@@ -21,24 +23,38 @@ def from_dominance(g: FlowGraph, dom: DataFrame) -> DataFrame:
     return hits.join(g.outdegree().withColumnRenamed("node", "n"), [*k, "n"]).where("hit < outdegree and n <> m").select(*k, "n", "m")
 
 
+def _decided(g: FlowGraph, solve: Callable[[dict], tuple], plain: Callable[[FlowGraph], DataFrame]) -> DataFrame:
+    """Pairs of small graphs by solve, without a table of dominance; of the others by plain."""
+    k = list(g.keys)
+
+    def large(big: DataFrame) -> DataFrame:
+        return plain(replace(g, nodes=written(g.nodes.join(big, k, "left_semi")), edges=written(g.edges.join(big, k, "left_semi"))))
+
+    return bits.solved(bits.flow_rows(g), g.keys, solve, ("n", "m"), large)
+
+
 def insensitive(g: FlowGraph, closure: DataFrame | None = None) -> DataFrame:
     """Nontermination-insensitive control dependence: by sink paths."""
-    return from_dominance(g, sink_dominance(g, closure))
+    return _decided(g, bits.sink_control, lambda h: from_dominance(h, sink_dominance(h, closure)))
 
 
 def sensitive(g: FlowGraph) -> DataFrame:
     """Nontermination-sensitive control dependence: by maximal paths."""
-    return from_dominance(g, max_dominance(g))
+    return _decided(g, bits.maximal_control, lambda h: from_dominance(h, max_dominance(h)))
 
 
 def classic(g: FlowGraph, exit_: int = -1) -> DataFrame:
     """Classic control dependence of the graph with one exit; only nodes that reach it take part."""
     k = list(g.keys)
-    full = with_exit(g, exit_)
-    ends = full.nodes.select(*k).distinct().withColumn("node", F.lit(exit_).cast("long"))
-    whole = full.induced(written(reach_from(full.reverse(), ends)))
-    whole = replace(whole, nodes=written(whole.nodes), edges=written(whole.edges))
-    return from_dominance(whole, sink_dominance(whole)).where(F.col("m") != exit_)
+
+    def plain(g: FlowGraph) -> DataFrame:
+        full = with_exit(g, exit_)
+        ends = full.nodes.select(*k).distinct().withColumn("node", F.lit(exit_).cast("long"))
+        whole = full.induced(written(reach_from(full.reverse(), ends)))
+        whole = replace(whole, nodes=written(whole.nodes), edges=written(whole.edges))
+        return from_dominance(whole, sink_dominance(whole)).where(F.col("m") != exit_)
+
+    return _decided(g, bits.ending_control, plain)
 
 
 def between(g: FlowGraph, dom: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..plans.bits import spread
 from ..plans.fixpoint import least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
 from . import control
-from .dominance import immediate_dominance, max_dominance, sink_dominance
+from .dominance import immediate_dominance, sink_dominance
 from .structure import reach_from
 
 
@@ -85,4 +85,4 @@ def weakly_closed(g: FlowGraph, observed: DataFrame) -> DataFrame:
 
 
 def sensitive_slice(g: FlowGraph, criterion: DataFrame) -> DataFrame:
-    return control_slice(g, criterion, lambda h: control.from_dominance(h, max_dominance(h)))
+    return control_slice(g, criterion, control.sensitive)

@@ -49,11 +49,11 @@ def _bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def solved(rows: DataFrame, keys: tuple[str, ...], solve: Callable[[dict], tuple], names: tuple[str, ...], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def solved(rows: DataFrame, keys: tuple[str, ...], solve: Callable[[dict], tuple], names: tuple[str, ...], large: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
     """keys and names, as a table: of small graphs by solve, from the columns of their gathered rows and the number of each
-    row's graph to numbers of graphs and columns of names; of the others by large(their keys)."""
+    row's graph to numbers of graphs and columns of names; of the others, of more rows than MOST or most, by large(their keys)."""
     k, rows = list(keys), written(rows)
-    big = rows.groupBy(*k).agg(F.count("*").alias("n")).where(F.col("n") > MOST).select(*k)
+    big = rows.groupBy(*k).agg(F.count("*").alias("n")).where(F.col("n") > min(MOST, most or MOST)).select(*k)
     big = written(big)
     some = not big.isEmpty()
     packed = (rows.join(big, k, "left_anti") if some else rows).groupBy(*k).agg(F.collect_list(F.struct("kind", *ROW)).alias("rows"))
@@ -107,6 +107,10 @@ class Fold:
         self.starts = np.flatnonzero(np.r_[True, self.head[1:] != self.head[:-1]][: len(head)])
         self.heads, self.order = self.head[self.starts], order
 
+    def where(self, keep: np.ndarray) -> Fold:
+        """The fold of some edges, given in this fold's order."""
+        return Fold(self.head[keep], self.tail[keep])
+
     def __call__(self, ufunc: np.ufunc, rows: np.ndarray) -> np.ndarray:
         return ufunc.reduceat(rows, self.starts, axis=0)
 
@@ -232,9 +236,9 @@ def on_sink_paths(f: Flow) -> np.ndarray:
     return bits
 
 
-def on_maximal_paths(f: Flow) -> np.ndarray:
-    """The least rows that hold each node itself and what all of its successors' do."""
-    bits, out = f.single(), f.out
+def on_maximal_paths(f: Flow, out: Fold | None = None) -> np.ndarray:
+    """The least rows that hold each node itself and what all of its successors' do (out: some of the edges)."""
+    bits, out = f.single(), f.out if out is None else out
     while len(out.heads):
         more = bits.copy()
         more[out.heads] |= out(np.bitwise_and, bits[out.tail])
@@ -254,6 +258,38 @@ def maximal_pairs(p: dict) -> tuple:
     return f.named(on_maximal_paths(f))
 
 
+def decided(f: Flow, dominators: np.ndarray) -> tuple:
+    """n and m: m dominates some but not all of n's successors, and isn't n."""
+    out = f.out
+    if not len(out.heads):
+        return f.named(np.zeros_like(dominators))
+    below = dominators[out.tail]
+    some = np.zeros_like(dominators)
+    some[out.heads] = out(np.bitwise_or, below) & ~out(np.bitwise_and, below) & ~f.single()[out.heads]
+    return f.named(some)
+
+
+def sink_control(p: dict) -> tuple:
+    f = Flow(p)
+    return decided(f, on_sink_paths(f))
+
+
+def maximal_control(p: dict) -> tuple:
+    f = Flow(p)
+    return decided(f, on_maximal_paths(f))
+
+
+def ending_control(p: dict) -> tuple:
+    """sink_control among the nodes that reach one without successors."""
+    f = Flow(p)
+    ends = np.ones((f.n, 1), np.uint64)
+    ends[f.out.heads] = 0
+    ends[~f.own] = 0
+    keep = grown(ends, f.out)[:, 0] > 0
+    f.out, f.own = f.out.where(keep[f.out.head] & keep[f.out.tail]), f.own & keep
+    return decided(f, on_sink_paths(f))
+
+
 #: No time.
 NEVER = np.iinfo(np.int64).min
 
