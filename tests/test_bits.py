@@ -95,3 +95,11 @@ def test_classic_control_dependence_in_tasks(g, monkeypatch):
         return {(n, m) for (n, m), hit in hits.items() if 0 < hit < len(suc(es, n))}
 
     assert got(control.classic(g), "n", "m") == every(want)
+
+
+def test_timing_dependence_in_tasks(g, monkeypatch):
+    """Small graphs are cut at each node inside tasks; a few columns at a time give the same."""
+    _refuse(monkeypatch, timing, "reach", "timing_dominance")
+    want = got(timing.dependence(g), "n", "m")
+    monkeypatch.setattr(timing, "CUT_NODES", 1)
+    assert want == got(timing.dependence(g), "n", "m") and any(want.values())

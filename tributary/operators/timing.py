@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +62,93 @@ def frontier(g: FlowGraph, costs: DataFrame | None = None) -> DataFrame:
     return frontier_of(g, written(dom))
 
 
+def _timed(head: np.ndarray, tail: np.ndarray, n: int) -> np.ndarray:
+    """Which of n nodes have a timing dominator but themselves, by edges without repeats in the order of their heads. All nodes
+    lead to nodes without edges.
+
+    Timing dominators of a node follow one another, so each node has a pointer to its next one, and the steps to it. A node
+    with one successor has that. The others get one where the pointers from all successors first meet at one time: of two
+    walkers the one that is earlier goes on, and waits where there is no pointer yet."""
+    first = np.searchsorted(head, np.arange(n + 1))
+    degree = np.diff(first)
+    to, steps = np.full(n, -1), np.zeros(n, np.int64)
+    one = np.flatnonzero(degree == 1)
+    to[one], steps[one] = tail[first[one]], 1
+    y = np.flatnonzero(degree > 1)
+    a, b, at, bt, done = tail[first[y]], tail[first[y] + 1], np.ones(len(y), np.int64), np.ones(len(y), np.int64), np.full(len(y), 2)
+    while len(y):
+        met = (a == b) & (at == bt)
+        more = met & (done < degree[y])
+        b[more], bt[more] = tail[first[y[more]] + done[more]], 1
+        done[more] += 1
+        found = met & ~more
+        to[y[found]], steps[y[found]] = a[found], at[found]
+        # Walkers that are at one node at different times never meet.
+        on = ~found & ((a != b) | (at == bt) | more)
+        y, a, b, at, bt, done = (v[on] for v in (y, a, b, at, bt, done))
+        left, right = (at <= bt) & (a != b) & (to[a] >= 0), (bt <= at) & (a != b) & (to[b] >= 0)
+        at[left] += steps[a[left]]
+        a[left] = to[a[left]]
+        bt[right] += steps[b[right]]
+        b[right] = to[b[right]]
+        if not (left.any() or right.any() or found.any() or more.any()):
+            break
+    return to >= 0
+
+
+#: Nodes of cut graphs that are worked on at once; more only if one graph has them.
+CUT_NODES = 1 << 20
+
+
+def _timing_dependent(p: dict) -> tuple:
+    """n and m of gathered graphs: n is among the nodes that reach m, and has no timing dominator there but itself."""
+    f = bits.Flow(p)
+    node, own = f.node, f.single()
+    to = bits.grown(own, f.out)
+    inside = f.own[f.out.head] & f.own[f.out.tail]
+    head, tail = f.out.head[inside], f.out.tail[inside]
+    out = [(np.zeros(0, np.int64),) * 2]
+    # The graphs of a range of columns m: nodes and edges by their places in the pairs of a node and a column.
+    width = max(1, CUT_NODES // max(f.n, 1) // 64) * 64
+    for begin in range(0, node.width, width):
+        row, column = bits.pairs(to[:, begin // 64 : (begin + width) // 64])
+        keep = f.own[row]
+        row, column = row[keep], column[keep] + begin
+        m = node.first[row] + column
+        keep = f.own[m]
+        row, column, m = row[keep], column[keep], m[keep]
+        place = row * width + column - begin
+        # Of each edge those columns that its end leads to, but not the edges that leave m.
+        low, high = np.searchsorted(row, tail), np.searchsorted(row, tail, "right")
+        many = high - low
+        edge = np.repeat(np.arange(len(tail)), many)
+        at = np.arange(len(edge)) - np.repeat(np.cumsum(many) - many, many) + low[edge]
+        live = m[at] != head[edge]
+        edge, at = edge[live], at[live]
+        from_ = np.searchsorted(place, head[edge] * width + column[at] - begin)
+        order = np.argsort(from_, kind="stable")
+        lonely = ~_timed(from_[order], at[order], len(row)) & (row != m)
+        out.append((row[lonely], m[lonely]))
+    n, m = (np.concatenate(c) for c in zip(*out))
+    return node.of[n], node.name[n], node.name[m]
+
+
 def dependence(g: FlowGraph, closure: DataFrame | None = None) -> DataFrame:
     """keys, n, m: the time at which m is reached, if it is, depends on n: of the nodes that reach m, in the graph of these
-    without the edges that leave m, n has no timing dominator but itself. The graphs of all m are as large as reachability."""
+    without the edges that leave m, n has no timing dominator but itself. The graphs of all m are as large as reachability;
+    those of small graphs are made inside tasks."""
     k = list(g.keys)
-    r = closure if closure is not None else reach(g)
-    nodes = written(r.select(*k, F.col("b").alias("m"), F.col("a").alias("node")))
-    edges = nodes.withColumnRenamed("node", "src").where("src <> m").join(g.edges, [*k, "src"]).join(nodes.withColumnRenamed("node", "dst"), [*k, "m", "dst"], "left_semi")
-    each = FlowGraph(nodes, written(edges.select(*k, "m", "src", "dst")), (*k, "m"))
-    timed = timing_dominance(each).where("y <> x").select(*k, "m", F.col("y").alias("node")).distinct()
-    return nodes.where("node <> m").join(timed, [*k, "m", "node"], "left_anti").select(*k, F.col("node").alias("n"), "m")
+
+    def large(big: DataFrame) -> DataFrame:
+        mine = written(g.edges.join(big, k, "left_semi"))
+        r = closure.join(big, k, "left_semi") if closure is not None else reach(replace(g, nodes=g.nodes.join(big, k, "left_semi"), edges=mine))
+        nodes = written(r.select(*k, F.col("b").alias("m"), F.col("a").alias("node")))
+        edges = nodes.withColumnRenamed("node", "src").where("src <> m").join(mine, [*k, "src"]).join(nodes.withColumnRenamed("node", "dst"), [*k, "m", "dst"], "left_semi")
+        each = FlowGraph(nodes, written(edges.select(*k, "m", "src", "dst")), (*k, "m"))
+        timed = timing_dominance(each).where("y <> x").select(*k, "m", F.col("y").alias("node")).distinct()
+        return nodes.where("node <> m").join(timed, [*k, "m", "node"], "left_anti").select(*k, F.col("node").alias("n"), "m")
+
+    return bits.solved(bits.flow_rows(g), g.keys, _timing_dependent, ("n", "m"), large)
 
 
 def dependence_of_threads(g: FlowGraph, spawns: DataFrame, closure: DataFrame) -> DataFrame:
