@@ -103,3 +103,13 @@ def test_timing_dependence_in_tasks(g, monkeypatch):
     want = got(timing.dependence(g), "n", "m")
     monkeypatch.setattr(timing, "CUT_NODES", 1)
     assert want == got(timing.dependence(g), "n", "m") and any(want.values())
+
+
+def test_correction_in_tasks(g, monkeypatch):
+    """Longest ways of small graphs take no rounds of tables; then dominance takes fixed times but where two nodes come in either order."""
+    _refuse(monkeypatch, timing, "slowest")
+    mended = timing.correction(g, flow.edge_costs(g.edges))
+    timed, dom = got(timing.timing_dominance(g, mended), "y", "x"), every(mdom)
+    for k in GRAPHS:
+        assert timed[k] <= dom[k]
+        assert dom[k] - timed[k] <= {(y, x) for y, x in dom[k] for z in GRAPHS[k][0] if z != x and (x, z) in dom[k] and (z, x) in dom[k]}

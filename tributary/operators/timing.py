@@ -172,15 +172,44 @@ def slowest(g: FlowGraph, dom: DataFrame, costs: DataFrame | None = None) -> Dat
     return lattice_fixpoint(g.nodes.select(*k, F.col("node").alias("y"), F.col("node").alias("x"), F.lit(0).cast("long").alias("steps")), step, {"steps": lambda c: F.max(c)})
 
 
+def _corrected(p: dict) -> tuple:
+    """src, dst and corrected cost of gathered graphs' edges."""
+    f = bits.Flow(p)
+    node, out = f.node, f.out
+    dom = np.unpackbits(bits.on_maximal_paths(f).astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")[:, : node.width] > 0
+    number, never = np.arange(f.n), bits.NEVER
+    longest = np.full((f.n, node.width), never)
+    longest[number, node.column] = 0
+    dom[number, node.column] = False
+    dom[~f.own] = False
+    while len(out.heads):
+        then = longest[out.tail]
+        then = np.where(then == never, never, then + f.cost[:, None])
+        new = np.where(dom[out.heads], out(np.maximum, then), longest[out.heads])
+        if np.array_equal(new, longest[out.heads]):
+            break
+        longest[out.heads] = new
+    # The next node on all ways: of the least time, the first of several.
+    time = np.where(dom & (longest != never), longest, np.iinfo(np.int64).max)
+    next_ = time.argmin(axis=1)
+    whole, rest = time[number, next_][out.head], longest[out.tail, next_[out.head]]
+    mended = (whole != np.iinfo(np.int64).max) & (rest != never)
+    return node.of[out.head], node.name[out.head], node.name[out.tail], np.where(mended, whole - rest, f.cost)
+
+
 def correction(g: FlowGraph, costs: DataFrame | None = None) -> DataFrame:
     """keys, src, dst, cost: costs of edges, raised so that all ways from a branch to the next node on all of them take as
     long as the slowest. Then that node is met after a fixed time, and so is the next one after it: timing dominance is dominance,
     but where two nodes are on all maximal paths in either order, which no costs can mend. Branches with no such node, and
     other edges, keep their costs."""
     k = list(g.keys)
-    dom = max_dominance(g)
-    longest = written(slowest(g, dom, costs))
-    nearest = longest.where("y <> x").groupBy(*k, F.col("y").alias("src")).agg(F.min(F.struct("steps", "x")).alias("next")).select(*k, "src", F.col("next.steps").alias("whole"), F.col("next.x").alias("x"))
-    edges = _costed(g, costs).select(*k, "src", "dst", "cost").join(nearest, [*k, "src"], "left")
-    rest = longest.select(*k, F.col("y").alias("dst"), "x", F.col("steps").alias("rest"))
-    return edges.join(rest, [*k, "dst", "x"], "left").select(*k, "src", "dst", F.coalesce(F.col("whole") - F.col("rest"), "cost").alias("cost"))
+
+    def large(big: DataFrame) -> DataFrame:
+        h = replace(g, nodes=written(g.nodes.join(big, k, "left_semi")), edges=written(g.edges.join(big, k, "left_semi")))
+        longest = written(slowest(h, max_dominance(h), costs))
+        nearest = longest.where("y <> x").groupBy(*k, F.col("y").alias("src")).agg(F.min(F.struct("steps", "x")).alias("next")).select(*k, "src", F.col("next.steps").alias("whole"), F.col("next.x").alias("x"))
+        edges = _costed(h, costs).select(*k, "src", "dst", "cost").join(nearest, [*k, "src"], "left")
+        rest = longest.select(*k, F.col("y").alias("dst"), "x", F.col("steps").alias("rest"))
+        return edges.join(rest, [*k, "dst", "x"], "left").select(*k, "src", "dst", F.coalesce(F.col("whole") - F.col("rest"), "cost").alias("cost"))
+
+    return bits.solved(bits.flow_rows(g, costs), g.keys, _corrected, ("src", "dst", "cost"), large)
