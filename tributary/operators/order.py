@@ -2,16 +2,20 @@
 
 Whether m1 comes before m2 on all paths from x is dominance in the graph without
 the edges that leave m2, so each m2 that can matter gives a graph of its own by
-one more key column; all of them run in one job.
+one more key column; all of them run in one job.  Weak order dependence cuts small
+graphs inside tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import bits
 from ..plans.fixpoint import written
 from ..sources.flowgraphs import FlowGraph
 from .dominance import max_dominance, sink_dominance
@@ -87,9 +91,7 @@ def _either_first(g: FlowGraph, without: DataFrame) -> DataFrame:
     return written(may.join(may.select(*k, "n", F.col("m2").alias("m1"), F.col("m1").alias("m2")), [*k, "n", "m1", "m2"]))
 
 
-def weak(g: FlowGraph) -> DataFrame:
-    """Weak order dependence: from n either of m1 and m2 may come first, and after some successor of n, on maximal paths,
-    one of them always does."""
+def _weak(g: FlowGraph) -> DataFrame:
     k = list(g.keys)
     cut = cut_at_each(g)
     either = _either_first(g, reach(cut))
@@ -98,9 +100,7 @@ def weak(g: FlowGraph) -> DataFrame:
     return after.union(after.select(*k, "n", F.col("m2").alias("m1"), F.col("m1").alias("m2"))).distinct().select(*k, "m1", "m2", "n")
 
 
-def weak_reachable(g: FlowGraph) -> DataFrame:
-    """Weak order dependence by reachability: from n either may come first, and some successor of n reaches one of them
-    and can't reach the other but past it."""
+def _weak_reachable(g: FlowGraph) -> DataFrame:
     k = list(g.keys)
     without = written(reach(cut_at_each(g)))
     either = _either_first(g, without)
@@ -108,3 +108,66 @@ def weak_reachable(g: FlowGraph) -> DataFrame:
     at = at.join(reach(g).select(*k, F.col("a").alias("dst"), F.col("b").alias("m1")), [*k, "dst", "m1"], "left_semi")
     after = at.join(without.select(*k, F.col("cut").alias("m1"), F.col("a").alias("dst"), F.col("b").alias("m2")), [*k, "m1", "dst", "m2"], "left_anti").select(*k, F.col("src").alias("n"), "m1", "m2").distinct()
     return after.union(after.select(*k, "n", F.col("m2").alias("m1"), F.col("m1").alias("m2"))).distinct().select(*k, "m1", "m2", "n")
+
+
+#: Rows of the largest graph that is cut at each node inside a task, and bits of pairs that are looked at there at once.
+MOST_CUT, CUT_BITS = 256, 1 << 24
+
+
+def _cut_in_task(p: dict, decides: Callable[..., np.ndarray]) -> tuple:
+    """m1, m2 and n of gathered graphs: either of m1 and m2 may come first from branch n, and decides(graph, column, cut
+    edges, reachability along these) has, for each begin of edges, m2 or m1 in the graph cut at the other."""
+    f = bits.Flow(p)
+    node, out, own = f.node, f.out, f.single()
+    branch = np.flatnonzero((np.diff(np.r_[out.starts, len(out.head)]) > 1) & f.own[out.heads])
+    may, after = [], []
+    for c in range(node.width):
+        cut = out.where(node.column[out.head] != c)
+        reached = bits.grown(own, cut)
+        may.append(reached[out.heads[branch]])
+        after.append(decides(f, c, cut, reached)[branch])
+    found = [(np.zeros(0, np.int64),) * 3]
+    many = max(1, CUT_BITS // node.width**2)
+    square = lambda rows, at: np.unpackbits(np.stack([r[at : at + many] for r in rows]).astype("<u8", copy=False).view(np.uint8), axis=2, bitorder="little")[:, :, : node.width] > 0
+    for at in range(0, len(branch), many):
+        first = square(may, at)
+        on = first & first.transpose(2, 1, 0) & square(after, at)
+        on[np.arange(node.width), :, np.arange(node.width)] = False
+        m2, n, m1 = np.nonzero(on | on.transpose(2, 1, 0))
+        n = out.heads[branch[at + n]]
+        m1, m2 = node.first[n] + m1, node.first[n] + m2
+        keep = f.own[m1] & f.own[m2]
+        found.append((n[keep], m1[keep], m2[keep]))
+    n, m1, m2 = (np.concatenate(x) for x in zip(*found))
+    return node.of[n], node.name[m1], node.name[m2], node.name[n]
+
+
+def _always_first(f: bits.Flow, column: int, cut: bits.Fold, reached: np.ndarray) -> np.ndarray:
+    return f.out(np.bitwise_or, bits.on_maximal_paths(f, cut)[f.out.tail])
+
+
+def _only_past(f: bits.Flow, column: int, cut: bits.Fold, reached: np.ndarray) -> np.ndarray:
+    """What successors that reach the cut node can't reach but past it."""
+    at_cut = (reached[:, column >> 6] >> np.uint64(column & 63)) & np.uint64(1)
+    return f.out(np.bitwise_or, np.where(at_cut[f.out.tail, None] > 0, ~reached[f.out.tail], np.uint64(0)))
+
+
+def _dependent(g: FlowGraph, decides: Callable[..., np.ndarray], plain: Callable[[FlowGraph], DataFrame]) -> DataFrame:
+    k = list(g.keys)
+
+    def large(big: DataFrame) -> DataFrame:
+        return plain(replace(g, nodes=written(g.nodes.join(big, k, "left_semi")), edges=written(g.edges.join(big, k, "left_semi"))))
+
+    return bits.solved(bits.flow_rows(g), g.keys, lambda p: _cut_in_task(p, decides), ("m1", "m2", "n"), large, MOST_CUT)
+
+
+def weak(g: FlowGraph) -> DataFrame:
+    """Weak order dependence: from n either of m1 and m2 may come first, and after some successor of n, on maximal paths,
+    one of them always does."""
+    return _dependent(g, _always_first, _weak)
+
+
+def weak_reachable(g: FlowGraph) -> DataFrame:
+    """Weak order dependence by reachability: from n either may come first, and some successor of n reaches one of them
+    and can't reach the other but past it."""
+    return _dependent(g, _only_past, _weak_reachable)
