@@ -223,3 +223,25 @@ def test_common_dominators_and_classes(g):
 
     got_ = {r.graph_id: r.secure for r in classification.low_security(g, deps, mhp, g.nodes.where("node = 5"), high, low).collect()}
     assert got_ == every(secure)
+
+
+def test_balanced_chop_in_tasks(spark, monkeypatch):
+    """Random graphs with calls of calls: chopped inside tasks without tables of pairs, and the same as by tables."""
+    r = random.Random(11)
+    nodes, edges, parens = [], [], []
+    for k in range(6):
+        nodes += [(k, n) for n in range(9)]
+        for a, b in sorted({(r.randrange(9), r.randrange(9)) for _ in range(13)}):
+            edges.append((k, a, b))
+            paren = r.choice(["", "(", ")"])
+            if paren:
+                parens.append((k, a, b, paren, r.randrange(2)))
+    g = flow.graph(spark.createDataFrame(nodes, "graph_id long, node long"), spark.createDataFrame(edges, "graph_id long, src long, dst long"))
+    marks = spark.createDataFrame(parens, "graph_id long, src long, dst long, paren string, site int")
+    chop = lambda: {tuple(x) for x in procedures.balanced_chop(g, marks, dataflow.balanced_reach, g.nodes.where("node < 3"), g.nodes.where("node > 5")).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(procedures, "least_fixpoint", lambda *_: pytest.fail("ran as tables"))
+        m.setattr(procedures, "SPLIT", 3)
+        found = chop()
+    monkeypatch.setattr(procedures, "MOST_CHOP", 1)
+    assert found == chop() and found

@@ -5,10 +5,14 @@ A dependence graph is a table of edges (keys, src, dst, kind).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ..plans import bits
 from ..plans.bits import spread
 from ..plans.fixpoint import HOPS, least_fixpoint, written
 from ..sources.flowgraphs import FlowGraph
@@ -85,9 +89,111 @@ def with_summaries(edges: DataFrame, ins: DataFrame, outs: DataFrame, keys: tupl
     return edges.select(*keys, "src", "dst", "kind").union(summary_edges(edges, ins, outs, keys).withColumn("kind", F.lit(SUMMARY)))
 
 
-def balanced_chop(g: FlowGraph, parens: DataFrame, balanced: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+#: Kinds of gathered rows of a chop, and what stands in them: (node), (src, dst), (src, dst, site, whether it is an edge), the
+#: same of returns, (node), (node).
+NODE, PLAIN, OPEN, CLOSE, SOURCE, TARGET = range(6)
+#: Rows of the largest graph that is chopped inside a task; pairs that are split there at once.
+MOST_CHOP, SPLIT = 512, 1 << 17
+
+
+def balanced_chop(g: FlowGraph, parens: DataFrame, balanced: Callable[[FlowGraph, DataFrame], DataFrame] | DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """keys, node: nodes on paths from source to target whose returns match their calls: returns out of source's
-    procedures first, calls into target's then; balanced pairs (keys, a, b) stand for whole calls."""
+    procedures first, calls into target's then; balanced pairs (keys, a, b) stand for whole calls. Small graphs find their
+    pairs inside tasks; of the others they are given, or are balanced(graph, parens)."""
+    k = list(g.keys)
+
+    def large(big: DataFrame) -> DataFrame:
+        mine = lambda df: written(df.join(big, k, "left_semi"))
+        h, marks = FlowGraph(mine(g.nodes), mine(g.edges), g.keys), mine(parens)
+        pairs = mine(balanced) if isinstance(balanced, DataFrame) else written(balanced(h, marks))
+        return _chop_by_tables(h, marks, pairs, mine(source), mine(target))
+
+    marked = parens.join(g.edges.withColumn("edge", F.lit(1)), [*k, "src", "dst"], "left").withColumn("edge", F.coalesce("edge", F.lit(0)))
+    rows = bits.rows_of(g.nodes, g.keys, NODE, "node").union(bits.rows_of(g.edges.join(parens, [*k, "src", "dst"], "left_anti"), g.keys, PLAIN, "src", "dst"))
+    for paren, kind in (("(", OPEN), (")", CLOSE)):
+        rows = rows.union(bits.rows_of(marked.where(F.col("paren") == paren), g.keys, kind, "src", "dst", "site", "edge"))
+    rows = rows.union(bits.rows_of(source, g.keys, SOURCE, "node")).union(bits.rows_of(target, g.keys, TARGET, "node"))
+    return bits.solved(rows, g.keys, _chop, ("node",), large, MOST_CHOP)
+
+
+def _chop(p: dict) -> tuple:
+    """Nodes of the chops of gathered graphs."""
+    kind, graph, n_rows = p["kind"], p["graph"], len(p["kind"])
+    pair = (kind == PLAIN) | (kind == OPEN) | (kind == CLOSE)
+    node = bits.Numbers(np.r_[graph, graph[pair]], np.r_[p["a"], p["b"][pair]])
+    n, a, b = len(node.of), node.at[:n_rows], np.full(n_rows, -1)
+    b[pair] = node.at[n_rows:]
+    plain, opens, closes = (np.flatnonzero(kind == x) for x in (PLAIN, OPEN, CLOSE))
+    # A call and a return of one site: from src over the callee's entry and exit to dst.
+    site = bits.Numbers(np.r_[graph[opens], graph[closes]], np.r_[p["c"][opens], p["c"][closes]]).at
+    of_open, of_close = site[: len(opens)], site[len(opens) :]
+    order = np.argsort(of_close, kind="stable")
+    low, high = (np.searchsorted(of_close[order], of_open, side) for side in ("left", "right"))
+    many = high - low
+    call = np.repeat(opens, many)
+    back = closes[order[np.arange(len(call)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]]
+    src, entry, exit_, dst = a[call], b[call], a[back], b[back]
+    own = np.zeros(n, bool)
+    own[a[kind == NODE]] = True
+    balanced = bits.ones(n, node.width, np.flatnonzero(own), node.column[own])
+    has = lambda rows, row, column: (rows[row, node.column[column] >> 6] >> (node.column[column] & 63).astype(np.uint64)) & np.uint64(1) > 0
+    whole = np.zeros(len(src), bool)
+    while True:
+        balanced = bits.grown(balanced, bits.Fold(np.r_[a[plain], src[whole]], np.r_[b[plain], dst[whole]]))
+        now = has(balanced, entry, exit_)
+        if np.array_equal(now, whole):
+            break
+        whole = now
+
+    row, column = bits.pairs(balanced)
+    column = node.first[row] + column
+    over = row != column
+    row, column = row[over], column[over]
+    edge = p["d"] > 0
+    right, left = (tuple(np.r_[end[plain], end[x[edge[x]]], far] for end, far in ((a, row), (b, column))) for x in (closes, opens))
+
+    def led(seeds: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return bits.grown(seeds.astype(np.uint64)[:, None], bits.Fold(to, from_))[:, 0] > 0
+
+    def at(kind_: int) -> np.ndarray:
+        out = np.zeros(n, bool)
+        out[a[kind == kind_]] = True
+        return out
+
+    out, into = led(at(SOURCE), *right), led(at(TARGET), *left[::-1])
+    turn = out & into
+    first, second = out & led(turn, *right[::-1]), led(turn, *left) & into
+
+    # Nodes inside the calls that the halves pass over: balanced pairs are split where a node stands between their ends, and
+    # those of a call lead to its callee's entry and exit.
+    used = (first[row] & first[column]) | (second[row] & second[column])
+    turned = bits.ones(n, node.width, np.r_[column, np.flatnonzero(own)], node.column[np.r_[row, np.flatnonzero(own)]])
+    new = bits.ones(n, node.width, row[used], node.column[column[used]])
+    spans = np.zeros_like(new)
+    src, entry, exit_, dst = src[whole], entry[whole], exit_[whole], dst[whole]
+    while new.any():
+        spans |= new
+        begin, end = bits.pairs(new)
+        end = node.first[begin] + end
+        more, back = np.zeros_like(new), np.zeros_like(new)
+        for i in range(0, len(begin), SPLIT):
+            x, y = begin[i : i + SPLIT], end[i : i + SPLIT]
+            between = balanced[x] & turned[y]
+            for to, ends in ((more, x), (back, y)):
+                fold = bits.Fold(ends, np.arange(len(ends)))
+                to[fold.heads] |= fold(np.bitwise_or, between[fold.tail])
+        y, x = bits.pairs(back)
+        inside = has(new, src, dst)
+        x, y = np.r_[node.first[y] + x, entry[inside]], np.r_[y, exit_[inside]]
+        new = (more | bits.ones(n, node.width, x, node.column[y])) & ~spans
+    x, y = bits.pairs(spans)
+    found = first | second
+    found[x] = True
+    found[node.first[x] + y] = True
+    return node.of[found], node.name[found]
+
+
+def _chop_by_tables(g: FlowGraph, parens: DataFrame, balanced: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     k = list(g.keys)
     marks = parens.select(*k, "src", "dst", "paren")
     plain = g.edges.join(marks, [*k, "src", "dst"], "left").withColumn("paren", F.coalesce("paren", F.lit("")))

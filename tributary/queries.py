@@ -431,8 +431,7 @@ def summary_slice(spark, d):
 
 def balanced_chop(spark, d):
     g = events(spark, d)
-    parens = event_parens(g)
-    return procedures.balanced_chop(g, parens, written(dataflow.balanced_reach(g, parens)), of_type(spark, d, "view"), of_type(spark, d, "purchase"))
+    return procedures.balanced_chop(g, event_parens(g), dataflow.balanced_reach, of_type(spark, d, "view"), of_type(spark, d, "purchase"))
 
 
 def kinds(g: flow.FlowGraph) -> DataFrame:
