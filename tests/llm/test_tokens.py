@@ -102,3 +102,23 @@ def test_empty_and_nulls(spark):
     docs = spark.createDataFrame([(None, "a"), (5, None), (5, "b c"), (None, None)], "doc_id long, text string")
     got = sorted(((r.start, r.n_tokens) for r in T.round_trip(docs, WORDS).collect()))
     assert [s for s, _ in got] == [0, *[sum(n for _, n in got[: k + 1]) for k in range(3)]]
+
+
+def test_workers_keep_no_tables_and_a_task_has_one(spark):
+    """What a stage leaves in Python workers stands beside what the next stages need."""
+    docs, _ = rows(spark)
+    out = B.encode(docs, BYTES, P.PATTERN)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2  # words to ids; ids of blocks and their bytes
+    assert out.count() == docs.count() and out.agg({"n_tokens": "sum"}).collect()
+
+    def left(batches):
+        import pyarrow as pa
+
+        from tributary.llm import bytebpe, simhash
+
+        for _ in batches:
+            tables = [x for x in vars(simhash).values() for x in (x if isinstance(x, list) else [x]) if hasattr(x, "nbytes")]
+            yield pa.record_batch([pa.array([sum(f.cache_info().currsize for f in (bytebpe.ranks_of, bytebpe.encoder, bytebpe.token_bytes))]), pa.array([sum(x.nbytes for x in tables)])], ["n", "bytes"])
+
+    kept = spark.range(0, 64, 1, 16).mapInArrow(left, "n long, bytes long").collect()
+    assert all(r.n == 0 and r.bytes < 1 << 17 for r in kept)

@@ -72,6 +72,19 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
 
 
+def forgetting(run):
+    """run for mapInArrow; its worker, which serves other stages after it, doesn't keep the tokenizer's tables when a task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for kept in (encoder, token_bytes, ranks_of):
+                kept.cache_clear()
+
+    return trimmed(task)
+
+
 def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The slices of flat, one after another."""
     at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -255,7 +268,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                     out.append(ids)
                 yield pa.record_batch([pa.array([block]), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([packed(np.array([len(x) for x in out]))], pa.binary()), pa.array([packed(np.concatenate(out))], pa.binary())], NAMES)
 
-    return words.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), BLOCKS)
+    return words.repartition("part").sortWithinPartitions("part").mapInArrow(forgetting(run), BLOCKS)
 
 
 def assemble(batches, use):
@@ -285,8 +298,9 @@ def assemble(batches, use):
     yield from finish()
 
 
-def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (unsigned 32-bit, little-endian)."""
+def token_ids(docs: DataFrame, path: str, pattern: str, then=None, more: str = "") -> DataFrame:
+    """doc_id, n_tokens, ids (unsigned 32-bit, little-endian). What follows on the batches (then, which adds the columns
+    more) runs in the same pass: a pass of its own would be a second Python worker beside each task's."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -306,19 +320,20 @@ def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.record_batch([doc_ids.slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array(ids_of, pa.binary())], ["doc_id", "n_tokens", "ids"])
                 lo = hi
 
-        yield from assemble(batches, use)
+        ids = assemble(batches, use)
+        yield from then(ids) if then else ids
 
     # As many parts of the words as the input has partitions, so a part doesn't grow with the corpus.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.select("text").rdd.getNumPartitions())
     found = blocks(docs, pattern, parts)
     ids = encoded_words(found.where("part >= 0").select(*NAMES), path)
     rows = found.where("part < 0").unionByName(ids, allowMissingColumns=True)
-    return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids binary")
+    return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(forgetting(run), f"doc_id {kind}, n_tokens long, ids binary{more}")
 
 
-def decoded(ids: DataFrame, path: str) -> DataFrame:
-    """The rows with decoded, the bytes of their column ids, which is all that is read: each id is joined with
-    the token-byte table, an array by id."""
+def decoding(path: str):
+    """Adds decoded, the bytes of the column ids, which is all that is read, to batches: each id is joined with the
+    token-byte table, an array by id."""
 
     def run(batches):
         flat, begin, size = token_bytes(path)
@@ -331,13 +346,18 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
                 at = np.r_[0, np.cumsum(size[i])][first].tolist()
                 yield pa.record_batch([*piece.columns, pa.array([bytes(data[x:y]) for x, y in zip(at, at[1:])], pa.binary())], [*piece.schema.names, "decoded"])
 
+    return run
+
+
+def decoded(ids: DataFrame, path: str) -> DataFrame:
+    """The rows with decoded, the bytes that their ids stand for."""
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema)
-    return ids.mapInArrow(trimmed(run), f"{shape}, decoded binary")
+    return ids.mapInArrow(forgetting(decoding(path)), f"{shape}, decoded binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit, little-endian), decoded (the bytes that the ids stand for)."""
-    return decoded(token_ids(docs, path, pattern), path)
+    return token_ids(docs, path, pattern, decoding(path), ", decoded binary")
 
 
 def decode(ids: bytes, path: str) -> bytes:

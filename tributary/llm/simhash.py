@@ -87,36 +87,37 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_text(with_text(docs), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def golay_tables() -> tuple[np.ndarray, np.ndarray]:
-    """The codeword index of every 23-bit vector; the syndrome's error pattern gives the codeword."""
-    poly = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the code
+def syndromes(v: np.ndarray) -> np.ndarray:
+    """What is left of 23-bit vectors modulo the generator of the code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1."""
+    v = v.copy()
+    for bit in range(22, 10, -1):
+        v ^= (v >> bit & 1) * np.int32(0b101011100011 << (bit - 11))
+    return v
 
-    def syndrome(v):
-        v = v.copy()
-        for bit in range(22, 10, -1):
-            v ^= (v >> bit & 1) * np.int32(poly << (bit - 11))
-        return v
 
+def error_patterns() -> np.ndarray:
+    """The error that each syndrome tells, of three bits at most."""
     ones = [1 << i for i in range(23)]
     pairs = [a | b for i, a in enumerate(ones) for b in ones[:i]]
     triples = [a | b | c for i, a in enumerate(ones) for j, b in enumerate(ones[:i]) for c in ones[:j]]
     patterns = np.array([0, *ones, *pairs, *triples], np.int32)
     error = np.zeros(1 << 11, np.int32)
-    error[syndrome(patterns)] = patterns
-    code = np.empty(1 << 23, np.int16)
-    for lo in range(0, 1 << 23, 1 << 18):
-        v = np.arange(lo, lo + (1 << 18), dtype=np.int32)
-        code[lo : lo + (1 << 18)] = (v ^ error[syndrome(v)]) >> 11
-    return code, error
+    error[syndromes(patterns)] = patterns
+    return error
 
 
-_CODE: list[np.ndarray] = []
+#: Syndromes are linear: the upper 12 bits' and the errors are all that a worker keeps, which serves other stages, too.
+UPPER, ERROR = syndromes(np.arange(1 << 12, dtype=np.int32) << 11), error_patterns()
 
 
 def codewords(vectors: np.ndarray) -> np.ndarray:
-    if not _CODE:
-        _CODE.append(golay_tables()[0])
-    return _CODE[0][vectors]
+    """The index of the codeword that each 23-bit vector is assigned to."""
+    return ((vectors ^ ERROR[UPPER[vectors >> 11] ^ (vectors & 0x7FF)]) >> 11).astype(np.int16)
+
+
+def golay_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The codeword index of every 23-bit vector, and the error pattern of every syndrome."""
+    return codewords(np.arange(1 << 23, dtype=np.int32)), ERROR
 
 
 def segment_keys(vectors: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
