@@ -20,6 +20,10 @@ from tributary.llm import bytebpe, decontaminate, language, pii, similar
 from tributary.llm.common import shared_dir
 
 
+#: Bytes of text in a block of BPE: workers hold one beside what the stages before left in executors.
+BLOCK_TEXT = 8 << 20
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_identified(docs)
 
@@ -38,7 +42,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and text as it is decoded from them."""
-    ids = bytebpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bytebpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, BLOCK_TEXT)
     return ids.selectExpr("doc_id", "n_tokens", "ids", "cast(decoded as string) as text")
 
 

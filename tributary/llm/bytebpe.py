@@ -212,7 +212,7 @@ BLOCKS = "block long, part int, n int, size binary, data binary"
 NAMES = ["block", "part", "n", "size", "data"]
 
 
-def blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
+def blocks(docs: DataFrame, pattern: str, parts: int, block_text: int = BLOCK_TEXT) -> DataFrame:
     """Of each block: a row with its documents and positions (part -1: size has the pre-tokens of each document, data the
     numbers, part_of each number's part), and a row for each part of its words (size has the lengths, data
     the bytes). doc_ids and part_of are null in these."""
@@ -238,7 +238,7 @@ def blocks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
         for batch in batches:
             for piece in text_pieces(batch):
                 block.add(piece)
-                if block.size >= BLOCK_TEXT:
+                if block.size >= block_text:
                     yield from rows(block)
                     block = Block(find)
         if block.ids:
@@ -298,7 +298,7 @@ def assemble(batches, use):
     yield from finish()
 
 
-def token_ids(docs: DataFrame, path: str, pattern: str, then=None, more: str = "") -> DataFrame:
+def token_ids(docs: DataFrame, path: str, pattern: str, then=None, more: str = "", block_text: int = BLOCK_TEXT) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit, little-endian). What follows on the batches (then, which adds the columns
     more) runs in the same pass: a pass of its own would be a second Python worker beside each task's."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -325,7 +325,7 @@ def token_ids(docs: DataFrame, path: str, pattern: str, then=None, more: str = "
 
     # As many parts of the words as the input has partitions, so a part doesn't grow with the corpus.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.select("text").rdd.getNumPartitions())
-    found = blocks(docs, pattern, parts)
+    found = blocks(docs, pattern, parts, block_text)
     ids = encoded_words(found.where("part >= 0").select(*NAMES), path)
     rows = found.where("part < 0").unionByName(ids, allowMissingColumns=True)
     return rows.repartition("block").sortWithinPartitions("block", "part").mapInArrow(forgetting(run), f"doc_id {kind}, n_tokens long, ids binary{more}")
@@ -355,9 +355,9 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
     return ids.mapInArrow(forgetting(decoding(path)), f"{shape}, decoded binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_text: int = BLOCK_TEXT) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit, little-endian), decoded (the bytes that the ids stand for)."""
-    return token_ids(docs, path, pattern, decoding(path), ", decoded binary")
+    return token_ids(docs, path, pattern, decoding(path), ", decoded binary", block_text)
 
 
 def decode(ids: bytes, path: str) -> bytes:
