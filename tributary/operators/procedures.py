@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegralType
 
 from ..plans import bits
 from ..plans.bits import spread
-from ..plans.fixpoint import HOPS, least_fixpoint, written
+from ..plans.fixpoint import HOPS, least_fixpoint, unsent, written
 from ..sources.flowgraphs import FlowGraph
 
 CONTROL, DATA, CALL, SUMMARY, SPAWN, THREADS, IN, OUT = "control", "data", "call", "summary", "spawn", "threads", "in", "out"
@@ -26,7 +26,7 @@ DOWNWARDS = (CONTROL, DATA, SUMMARY, SPAWN, THREADS, OUT)
 def backward(edges: DataFrame, criterion: DataFrame, kinds: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
     """Nodes that reach the criterion (keys, node) along edges of the kinds."""
     k = list(keys)
-    own = written(edges.where(F.col("kind").isin(*kinds)).select(*k, "src", "dst").distinct())
+    own = unsent(edges.where(F.col("kind").isin(*kinds)).select(*k, "src", "dst").distinct())
     if _integers(own, "src", "dst"):
         return _closure(own, criterion, "dst", "src", keys)
     return least_fixpoint(criterion.select(*k, "node"), lambda delta, _: delta.withColumnRenamed("node", "dst").join(own, [*k, "dst"]).select(*k, F.col("src").alias("node")), HOPS)
@@ -63,7 +63,7 @@ def summary_edges(edges: DataFrame, ins: DataFrame, outs: DataFrame, keys: tuple
     reached (node, out) says that node reaches the formal-out `out` inside its procedure; a pair that reaches
     from a formal-in gives a summary edge at each call, which leads on."""
     k = list(keys)
-    inside = written(edges.where(F.col("kind").isin(CONTROL, DATA)).select(*k, F.col("src").alias("prev"), F.col("dst").alias("node")).distinct())
+    inside = unsent(edges.where(F.col("kind").isin(CONTROL, DATA)).select(*k, F.col("src").alias("prev"), F.col("dst").alias("node")).distinct())
 
     def summaries(reached):
         at = reached.join(ins.select(*k, F.col("formal").alias("node"), F.col("actual").alias("src"), "call"), [*k, "node"])
@@ -80,7 +80,8 @@ def summary_edges(edges: DataFrame, ins: DataFrame, outs: DataFrame, keys: tuple
     seed = outs.select(*k, F.col("formal").alias("node"), F.col("formal").alias("out")).distinct()
     if _integers(inside, "prev", "node"):
         calls = ins.select(*k, F.col("formal").alias("at"), F.col("actual").alias("dst"), "call").join(outs.select(*k, F.col("formal").alias("key"), F.col("actual").alias("src"), "call"), [*k, "call"])
-        reached = spread(keys, seed.withColumnRenamed("out", "value"), inside.select(*k, F.col("node").alias("src"), F.col("prev").alias("dst")), gates=calls.distinct())
+        at = ins.select(*k, F.col("formal").alias("node")).distinct()
+        reached = spread(keys, seed.withColumnRenamed("out", "value"), inside.select(*k, F.col("node").alias("src"), F.col("prev").alias("dst")), gates=calls.distinct(), at=at)
         return summaries(reached.withColumnRenamed("value", "out"))
     return summaries(least_fixpoint(seed, step))
 

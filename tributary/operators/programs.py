@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.bits import spread
-from ..plans.fixpoint import written
+from ..plans.fixpoint import unsent, written
 from ..sources.programs import Program
 from . import procedures
 from .control import classic
@@ -19,7 +19,7 @@ G = "graph_id"
 
 def cut_lineage(p: Program) -> Program:
     """The program with its tables written once."""
-    return Program(*(written(getattr(p, t)) for t in ("nodes", "edges", "procs", "defines", "uses")))
+    return Program(*(unsent(getattr(p, t)) for t in ("nodes", "edges", "procs", "defines", "uses")))
 
 
 def without_return(p: Program) -> DataFrame:
@@ -77,57 +77,66 @@ def label(kind: str, at: Column | str, name: Column | str = "name") -> Column:
     return F.concat_ws(":", F.lit(kind), at.cast("string"), name)
 
 
-def parameter_nodes(p: Program) -> tuple[DataFrame, DataFrame]:
-    """Formal nodes (graph_id, proc, entry, exit, name, fi, fo) and actual nodes (graph_id, call, back, callee, name, ai, ao)."""
-    formal = p.procs.join(p.names(), G).select(G, "proc", "entry", "exit", "name", label("fi", "proc").alias("fi"), label("fo", "proc").alias("fo"))
-    actual = p.calls().join(p.names(), G).select(G, "call", "back", "callee", "name", label("ai", "call").alias("ai"), label("ao", "call").alias("ao"))
-    return formal, actual
+def parameter_nodes(p: Program) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Formal nodes (graph_id, proc, entry, exit, name, fi, fo), actual nodes (graph_id, call, back, callee, name, ai, ao),
+    and the labels of both (graph_id, number, label). They are numbered in their graph, odd; the program's nodes n are 2 n."""
+    names = unsent(p.names())
+    place = lambda at: 8 * F.dense_rank().over(Window.partitionBy(G).orderBy(at, "name")).cast("long")
+    formal = unsent(p.procs.join(names, G).withColumn("place", place("proc")).select(G, "proc", "entry", "exit", "name", (F.col("place") + 1).alias("fi"), (F.col("place") + 3).alias("fo")))
+    actual = unsent(p.calls().join(names, G).withColumn("place", place("call")).select(G, "call", "back", "callee", "name", (F.col("place") + 5).alias("ai"), (F.col("place") + 7).alias("ao")))
+    both = lambda df, at, *kinds: df.select(G, F.explode(F.array(*(F.struct(F.col(k).alias("number"), label(k, at).alias("label")) for k in kinds))).alias("of"))
+    return formal, actual, unsent(both(formal, "proc", "fi", "fo").union(both(actual, "call", "ai", "ao")).select(G, "of.number", "of.label").distinct())
+
+
+def labelled(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """df with labels for the numbers in columns."""
+    for c in columns:
+        named = labels.select(G, F.col("number").alias(c), F.col("label").alias("_label"))
+        df = df.join(named, [G, c], "left").withColumn(c, F.coalesce("_label", F.expr(f"cast(shiftright({c}, 1) as string)"))).drop("_label")
+    return df
 
 
 def parameter_data_dependence(p: Program, formal: DataFrame, actual: DataFrame) -> DataFrame:
-    """graph_id, src, dst (node labels): data dependence inside procedures. Formal-in nodes define all variables after
+    """graph_id, src, dst (numbers): data dependence inside procedures. Formal-in nodes define all variables after
     the entry, formal-out nodes use them before the exit; actual-in nodes use them after the call, actual-out nodes
     define them before its return node. No definition passes over a call but through these."""
-    flow, defines = written(p.flow()), written(p.defines.select(G, "node", "name").distinct())
-    own = defines.select(G, F.col("node").alias("src"), "name", F.col("node").cast("string").alias("origin")).union(formal.select(G, F.col("entry").alias("src"), "name", F.col("fi").alias("origin")))
-    # A graph for each name. Definitions are numbered by their node, 2 n, or, of parameters, that of the entry or return, 2 n + 1.
-    named = formal.select(G, "name", (2 * F.col("entry") + 1).alias("value"), F.col("fi").alias("label")).union(actual.select(G, "name", (2 * F.col("back") + 1).alias("value"), F.col("ao").alias("label")))
-    after = actual.select(G, F.col("back").alias("node"), "name", (2 * F.col("back") + 1).alias("value"))
-    numbers = defines.select(G, F.col("node").alias("src"), "name", (2 * F.col("node")).alias("value")).union(formal.select(G, F.col("entry").alias("src"), "name", (2 * F.col("entry") + 1).alias("value")))
-    seeds = numbers.join(flow, [G, "src"]).select(G, F.col("dst").alias("node"), "name", "value").union(after)
-
-    def kept(df: DataFrame) -> DataFrame:
-        return df.join(defines, [G, "node", "name"], "left_anti")
-
-    along = flow.join(p.names(), G).join(defines.withColumnRenamed("node", "src"), [G, "src", "name"], "left_anti")
-    reaching = spread((G, "name"), seeds, along)
-    reaching = reaching.join(named, [G, "name", "value"], "left").select(G, "node", "name", F.coalesce("label", F.expr("cast(shiftright(value, 1) as string)")).alias("origin"))
-    uses = p.uses.select(G, "node", "name", F.col("node").cast("string").alias("dst")).union(formal.select(G, F.col("exit").alias("node"), "name", "fo"))
-    leaving = kept(reaching).union(own.select(G, F.col("src").alias("node"), "name", "origin"))
+    flow, defines = unsent(p.flow()), unsent(p.defines.select(G, "node", "name").distinct())
+    own = unsent(defines.withColumn("value", 2 * F.col("node")).union(formal.select(G, F.col("entry").alias("node"), "name", F.col("fi").alias("value"))))
+    # A graph for each name.
+    after = actual.select(G, F.col("back").alias("node"), "name", F.col("ao").alias("value"))
+    seeds = own.withColumnRenamed("node", "src").join(flow, [G, "src"]).select(G, F.col("dst").alias("node"), "name", "value").union(after)
+    along = flow.join(unsent(p.names()), G).join(defines.withColumnRenamed("node", "src"), [G, "src", "name"], "left_anti")
+    reaching = spread((G, "name"), seeds, along).hint("merge")
+    uses = unsent(p.uses.select(G, "node", "name", (2 * F.col("node")).alias("dst")).union(formal.select(G, F.col("exit").alias("node"), "name", "fo")))
+    leaving = reaching.join(defines, [G, "node", "name"], "left_anti").select(G, "node", "name", "value").union(own)
     into = leaving.join(actual.select(G, F.col("call").alias("node"), "name", F.col("ai").alias("dst")), [G, "node", "name"])
-    return reaching.join(uses, [G, "node", "name"]).select(G, F.col("origin").alias("src"), "dst").union(into.select(G, F.col("origin").alias("src"), "dst")).distinct()
+    return reaching.join(uses, [G, "node", "name"]).select(G, F.col("value").alias("src"), "dst").union(into.select(G, F.col("value").alias("src"), "dst")).distinct()
 
 
 def procedure_control_dependence(p: Program) -> DataFrame:
     """graph_id, src, dst: classic control dependence of each procedure, its exit depending on its entry as if the entry could skip the body."""
     body, ends = p.bodies(), p.procs.select(G, "proc", F.col("entry").alias("src"), F.col("exit").alias("dst"))
-    skipping = replace(body, nodes=written(body.nodes), edges=written(body.edges.union(ends).distinct()))
+    skipping = replace(body, nodes=unsent(body.nodes), edges=unsent(body.edges.union(ends).distinct()))
     pairs = classic(skipping).select(G, F.col("n").alias("src"), F.col("m").alias("dst"))
-    return pairs.union(ends.select(G, "src", "dst")).select(G, F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+    return pairs.union(ends.select(G, "src", "dst")).distinct()
+
+
+def numbered_dependence(p: Program) -> tuple[DataFrame, DataFrame]:
+    """The system dependence graph with numbers for its nodes (graph_id, src, dst, kind), and the labels of its parameter nodes."""
+    formal, actual, labels = parameter_nodes(p)
+    of_kind = lambda df, src, dst, kind: df.select(G, F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"))
+    doubled = lambda df, src, dst, kind: of_kind(df.select(G, (2 * F.col(src)).alias("src"), (2 * F.col(dst)).alias("dst")), "src", "dst", kind)
+    both = unsent(actual.join(formal.select(G, F.col("proc").alias("callee"), "name", "fi", "fo"), [G, "callee", "name"]))
+    edges = of_kind(parameter_data_dependence(p, formal, actual), "src", "dst", procedures.DATA).union(doubled(procedure_control_dependence(p), "src", "dst", procedures.CONTROL))
+    edges = edges.union(doubled(p.calls(), "call", "entry", procedures.CALL)).union(of_kind(both, "ai", "fi", procedures.IN)).union(of_kind(both, "fo", "ao", procedures.OUT))
+    actuals = (both.select(G, F.col(a).alias("actual"), F.col(f).alias("formal"), "call") for a, f in (("ai", "fi"), ("ao", "fo")))
+    return procedures.with_summaries(unsent(edges), *actuals, (G,)), labels
 
 
 def system_dependence(p: Program) -> DataFrame:
     """graph_id, src, dst, kind: the system dependence graph. Nodes are the program's and its parameter nodes, as strings;
     edges are data and control dependence inside procedures, calls, parameters in and out, and the summaries of calls."""
-    formal, actual = map(written, parameter_nodes(p))
-    kind = lambda df, k: df.withColumn("kind", F.lit(k))
-    calls = p.calls().select(G, F.col("call").cast("string").alias("src"), F.col("entry").cast("string").alias("dst"))
-    both = actual.join(formal.select(G, F.col("proc").alias("callee"), "name", "fi", "fo"), [G, "callee", "name"])
-    ins, outs = both.select(G, F.col("ai").alias("src"), F.col("fi").alias("dst")), both.select(G, F.col("fo").alias("src"), F.col("ao").alias("dst"))
-    edges = kind(parameter_data_dependence(p, formal, actual), procedures.DATA).union(kind(procedure_control_dependence(p), procedures.CONTROL))
-    edges = written(edges.union(kind(calls, procedures.CALL)).union(kind(ins, procedures.IN)).union(kind(outs, procedures.OUT)))
-    actuals = both.select(G, F.col("ai").alias("actual"), F.col("fi").alias("formal"), "call"), both.select(G, F.col("ao").alias("actual"), F.col("fo").alias("formal"), "call")
-    return procedures.with_summaries(edges, *map(written, actuals), (G,))
+    return labelled(*numbered_dependence(p), "src", "dst").select(G, "src", "dst", "kind")
 
 
 def program_slice(system: DataFrame, criterion: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ MOST = 4096
 ROWS = 8192
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-#: Kinds of gathered rows and what stands in them: (node, value), (src, dst, cost), (node, value), (src, dst, node, value).
-SEED, EDGE, STOP, GATE = range(4)
+#: Kinds of gathered rows and what stands in them: (node, value), (src, dst, cost), (node, value), (src, dst, node, value), (node).
+SEED, EDGE, STOP, GATE, ASKED = range(5)
 ROW = ("a", "b", "c", "d")
 
 
@@ -139,7 +139,12 @@ def grown(bits: np.ndarray, along: Fold, stop: np.ndarray | None = None) -> np.n
     return bits
 
 
-def _spread(p: dict) -> tuple:
+def _spread_to(p: dict) -> tuple:
+    """_spread, at the nodes that are asked for."""
+    return _spread(p, p["kind"] == ASKED)
+
+
+def _spread(p: dict, asked: np.ndarray | None = None) -> tuple:
     kind, graph, a, b, c, d = (p[x] for x in ("kind", "graph", *ROW))
     n_rows, edge, gate, valued = len(kind), (kind == EDGE) | (kind == GATE), kind == GATE, (kind == SEED) | (kind == STOP)
     node = Numbers(np.r_[graph, graph[edge], graph[gate]], np.r_[a, b[edge], c[gate]])
@@ -163,21 +168,28 @@ def _spread(p: dict) -> tuple:
             break
         is_open = now
     # A value's column is its place among those of the graph.
+    if asked is not None:
+        here = np.zeros(n, bool)
+        here[src[asked]] = True
+        bits[~here] = 0
     row, column = pairs(bits)
     begin = np.searchsorted(value.of, node.of[row])
     return node.of[row], node.name[row], value.name[begin + column]
 
 
-def spread(keys: tuple[str, ...], seeds: DataFrame, edges: DataFrame, stops: DataFrame | None = None, gates: DataFrame | None = None) -> DataFrame:
+def spread(keys: tuple[str, ...], seeds: DataFrame, edges: DataFrame, stops: DataFrame | None = None, gates: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
     """keys, node, value: the least set of rows that has seeds (keys, node, value) and goes on along edges (keys, src, dst),
     with a value from src to dst, unless it is stopped there: stops (keys, node, value) stay where they are. An edge of
-    gates (keys, src, dst, at, key) counts once node at has the value key and that isn't stopped. Nodes and values are integers."""
+    gates (keys, src, dst, at, key) counts once node at has the value key and that isn't stopped. Nodes and values are integers.
+    at (keys, node): the nodes whose rows are wanted, else all."""
     k, columns = list(keys), [*keys, "node", "value"]
     rows = rows_of(seeds, keys, SEED, "node", "value").union(rows_of(edges, keys, EDGE, "src", "dst"))
     if stops is not None:
         rows = rows.union(rows_of(stops, keys, STOP, "node", "value"))
     if gates is not None:
         rows = rows.union(rows_of(gates, keys, GATE, "src", "dst", "at", "key"))
+    if at is not None:
+        rows = rows.union(rows_of(at, keys, ASKED, "node"))
 
     def large(big: DataFrame) -> DataFrame:
         mine = lambda df: None if df is None else written(df.join(big, k, "left_semi"))
@@ -193,9 +205,10 @@ def spread(keys: tuple[str, ...], seeds: DataFrame, edges: DataFrame, stops: Dat
             through = lambda df: gate.join(df.select(*k, F.col("node").alias("at"), F.col("value").alias("key")), [*k, "at", "key"]).select(*k, "src", "dst").distinct()
             return out.union(move(live(seen), through(delta))).union(move(delta, through(live(seen))))
 
-        return least_fixpoint(start.select(*columns), step, HOPS if gate is None else 1)
+        found = least_fixpoint(start.select(*columns), step, HOPS if gate is None else 1)
+        return found if at is None else found.join(at, [*k, "node"], "left_semi")
 
-    return solved(rows, keys, _spread, ("node", "value"), large)
+    return solved(rows, keys, _spread if at is None else _spread_to, ("node", "value"), large)
 
 
 class Flow:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import unsent
 from ..sources.flowgraphs import FlowGraph, event_nodes
 
 FLOW, CALL, RETURN, ACROSS = "flow", "call", "return", "across"
@@ -64,12 +65,12 @@ def event_program(spark: SparkSession, sf_dir: str) -> Program:
     n = n.select("graph_id", F.col("node").alias("i"), "event", F.lag("event").over(order).alias("before"), F.expr(f"(node - 1) div {LENGTH}").alias("proc"), F.max("node").over(by).alias("end"))
     first, last = F.col("proc") * LENGTH + 1, F.least((F.col("proc") + 1) * LENGTH, F.col("end"))
     click, leaves = F.col("event") == "click", F.col("i") * 4 + F.when(F.col("event") == "click", 1).otherwise(0)
-    n = n.select("*", first.alias("first"), last.alias("last"), leaves.alias("out"), F.pmod(F.col("proc") + 1, F.expr(f"(end - 1) div {LENGTH} + 1")).alias("callee"))
-    procs = n.select("graph_id", "proc", (F.col("first") * 4 - 1).alias("entry"), (F.col("last") * 4 + 2).alias("exit")).distinct()
+    n = unsent(n.select("*", first.alias("first"), last.alias("last"), leaves.alias("out"), F.pmod(F.col("proc") + 1, F.expr(f"(end - 1) div {LENGTH} + 1")).alias("callee")))
+    procs = unsent(n.select("graph_id", "proc", (F.col("first") * 4 - 1).alias("entry"), (F.col("last") * 4 + 2).alias("exit")).distinct())
     on = F.when((F.col("event") == "purchase") | (F.col("i") == F.col("last")), F.col("last") * 4 + 2).otherwise(F.col("i") * 4 + 4)
     to = F.array_compact(F.array(on, F.when(F.col("event") == "error", F.greatest(F.col("i") - 2, F.col("first")) * 4), F.when((F.col("event") == "view") & (F.col("i") + 2 <= F.col("last")), F.col("i") * 4 + 8)))
     flow = n.select("graph_id", F.col("out").alias("src"), F.explode(F.array_distinct(to)).alias("dst")).union(n.where("i = first").select("graph_id", F.col("i") * 4 - 1, F.col("i") * 4))
-    calls = n.where(click).select("graph_id", F.col("i").alias("i"), F.col("callee").alias("proc")).join(procs, ["graph_id", "proc"])
+    calls = unsent(n.where(click).select("graph_id", F.col("i").alias("i"), F.col("callee").alias("proc")).join(procs, ["graph_id", "proc"]))
     kind = lambda df, k: df.withColumn("kind", F.lit(k))
     edges = kind(flow, FLOW).union(kind(calls.select("graph_id", F.col("i") * 4, "entry"), CALL)).union(kind(calls.select("graph_id", "exit", F.col("i") * 4 + 1), RETURN)).union(kind(calls.select("graph_id", F.col("i") * 4, F.col("i") * 4 + 1), ACROSS))
     nodes = n.select("graph_id", (F.col("i") * 4).alias("node"), "proc").union(n.where(click).select("graph_id", "out", "proc")).union(procs.select("graph_id", "entry", "proc")).union(procs.select("graph_id", "exit", "proc"))
