@@ -33,3 +33,15 @@ def test_system_dependence_in_tasks(p, joins):  # noqa: F811
     assert joins and not _sent(joins)
     for g in PROGRAMS:
         assert {x for x in found[g] if x[2] == "data"} == {x for x in system(g) if x[2] == "data"}
+
+
+def test_slices_in_tasks(spark, p, joins):  # noqa: F811
+    goals = {g: max(PROGRAMS[g][5]) for g in PROGRAMS}
+    found = got(programs.slice_of(p, spark.createDataFrame(list(goals.items()), "graph_id long, node long")), "node")
+    assert joins and not _sent(joins)
+    for g in PROGRAMS:
+        seen, es = {str(goals[g])}, system(g)
+        for kinds in (procedures.UPWARDS, procedures.DOWNWARDS):
+            while more := {a for a, b, k in es if b in seen and k in kinds} - seen:
+                seen |= more
+        assert {x for x, in found[g]} == seen

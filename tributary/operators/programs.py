@@ -139,6 +139,12 @@ def system_dependence(p: Program) -> DataFrame:
     return labelled(*numbered_dependence(p), "src", "dst").select(G, "src", "dst", "kind")
 
 
+def slice_of(p: Program, criterion: DataFrame) -> DataFrame:
+    """program_slice of the program's system dependence graph, on numbers until the nodes are found."""
+    edges, labels = numbered_dependence(p)
+    return labelled(procedures.two_phase(unsent(edges), criterion.select(G, (2 * F.col("node")).alias("node")), (G,)), labels, "node").select(G, "node")
+
+
 def program_slice(system: DataFrame, criterion: DataFrame) -> DataFrame:
     """graph_id, node: what the criterion (graph_id, node) may depend on, along calls that return to where they came from."""
     return procedures.two_phase(system, criterion.select(G, F.col("node").cast("string").alias("node")), (G,))

@@ -75,7 +75,7 @@ def sdg_slice(spark, d):
     """What each program's purchases depend on."""
     p = program(spark, d)
     bought = p.defines.where("name = 'purchase'").select("graph_id", "node")
-    return programs.program_slice(written(programs.system_dependence(p)), bought)
+    return programs.slice_of(p, bought)
 
 
 def order_parens(g: flow.FlowGraph) -> DataFrame:
