@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tributary.operators import procedures, programs
 from tributary.plans import bits, fixpoint
 
-from test_interprocedural import PROGRAMS, got, p, system  # noqa: F401
+from test_interprocedural import PROGRAMS, got, killed, p, system  # noqa: F401
 
 
 @pytest.fixture
@@ -45,3 +45,16 @@ def test_slices_in_tasks(spark, p, joins):  # noqa: F811
             while more := {a for a, b, k in es if b in seen and k in kinds} - seen:
                 seen |= more
         assert {x for x, in found[g]} == seen
+
+
+def test_must_kill_of_all_names_at_once(p, joins, monkeypatch):  # noqa: F811
+    """A graph for each name, sent or as a table, is for large programs; both ways agree."""
+    with monkeypatch.context() as m:
+        m.setattr(programs, "spread", lambda keys, *a, w=programs.spread, **k: w(keys, *a, **k) if keys == ("graph_id", "proc") else pytest.fail("a graph for each name"))
+        found = got(programs.must_kill(p), "proc", "name")
+    assert joins and not _sent(joins) and found == {g: killed(g) for g in PROGRAMS}
+    everywhere = got(programs.may_keep(p), "node", "name")
+    solved = bits.solved
+    monkeypatch.setattr(bits, "solved", lambda rows, keys, solve, names, large, most=None: solved(rows, keys, solve, names, large, 12 if solve is programs._keeping else most))
+    assert got(programs.must_kill(p), "proc", "name") == found
+    assert got(programs.may_keep(p), "node", "name") == everywhere

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import bits
 from ..plans.bits import spread
 from ..plans.fixpoint import unsent, written
 from ..sources.programs import Program
 from . import procedures
 from .control import classic
-from .structure import reach_from
 
 G = "graph_id"
 
@@ -24,30 +25,78 @@ def cut_lineage(p: Program) -> Program:
 
 def without_return(p: Program) -> DataFrame:
     """graph_id, proc, exit of procedures whose exit no path inside from their entry reaches, calls being passed over."""
-    body = p.bodies()
-    seen = reach_from(replace(body, edges=written(body.edges)), p.procs.select(G, "proc", F.col("entry").alias("node")))
-    return p.procs.join(seen.select(G, "proc", F.col("node").alias("exit")), [G, "proc", "exit"], "left_anti").select(G, "proc", "exit")
+    ends = lambda end: p.procs.select(G, "proc", F.col(end).alias("node"))
+    seen = spread((G, "proc"), ends("entry").withColumn("value", F.lit(0)), p.bodies().edges, at=ends("exit")).hint("merge")
+    return unsent(p.procs.join(seen.withColumnRenamed("node", "exit"), [G, "proc", "exit"], "left_anti").select(G, "proc", "exit"))
 
 
-def may_keep(p: Program) -> DataFrame:
+def may_keep(p: Program, never: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
     """graph_id, node, name: on some path inside a procedure, from its entry to node, name isn't overwritten, by nodes on
     it or by all of a call that it passes over. A call keeps a name if its callee's entry keeps it to the exit: so the
-    names that calls must overwrite, a greatest fixpoint, are those that this least one leaves out."""
-    calls, names = written(p.calls()), written(p.names())
-    # A graph for each name; a call leads over once the exit of its callee is found, and keeps the name.
-    seeds = p.procs.select(G, F.col("entry").alias("node")).join(names, G).withColumn("value", F.lit(0))
+    names that calls must overwrite, a greatest fixpoint, are those that this least one leaves out. never: without_return;
+    at (graph_id, node): the nodes that are wanted, else all."""
+    calls, at = unsent(p.calls()), p.nodes.select(G, "node") if at is None else at
+    names = unsent(p.names().withColumn("value", F.dense_rank().over(Window.partitionBy(G).orderBy("name")).cast("long")))
     # A procedure that doesn't end is taken to overwrite nothing.
-    never = calls.join(without_return(p).select(G, "exit"), [G, "exit"], "left_semi").select(G, F.col("call").alias("src"), F.col("back").alias("dst"))
-    over = calls.select(G, F.col("call").alias("src"), F.col("back").alias("dst"), F.col("exit").alias("at"), F.lit(0).alias("key"))
-    stops = p.defines.select(G, "node", "name").distinct().withColumn("value", F.lit(0))
-    return spread((G, "name"), seeds, p.flow().union(never).join(names, G), stops, over.join(names, G)).select(G, "node", "name")
+    never = calls.join((without_return(p) if never is None else never).select(G, "exit"), [G, "exit"], "left_semi").select(G, F.col("call").alias("src"), F.col("back").alias("dst"))
+    along = unsent(p.flow().union(never))
+    stops = unsent(p.defines.select(G, "node", "name").distinct())
+
+    def large(big: DataFrame) -> DataFrame:
+        # A graph for each name; a call leads over once the exit of its callee is found, and keeps the name.
+        of = names.join(big, G, "left_semi")
+        seeds = p.procs.select(G, F.col("entry").alias("node")).join(of, G).select(G, "node", "name", F.lit(0).alias("value"))
+        over = calls.select(G, F.col("call").alias("src"), F.col("back").alias("dst"), F.col("exit").alias("at"), F.lit(0).alias("key"))
+        mine = lambda df: df.join(of.drop("value"), G)
+        found = spread((G, "name"), seeds, mine(along), stops.join(big, G, "left_semi").withColumn("value", F.lit(0)), mine(over), mine(at))
+        return found.drop("value").join(of, [G, "name"]).select(G, "node", "value")
+
+    rows = bits.rows_of(p.procs, (G,), bits.SEED, "entry").union(bits.rows_of(along, (G,), bits.EDGE, "src", "dst")).union(bits.rows_of(calls, (G,), bits.GATE, "call", "back", "exit"))
+    rows = rows.union(bits.rows_of(stops.join(names, [G, "name"]), (G,), bits.STOP, "node", "value")).union(bits.rows_of(names, (G,), NAME, "value")).union(bits.rows_of(at, (G,), bits.ASKED, "node"))
+    return bits.solved(rows, (G,), _keeping, ("node", "value"), large).join(names, [G, "value"]).select(G, "node", "name")
+
+
+#: A kind of gathered rows: (the number of a name).
+NAME = 6
+
+
+def _keeping(p: dict) -> tuple:
+    """What nodes of gathered programs keep, a bit for each name; a gate lets those names pass that its third node keeps."""
+    kind, graph, a, b, c = (p[x] for x in ("kind", "graph", "a", "b", "c"))
+    name, stop_, edge, gate = kind == NAME, kind == bits.STOP, (kind == bits.EDGE) | (kind == bits.GATE), kind == bits.GATE
+    value = bits.Numbers(np.r_[graph[name], graph[stop_]], np.r_[a[name], b[stop_]])
+    node = bits.Numbers(np.r_[graph[~name], graph[edge], graph[gate]], np.r_[a[~name], b[edge], c[gate]])
+    begin = np.full(len(kind), -1)
+    begin[~name] = node.at[: (~name).sum()]
+    n, end, over = len(node.of), node.at[(~name).sum() :][: edge.sum()], node.at[(~name).sum() + edge.sum() :]
+    column = value.column[value.at]
+    every = bits.ones(int(graph.max(initial=-1)) + 1, value.width, graph[name], column[: name.sum()])
+    keep, stop = np.zeros((n, every.shape[1]), np.uint64), bits.ones(n, value.width, begin[stop_], column[name.sum() :])
+    keep[begin[kind == bits.SEED]] = every[graph[kind == bits.SEED]]
+    along = bits.Fold(end[~gate[edge]], begin[kind == bits.EDGE])
+    call, back = begin[gate], bits.Fold(end[gate[edge]], np.arange(gate.sum()))
+    while True:
+        live, more = keep & ~stop, keep.copy()
+        if len(along.heads):
+            more[along.heads] |= along(np.bitwise_or, live[along.tail])
+        if len(back.heads):
+            more[back.heads] |= back(np.bitwise_or, (live[call] & live[over])[back.tail])
+        if np.array_equal(more, keep):
+            break
+        keep = more
+    asked = np.zeros(n, bool)
+    asked[begin[kind == bits.ASKED]] = True
+    keep[~asked] = 0
+    row, column = bits.pairs(keep)
+    return node.of[row], node.name[row], value.name[np.searchsorted(value.of, node.of[row]) + column]
 
 
 def must_kill(p: Program, kept: DataFrame | None = None) -> DataFrame:
     """graph_id, proc, name: every run of proc from its entry to its exit overwrites name."""
-    kept = may_keep(p) if kept is None else kept
-    left = kept.join(p.defines, [G, "node", "name"], "left_anti").withColumnRenamed("node", "exit")
-    ends = p.procs.join(without_return(p), [G, "proc", "exit"], "left_anti").join(p.names(), G)
+    never, names = without_return(p), unsent(p.names())
+    kept = may_keep(p, never, p.procs.select(G, F.col("exit").alias("node")).distinct()) if kept is None else kept
+    left = unsent(kept.join(p.defines, [G, "node", "name"], "left_anti").withColumnRenamed("node", "exit"))
+    ends = p.procs.join(never, [G, "proc", "exit"], "left_anti").join(names, G)
     return ends.join(left, [G, "exit", "name"], "left_anti").select(G, "proc", "name")
 
 
