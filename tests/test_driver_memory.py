@@ -19,7 +19,7 @@ def joins(spark, monkeypatch):
         return w(df)
 
     for module in (bits, fixpoint, procedures, programs):
-        monkeypatch.setattr(module, "written", written)
+        monkeypatch.setattr(module, "written", written, raising=False)
         monkeypatch.setattr(module, "least_fixpoint", lambda *_, **__: pytest.fail("ran as tables"), raising=False)
     return plans
 
@@ -58,3 +58,14 @@ def test_must_kill_of_all_names_at_once(p, joins, monkeypatch):  # noqa: F811
     monkeypatch.setattr(bits, "solved", lambda rows, keys, solve, names, large, most=None: solved(rows, keys, solve, names, large, 12 if solve is programs._keeping else most))
     assert got(programs.must_kill(p), "proc", "name") == found
     assert got(programs.may_keep(p), "node", "name") == everywhere
+
+
+def test_strong_definitions_arent_sent(p, joins):  # noqa: F811
+    found = got(programs.strong_reaching_definitions(p), "node", "name", "origin")
+    assert joins and not _sent(joins)
+    # A call that must overwrite a name, its callee's last doing, is all that passes it.
+    for g, (_, _, calls, defines, _, _) in PROGRAMS.items():
+        must, after = killed(g), {back: call for call, back, _ in calls}
+        for call, back, callee in calls:
+            if not any(b == back for _, b in PROGRAMS[g][1]):
+                assert {o for n, v, o in found[g] if n == back and (callee, v) in must} <= {after[back]}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans import bits
 from ..plans.bits import spread
-from ..plans.fixpoint import unsent, written
+from ..plans.fixpoint import unsent
 from ..sources.programs import Program
 from . import procedures
 from .control import classic
@@ -104,18 +104,20 @@ def strong_reaching_definitions(p: Program, killed: DataFrame | None = None) ->
     """graph_id, node, name, origin: what may have given name its value at node's start, inside a procedure: a node, the
     entry for the value before it, or a call for what the callee has done. A call that must overwrite a name (killed:
     must_kill) lets no other definition pass."""
-    killed = written(must_kill(p)) if killed is None else killed
-    flow, calls, defines, names = written(p.flow()), written(p.calls()), written(p.defines.select(G, "node", "name").distinct()), p.names()
-    stopped = written(calls.select(G, "call", "callee").join(killed.withColumnRenamed("proc", "callee"), [G, "callee"]).select(G, F.col("call").alias("node"), "name"))
-    passes = written(flow.withColumn("past", F.lit(False)).union(calls.select(G, "call", "back", F.lit(True))))
-    own = defines.withColumnRenamed("node", "src").join(passes, [G, "src"]).select(G, F.col("dst").alias("node"), "name", F.col("src").alias("origin"), "past")
-    own = own.where("not past").drop("past").union(own.where("past").drop("past").join(stopped.withColumnRenamed("node", "origin"), [G, "origin", "name"], "left_anti").select(G, "node", "name", "origin"))
+    killed = unsent(must_kill(p)) if killed is None else killed
+    flow, calls, defines, names = unsent(p.flow()), unsent(p.calls()), unsent(p.defines.select(G, "node", "name").distinct()), unsent(p.names())
+    stopped = unsent(calls.select(G, "call", "callee").join(killed.withColumnRenamed("proc", "callee"), [G, "callee"]).select(G, F.col("call").alias("node"), "name"))
+    passes = unsent(flow.withColumn("past", F.lit(False)).union(calls.select(G, "call", "back", F.lit(True))))
+    # What no definition of a name passes: nodes that give it another value, and the way over calls that must.
+    past = lambda df, *over: df.withColumnRenamed("node", "src").withColumn("past", F.explode(F.array(*map(F.lit, over))))
+    stops = unsent(past(defines, False, True).union(past(stopped, True)).distinct())
+    own = defines.withColumnRenamed("node", "src").join(passes, [G, "src"]).join(past(stopped, True), [G, "src", "name", "past"], "left_anti")
+    own = own.select(G, F.col("dst").alias("node"), "name", F.col("src").alias("origin"))
     before = p.procs.select(G, F.col("entry").alias("node"), F.col("entry").alias("origin")).join(names, G).select(G, "node", "name", "origin")
     after = calls.select(G, F.col("back").alias("node"), F.col("call").alias("origin")).join(names, G).select(G, "node", "name", "origin")
 
-    # A graph for each name, without the edges that no definition of it passes.
-    along = passes.join(names, G).join(defines.withColumnRenamed("node", "src"), [G, "src", "name"], "left_anti")
-    along = along.where("not past").unionByName(along.where("past").join(stopped.withColumnRenamed("node", "src"), [G, "src", "name"], "left_anti"))
+    # A graph for each name, without these edges.
+    along = passes.join(names, G).join(stops, [G, "src", "name", "past"], "left_anti")
     seeds = before.union(after).union(own).distinct().withColumnRenamed("origin", "value")
     return spread((G, "name"), seeds, along).select(G, "node", "name", F.col("value").alias("origin"))
 
