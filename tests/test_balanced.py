@@ -263,3 +263,17 @@ def test_reducible(g):
 
     want = {k: brute(n, es) for k, (n, es, _) in GRAPHS.items()}
     assert found == want and len({v[1] for v in want.values()}) == 2
+
+
+@pytest.mark.parametrize("most", [4096, 30, 0])
+def test_valid_dominance_in_tasks(g, parens, spark, most, monkeypatch):
+    """Small graphs take no rounds of tables, large ones do; all agree. Marks may stand on no edge, twice on one, or have no site."""
+    odd = parens.union(spark.createDataFrame([(0, 0, 1, "(", None), (1, 0, 1, ")", None), (2, 1, 2, None, 1), (3, 7, 8, "(", 0), (4, 8, 7, ")", 1)], parens.schema))
+    odd = odd.union(parens.where("src % 3 = 0").select("graph_id", "src", "dst", balanced.F.translate("paren", "()", ")(").alias("paren"), "site"))
+    start = g.nodes.where("node = 0")
+    want = [got(balanced._valid_by_tables(g, marks, start), "y", "x") for marks in (parens, odd)]
+    assert want[0] != want[1]
+    monkeypatch.setattr(balanced.bits, "MOST", most)
+    if most == 4096:
+        monkeypatch.setattr(balanced, "_valid_by_tables", lambda *_: pytest.fail("ran as tables"))
+    assert want == [got(balanced.valid_dominance(g, marks, start), "y", "x") for marks in (parens, odd)]

@@ -5,11 +5,14 @@ parens (keys, src, dst, paren '(' or ')', site) mark the edges of a graph that c
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..plans import bits
 from ..plans.bits import spread
-from ..plans.fixpoint import HOPS, least_fixpoint, written
+from ..plans.fixpoint import HOPS, least_fixpoint, unsent, written
 from ..sources.flowgraphs import FlowGraph
 from .structure import components, quotient
 
@@ -41,6 +44,11 @@ def two_pass_folding(g: FlowGraph, parens: DataFrame) -> tuple[DataFrame, FlowGr
     return classes, quotient(g, classes.select(*k, "node", "cls"))
 
 
+#: Kinds of gathered rows and what stands in them: (node), (node), (src, dst), (src, dst, site, whether it has one), the same
+#: of other marks (whether they are calls of a site).
+NODE, START, EDGE, CLOSE, MARK = range(5)
+
+
 def valid_dominance(g: FlowGraph, parens: DataFrame, start: DataFrame) -> DataFrame:
     """keys, y, x: x dominates y from start (keys and node, one a graph) on paths whose returns match their calls.
 
@@ -48,6 +56,65 @@ def valid_dominance(g: FlowGraph, parens: DataFrame, start: DataFrame) -> DataFr
     edge is what dominates its begin or any call of its site. Its complement is computed, a least fixpoint: x doesn't
     dominate y if on one way in it dominates neither. Nodes that nothing leads to are dominated by all."""
     k = list(g.keys)
+
+    def large(big: DataFrame) -> DataFrame:
+        mine = lambda df: unsent(df.join(big, k, "left_semi"))
+        return _valid_by_tables(FlowGraph(mine(g.nodes), mine(g.edges), g.keys), mine(parens), mine(start))
+
+    if not isinstance(parens.schema["site"].dataType, IntegralType):
+        return _valid_by_tables(g, parens, start)
+    returns = F.col("paren").eqNullSafe(")")
+    marks = parens.select(*k, "src", "dst", "paren", F.coalesce("site", F.lit(0)).alias("site"), (F.col("site").isNotNull() & F.col("paren").isin("(", ")")).cast("long").alias("has"))
+    rows = bits.rows_of(g.nodes, g.keys, NODE, "node").union(bits.rows_of(start, g.keys, START, "node")).union(bits.rows_of(g.edges, g.keys, EDGE, "src", "dst"))
+    rows = rows.union(bits.rows_of(marks.where(returns), g.keys, CLOSE, "src", "dst", "site", "has")).union(bits.rows_of(marks.where(~returns), g.keys, MARK, "src", "dst", "site", "has"))
+    return bits.solved(rows, g.keys, _valid, ("y", "x"), large)
+
+
+def _valid(p: dict) -> tuple:
+    """Dominance of gathered graphs; bits are of nodes that don't dominate."""
+    kind, graph, a, b, site, has = (p[x] for x in ("kind", "graph", *bits.ROW))
+    pair = kind >= EDGE
+    node = bits.Numbers(np.r_[graph, graph[pair]], np.r_[a, b[pair]])
+    n, src, dst = len(node.of), node.at[: len(kind)], np.full(len(kind), -1)
+    dst[pair] = node.at[len(kind) :]
+    own, starts = np.zeros(n, bool), np.zeros(n, bool)
+    own[src[kind == NODE]], starts[src[kind == START]] = True, True
+    # The nodes that call from each site; returns to a site without any are plain edges.
+    call, close = (kind == MARK) & (has > 0), (kind == CLOSE) & (has > 0)
+    sites = bits.Numbers(np.r_[graph[call], graph[close]], np.r_[site[call], site[close]]).at
+    called = bits.Fold(sites[: call.sum()], src[call])
+    of = np.full(len(kind), -1)
+    of[close] = sites[call.sum() :]
+    close &= np.isin(of, called.heads)
+    # Edges and marks of the same ends; an edge that only returns isn't plain.
+    ends = src * n + dst
+    edge = (kind == EDGE) & ~starts[dst]
+    back = np.flatnonzero(close & np.isin(ends, ends[edge]))
+    other = ((kind == MARK) | (kind == CLOSE)) & ~close
+    plain = edge & (~np.isin(ends, ends[back]) | np.isin(ends, ends[other]))
+    along, over = bits.Fold(dst[plain], src[plain]), bits.Fold(dst[back], np.arange(len(back)))
+    of = np.searchsorted(called.heads, of[back])
+
+    single = bits.ones(n, node.width, np.arange(n), node.column)
+    every = bits.ones(int(graph.max(initial=-1)) + 1, node.width, node.of[own], node.column[own])
+    bad = np.where(starts[:, None], every[node.of] & ~single, np.uint64(0))
+    while True:
+        more = bad.copy()
+        if len(along.heads):
+            more[along.heads] |= along(np.bitwise_or, bad[along.tail])
+        if len(back):
+            free = called(np.bitwise_and, bad[called.tail])
+            more[over.heads] |= over(np.bitwise_or, (bad[src[back]] & free[of])[over.tail])
+        more &= ~single
+        if np.array_equal(more, bad):
+            break
+        bad = more
+    y, x = bits.pairs(np.where(own[:, None], every[node.of] & ~bad, np.uint64(0)))
+    return node.of[y], node.name[y], node.name[node.first[y] + x]
+
+
+def _valid_by_tables(g: FlowGraph, parens: DataFrame, start: DataFrame) -> DataFrame:
+    k = list(g.keys)
     marks = parens.select(*k, "src", "dst", "paren", "site")
     inner = g.edges.join(start.withColumnRenamed("node", "dst"), [*k, "dst"], "left_anti").join(marks, [*k, "src", "dst"], "left")
     calls = written(parens.where("paren = '('").select(*k, "site", F.col("src").alias("call")).distinct())

@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import unsent
+
 
 @dataclass(frozen=True)
 class FlowGraph:
@@ -68,7 +70,7 @@ def order_flow(spark: SparkSession, sf_dir: str) -> FlowGraph:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     n = lines.select(F.col("l_orderkey").alias("graph_id"), F.row_number().over(order).cast("long").alias("node"), F.col("l_returnflag").alias("flag"))
-    n = n.withColumn("last", F.max("node").over(Window.partitionBy("graph_id")))
+    n = unsent(n.withColumn("last", F.max("node").over(Window.partitionBy("graph_id"))))
     to = F.array_compact(F.array(F.col("node") + 1, F.when(F.col("flag") == "R", F.greatest(F.col("node") - 1, F.lit(1))), F.when(F.col("flag") == "A", F.col("node") + 2)))
     edges = n.select("graph_id", F.col("node").alias("src"), F.explode(F.array_distinct(to)).alias("dst"), "last").where("dst <= last")
     return FlowGraph(n.select("graph_id", "node"), edges.select("graph_id", "src", "dst"))
